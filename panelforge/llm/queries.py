@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import bpe, token_count
+from panelforge.llm import bpe, packing, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": token_count.query,
+        "op4_best_fit_packing": packing.query,
         "op10_bpe_round_trip": bpe.query,
     }
 
