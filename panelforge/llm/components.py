@@ -1,0 +1,40 @@
+"""Connected components over edge tables of any size, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from panelforge.llm.common import stage
+
+
+def _star(edges: DataFrame, small: bool) -> DataFrame:
+    """Link neighbours of ``u`` to the smallest of ``u`` and its neighbours.
+
+    Small: the neighbours below ``u``, and ``u`` itself. Large: the neighbours above ``u``. The minimum is taken with partial
+    aggregation and joined back, so a node with very many neighbours does not meet in one task.
+    """
+    both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if small:
+        links = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+    else:
+        links = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return links.distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``id, component_id`` for every id in ``edges`` (columns ``a``, ``b``): the smallest id that links reach.
+
+    Self links and null ids are left out; ids without a link are not returned. Each step is written to the shared folder.
+    """
+    now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    seen = None
+    while True:
+        mark = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
+        if mark == seen or not mark[0]:
+            break
+        seen = mark
+        now = stage(_star(_star(now, small=False), small=True), "links")
+    roots = now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(roots)

@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import bpe, packing, token_count
+from panelforge.llm import ann, bpe, embed_dedup, packing, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_near_dedup": embed_dedup.query,
         "op2_token_counts": token_count.query,
+        "op3_block_matrix_neighbours": ann.query,
         "op4_best_fit_packing": packing.query,
         "op10_bpe_round_trip": bpe.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_embedding_near_dedup": embed_dedup.SQL, "op3_block_matrix_neighbours": ann.SQL}
