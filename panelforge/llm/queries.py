@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import ann, bpe, embed_dedup, minhash, packing, token_count
+from panelforge.llm import ann, bpe, embed_dedup, minhash, packing, substring, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": token_count.query,
         "op3_block_matrix_neighbours": ann.query,
         "op4_best_fit_packing": packing.query,
+        "op5_substring_dedup": substring.query,
         "op7_minhash_near_dedup": minhash.query,
         "op10_bpe_round_trip": bpe.query,
     }
