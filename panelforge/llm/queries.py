@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import ann, bpe, embed_dedup, minhash, packing, substring, token_count, toxicity
+from panelforge.llm import ann, bpe, embed_dedup, minhash, packing, secret_scan, substring, token_count, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_substring_dedup": substring.query,
         "op7_minhash_near_dedup": minhash.query,
         "op8_toxicity": toxicity.query,
+        "op9_secret_scan": secret_scan.query,
         "op10_bpe_round_trip": bpe.query,
     }
 

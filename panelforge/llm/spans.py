@@ -1,0 +1,33 @@
+"""Positions of regular-expression matches with DataFrame functions alone.
+
+Spark returns what matches, not where. Cutting the text at the same expression gives what stands between, and the lengths of
+both add up to positions, in code points.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def between(text: Column, pattern: str) -> Column:
+    """What stands before, between and after the matches: one more than there are matches."""
+    return F.split(text, pattern, -1)
+
+
+def matched(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def located(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, found>>, start inclusive, end exclusive, leftmost matches that do not overlap."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint,found:string>>")
+    begin = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["before"])
+        end = start + F.length(x["found"])
+        return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["found"].alias("found")))).alias("out"))
+
+    pairs = F.zip_with(F.slice(between(text, pattern), 1, F.greatest(F.size(matched(text, pattern)), F.lit(0))), matched(text, pattern), lambda b, f: F.struct(b.alias("before"), f.alias("found")))
+    return F.when(text.rlike(pattern), F.aggregate(pairs, begin, add, lambda acc: acc["out"])).otherwise(none)
