@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import ann, bpe, embed_dedup, minhash, packing, secret_scan, substring, token_count, toxicity
+from panelforge.llm import ann, bpe, embed_dedup, minhash, packing, pii, secret_scan, substring, token_count, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_block_matrix_neighbours": ann.query,
         "op4_best_fit_packing": packing.query,
         "op5_substring_dedup": substring.query,
+        "op6_pii_surrogates": pii.query,
         "op7_minhash_near_dedup": minhash.query,
         "op8_toxicity": toxicity.query,
         "op9_secret_scan": secret_scan.query,
