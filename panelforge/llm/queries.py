@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from panelforge.llm import ann, bpe, embed_dedup, minhash, packing, pii, secret_scan, substring, token_count, toxicity
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.query,
         "op9_secret_scan": secret_scan.query,
         "op10_bpe_round_trip": bpe.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
