@@ -1,0 +1,23 @@
+"""One query per factor, and the factor panel as a whole."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelforge.functions import factors as lib
+from panelforge.functions.numeric import digits
+from panelforge.operators import panel
+from panelforge.plans import base_sql as b
+from panelforge.plans.registry import query
+
+
+def _enter(name: str) -> None:
+    @query(f"factor_{name}", b.factor_sql(name) if name in b.FACTORS else None)
+    def run(spark, sf_dir):
+        made = lib.factors(panel.standard(spark, sf_dir), [name])
+        return made.select("sym", "dt", digits(F.col(name).cast("double"), b.PLACES.get(name, 6)).alias("value"))
+
+
+for _name in lib.REGISTRY:
+    if not any(x.startswith("ext_") for x in lib.REGISTRY[_name].needs):
+        _enter(_name)
