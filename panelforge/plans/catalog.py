@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from panelforge.plans import factor_queries  # noqa: F401
+from panelforge.plans import factor_queries, formula_queries, panel_queries  # noqa: F401
 from panelforge.plans.registry import QUERIES, SQL
 
 
+flagship = panel_queries.flagship
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
