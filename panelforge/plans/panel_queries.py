@@ -29,10 +29,10 @@ def session_axis(spark, sf_dir):
     return axis(spark, sf_dir)
 
 
-@query("dense_panel", f"WITH {PANEL} SELECT sym, {D}, sess, round(close, 6) AS close FROM panel")
+@query("dense_panel", f"WITH {PANEL} SELECT sym, {D}, sess, round(close, 8) AS close FROM panel")
 def dense_panel(spark, sf_dir):
     own = universe.dense_panel(fixtures.stocks(spark, sf_dir), fixtures.bars(spark, sf_dir), axis(spark, sf_dir))
-    return own.select("sym", "dt", "sess", digits(F.col("close")).alias("close"))
+    return own.select("sym", "dt", "sess", digits(F.col("close"), 8).alias("close"))
 
 
 @query("membership_at", f"WITH {PANEL} SELECT sym, {D} FROM panel WHERE reasons & 1 = 0")
@@ -80,9 +80,9 @@ def reason_histogram(spark, sf_dir):
     return universe.reason_histogram(panel.standard(spark, sf_dir))
 
 
-@query("mask_by_universe", f"WITH {PANEL} SELECT sym, {D}, round(CASE WHEN elig THEN close END, 6) AS close FROM panel")
+@query("mask_by_universe", f"WITH {PANEL} SELECT sym, {D}, round(CASE WHEN elig THEN close END, 8) AS close FROM panel")
 def mask_by_universe(spark, sf_dir):
-    return panel.standard(spark, sf_dir).select("sym", "dt", digits(universe.masked("close")).alias("close"))
+    return panel.standard(spark, sf_dir).select("sym", "dt", digits(universe.masked("close"), 8).alias("close"))
 
 
 #: Intervals with planted errors: every seventh ends before it begins, every ninth overlaps itself.
