@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelforge.plans import factor_queries, formula_queries, panel_queries, portfolio_queries, table_queries  # noqa: F401
+from panelforge.plans import factor_queries, formula_queries, panel_queries, portfolio_queries, protocol_queries, stream_queries, table_queries  # noqa: F401
 from panelforge.plans.registry import QUERIES, SQL
 
 
