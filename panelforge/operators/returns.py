@@ -52,5 +52,5 @@ def winsor_robust_z(long: DataFrame, low: float = 0.01, high: float = 0.99, clip
     moved = cut.join(mid, key).withColumn("_d", F.col("_c") - F.col("_m"))
     spread = moved.groupBy(*key).agg(F.median(F.when(F.col("elig"), F.abs("_d"))).alias("_s"))
     z = F.col("_d") / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))
-    out = F.coalesce(F.least(F.greatest(z, F.lit(-clip)), F.lit(clip)), F.lit(0.0))
+    out = F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-clip)), F.lit(clip))).otherwise(0.0)
     return moved.join(spread, key).withColumn("value", out).drop("_lo", "_hi", "_c", "_m", "_d", "_s")

@@ -184,7 +184,7 @@ z1 AS (SELECT *, least(greatest(value, quantile_cont(CASE WHEN elig THEN value E
 z1b AS (SELECT * EXCLUDE (c0), CASE WHEN value IS NOT NULL AND n > 0 THEN c0 END AS c FROM z1),
 z2 AS (SELECT *, c - median(CASE WHEN elig THEN c END) OVER (PARTITION BY factor_name, dt) AS d FROM z1b),
 z3 AS (SELECT *, median(CASE WHEN elig THEN abs(d) END) OVER (PARTITION BY factor_name, dt) AS s FROM z2),
-z AS (SELECT sym, dt, sess, elig, factor_name, coalesce(least(greatest(d / CASE WHEN s = 0 THEN 1 ELSE s END, -5), 5), 0) AS value FROM z3)"""
+z AS (SELECT sym, dt, sess, elig, factor_name, CASE WHEN d IS NULL THEN 0 ELSE least(greatest(d / CASE WHEN s = 0 THEN 1 ELSE s END, -5), 5) END AS value FROM z3)"""
 
 
 def long_factors(spark, sf_dir):
