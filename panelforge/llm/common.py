@@ -56,3 +56,12 @@ def spread(spark: SparkSession) -> int:
 def docs_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, so that other columns, of any name, cannot clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+#: Rows of ids that are sent to every executor at most: a few tens of MB.
+MOST_IDS = 500_000
+
+
+def sent_if_few(ids: DataFrame) -> DataFrame:
+    """``ids`` (one column of ids, written before) to be broadcast if their counted rows allow; else joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import batches, docs_text, stage
+from panelforge.llm.common import batches, docs_text, sent_if_few, stage
 from panelforge.llm.components import components
 from panelforge.llm.embed_dedup import spanning
 from panelforge.llm.shingles import mix, shingle_set
@@ -126,14 +126,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: in
     members = stage(entries.join(buckets, ["band", "key"]), "buckets")
     stars = members.where("rep <> head").select("rep", "head").distinct()
     # full sets of all members, made once
-    wanted = members.select("rep").distinct()
+    wanted = sent_if_few(stage(members.select(F.col("rep").alias("doc_id")).distinct(), "members"))
 
     def full(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts):
             sets = [shingle_set(t, words).view(np.int64) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
 
-    chosen = texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    chosen = texts.join(wanted, "doc_id", "left_semi")
     sets = stage(chosen.mapInArrow(full, "rep long, shingles array<long>").groupBy("rep").agg(F.min("shingles").alias("shingles")), "sets")
     both = stars.join(sets, "rep").join(sets.select(F.col("rep").alias("head"), F.col("shingles").alias("other")), "head")
     meet = F.size(F.array_intersect("shingles", "other"))
