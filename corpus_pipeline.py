@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm import minhash, packing, pii, substring, toxicity
-from panelforge.llm.common import stage
+from panelforge.llm.common import sent_if_few, stage
 
 #: Not all stages can be said in SQL; they are tested against plain versions.
 ORACLE_SQL = None
@@ -22,8 +22,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the smallest ``doc_id`` stays; rows that share an id stay together."""
-    gone = minhash.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stage(minhash.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct(), "gone")
+    return docs.join(sent_if_few(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
