@@ -8,6 +8,7 @@ keeps, of a toxic document, the windows that the network itself finds toxic.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,15 +36,24 @@ def split_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words.dictionary.to_pylist(), words.indices.to_numpy(), ends
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_features(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The row of each word in the word table, and its rows in the character table: one list with where each word begins."""
-    raw = [b"^" + w.encode() + b"$" for w in words]
-    row = np.fromiter((zlib.crc32(w) % WORD_ROWS for w in raw), np.int64, len(raw))
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    row, rows, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for k in range(0, len(words), at_once):
+        raw = [b"^" + w.encode() + b"$" for w in words[k : k + at_once]]
+        row.append(np.fromiter((zlib.crc32(w) % WORD_ROWS for w in raw), np.int32, len(raw)))
+        part, count = _grams(raw)
+        rows.append(part)
+        sizes.append(count)
+    return np.concatenate(row), np.concatenate(rows), np.append(0, np.cumsum(np.concatenate(sizes)))
+
+
+def _grams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The character rows of marked words in order, and how many each word has."""
+    sizes = np.fromiter(map(len, raw), np.int32, len(raw))
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
-    ends = np.cumsum(sizes)
-    own = np.repeat(np.arange(len(raw)), sizes)
-    left = np.repeat(ends, sizes) - np.arange(len(data))  # bytes to the end of the word
+    own = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
+    left = np.repeat(np.cumsum(sizes, dtype=np.int32), sizes) - np.arange(len(data), dtype=np.int32)  # bytes to the word's end
     rows, of = [], []
     for n in GRAMS:
         m = len(data) - n + 1
@@ -54,14 +64,14 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             h = (h ^ data[k : k + m]) * np.uint32(16777619)
             h ^= h >> np.uint32(13)
         at = np.flatnonzero(left[:m] >= n)
-        rows.append((h[at] % GRAM_ROWS).astype(np.int64))
+        rows.append((h[at] % GRAM_ROWS).astype(np.int32))
         of.append(own[at])
-    short = np.flatnonzero(sizes < min(GRAMS))  # the empty word alone
-    rows.append(np.zeros(len(short), np.int64))
+    short = np.flatnonzero(sizes < min(GRAMS)).astype(np.int32)  # the empty word alone
+    rows.append(np.zeros(len(short), np.int32))
     of.append(short)
-    of_all, rows_all = np.concatenate(of), np.concatenate(rows)
-    order = np.argsort(of_all, kind="stable")
-    return row, rows_all[order], np.searchsorted(of_all[order], np.arange(len(raw) + 1))
+    word = np.concatenate(of)
+    order = np.argsort(word, kind="stable")
+    return np.concatenate(rows)[order], np.bincount(word, minlength=len(raw))
 
 
 def windows_of(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,26 +267,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[str], np.ndarray]:
-    """At most ``per_class`` toxic and twice as many other labelled texts that are not held out: the smallest hashes of ids."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+    """``doc_id, text, toxic``: at most ``per_class`` toxic and twice as many other texts with labels that are not held out.
+
+    Those with the smallest hashes of their ids are taken, the same in every run.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = None
     for k in (0, 1):
         part = own.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class * (2 - k))
         ids = part if ids is None else ids.unionByName(part)
-    found = docs_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(3 * per_class).collect()
-    return [r["text"] or "" for r in found], np.array([r["toxic"] for r in found], np.int64)
+    return docs_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(3 * per_class)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int) -> Network:
+    """A network trained on :func:`sample` in one task, whose input is bounded; its parameters, of fixed size, come back."""
+
+    def fit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((zlib.crc32(str(d).encode()), t or "", y) for part in parts for d, t, y in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True))
+        net = train([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.p)], pa.binary())], ["parameters"])
+
+    made = sample(docs, labels, per_class).repartition(1).mapInArrow(fit, "parameters binary").first()
+    return Network(pickle.loads(made[0])) if made else train([], np.zeros(0, np.int64))
 
 
 def scores(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``, over whole texts.
 
-    The network is trained on the driver from :func:`sample` (a bound by parameter); nothing but texts is an input. Null and
+    The network is trained from :func:`sample` (its bound is a parameter); nothing but texts is an input. Null and
     empty texts are scored as a window without words. A null ``doc_id`` stays null and is not held out; rows that repeat get the
     same score; other columns are left out. With labels of one class only, or none, the network stays untrained.
     """
-    net = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, labels, per_class)))  # of fixed size
+    net = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, per_class))  # of fixed size
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts, BATCH):
@@ -289,7 +313,7 @@ def scores(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> DataFra
 
 def not_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below 0.5; cases as in :func:`scores`."""
-    net = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, labels, per_class)))
+    net = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, per_class))
 
     @F.pandas_udf("double")
     def score(text):
