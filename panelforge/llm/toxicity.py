@@ -226,7 +226,8 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 4, lanes: int = 256
         half = windows_per_epoch // 2
         positive = rng.permutation(positive)[:half]
         hard = negative[np.argsort(-order_key[negative], kind="stable")[: half // 2]] if epoch else negative[:0]
-        chosen = rng.permutation(np.concatenate([positive, hard, rng.permutation(negative)[: half - len(hard)]]))
+        chosen = np.concatenate([positive, hard, rng.permutation(negative)[: half - len(hard)]])
+        chosen = rng.permutation(np.tile(chosen, max(1, windows_per_epoch // (2 * len(chosen)))))  # small samples come again
         for k in range(0, len(chosen), lanes):
             own = chosen[k : k + lanes]
             ids = laid_out(codes, at[own], size[own], len(words))
