@@ -301,7 +301,7 @@ def industry_of(spark, sf_dir):
 # -- signal quality
 
 SCORED = f"""{SIGNALS}, fw AS (SELECT sym, dt, {FWD} AS fwd FROM panel WINDOW ts AS (PARTITION BY sym ORDER BY sess)),
-sg AS (SELECT s.*, f.fwd FROM signals s JOIN fw f USING (sym, dt) WHERE elig AND signal IS NOT NULL),
+sg AS (SELECT s.* REPLACE (round(s.signal, 9) AS signal), f.fwd FROM signals s JOIN fw f USING (sym, dt) WHERE elig AND signal IS NOT NULL),
 ra AS (SELECT formula_id, dt, rank() OVER (PARTITION BY formula_id, dt ORDER BY signal) + (count(*) OVER (PARTITION BY formula_id, dt, signal) - 1) / 2.0 AS a,
   rank() OVER (PARTITION BY formula_id, dt ORDER BY fwd) + (count(*) OVER (PARTITION BY formula_id, dt, fwd) - 1) / 2.0 AS b FROM sg),
 ic AS (SELECT formula_id, dt, count(*) AS n, CASE WHEN count(*) >= {MIN_STOCKS} AND var_pop(a) * count(*) > 1e-12 AND var_pop(b) * count(*) > 1e-12 THEN corr(a, b) END AS ic FROM ra GROUP BY 1, 2)"""
@@ -309,7 +309,7 @@ ic AS (SELECT formula_id, dt, count(*) AS n, CASE WHEN count(*) >= {MIN_STOCKS}
 
 def scored(spark, sf_dir):
     fwd = panel.standard(spark, sf_dir).select("sym", "dt", returns.open_to_open().alias("fwd"))
-    return signals(spark, sf_dir).join(fwd, ["sym", "dt"])
+    return signals(spark, sf_dir).withColumn("signal", F.round("signal", 9)).join(fwd, ["sym", "dt"])  # ties stay ties
 
 
 @query("avg_rank", f"{SCORED} SELECT formula_id, {D}, round(sum(a * a), 3) + 0.0 AS total FROM ra GROUP BY formula_id, ra.dt")
