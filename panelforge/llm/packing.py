@@ -1,7 +1,7 @@
 """Bulk-synchronous best-fit packing of tokenized documents into sequences of a fixed size.
 
 Documents become pieces; pieces and open gaps are sorted by size. Each round is one distributed pass: every gap gets at most
-one piece. The successor sweep runs over size classes (at most ``capacity`` of them, whatever the corpus holds): from the
+one piece, or several of one size where these outnumber the gaps. The successor sweep runs over size classes (at most ``capacity`` of them, whatever the corpus holds): from the
 largest piece size down, pieces are matched with the smallest gap size that holds them. Within a class conflicts are
 resolved by rank: the k-th piece of a matched class goes into the k-th gap of its partner. Ranks are counted within
 (size, salt) groups and shifted by the counts before them, so no size, however common, meets in one task. Gaps are updated
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from panelforge.llm.bpe import BATCH, codec
 from panelforge.llm.common import batches, docs_text, stage
 
-#: (size class of the gap, first rank in it, size class of the piece, first rank in it, how many)
-Match = tuple[int, int, int, int, int]
+#: (size class of the gap, first rank in it, size class of the piece, first rank in it, how many gaps, pieces for each)
+Match = tuple[int, int, int, int, int, int]
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
@@ -58,18 +58,23 @@ def ranked(df: DataFrame, size: str, salts: int, *order: str) -> DataFrame:
 
 
 def sweep(items: np.ndarray, used: np.ndarray, gaps: np.ndarray) -> list[Match]:
-    """Match piece sizes, largest first, with the smallest gap sizes that hold them; ``items`` and ``used`` count by size and are updated."""
+    """Match piece sizes, largest first, with the smallest gap sizes that hold them; ``items`` and ``used`` count by size and are updated.
+
+    A gap takes one piece, or several of one size where pieces of that size outnumber the gaps.
+    """
     out, free, taken = [], gaps.copy(), np.zeros(len(gaps), np.int64)
     for size in range(len(items) - 1, 0, -1):
-        gap = size
+        gap, open_gaps = size, int(free[size:].sum())
+        want = -(-int(items[size]) // open_gaps) if open_gaps else 0
         while items[size] and gap < len(free):
-            if not free[gap]:
+            each = min(want, gap // size, int(items[size]))
+            n = int(min(items[size] // each, free[gap])) if each else 0
+            if not n:
                 gap += 1
                 continue
-            n = int(min(items[size], free[gap]))
-            out.append((gap, int(taken[gap]), size, int(used[size]), n))
-            items[size] -= n
-            used[size] += n
+            out.append((gap, int(taken[gap]), size, int(used[size]), n, each))
+            items[size] -= n * each
+            used[size] += n * each
             free[gap] -= n
             taken[gap] += n
     return out
@@ -82,7 +87,7 @@ def opened(items: np.ndarray, used: np.ndarray, capacity: int) -> list[Match]:
     left = int(items[over + 1 :].sum()) or -(-volume // capacity)
     for size in range(len(items) - 1, 0, -1):
         if n := int(min(items[size], left)):
-            out.append((capacity, 0, size, int(used[size]), n))
+            out.append((capacity, 0, size, int(used[size]), n, 1))
             items[size] -= n
             used[size] += n
             left -= n
@@ -108,11 +113,12 @@ def best_fit(items: DataFrame, capacity: int, salts: int) -> DataFrame:
             plan = matches(spark, found)
             mine = ranked(gaps, "gap", salts, "sequence_id").join(F.broadcast(plan), (F.col("gap") == F.col("g")) & (F.col("rank") >= F.col("g_from")) & (F.col("rank") < F.col("g_from") + F.col("n")), "left")
             step = stage(
-                mine.select("sequence_id", "gap", F.col("size"), (F.col("size_from") + F.col("rank") - F.col("g_from")).alias("size_rank")),
+                mine.select("sequence_id", "gap", "size", "each", (F.col("size_from") + (F.col("rank") - F.col("g_from")) * F.col("each")).alias("first")),
                 "packing-round",
             )
-            placed.append(step.where("size is not null").select(F.col("size").alias("length"), F.col("size_rank").alias("rank"), "sequence_id", (F.lit(capacity) - F.col("gap")).alias("offset")))
-            gaps = step.select("sequence_id", (F.col("gap") - F.coalesce("size", F.lit(0))).alias("gap"))
+            each = step.where("size is not null").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("each") - 1)))
+            placed.append(each.select(F.col("size").alias("length"), (F.col("first") + F.col("k")).alias("rank"), "sequence_id", (F.lit(capacity) - F.col("gap") + F.col("k") * F.col("size")).alias("offset")))
+            gaps = step.select("sequence_id", (F.col("gap") - F.coalesce(F.col("size") * F.col("each"), F.lit(0))).alias("gap"))
         else:
             plan = matches(spark, opened(left, used, capacity)) if left.any() else matches(spark, [])
             new = items.join(F.broadcast(plan), (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("size_from")) & (F.col("rank") < F.col("size_from") + F.col("n")))
@@ -133,7 +139,7 @@ def best_fit(items: DataFrame, capacity: int, salts: int) -> DataFrame:
 
 
 def matches(spark: SparkSession, found: list[Match]) -> DataFrame:
-    return spark.createDataFrame(found, "g long, g_from long, size long, size_from long, n long")
+    return spark.createDataFrame(found, "g long, g_from long, size long, size_from long, n long, each long")
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
