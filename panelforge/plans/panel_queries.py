@@ -397,3 +397,46 @@ def factor_report(spark, sf_dir):
 def flagship(spark, sf_dir):
     """Bars to dense panel, eligibility, factors, standardisation, rank-IC and its summary."""
     return factor_stats(spark, sf_dir)
+
+
+# -- fundamental and flow factors, fed from outside the bars
+
+LEVEL = {
+    "ROE": "eps_cum / nullif(bvps, 0) * 100", "ROA": "profit_cum / nullif(revenue_cum, 0) * 50", "GROSS_MARGIN": "net_margin + 20", "DEBT_RATIO": "50 - net_margin", "DIVIDEND_YIELD": "abs(bvps) / 1000",
+    "REVENUE_YOY": "revenue_cum / nullif(lag(revenue_cum) OVER (PARTITION BY sym, month(report_date) ORDER BY report_date), 0) - 1",
+    "PROFIT_YOY": "profit_cum / nullif(lag(profit_cum) OVER (PARTITION BY sym, month(report_date) ORDER BY report_date), 0) - 1",
+}
+LEVELS = f"{REPORTS}, lv AS (SELECT sym, report_date, announce_date, {', '.join(f'{x} AS {n}' for n, x in LEVEL.items())} FROM reports)"
+OUTSIDE = {
+    **{n: f"WITH {LEVELS} SELECT sym, {D}, round({asof(n).replace('ttm t', 'lv t')}, 4) + 0.0 AS value FROM panel p" for n in LEVEL},
+    **{n: f"WITH {VALUED} SELECT sym, {D}, round({n}, 4) + 0.0 AS value FROM valued" for n in ("PE_TTM", "PB", "PS_TTM", "NET_MARGIN")},
+}
+
+
+def with_outside(spark, sf_dir, name):
+    """The standard panel with ``ext_<name>``."""
+    own, reports = panel.standard(spark, sf_dir), fixtures.fundamentals(spark, sf_dir)
+    if name in LEVEL:
+        made = reports.selectExpr("sym", "report_date", "announce_date", f"{LEVEL[name]} AS {name}")
+        return fundamentals.asof_ffill(own, made, "announce_date", [name]).withColumnRenamed(name, f"ext_{name}")
+    if name == "MARGIN_BALANCE_CHG":
+        return fundamentals.balance_change(own, fixtures.margin(spark, sf_dir)).withColumnRenamed(name, f"ext_{name}")
+    if name == "INDUSTRY_MOMENTUM":
+        index = own.groupBy("industry", "sess").agg(F.avg("close").alias("close"))
+        return fundamentals.industry_momentum(own, index, fixtures.stocks(spark, sf_dir)).withColumnRenamed(name, f"ext_{name}")
+    return fundamentals.valuation(own, reports).withColumnRenamed(name, f"ext_{name}")
+
+
+def _outside(name: str, places: int) -> None:
+    from panelforge.plans.registry import SQL
+
+    @query(f"factor_{name}", OUTSIDE.get(name) or SQL[name.lower()])
+    def run(spark, sf_dir):
+        made = lib.factors(with_outside(spark, sf_dir, name), [name])
+        return made.select("sym", "dt", digits(F.col(name).cast("double"), places).alias("value"))
+
+
+for _name in OUTSIDE:
+    _outside(_name, 4)
+for _name in ("MARGIN_BALANCE_CHG", "INDUSTRY_MOMENTUM"):
+    _outside(_name, 6)

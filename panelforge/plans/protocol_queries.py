@@ -255,3 +255,17 @@ def register_operator(spark, sf_dir):
 def ewm(spark, sf_dir):
     own = lib.factors(panel.standard(spark, sf_dir), list(lib.EWM))
     return own.select("sym", "dt", *(digits(F.col(n)).alias(n) for n in lib.EWM))
+
+
+@query("normal_cdf")
+def normal_cdf(spark, sf_dir):
+    """The normal distribution at standardised factor values."""
+    own = standard_factors(spark, sf_dir)
+    return own.select("sym", "dt", "factor_name", digits(protocol.normal_cdf(F.col("value"))).alias("p"))
+
+
+@query("normal_ppf")
+def normal_ppf(spark, sf_dir):
+    """Normal scores: the quantile of each value's share of the distribution gives the value back."""
+    own = standard_factors(spark, sf_dir).withColumn("p", protocol.normal_cdf(F.col("value")))
+    return own.select("sym", "dt", "factor_name", digits(protocol.normal_ppf(F.col("p")), 5).alias("z"))
