@@ -94,8 +94,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, trees: int =
     spark = embeddings.sparkSession
     seen = vectors(embeddings).withColumn("usable", usable("embedding") & F.col("label").isNotNull())
     nameless = seen.where(F.col("vec_id").isNull())
-    one = seen.where(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min(F.struct(~F.col("usable"), "label", "embedding")).alias("r"))
-    rows = stage(one.select("vec_id", "r.label", F.when(~F.col("r.col1"), F.col("r.embedding")).alias("embedding")), "vectors")
+    one = seen.where(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min(F.struct((~F.col("usable")).alias("unfit"), "label", "embedding")).alias("r"))
+    rows = stage(one.select("vec_id", "r.label", F.when(~F.col("r.unfit"), F.col("r.embedding")).alias("embedding")), "vectors")
     good = rows.where("embedding is not null").withColumn("dim", F.size("embedding"))
     sample = [r[0] for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").collect()]
     total, margins, forest = good.count(), {}, {}
