@@ -313,7 +313,7 @@ def scores(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> DataFra
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below 0.5; cases as in :func:`scores`."""
+    """The rows of ``docs``, all columns, whose text scores below 0.5, and those without words; other cases as in :func:`scores`."""
     net = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, per_class))
 
     @F.pandas_udf("double")
@@ -323,7 +323,7 @@ def not_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> Data
         texts = [t or "" for t in text]
         return pd.Series(np.concatenate([net.value.score(texts[k : k + BATCH]) for k in range(0, len(texts), BATCH)]) if texts else [], dtype="float64")
 
-    return docs.where(score("text") < 0.5)
+    return docs.where((score("text") < 0.5) | ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
