@@ -29,6 +29,8 @@ from panelforge.llm.shingles import mix, shingle_set
 
 SIZE = 128
 BIN_BITS, ROUND_BITS = 7, 9
+#: Shingles that a comparison of full sets takes up together, about.
+PER_RANGE = 1 << 18
 SEEDS = np.random.default_rng(5).integers(0, 1 << 63, 2 * SIZE, dtype=np.uint64)
 
 
@@ -66,29 +68,35 @@ def bands(coordinates: np.ndarray, rows: int) -> np.ndarray:
 def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between the rows ``left`` and ``right`` of ``sets`` with den * intersection >= num * union."""
     sizes = np.array([len(s) for s in sets])
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    common = np.bincount(column, minlength=len(values)) > 1
-    keep = common[column]
-    row, column = row[keep], (np.cumsum(common) - 1)[column[keep]]
     meet = np.zeros((len(left), len(right)), np.float32)
     place_l, place_r = np.full(len(sets), -1), np.full(len(sets), -1)
     place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
-    width, order = 8192, np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for at in range(0, int(common.sum()), width):
-        a, b = np.searchsorted(column, [at, at + width])
-        r, c = row[a:b], column[a:b] - at
-        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
-        x[place_l[r][place_l[r] >= 0], c[place_l[r] >= 0]] = 1
-        y[place_r[r][place_r[r] >= 0], c[place_r[r] >= 0]] = 1
-        meet += x @ y.T
+    # sets are sorted: one range of hashes at a time, so that memory does not grow with the texts
+    n_ranges = max(1, -(-int(sizes.sum()) // PER_RANGE))
+    edges = (np.arange(1, n_ranges, dtype=np.float64) / n_ranges * 2.0**64).astype(np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(s.view(np.uint64), edges), [len(s)]]) for s in sets]
+    width = 2048
+    for k in range(n_ranges):
+        own = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+        values, column = np.unique(np.concatenate(own), return_inverse=True)
+        common = np.bincount(column, minlength=len(values)) > 1
+        keep = common[column]
+        row, column = np.repeat(np.arange(len(sets)), [len(s) for s in own])[keep], (np.cumsum(common) - 1)[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for at in range(0, int(common.sum()), width):
+            a, b = np.searchsorted(column, [at, at + width])
+            r, c = row[a:b], column[a:b] - at
+            x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+            x[place_l[r][place_l[r] >= 0], c[place_l[r] >= 0]] = 1
+            y[place_r[r][place_r[r] >= 0], c[place_r[r] >= 0]] = 1
+            meet += x @ y.T
     union = sizes[left][:, None] + sizes[right][None, :] - meet
     p, q = np.nonzero(den * meet >= num * union)
     return left[p], right[q]
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: int = 6, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: int = 6, block: int = 512, block_shingles: int = 1 << 20) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: documents are linked at a similarity of ``percent`` / 100 or more.
 
     Sets hold the distinct shingles of ``words`` words of the whole text, A to Z in lower case; a text of fewer words is one
@@ -121,9 +129,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: in
     kind = ["same", "n_shingles"]
     classes = stage(able.groupBy(*kind).agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep")), "classes")
     copies = able.join(classes.select(*kind, "rep"), kind).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    entries = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head")).where("n > 1")
-    members = stage(entries.join(buckets, ["band", "key"]), "buckets")
+    entries = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    buckets = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"), F.min("rep").alias("head")).where("n > 1")
+    members = stage(entries.drop("n_shingles").join(buckets, ["band", "key"]), "buckets")
     stars = members.where("rep <> head").select("rep", "head").distinct()
     # full sets of all members, made once
     wanted = sent_if_few(stage(members.select(F.col("rep").alias("doc_id")).distinct(), "members"))
@@ -140,7 +148,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: in
     checked = stage(both.select("rep", "head", (100 * meet >= percent * (F.size("shingles") + F.size("other") - meet)).alias("linked")), "stars")
     # buckets with a member that is not linked to the head are compared in full
     open_buckets = members.join(checked.where("not linked").select("rep", "head"), ["rep", "head"]).select("band", "key").distinct()
-    rest = members.join(open_buckets, ["band", "key"]).where("n > 2").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rest = members.join(open_buckets, ["band", "key"]).where("n > 2").withColumn("blocks", F.ceil(F.greatest(F.col("n") / block, F.col("total") / block_shingles)).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bi", F.least("b", "other")).withColumn("bj", F.greatest("b", "other"))
     rest = rest.select("band", "key", "bi", "bj", "b", "rep").join(sets, "rep")
 

@@ -182,7 +182,7 @@ def test_minhash(spark, copies, percent):
             if i < j and a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
-    got = minhash.near_duplicates(table(spark, copies), percent, block=32).collect()
+    got = minhash.near_duplicates(table(spark, copies), percent, block=32, block_shingles=2000).collect()
     assert len(got) == len(copies)
     for r in got:
         if r.doc_id is None:
@@ -192,6 +192,18 @@ def test_minhash(spark, copies, percent):
     assert minhash.near_duplicates(table(spark, copies).limit(0)).count() == 0
 
 
+def test_full_comparison_by_ranges(monkeypatch):
+    rng = np.random.default_rng(9)
+    pool = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 390), replace=False)).view(np.int64) for _ in range(50)]
+    left, right = np.arange(30), np.arange(20, 50)
+    a, b = [set(s.tolist()) for s in sets], 100
+    expected = {(i, j) for i in left.tolist() for j in right.tolist() if b * len(a[i] & a[j]) >= 40 * len(a[i] | a[j])}
+    for at_once in (300, 1 << 20):
+        monkeypatch.setattr(minhash, "PER_RANGE", at_once)
+        assert set(zip(*(x.tolist() for x in minhash.forest(sets, left, right, 40, 100)), strict=True)) == expected
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(4)
     hits = []
