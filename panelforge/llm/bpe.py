@@ -32,7 +32,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 UNCOMMON = re.compile("[^\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]")
 SAFE = re.compile(rb"(?<=[\x21-\x7e]) (?=[\x21-\x7e])")
 SPECIAL, FIRST = "<|", "\x01"
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 CHUNK_BYTES_KEPT = 48 << 20
 #: Rows encoded together.
 BATCH = 1000

@@ -46,6 +46,7 @@ def batches(parts: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
     for part in parts:
         for at in range(0, part.num_rows, rows):
             yield part.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
 
 def spread(spark: SparkSession) -> int:

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Word hashes that a worker keeps.
-KEPT = 400_000
+KEPT = 100_000
 
 
 class _Hashes(dict):
