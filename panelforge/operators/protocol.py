@@ -62,14 +62,22 @@ def fold_slice(panel: DataFrame, ranges: DataFrame) -> DataFrame:
     return own.withColumn("fwd", F.coalesce(F.try_divide(F.lead("open", 2).over(w), F.lead("open", 1).over(w)) - 1, F.lit(0.0))).where("sess < test_end").drop("test_start", "test_end", "test_stop")
 
 
+def mirrored(signals: DataFrame) -> DataFrame:
+    """Every signal and its mirror image, told apart by ``formula_id``, a struct of ``formula_id`` and ``sign``."""
+    own = signals.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("signal", F.col("signal") * F.col("sign"))
+    return own.withColumn("formula_id", F.struct("formula_id", "sign")).drop("sign")
+
+
 def score_candidates(ics: DataFrame, costs: DataFrame, windows: DataFrame, weight: float = 1.0, penalty: dict[str, float] | None = None) -> DataFrame:
     """``fold, formula_id, sign, val_reward, val_icir``: each candidate in its better direction.
 
-    ``ics``: ``formula_id, sess, ic``; ``costs``: ``formula_id, sess, cost``; ``windows``: :func:`validation_windows`. The mirrored
-    signal has mirrored coefficients and, here, the same cost. Better is the higher reward, then ICIR, then the plain sign.
+    ``ics``: ``formula_id, sess, ic``; ``costs``: ``formula_id, sign, sess, cost`` from the books of both sides (:func:`mirrored`);
+    ``windows``: :func:`validation_windows`. The mirrored signal has mirrored coefficients and its own book's cost. Costs without
+    ``sign`` hold for both sides. Better is the higher reward, then ICIR, then the plain sign.
     """
-    own = ics.join(costs, ["formula_id", "sess"], "left").join(F.broadcast(windows), (F.col("sess") >= F.col("lo")) & (F.col("sess") < F.col("hi")))
+    own = ics.join(F.broadcast(windows), (F.col("sess") >= F.col("lo")) & (F.col("sess") < F.col("hi")))
     own = own.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("ic", F.col("ic") * F.col("sign"))
+    own = own.join(costs, ["formula_id", "sign", "sess"] if "sign" in costs.columns else ["formula_id", "sess"], "left")
     icir = F.when(F.count("ic") >= 2, F.avg("ic") / (F.stddev_samp("ic") + 1e-9)).otherwise(0.0)
     each = own.groupBy("fold", "formula_id", "sign", "window").agg(icir.alias("icir"), (F.coalesce(F.avg("cost"), F.lit(0.0)) * 252).alias("cost"))
     each = each.withColumn("reward", F.least(F.greatest(F.col("icir") - weight * F.col("cost"), F.lit(-1.0)), F.lit(1.0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelforge.functions.numeric import digits
-from panelforge.operators import panel, quality, returns
+from panelforge.operators import panel, protocol, quality, returns
 from panelforge.operators import portfolio as pf
 from panelforge.plans.base_sql import PANEL
 from panelforge.plans.formula_queries import signals
@@ -50,6 +50,13 @@ def daily(spark, sf_dir):
     return pf.topn_returns(weights(spark, sf_dir), last_session(spark, sf_dir))
 
 
+def two_books(spark, sf_dir, own=None):
+    """``formula_id, sign`` and :func:`daily` of each candidate and of its mirror image, each with the names and costs of its own book."""
+    both = protocol.mirrored(signals(spark, sf_dir) if own is None else own)
+    book = pf.target_weights(pf.top_n(pf.selectable(both, tradable(spark, sf_dir)), N), N)
+    return pf.topn_returns(book, last_session(spark, sf_dir)).select("formula_id.*", "sess", "gross", "cost", "net", "turnover")
+
+
 def curves(spark, sf_dir):
     """Curves of a hundredth of each return: prices of this data set jump, and whole returns would leave any range."""
     return pf.curve(daily(spark, sf_dir).withColumn("net", F.col("net") / 100))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from panelforge.functions import factors as lib
@@ -11,7 +13,7 @@ from panelforge.operators import panel, protocol, quality, returns
 from panelforge.operators import portfolio as pf
 from panelforge.plans.formula_queries import FORMULAS, inputs
 from panelforge.plans.panel_queries import CHOSEN, MIN_STOCKS, axis, scored, standard_factors
-from panelforge.plans.portfolio_queries import BOOK, daily, rounded, tradable
+from panelforge.plans.portfolio_queries import BOOK, daily, rounded, tradable, two_books
 from panelforge.plans.base_sql import BARS
 from panelforge.plans.registry import query
 
@@ -71,9 +73,10 @@ def fold_slice(spark, sf_dir):
     return own.select("fold", "sym", "dt", digits(F.col("fwd")).alias("fwd"))
 
 
-def scores(spark, sf_dir):
+def scores(spark, sf_dir, costs=None):
+    """With the plain book's cost for both sides, as the SQL of these queries has it, or with ``costs`` of each side."""
     ics = quality.rank_ic(scored(spark, sf_dir), MIN_STOCKS).join(F.broadcast(axis(spark, sf_dir)), "dt").select("formula_id", "sess", "ic")
-    costs = daily(spark, sf_dir).select("formula_id", "sess", "cost")
+    costs = daily(spark, sf_dir).select("formula_id", "sess", "cost") if costs is None else costs
     bare = {k: 0.02 for k, tokens in FORMULAS.items() if len(tokens) == 1}
     return protocol.score_candidates(ics, costs, protocol.validation_windows(sound(spark, sf_dir)), penalty=bare)
 
@@ -122,12 +125,56 @@ def trial_rows(spark, sf_dir):
 
 @query("search_rows", f"{TRIALS}{SCORES[len(BOOK) + len(RANGES) + 2:]} SELECT c.fold, c.formula_id, round(net, 6) + 0.0 AS net, round(sharpe, 6) + 0.0 AS sharpe FROM chosen c JOIN rows_ r ON r.fold = c.fold AND r.candidate = c.formula_id")
 def search_rows(spark, sf_dir):
-    """The selected candidates of each fold, out of sample."""
+    """The selected candidates of each fold, out of sample, in the plain book whatever the sign (see ``search_rows_two_books``)."""
     best = protocol.select_candidate(protocol.candidate_gates(scores(spark, sf_dir))).select("fold", "formula_id")
     out = best.join(trial_rows(spark, sf_dir).withColumnRenamed("candidate", "formula_id"), ["fold", "formula_id"])
     return rounded(out.select("fold", "formula_id", "net", "sharpe"), "net", "sharpe")
 
 
+#: The books of both sides, from the text of :data:`BOOK`, keyed ``formula_id|sign``.
+BOOK_TABLES = "cand|picks|weights|net|moved|gross|daily"
+SIDES = "(VALUES (1), (-1)) s(sign)"
+BOOK2 = re.sub(rf"(^|FROM |JOIN )({BOOK_TABLES}|signals)\b", r"\g<1>\g<2>2", BOOK[BOOK.index("\ncand AS") + 1 : BOOK.index(",\neq AS")], flags=re.M)
+EACH = SCORES[SCORES.index("each AS") : SCORES.index(",\nmed AS")]
+EACH2 = f"""signals2 AS (SELECT formula_id || '|' || sign AS formula_id, sym, dt, elig, signal * sign AS signal FROM signals CROSS JOIN {SIDES}),
+{BOOK2},
+each AS (SELECT fold, formula_id, "window", sign, CASE WHEN count(ic) >= 2 THEN avg(ic * sign) / (stddev_samp(ic) + 1e-9) ELSE 0 END AS icir, coalesce(avg(cost), 0) * 252 AS cost
+  FROM (SELECT ic.formula_id, s.sign, a.sess, ic.ic, d.cost FROM ic JOIN axis a USING (dt) CROSS JOIN {SIDES} LEFT JOIN daily2 d ON d.formula_id = ic.formula_id || '|' || s.sign AND d.sess = a.sess) i JOIN wins ON sess >= lo AND sess < hi GROUP BY 1, 2, 3, 4)"""
+SCORES2 = SCORES.replace(EACH, EACH2)
+
+
+def two_sided(spark, sf_dir):
+    return scores(spark, sf_dir, two_books(spark, sf_dir).select("formula_id", "sign", "sess", "cost"))
+
+
+@query("score_candidates_two_books", f"{SCORES2} SELECT fold, formula_id, sign, {V} FROM sc")
+def score_candidates_two_books(spark, sf_dir):
+    """:func:`score_candidates` with each side's own names and costs."""
+    return rounded(two_sided(spark, sf_dir), "val_reward", "val_icir")
+
+
+@query("select_candidate_two_books", f"{SCORES2} SELECT fold, formula_id, sign, eligible, {V} FROM chosen")
+def select_candidate_two_books(spark, sf_dir):
+    own = protocol.select_candidate(protocol.candidate_gates(two_sided(spark, sf_dir)))
+    return rounded(own.select("fold", "formula_id", "sign", "eligible", "val_reward", "val_icir"), "val_reward", "val_icir")
+
+
+def side_rows(spark, sf_dir, books):
+    """:func:`trial_rows` of the books of both sides."""
+    own = pf.excess(books, pf.equal_weight_benchmark(tradable(spark, sf_dir)))
+    r = F.broadcast(sound(spark, sf_dir).select("fold", "test_start", "test_end"))
+    own = own.join(r, (F.col("sess") >= F.col("test_start")) & (F.col("sess") < F.col("test_end")))
+    return own.groupBy("fold", "formula_id", "sign").agg((F.avg("net") / 100).alias("net"), (F.avg("turnover")).alias("turnover"), F.try_divide(F.avg("excess"), F.stddev_samp("excess")).alias("sharpe"))
+
+
+@query("search_rows_two_books", f"{SCORES2}, rows2 AS (SELECT formula_id, fold, avg(net) / 100 AS net, avg(net - bench) / stddev_samp(net - bench) AS sharpe FROM daily2 JOIN bench USING (sess) JOIN ranges ON NOT broken AND sess >= test_start AND sess < test_end GROUP BY 1, 2) SELECT c.fold, c.formula_id, c.sign, round(net, 6) + 0.0 AS net, round(sharpe, 6) + 0.0 AS sharpe FROM chosen c JOIN rows2 r ON r.fold = c.fold AND r.formula_id = c.formula_id || '|' || c.sign")
+def search_rows_two_books(spark, sf_dir):
+    """The selected candidates of each fold, traded out of sample on their chosen side."""
+    best = protocol.select_candidate(protocol.candidate_gates(two_sided(spark, sf_dir))).select("fold", "formula_id", "sign")
+    out = best.join(side_rows(spark, sf_dir, two_books(spark, sf_dir)), ["fold", "formula_id", "sign"])
+    return rounded(out.select("fold", "formula_id", "sign", "net", "sharpe"), "net", "sharpe")
+
+
 @query("benchmark_rows", f"{BOOK}, {RANGES} SELECT fold, count(*) AS n, round(avg(bench), 6) + 0.0 AS mean, round(stddev_samp(bench), 6) + 0.0 AS sd FROM bench JOIN ranges ON NOT broken AND sess >= test_start AND sess < test_end GROUP BY 1")
 def benchmark_rows(spark, sf_dir):
     r = F.broadcast(sound(spark, sf_dir).select("fold", "test_start", "test_end"))
