@@ -19,11 +19,19 @@ def events(spark, sf_dir):
     return st.read_files(spark, path, own.schema)
 
 
-@query("stream_bar_agg")
+def streamed_bars(spark, source):
+    """Bars of all windows, open ones too, and the number of late rows."""
+    out, schema = scratch(spark, "bars-stream"), "sym long, start timestamp, open double, high double, low double, close double, n long"
+    q = st.run_available(st.bars_from_events(source.withColumn("ts", F.col("ts").cast("timestamp"))), scratch(spark, "ck"), sink=st.upsert_into(out, ["sym", "start"], schema), mode="update")
+    last = max(p["batchId"] for p in q.recentProgress) if q.recentProgress else 0
+    return spark.read.schema(schema).parquet(f"{out}/v{last}"), st.late_rows(q)
+
+
+@query("stream_bar_agg", "SELECT user_id AS sym, strftime(ts, '%Y-%m-%d') AS start, round(arg_min(value, (ts, event_id)), 6) + 0.0 AS open, round(max(value), 6) + 0.0 AS high, round(min(value), 6) + 0.0 AS low, round(arg_max(value, (ts, event_id)), 6) + 0.0 AS close, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_bar_agg(spark, sf_dir):
-    out = scratch(spark, "bars-stream")
-    st.run_available(st.bars_from_events(events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))), scratch(spark, "ck"), path=out)
-    own = spark.read.schema("sym long, start timestamp, open double, high double, low double, close double, n long").parquet(out)
+    own, late = streamed_bars(spark, events(spark, sf_dir))
+    if late:
+        print(f"stream_bar_agg: {late} late rows dropped")
     return own.select("sym", F.date_format("start", "yyyy-MM-dd").alias("start"), *(digits(F.col(c)).alias(c) for c in ("open", "high", "low", "close")), "n")
 
 

@@ -15,7 +15,11 @@ def read_files(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 
 def bars_from_events(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
-    """``sym, start, open, high, low, close, n`` per tumbling window; windows end when the watermark passes, late rows go."""
+    """``sym, start, open, high, low, close, n`` per tumbling window; windows end when the watermark passes, late rows go.
+
+    In append mode only ended windows are written; update mode with an upsert on ``sym, start`` gives the open ones too.
+    :func:`late_rows` counts what came too late.
+    """
     at = F.struct("ts", "event_id")
     w = events.withWatermark("ts", late).groupBy(F.window("ts", width), F.col("user_id").alias("sym"))
     return w.agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count(F.lit(1)).alias("n")).select("sym", F.col("window.start").alias("start"), "open", "high", "low", "close", "n")
@@ -58,9 +62,15 @@ def gate_into(good_path: str, rejected_path: str):
     return run
 
 
-def run_available(df: DataFrame, checkpoint: str, sink=None, path: str | None = None) -> StreamingQuery:
-    """Process what is there and stop; the next run resumes from the checkpoint."""
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the run's stateful steps dropped as later than the watermark (after partial aggregation, a row per group and task)."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
+def run_available(df: DataFrame, checkpoint: str, sink=None, path: str | None = None, mode: str = "append") -> StreamingQuery:
+    """Process what is there and stop; the next run resumes from the checkpoint. ``mode`` is for a ``sink``; files are appended."""
     writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer = writer.outputMode(mode) if sink else writer
     query = writer.foreachBatch(sink).start() if sink else writer.format("parquet").option("path", path).outputMode("append").start()
     query.awaitTermination()
     return query
