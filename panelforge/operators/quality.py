@@ -35,19 +35,52 @@ def coverage(long: DataFrame) -> DataFrame:
     return long.where("elig").groupBy("factor_name").agg(F.avg((F.coalesce("value", F.lit(0.0)) != 0).cast("double")).alias("coverage"))
 
 
-def factor_corr(long: DataFrame) -> DataFrame:
+def factor_corr(long: DataFrame, names: list[str] | None = None) -> DataFrame:
     """``a, b, corr`` for a < b: the mean over dates of the absolute correlation across eligible symbols.
 
-    The join is keyed on date and symbol, so its rows are the cells times the pairs of features, whose number is fixed.
-    Undefined correlations count 0; dates with fewer than two eligible symbols or without any value but 0 are left out.
+    Sums of products are made as matrices, a date at a time over batches of symbols, so neither the pairs of features nor a date's
+    symbols multiply rows. ``names`` are the features, if known. Undefined correlations count 0; dates with fewer than two eligible
+    symbols or without any value but 0 are left out.
     """
+    import numpy as np
+    import pandas as pd
+
     own = long.where("elig").select("dt", "sym", "factor_name", F.coalesce("value", F.lit(0.0)).alias("v"))
-    live = own.groupBy("dt").agg(F.count_distinct("sym").alias("n"), F.max(F.abs("v")).alias("top")).where("n >= 2 and top > 0").select("dt")
-    own = own.join(live, "dt", "left_semi")
-    other = own.select("dt", "sym", F.col("factor_name").alias("b"), F.col("v").alias("w"))
-    pairs = own.withColumnRenamed("factor_name", "a").join(other, ["dt", "sym"]).where("a < b")
-    daily = pairs.groupBy("dt", "a", "b").agg(F.coalesce(F.abs(correlation(F.col("v"), F.col("w"))), F.lit(0.0)).alias("c"))
-    return daily.groupBy("a", "b").agg(F.avg("c").alias("corr"))
+    names = sorted(names or [r[0] for r in own.select("factor_name").distinct().collect()])
+    wide = own.groupBy("dt", "sym").agg(F.map_from_entries(F.collect_list(F.struct("factor_name", "v"))).alias("m"))  # a row holds the features
+    wide = wide.select("dt", F.array(*(F.try_element_at("m", F.lit(n)) for n in names)).alias("x")).repartition("dt").sortWithinPartitions("dt")
+    size = len(names)
+    upper = np.triu_indices(size, 1)
+
+    def sums(parts):
+        def done(dt, n, top, m):
+            if n < 2 or not top > 0 or not size > 1:
+                return None
+            both, sx, sxx, sxy = m
+            with np.errstate(divide="ignore", invalid="ignore"):
+                var = sxx - sx * sx / both  # of a, over the rows where b is too
+                cov = sxy - sx * sx.T / both
+                good = (both > 0) & (var > 1e-12) & (var.T > 1e-12)
+                c = np.where(good, np.abs(cov / np.sqrt(np.where(good, var * var.T, 1.0))), 0.0)
+            some = both[upper] > 0
+            return pd.DataFrame({"a": np.array(names, object)[upper[0]][some], "b": np.array(names, object)[upper[1]][some], "c": c[upper][some]})
+
+        now, n, top, m = None, 0, 0.0, None
+        for part in parts:
+            for dt, rows in part.groupby("dt", sort=False):
+                if dt != now:
+                    if now is not None and (out := done(now, n, top, m)) is not None:
+                        yield out
+                    now, n, top, m = dt, 0, 0.0, [np.zeros((size, size)) for _ in range(4)]
+                x = np.array(rows["x"].tolist(), float)
+                seen = ~np.isnan(x)
+                x, k = np.where(seen, x, 0.0), seen.astype(float)
+                n, top = n + len(x), max(top, float(np.abs(x).max(initial=0.0)))
+                m = [old + new for old, new in zip(m, (k.T @ k, x.T @ k, (x * x).T @ k, x.T @ x), strict=True)]
+        if now is not None and (out := done(now, n, top, m)) is not None:
+            yield out
+
+    return wide.mapInPandas(sums, "a string, b string, c double").groupBy("a", "b").agg(F.avg("c").alias("corr"))
 
 
 def corr_within_family(corr: DataFrame, family: DataFrame) -> DataFrame:

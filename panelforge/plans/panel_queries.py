@@ -370,17 +370,17 @@ def family(spark):
 
 @query("factor_corr_matrix", f"{CORR} SELECT a, b, round(corr, 6) + 0.0 AS corr FROM cm")
 def factor_corr_matrix(spark, sf_dir):
-    return quality.factor_corr(standard_factors(spark, sf_dir)).withColumn("corr", digits(F.col("corr")))
+    return quality.factor_corr(standard_factors(spark, sf_dir), CHOSEN).withColumn("corr", digits(F.col("corr")))
 
 
 @query("corr_within_family", f"{CORR} SELECT x.family, round(avg(corr), 6) + 0.0 AS corr, count(*) AS pairs FROM cm JOIN fam x ON x.factor_name = a JOIN fam y ON y.factor_name = b WHERE x.family = y.family GROUP BY 1")
 def corr_within_family(spark, sf_dir):
-    return quality.corr_within_family(quality.factor_corr(standard_factors(spark, sf_dir)), family(spark)).withColumn("corr", digits(F.col("corr")))
+    return quality.corr_within_family(quality.factor_corr(standard_factors(spark, sf_dir), CHOSEN), family(spark)).withColumn("corr", digits(F.col("corr")))
 
 
 @query("corr_top_pairs", f"{CORR} SELECT a, b, round(corr, 6) + 0.0 AS corr FROM cm ORDER BY cm.corr DESC, a, b LIMIT 3")
 def corr_top_pairs(spark, sf_dir):
-    return quality.top_pairs(quality.factor_corr(standard_factors(spark, sf_dir)), 3).withColumn("corr", digits(F.col("corr")))
+    return quality.top_pairs(quality.factor_corr(standard_factors(spark, sf_dir), CHOSEN), 3).withColumn("corr", digits(F.col("corr")))
 
 
 @query("feature_family", f"{CORR} SELECT DISTINCT factor_name, family FROM e JOIN fam USING (factor_name)")
@@ -395,8 +395,8 @@ def factor_report(spark, sf_dir):
 
 
 def flagship(spark, sf_dir):
-    """Bars to dense panel, eligibility, factors, standardisation, rank-IC and its summary."""
-    return factor_stats(spark, sf_dir)
+    """Bars to dense panel, eligibility, all factors, standardisation, rank-IC and its summary."""
+    return all_stats(spark, sf_dir, all_standard(spark, sf_dir))
 
 
 # -- fundamental and flow factors, fed from outside the bars
@@ -440,3 +440,110 @@ for _name in OUTSIDE:
     _outside(_name, 4)
 for _name in ("MARGIN_BALANCE_CHG", "INDUSTRY_MOMENTUM"):
     _outside(_name, 6)
+
+
+# -- the same over all features of the registry; the queries above answer to SQL over CHOSEN
+
+#: Registered here, not what callers add later.
+EVERY = list(lib.REGISTRY)
+
+
+def with_all_outside(spark, sf_dir):
+    """The standard panel with every ``ext_<name>``."""
+    own, reports = panel.standard(spark, sf_dir), fixtures.fundamentals(spark, sf_dir)
+    made = reports.selectExpr("sym", "report_date", "announce_date", *(f"{x} AS {n}" for n, x in LEVEL.items()))
+    index = own.groupBy("industry", "sess").agg(F.avg("close").alias("close"))
+    fed = fundamentals.asof_ffill(own, made, "announce_date", list(LEVEL))
+    fed = fundamentals.valuation(fed, reports)
+    fed = fundamentals.balance_change(fed, fixtures.margin(spark, sf_dir))
+    fed = fundamentals.industry_momentum(fed, index, fixtures.stocks(spark, sf_dir))
+    return fed.withColumnsRenamed({n: f"ext_{n}" for n in (*OUTSIDE, "MARGIN_BALANCE_CHG", "INDUSTRY_MOMENTUM")})
+
+
+def all_long(spark, sf_dir):
+    """All features, laid down once in the session's own folder: standardisation reads them four times."""
+    from panelforge.plans.table_queries import scratch
+
+    path = scratch(spark, "features")
+    lib.factors(with_all_outside(spark, sf_dir), EVERY).write.parquet(path)
+    wide = spark.read.parquet(path)
+    wide = wide.select("sym", "dt", "sess", "elig", *(F.col(n).cast("double").alias(n) for n in EVERY))
+    return wide.unpivot(["sym", "dt", "sess", "elig"], EVERY, "factor_name", "value")
+
+
+def all_standard(spark, sf_dir):
+    from panelforge.plans.table_queries import scratch
+
+    path = scratch(spark, "standard")
+    returns.winsor_robust_z(all_long(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def all_families(spark):
+    return spark.createDataFrame([(n, lib.REGISTRY[n].family) for n in EVERY], "factor_name string, family string")
+
+
+@query("factor_long_all")
+def factor_long_all(spark, sf_dir):
+    return all_long(spark, sf_dir).select("sym", "dt", "factor_name", digits(F.col("value")).alias("value"))
+
+
+@query("winsor_robust_z_all")
+def winsor_robust_z_all(spark, sf_dir):
+    return all_standard(spark, sf_dir).select("sym", "dt", "factor_name", digits(F.col("value")).alias("value"))
+
+
+@query("factor_panel_all")
+def factor_panel_all(spark, sf_dir):
+    own = all_standard(spark, sf_dir).groupBy("sym", "dt").pivot("factor_name", EVERY).agg(F.first("value"))
+    return own.select("sym", "dt", *(digits(F.col(n)).alias(n) for n in EVERY))
+
+
+@query("ablate_family_all")
+def ablate_family_all(spark, sf_dir):
+    """Each family neutral in turn."""
+    own = all_standard(spark, sf_dir).join(F.broadcast(all_families(spark)), "factor_name").groupBy("factor_name", "family").agg(F.sum(F.abs("value")).alias("total"))
+    gone = all_families(spark).select(F.col("family").alias("removed")).distinct()
+    return own.crossJoin(F.broadcast(gone)).select("removed", "factor_name", digits(F.when(F.col("family") == F.col("removed"), 0.0).otherwise(F.col("total")), 3).alias("total"))
+
+
+def all_stats(spark, sf_dir, own):
+    fwd = panel.standard(spark, sf_dir).select("sym", "dt", returns.open_to_open().alias("fwd"))
+    own = own.join(fwd, ["sym", "dt"]).select(F.col("factor_name").alias("formula_id"), "sym", "dt", "elig", F.round("value", 9).alias("signal"), "fwd")
+    return quality.ic_stats(quality.rank_ic(own, MIN_STOCKS)).select("formula_id", digits(F.col("ic_mean")).alias("ic_mean"), digits(F.col("ic_abs_mean")).alias("ic_abs_mean"), digits(F.col("icir"), 5).alias("icir"), "n_dates")
+
+
+@query("ic_stats_all")
+def ic_stats_all(spark, sf_dir):
+    return all_stats(spark, sf_dir, all_standard(spark, sf_dir)).withColumnRenamed("formula_id", "factor_name")
+
+
+@query("coverage_all")
+def coverage_all(spark, sf_dir):
+    return quality.coverage(all_standard(spark, sf_dir)).withColumn("coverage", digits(F.col("coverage")))
+
+
+@query("factor_corr_matrix_all")
+def factor_corr_matrix_all(spark, sf_dir):
+    return quality.factor_corr(all_standard(spark, sf_dir), EVERY).withColumn("corr", digits(F.col("corr")))
+
+
+@query("corr_within_family_all")
+def corr_within_family_all(spark, sf_dir):
+    return quality.corr_within_family(quality.factor_corr(all_standard(spark, sf_dir), EVERY), all_families(spark)).withColumn("corr", digits(F.col("corr")))
+
+
+@query("corr_top_pairs_all")
+def corr_top_pairs_all(spark, sf_dir):
+    return quality.top_pairs(quality.factor_corr(all_standard(spark, sf_dir), EVERY)).withColumn("corr", digits(F.col("corr")))
+
+
+@query("feature_family_all")
+def feature_family_all(spark, sf_dir):
+    return all_families(spark)
+
+
+@query("factor_report_all")
+def factor_report_all(spark, sf_dir):
+    own = all_standard(spark, sf_dir)
+    return quality.factor_report(quality.coverage(own).withColumn("coverage", digits(F.col("coverage"))), all_stats(spark, sf_dir, own), all_families(spark))
