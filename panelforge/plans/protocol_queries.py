@@ -12,7 +12,7 @@ from panelforge.functions.numeric import digits
 from panelforge.operators import panel, protocol, quality, returns
 from panelforge.operators import portfolio as pf
 from panelforge.plans.formula_queries import FORMULAS, inputs
-from panelforge.plans.panel_queries import CHOSEN, MIN_STOCKS, axis, scored, standard_factors
+from panelforge.plans.panel_queries import EVERY, MIN_STOCKS, all_standard, axis, scored, standard_factors
 from panelforge.plans.portfolio_queries import BOOK, daily, rounded, tradable, two_books
 from panelforge.plans.base_sql import BARS
 from panelforge.plans.registry import query
@@ -164,7 +164,7 @@ def side_rows(spark, sf_dir, books):
     own = pf.excess(books, pf.equal_weight_benchmark(tradable(spark, sf_dir)))
     r = F.broadcast(sound(spark, sf_dir).select("fold", "test_start", "test_end"))
     own = own.join(r, (F.col("sess") >= F.col("test_start")) & (F.col("sess") < F.col("test_end")))
-    return own.groupBy("fold", "formula_id", "sign").agg((F.avg("net") / 100).alias("net"), (F.avg("turnover")).alias("turnover"), F.try_divide(F.avg("excess"), F.stddev_samp("excess")).alias("sharpe"))
+    return own.groupBy("fold", "formula_id", "sign").agg(*((F.avg(c) / 100).alias(c) for c in ("gross", "cost", "net")), F.avg("turnover").alias("turnover"), F.try_divide(F.avg("excess"), F.stddev_samp("excess")).alias("sharpe"))
 
 
 @query("search_rows_two_books", f"{SCORES2}, rows2 AS (SELECT formula_id, fold, avg(net) / 100 AS net, avg(net - bench) / stddev_samp(net - bench) AS sharpe FROM daily2 JOIN bench USING (sess) JOIN ranges ON NOT broken AND sess >= test_start AND sess < test_end GROUP BY 1, 2) SELECT c.fold, c.formula_id, c.sign, round(net, 6) + 0.0 AS net, round(sharpe, 6) + 0.0 AS sharpe FROM chosen c JOIN rows2 r ON r.fold = c.fold AND r.formula_id = c.formula_id || '|' || c.sign")
@@ -182,15 +182,38 @@ def benchmark_rows(spark, sf_dir):
     return rounded(own.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("bench").alias("mean"), F.stddev_samp("bench").alias("sd")), "mean", "sd")
 
 
+def scored_signals(spark, sf_dir, own, penalty=None):
+    """Gated scores of any candidates' signals (``formula_id, sym, dt, elig, signal``) and the books of both their sides.
+
+    A signal without spread in the training range is rejected.
+    """
+    from panelforge.plans.table_queries import scratch
+
+    own = own.withColumn("signal", F.round("signal", 9))
+    fwd = panel.standard(spark, sf_dir).select("sym", "dt", returns.open_to_open().alias("fwd"))
+    when = F.broadcast(axis(spark, sf_dir))
+    ics = quality.rank_ic(own.join(fwd, ["sym", "dt"]), MIN_STOCKS).join(when, "dt").select("formula_id", "sess", "ic")
+    path = scratch(spark, "books")
+    two_books(spark, sf_dir, own).write.parquet(path)
+    books = spark.read.parquet(path)
+    made = protocol.score_candidates(ics, books.select("formula_id", "sign", "sess", "cost"), protocol.validation_windows(sound(spark, sf_dir)), penalty=penalty)
+    train = own.where("elig").join(when, "dt").join(F.broadcast(sound(spark, sf_dir)), F.col("sess") < F.col("train_end"))
+    flat = train.groupBy("fold", "formula_id").agg(F.coalesce(F.stddev_pop("signal") < 1e-4, F.lit(True)).alias("flat"))
+    gated = protocol.candidate_gates(made).join(flat, ["fold", "formula_id"], "left")
+    gated = gated.withColumn("reasons", F.when(F.col("flat"), F.array_append("reasons", F.lit("constant signal"))).otherwise(F.col("reasons")))
+    return gated.withColumn("eligible", F.size("reasons") == 0).drop("flat"), books, ics
+
+
 @query("baseline_rows")
 def baseline_rows(spark, sf_dir):
-    """Single factors in the direction that training shows, per fold: their test coefficient."""
-    fwd = panel.standard(spark, sf_dir).select("sym", "dt", returns.open_to_open().alias("fwd"))
-    own = standard_factors(spark, sf_dir).join(fwd, ["sym", "dt"]).select(F.col("factor_name").alias("formula_id"), "sym", "dt", "elig", F.col("value").alias("signal"), "fwd")
-    ics = quality.rank_ic(own, MIN_STOCKS).join(F.broadcast(axis(spark, sf_dir)), "dt").crossJoin(F.broadcast(sound(spark, sf_dir)))
-    side = F.when(F.avg(F.when(F.col("sess") < F.col("train_end"), F.col("ic"))) >= 0, 1).otherwise(-1)
-    test = F.avg(F.when((F.col("sess") >= F.col("test_start")) & (F.col("sess") < F.col("test_end")), F.col("ic")))
-    return ics.groupBy("fold", "formula_id").agg(side.alias("direction"), digits(side * test).alias("test_ic"))
+    """Every single factor, scored like any candidate on the validation windows and traded out of sample in its learned direction."""
+    own = all_standard(spark, sf_dir).select(F.col("factor_name").alias("formula_id"), "sym", "dt", "elig", F.col("value").alias("signal"))
+    made, books, ics = scored_signals(spark, sf_dir, own, {n: 0.02 for n in EVERY})
+    r = F.broadcast(sound(spark, sf_dir).select("fold", "test_start", "test_end"))
+    test = ics.join(r, (F.col("sess") >= F.col("test_start")) & (F.col("sess") < F.col("test_end"))).groupBy("fold", "formula_id").agg(F.avg("ic").alias("test_ic"))
+    out = made.join(side_rows(spark, sf_dir, books), ["fold", "formula_id", "sign"], "left").join(test, ["fold", "formula_id"], "left")
+    out = out.select("fold", "formula_id", F.col("sign").alias("direction"), "val_reward", "val_icir", "eligible", F.array_join("reasons", ",").alias("reasons"), (F.col("sign") * F.col("test_ic")).alias("test_ic"), "gross", "cost", "net", "turnover", "sharpe")
+    return rounded(out, "val_reward", "val_icir", "test_ic", "gross", "cost", "net", "turnover", "sharpe")
 
 
 AGG = "count(*) AS n, median(v) AS median, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75, min(v) AS low, max(v) AS high"
@@ -260,18 +283,31 @@ def merge_prior_trials(spark, sf_dir):
     return both.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), digits(F.sum("net"), 5).alias("net"))
 
 
+def ablated(candidates, families):
+    """The candidate table crossed with the families: ``removed|name`` to tokens in which the family's features are neutral."""
+    return {f"{gone}|{k}": ["NEUTRAL" if t in EVERY and lib.REGISTRY[t].family == gone else t for t in tokens] for gone in ["none", *families] for k, tokens in candidates.items()}
+
+
 @query("family_ablation")
 def family_ablation(spark, sf_dir):
-    """Loss of mean coefficient of an equal-weight blend when a family of features is made neutral."""
-    fwd = panel.standard(spark, sf_dir).select("sym", "dt", returns.open_to_open().alias("fwd"))
-    long = standard_factors(spark, sf_dir).join(fwd, ["sym", "dt"])
-    families = sorted({lib.REGISTRY[n].family for n in CHOSEN})
-    fam = F.create_map(*[x for n in CHOSEN for x in (F.lit(n), F.lit(lib.REGISTRY[n].family))])
-    own = long.withColumn("removed", F.explode(F.array(F.lit("none"), *map(F.lit, families)))).withColumn("value", F.when(fam[F.col("factor_name")] == F.col("removed"), 0.0).otherwise(F.col("value")))
-    blend = own.groupBy(F.col("removed").alias("formula_id"), "sym", "dt").agg(F.avg("value").alias("signal"), F.first("fwd").alias("fwd"), F.first("elig").alias("elig"))
-    stats = quality.ic_stats(quality.rank_ic(blend, MIN_STOCKS))
-    base = F.broadcast(stats.where("formula_id = 'none'").select(F.col("ic_mean").alias("base")))
-    return stats.crossJoin(base).where("formula_id <> 'none'").select(F.col("formula_id").alias("family"), digits(F.col("base") - F.col("ic_mean")).alias("loss"))
+    """Per fold, family and candidate: the loss of validation reward when the family's features are made neutral.
+
+    The table of candidates holds the sum of each two neighbouring families' first features.
+    """
+    from panelforge.plans.table_queries import scratch
+
+    families = sorted({lib.REGISTRY[n].family for n in EVERY})
+    first = [next(n for n in EVERY if lib.REGISTRY[n].family == f) for f in families]
+    candidates = {f"{a}+{b}": [a, b, "ADD"] for a, b in zip(first, first[1:] + first[:1], strict=True)}
+    path = scratch(spark, "wide")
+    all_standard(spark, sf_dir).where(F.col("factor_name").isin(first)).groupBy("sym", "dt", "sess", "elig").pivot("factor_name", first).agg(F.first("value")).write.parquet(path)
+    wide = spark.read.parquet(path).join(panel.standard(spark, sf_dir).select("sym", "dt", "industry"), ["sym", "dt"]).withColumn("NEUTRAL", F.lit(0.0))
+    own = formula.formula_signal(wide, ablated(candidates, families), [*first, "NEUTRAL"]).select("formula_id", "sym", "dt", "elig", "signal")
+    made, _, _ = scored_signals(spark, sf_dir, own)
+    made = made.select("fold", F.substring_index("formula_id", "|", 1).alias("family"), F.substring_index("formula_id", "|", -1).alias("candidate"), "val_reward", "val_icir", "eligible")
+    base = made.where("family = 'none'").select("fold", "candidate", F.col("val_reward").alias("base"), F.col("eligible").alias("was"))
+    out = made.where("family <> 'none'").join(base, ["fold", "candidate"]).withColumn("loss", F.col("base") - F.col("val_reward"))
+    return rounded(out.select("fold", "family", "candidate", "val_reward", "val_icir", "was", "eligible", "loss"), "val_reward", "val_icir", "loss")
 
 
 @query("custom_score")
