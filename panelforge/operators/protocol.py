@@ -161,34 +161,44 @@ def deflated_sharpe(moments: DataFrame) -> DataFrame:
 def max_t_bootstrap(series: DataFrame, permutations: int = 5000, block: int = 10, seed: int = 0) -> DataFrame:
     """``observed, p_value, n_perms, n_trials``: the largest t of all trials against circular block resamples.
 
-    Every permutation is a row with a seed of its own, dealt over the cluster; trials are few series of a calendar's length.
+    A trial is a row with its series, as long as the calendar; trials meet stretches of permutations, each pair with a seed of its
+    own, and the largest t of a permutation is an aggregate. The driver sees four numbers.
     """
     import numpy as np
 
-    spark = series.sparkSession
+    spark, stretch = series.sparkSession, 100
     own = series.groupBy("candidate", "fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("sess", "excess"))), lambda x: x["excess"]).alias("x")).where(F.size("x") >= 2)
-    trials = [np.array(r["x"], float) for r in own.orderBy("candidate", "fold").collect()]
-    if not trials:
+    own = own.select(F.xxhash64("candidate", "fold").alias("key"), F.transform("x", lambda v: v.cast("double")).alias("x"))
+
+    def scaled(x):
+        x = np.array(x, float)
+        return x - x.mean(), max(float(x.std(ddof=1)), 1e-12), float(x.mean())
+
+    def t_of(parts):
+        for part in parts:
+            made = [(len(x), *scaled(x)[1:]) for x in part.x]
+            yield pd.DataFrame({"n": [n for n, _, _ in made], "t": [math.sqrt(n) * m / s if s > 1e-12 else 0.0 for n, s, m in made]})
+
+    seen = own.mapInPandas(t_of, "n long, t double").agg(F.count(F.lit(1)).alias("n_trials"), F.min("n").alias("least"), F.max("t").alias("observed")).first()
+    if not seen["n_trials"]:
         return spark.createDataFrame([], "observed double, p_value double, n_perms long, n_trials int")
-    sd = [max(float(x.std(ddof=1)), 1e-12) for x in trials]
-    observed = max(math.sqrt(len(x)) * float(x.mean()) / s if s > 1e-12 else 0.0 for x, s in zip(trials, sd, strict=True))
-    width = min(max(block, 1), min(map(len, trials)))
-    shared = spark.sparkContext.broadcast([(x - x.mean(), s) for x, s in zip(trials, sd, strict=True)])
+    observed, width = seen["observed"], min(max(block, 1), seen["least"])
 
     def run(parts):
         for part in parts:
-            out = []
-            for k in part.id:
-                rng, top = np.random.default_rng([seed, int(k)]), -math.inf
-                for x, s in shared.value:
-                    starts = rng.integers(0, len(x), -(-len(x) // width))
+            top = {}
+            for key, first, x in zip(part.key, part["first"], part.x, strict=True):
+                x, s, _ = scaled(x)
+                for k in range(first, min(first + stretch, permutations)):
+                    starts = np.random.default_rng([seed, k, key % 2**64]).integers(0, len(x), -(-len(x) // width))
                     draw = x[(starts[:, None] + np.arange(width)).ravel()[: len(x)] % len(x)]
-                    top = max(top, math.sqrt(len(x)) * float(draw.mean()) / s)
-                out.append(top)
-            yield pd.DataFrame({"top": out})
+                    top[k] = max(top.get(k, -math.inf), math.sqrt(len(x)) * float(draw.mean()) / s)
+            yield pd.DataFrame({"id": list(top), "top": list(top.values())}).astype({"id": "int64", "top": "float64"})
 
-    draws = spark.range(permutations).mapInPandas(run, "top double")
-    return draws.agg(F.lit(observed).alias("observed"), ((F.count(F.when(F.col("top") >= observed, 1)) + 1) / (permutations + 1)).alias("p_value"), F.count(F.lit(1)).alias("n_perms"), F.lit(len(trials)).alias("n_trials"))
+    stretches = F.broadcast(spark.range(0, permutations, stretch).withColumnRenamed("id", "first"))
+    pairs = own.crossJoin(stretches).repartition("first", "key")
+    draws = pairs.mapInPandas(run, "id long, top double").groupBy("id").agg(F.max("top").alias("top"))
+    return draws.agg(F.lit(observed).alias("observed"), ((F.count(F.when(F.col("top") >= observed, 1)) + 1) / (permutations + 1)).alias("p_value"), F.count(F.lit(1)).alias("n_perms"), F.lit(seen["n_trials"]).cast("int").alias("n_trials"))
 
 
 def merge_prior_trials(current: DataFrame, prior: DataFrame) -> DataFrame:

@@ -65,23 +65,49 @@ def holdings_value(holdings: DataFrame, prices: DataFrame) -> DataFrame:
     return holdings.join(last, "sym", "left").select("sym", (F.col("quantity") * F.coalesce("price", F.lit(0.0))).alias("value"))
 
 
-def avg_cost(trades: DataFrame) -> DataFrame:
+def in_blocks(trades: DataFrame, blocks: int = 256) -> DataFrame:
+    """Adds ``block``: consecutive stretches of a symbol's trades by ``seq``, so that no symbol is one group.
+
+    Edges are a keyed sample of the rows themselves, in number about ``blocks`` over all symbols, so a symbol has them by its rows.
+    """
+    share = max(1, trades.count() // blocks)
+    edge = F.pmod(F.xxhash64("sym", F.to_json(F.struct("seq"))), F.lit(share)) == 0
+    edges = trades.where(edge).groupBy("sym").agg(F.collect_set("seq").alias("edges"))
+    own = trades.join(F.broadcast(edges), "sym", "left")
+    return own.withColumn("block", F.coalesce(F.size(F.filter("edges", lambda e: e <= F.col("seq"))), F.lit(0))).drop("edges")
+
+
+def avg_cost(trades: DataFrame, blocks: int = 256) -> DataFrame:
     """``sym, quantity, avg_cost`` after all trades in order of ``seq``: purchases re-weigh, sales keep, a full exit resets.
 
-    The fold runs over one symbol's trades.
+    A quantity held is a running sum kept from falling below 0: the sum less its minimum. A trade then maps the cost linearly,
+    and a block's maps make one; products run from the last trade that forgets the cost before it. All sums are within blocks.
     """
-    start = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("c"))
-
-    def step(acc: Column, t: Column) -> Column:
-        bought = acc["q"] + t["quantity"]
-        left = F.greatest(acc["q"] - t["quantity"], F.lit(0.0))
-        buy = F.struct(bought.alias("q"), F.try_divide(acc["q"] * acc["c"] + t["quantity"] * t["price"], bought).alias("c"))
-        sell = F.struct(left.alias("q"), F.when(left > 0, acc["c"]).otherwise(0.0).alias("c"))
-        return F.when(t["side"] == "buy", buy).otherwise(sell)
-
-    own = trades.groupBy("sym").agg(F.array_sort(F.collect_list(F.struct("seq", "side", "quantity", "price"))).alias("t"))
-    done = own.select("sym", F.aggregate("t", start, step).alias("r"))
-    return done.select("sym", F.col("r.q").alias("quantity"), F.col("r.c").alias("avg_cost"))
+    change = F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity")).cast("double")
+    own = in_blocks(trades.select("sym", "seq", "side", "quantity", "price"), blocks).withColumn("d", change)
+    order = Window.partitionBy("sym", "block").orderBy("seq", "side", "quantity", "price")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("s", F.sum("d").over(running))
+    each = own.groupBy("sym", "block").agg(F.sum("d").alias("total"), F.min("s").alias("low"))
+    before = Window.partitionBy("sym").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # blocks, not trades
+    each = each.withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    each = each.withColumn("held", F.col("start") - F.least(F.lit(0.0), F.coalesce(F.min(F.col("start") + F.col("low")).over(before), F.lit(0.0))))
+    ends = each.groupBy("sym").agg(F.max_by(F.greatest(F.col("held") + F.col("total"), F.col("total") - F.col("low")), "block").alias("quantity"))
+    own = own.withColumn("m", F.min("s").over(running)).join(each.select("sym", "block", "held"), ["sym", "block"])
+    own = own.withColumn("after", F.greatest(F.col("held") + F.col("s"), F.col("s") - F.col("m")))
+    own = own.withColumn("had", F.coalesce(F.lag("after").over(order), F.col("held")))
+    buys, bought = F.col("side") == "buy", F.col("had") + F.col("quantity")
+    keep = F.when(buys, F.when(bought > 0, F.col("had") / bought).otherwise(1.0)).when(F.col("after") > 0, 1.0).otherwise(0.0)
+    add = F.when(buys & (bought > 0), F.col("quantity") * F.col("price") / bought).otherwise(0.0)
+    own = own.select("sym", "block", "seq", "side", "quantity", "price", keep.alias("keep"), add.alias("add"))
+    # over the later trades of the block: how many forget, and the logarithm of what the others keep
+    later = Window.partitionBy("sym", "block").orderBy(F.desc("seq"), F.desc("side"), F.desc("quantity"), F.desc("price")).rowsBetween(Window.unboundedPreceding, -1)
+    forgets, kept = (F.col("keep") == 0).cast("int"), F.log(F.when(F.col("keep") > 0, F.col("keep")).otherwise(1.0))
+    own = own.withColumn("f", F.coalesce(F.sum(forgets).over(later), F.lit(0))).withColumn("l", F.coalesce(F.sum(kept).over(later), F.lit(0.0)))
+    maps = own.groupBy("sym", "block").agg(F.when(F.max(forgets) > 0, 0.0).otherwise(F.exp(F.sum(kept))).alias("keep"), F.sum(F.when(F.col("f") == 0, F.col("add") * F.exp("l")).otherwise(0.0)).alias("add"))
+    parts = maps.groupBy("sym").agg(F.array_sort(F.collect_list(F.struct("block", "keep", "add"))).alias("t"))  # blocks, not trades
+    done = parts.select("sym", F.aggregate("t", F.lit(0.0), lambda c, x: c * x["keep"] + x["add"]).alias("avg_cost"))
+    return done.join(ends, "sym").select("sym", "quantity", F.when(F.col("quantity") > 0, F.col("avg_cost")).otherwise(0.0).alias("avg_cost"))
 
 
 def sellable_qty(trades: DataFrame) -> DataFrame:
