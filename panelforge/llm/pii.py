@@ -5,7 +5,7 @@ surrogates of the same type and shape: digits become digits and letters letters
 original has them; card numbers keep their network digit and a right check digit stays right; names come from lists by gender
 and script. All spellings of an entity share one canonical form and so one surrogate, across all documents. Surrogates are
 checked over the whole corpus: if two entities get the same one, or a surrogate is itself an entity of the corpus, the later
-entity draws again, until all are distinct.
+entity draws again, until all are distinct. Mails that clash several times get a longer local part.
 """
 
 from __future__ import annotations
@@ -85,7 +85,9 @@ def pick(words: str, digest: Column, at: int) -> Column:
 def surrogate(kind: Column, form: Column, key: str, attempt: Column) -> Column:
     """The surrogate's canonical form."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, form, attempt.cast("string")).cast("binary"), 256)
-    mail = F.concat(like(F.substring_index(form, "@", 1), digest), F.lit("@"), like(F.regexp_extract(form, r"@(.+)\.[a-z]+$", 1), F.reverse(digest)), F.lit(".example"))
+    # short mails have few surrogates of their shape: draws from the fourth on append letters, more of them from time to time
+    wider = F.when(attempt > 3, like(F.repeat(F.lit("a"), F.least(F.lit(24), 4 + (attempt / 8).cast("int"))), F.sha2(digest.cast("binary"), 256))).otherwise("")
+    mail = F.concat(like(F.substring_index(form, "@", 1), digest), wider, F.lit("@"), like(F.regexp_extract(form, r"@(.+)\.[a-z]+$", 1), F.reverse(digest)), F.lit(".example"))
     octet = lambda k: (F.conv(F.substring(digest, 1 + 4 * k, 4), 16, 10).cast("int") % 254 + 1).cast("string")
     address = F.concat_ws(".", *(octet(k) for k in range(4)))
     card = like(form, digest, 1)
