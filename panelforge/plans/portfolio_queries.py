@@ -10,7 +10,7 @@ from panelforge.operators import portfolio as pf
 from panelforge.plans.base_sql import PANEL
 from panelforge.plans.formula_queries import signals
 from panelforge.plans.panel_queries import MIN_STOCKS, SCORED, TRADE, axis, scored
-from panelforge.plans.registry import query
+from panelforge.plans.registry import SQL, query
 from panelforge.sources import fixtures
 
 N = 5
@@ -185,8 +185,21 @@ def reward_val_median(spark, sf_dir):
     return rounded(validation(spark, sf_dir), "val_reward", "val_icir")
 
 
-def validation(spark, sf_dir):
-    wins = F.broadcast(spark.createDataFrame([(0, 40, 50), (1, 50, 60), (2, 60, 70), (3, 70, 81)], "win int, lo int, hi int"))
+DERIVED = """tw AS (SELECT count(*)::INT - 2 AS train_end FROM axis), wn AS (SELECT train_end, greatest(3, floor(train_end * 0.35))::INT AS n FROM tw), wk AS (SELECT *, CASE WHEN n // 4 >= 3 THEN 4 ELSE 1 END AS k FROM wn),
+wi AS (SELECT w::INT AS win, (train_end - n + (n * w // k))::INT AS lo, (train_end - n + (n * (w + 1) // k))::INT AS hi FROM wk, unnest(generate_series(0, k - 1)) t(w))"""
+
+
+@query("reward_val_median_derived", SQL["reward_val_median"].replace(WINDOWS, DERIVED))
+def reward_val_median_derived(spark, sf_dir):
+    """:func:`reward_val_median` over windows derived from the calendar, however long it is."""
+    own = axis(spark, sf_dir)
+    training = protocol.training_window(own, F.lit("9999-12-31").cast("date")).withColumn("fold", F.lit(0))
+    wins = protocol.validation_windows(training).select(F.col("window").alias("win"), "lo", "hi")
+    return rounded(validation(spark, sf_dir, F.broadcast(wins)), "val_reward", "val_icir")
+
+
+def validation(spark, sf_dir, wins=None):
+    wins = wins or F.broadcast(spark.createDataFrame([(0, 40, 50), (1, 50, 60), (2, 60, 70), (3, 70, 81)], "win int, lo int, hi int"))
     inside = (F.col("sess") >= F.col("lo")) & (F.col("sess") < F.col("hi"))
     ics = quality.rank_ic(scored(spark, sf_dir), MIN_STOCKS).join(F.broadcast(axis(spark, sf_dir)), "dt").join(wins, inside)
     icir = ics.groupBy("formula_id", "win").agg(F.when(F.count("ic") >= 2, F.avg("ic") / (F.stddev_samp("ic") + 1e-9)).otherwise(0.0).alias("icir"))
