@@ -1,6 +1,10 @@
 """Corpus operators where a part used to be left out."""
 
-from panelforge.llm import pii
+import string
+
+import numpy as np
+
+from panelforge.llm import pii, secret_scan
 from pyspark.sql import functions as F
 
 
@@ -12,3 +16,13 @@ def test_more_short_mails_than_their_shape_has(spark):
     got = pii.distinct_surrogates(t, "k").collect()
     made = {r.made for r in got}
     assert len(got) == len(made) == 900 and not made & {f for f, in forms} and all(m.endswith(".example") for m in made)
+
+
+def test_tokens_without_digits_are_tested(spark):
+    """Random letters are spans; lines, words and repeated digits are dismissed."""
+    rng = np.random.default_rng(5)
+    tokens = ["".join(rng.choice(list(string.ascii_letters), 40)) for _ in range(40)]
+    plain = ["-" * 40, "_" * 33, "ha" * 20, "0" * 40, "antidisestablishmentarianism" * 2, "1111122222" * 4] * 10
+    rows = [(k, t) for k, t in enumerate(tokens + plain)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[k] == "random:0:40" for k in range(40)) >= 36 and not any("random" in got[k] for k in range(40, len(rows)))  # zeros are a hex span
