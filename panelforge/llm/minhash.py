@@ -22,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import batches, docs_text, sent_if_few, stage
+from panelforge.llm.common import batches, claim, discard, docs_text, joined, sent_if_few, stage
 from panelforge.llm.components import components
 from panelforge.llm.embed_dedup import spanning
-from panelforge.llm.shingles import mix, shingle_set
+from panelforge.llm.shingles import forget, mix, shingle_set
 
 SIZE = 128
 BIN_BITS, ROUND_BITS = 7, 9
@@ -96,7 +96,7 @@ def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int
     return left[p], right[q]
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: int = 6, block: int = 512, block_shingles: int = 1 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: int = 6, block: int = 512, block_shingles: int = 1 << 20, meet_rows: int = 256) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: documents are linked at a similarity of ``percent`` / 100 or more.
 
     Sets hold the distinct shingles of ``words`` words of the whole text, A to Z in lower case; a text of fewer words is one
@@ -109,6 +109,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: in
     n_bands = SIZE // rows
 
     def signatures(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles", forget)
         for part in batches(parts):
             n, same, keys = [], [], []
             for text in part.column("text").to_pylist():
@@ -127,28 +128,33 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, rows: in
     able = signed.where("n_shingles > 0 and doc_id is not null")
     # equal sets have equal 128-bit digests: one class, named after its smallest id
     kind = ["same", "n_shingles"]
-    classes = stage(able.groupBy(*kind).agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep")), "classes")
-    copies = able.join(classes.select(*kind, "rep"), kind).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    classes = stage(able.groupBy(*kind).agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    copies = joined(able.select("doc_id", *kind), classes.where("n > 1").select(*kind, "rep", "n"), kind, "n").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     entries = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    buckets = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"), F.min("rep").alias("head")).where("n > 1")
-    members = stage(entries.drop("n_shingles").join(buckets, ["band", "key"]), "buckets")
-    stars = members.where("rep <> head").select("rep", "head").distinct()
+    buckets = stage(entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"), F.min("rep").alias("head")).where("n > 1"), "heads")
+    members = stage(joined(entries.drop("n_shingles"), buckets, ["band", "key"], "n"), "buckets")
+    discard(buckets)
+    # a head's set goes to as many groups as it takes to keep each small
+    stars = members.where("rep <> head").groupBy("rep", "head").agg(F.ceil(F.max("n") / meet_rows).cast("int").alias("groups"))
+    heads = stars.groupBy("head").agg(F.max("groups").alias("groups")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    stars = stars.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int")).drop("groups")
     # full sets of all members, made once
     wanted = sent_if_few(stage(members.select(F.col("rep").alias("doc_id")).distinct(), "members"))
 
     def full(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles", forget)
         for part in batches(parts):
             sets = [shingle_set(t, words).view(np.int64) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
 
     chosen = texts.join(wanted, "doc_id", "left_semi")
     sets = stage(chosen.mapInArrow(full, "rep long, shingles array<long>").groupBy("rep").agg(F.min("shingles").alias("shingles")), "sets")
-    both = stars.join(sets, "rep").join(sets.select(F.col("rep").alias("head"), F.col("shingles").alias("other")), "head")
+    both = stars.join(sets, "rep").join(heads.join(sets.select(F.col("rep").alias("head"), F.col("shingles").alias("other")), "head"), ["head", "salt"])
     meet = F.size(F.array_intersect("shingles", "other"))
     checked = stage(both.select("rep", "head", (100 * meet >= percent * (F.size("shingles") + F.size("other") - meet)).alias("linked")), "stars")
     # buckets with a member that is not linked to the head are compared in full
-    open_buckets = members.join(checked.where("not linked").select("rep", "head"), ["rep", "head"]).select("band", "key").distinct()
-    rest = members.join(open_buckets, ["band", "key"]).where("n > 2").withColumn("blocks", F.ceil(F.greatest(F.col("n") / block, F.col("total") / block_shingles)).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    open_buckets = stage(members.join(checked.where("not linked").select("rep", "head"), ["rep", "head"]).groupBy("band", "key").agg(F.max("n").alias("rows")), "open")
+    rest = joined(members, open_buckets, ["band", "key"], "rows").where("n > 2").withColumn("blocks", F.ceil(F.greatest(F.col("n") / block, F.col("total") / block_shingles)).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bi", F.least("b", "other")).withColumn("bj", F.greatest("b", "other"))
     rest = rest.select("band", "key", "bi", "bj", "b", "rep").join(sets, "rep")
 
