@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from panelforge.llm import ann, bpe, components, embed_dedup, minhash, packing, pii, secret_scan, substring, token_count, toxicity
+from panelforge.llm import ann, bpe, common, components, embed_dedup, minhash, packing, pii, secret_scan, substring, token_count, toxicity
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, rank int, label string, component_id long, bands string"
@@ -138,9 +138,17 @@ def test_nearest_and_links(spark):
 
 
 def test_components(spark):
-    edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5000)]
+    edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 4000)] + [(5000, 5000)] + [(6000 + 2 * k, 6001 + 2 * k) for k in range(600)]
     got = {r.id: r.component_id for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {k: 0 for k in range(201)} | {k: 1000 for k in range(1000, 1100)}
+    assert got == {k: 0 for k in range(201)} | {k: 1000 for k in range(1000, 4000)} | {k: k - k % 2 for k in range(6000, 7200)}
+
+
+def test_heavy_keys_meet_without_a_shuffle(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id")
+    few = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"))
+    got = common.joined(rows, few, ["k"], "n")
+    assert got.count() == 20_000 and got.where("k = -1 and low <> 0 or k <> -1 and low <> id").isEmpty()
+    assert common.joined(rows.limit(0), few.limit(0), ["k"], "n").isEmpty()
 
 
 @pytest.fixture(scope="module")
@@ -215,24 +223,69 @@ def test_sketch_estimates_similarity():
     assert (minhash.sketch(np.array([5], np.uint64)) < np.iinfo(np.uint64).max).all()
 
 
-def test_substring(spark, copies):
+def plain_repeats(rows):
+    """``n_words, n_removed, sha`` and the removed words of each document, by a table of all windows."""
     first, want = {}, {}
-    for i, t in sorted((x for x in copies if x[0] is not None), key=lambda x: x[0]):
+    for i, t in sorted((x for x in rows if x[0] is not None), key=lambda x: x[0]):
         w = (t or "").encode().split()
         gone = np.zeros(len(w), bool)
         for k in range(len(w) - 49):
             key = tuple(w[k : k + 50])
             if first.setdefault(key, i) < i:
                 gone[k : k + 50] = True
-        want[i] = len(w), int(gone.sum()), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()
+        want[i] = len(w), int(gone.sum()), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest(), gone
+    return want
+
+
+def test_substring(spark, copies):
+    want = plain_repeats(copies)
     got = substring.kept_digests(table(spark, copies)).collect()
     assert len(got) == len(copies) and any(0 < v[1] < v[0] for v in want.values())
-    assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got if r.doc_id is not None)
+    assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id][:3] for r in got if r.doc_id is not None)
     assert all(r.n_removed == 0 for r in got if r.doc_id is None)
-    texts = substring.without_repeats(table(spark, copies))
-    assert texts.columns == table(spark, copies).columns
+    texts = substring.without_repeats(table(spark, copies).withColumn("plan", F.lit(3)).withColumn("_plan", F.lit(4)))
+    assert texts.columns == [*table(spark, copies).columns, "plan", "_plan"]
     assert all(hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest() == want[r.doc_id][2] for r in texts.collect() if r.doc_id is not None)
     assert substring.kept_digests(table(spark, copies).limit(0)).count() == 0
+    spans = defaultdict(list)
+    for r in substring.maximal_repeats(table(spark, copies)).collect():
+        spans[r.doc_id].append((r.start, r.end))
+    for i, (n, _, _, gone) in want.items():
+        turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
+        assert sorted(spans[i]) == list(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True))
+
+
+def few_hashes(words):
+    """Word hashes that collide at every turn."""
+    return np.array([len(w) % 3 for w in words], np.uint64)
+
+
+def test_substring_decides_on_words(spark, copies, monkeypatch):
+    """Seeds only propose: with three hash values for all words the result is the same. Shared frames with other words inside do not match."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    rng = np.random.default_rng(12)
+    frame = [f"f{x}" for x in range(200)]
+    rows = [x for x in copies if x[0] is not None and x[0] not in (309,)]
+    for k in range(400, 430):  # one word of the frame differs: anchors are shared, windows only in part
+        own = list(frame)
+        own[int(rng.integers(60, 140))] = f"f{rng.integers(0, 99)}"
+        rows.append((k, " ".join(own)))
+    rows.append((400, " ".join(frame[:150])))
+    want = plain_repeats(rows)
+    monkeypatch.setattr(substring, "word_hashes", few_hashes)
+    modules = [substring, sys.modules[__name__]]
+    for m in modules:
+        cloudpickle.register_pickle_by_value(m)
+    try:
+        got = substring.kept_digests(table(spark, rows)).collect()
+    finally:
+        for m in modules:
+            cloudpickle.unregister_pickle_by_value(m)
+    twice = {3, 400}
+    assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id][:3] for r in got if r.doc_id not in twice)
 
 
 def test_pii(spark):
