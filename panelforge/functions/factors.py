@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from panelforge.functions.numeric import by_session, finite, is_close, ratio, trailing
 
@@ -34,13 +35,17 @@ REGISTRY: dict[str, Factor] = {}
 ALIASES = {"RET_20": "MOMENTUM_20"}
 
 
-def register_factor(name: str, family: str, needs: str, build: Callable[[], Column]) -> None:
-    """Add a factor: its name, family, the panel columns it needs and a function that gives its column."""
-    if name in REGISTRY:
+def register_factor(name: str, family: str, needs: str, build: Callable[[], Column], registry: dict[str, Factor] | None = None) -> None:
+    """Add a factor: its name, family, the panel columns it needs and a function that gives its column.
+
+    It goes to ``registry``, a table of the caller's own, or to the library's.
+    """
+    registry = REGISTRY if registry is None else registry
+    if name in registry:
         raise ValueError(f"factor {name} exists")
     if not callable(build):
         raise TypeError("build has to be callable")
-    REGISTRY[name] = Factor(name, family, tuple(needs.split()), build)
+    registry[name] = Factor(name, family, tuple(needs.split()), build)
 
 
 def c(name: str) -> Column:
@@ -150,12 +155,12 @@ def ewm(x: pd.Series, alpha: float, least: int = 1) -> pd.Series:
 def with_ewm(panel: DataFrame) -> DataFrame:
     """Adds ``_RSI_14, _ATR_14, _MACD_DIF, _MACD_DEA``: recursive means, one pass per symbol.
 
-    A group holds one symbol's sessions, whose number is that of the calendar.
+    A group holds one symbol's sessions, whose number is that of the calendar. It returns its rows whole, so nothing is joined back.
     """
-    schema = "sym long, sess int, _RSI_14 double, _ATR_14 double, _MACD_DIF double, _MACD_DEA double"
+    made = StructType([*panel.schema.fields, *(StructField(f"_{n}", DoubleType()) for n in EWM)])
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("sess")
+        own = own.sort_values("sess", ignore_index=True)
         close = own.close.astype(float)
         move = close.diff()
         up, down = ewm(move.clip(lower=0).fillna(0.0), 1 / 14, 14), ewm((-move).clip(lower=0).fillna(0.0), 1 / 14, 14)
@@ -164,10 +169,9 @@ def with_ewm(panel: DataFrame) -> DataFrame:
         filled = close.ffill()
         dif = ewm(filled, 2 / 13) - ewm(filled, 2 / 27)
         total = up + down
-        return pd.DataFrame({"sym": own.sym, "sess": own.sess, "_RSI_14": (100 * up / total).where(total > 0), "_ATR_14": ewm(reach, 1 / 14, 14), "_MACD_DIF": dif, "_MACD_DEA": ewm(dif, 2 / 10)})
+        return own.assign(**{"_RSI_14": (100 * up / total).where(total > 0), "_ATR_14": ewm(reach, 1 / 14), "_MACD_DIF": dif, "_MACD_DEA": ewm(dif, 2 / 10)})
 
-    made = panel.select("sym", "sess", "close", "high", "low", "pre_close").groupBy("sym").applyInPandas(run, schema)
-    return panel.join(made, ["sym", "sess"], "left")
+    return panel.groupBy("sym").applyInPandas(run, made)
 
 
 def prepared(panel: DataFrame, names: list[str]) -> DataFrame:
@@ -176,18 +180,22 @@ def prepared(panel: DataFrame, names: list[str]) -> DataFrame:
     sealed = is_close(c("close"), c("high")) & is_close(c("close"), c("low"))
     flag = lambda cond: F.coalesce(cond, F.lit(False)).cast("double")
     touched = (c("high") >= c("pre_close") * (1 + rate) - 1e-9) & ~(move >= rate - 0.005)
-    own = panel.withColumns({"r": ratio(c("close"), back("close", 1)), "lv": F.log1p(F.greatest("volume", F.lit(0.0))), "up": flag(sealed & (move >= rate - 0.005)), "down": flag(sealed & (move <= -rate + 0.005)), "broke": flag(touched), "r5": ratio(c("close"), back("close", 5)), "r20": ratio(c("close"), back("close", 20))})
+    own = panel.withColumns({"r": ratio(c("close"), back("close", 1)), "lv": F.when(c("volume").isNotNull(), F.log1p(F.greatest("volume", F.lit(0.0)))), "up": flag(sealed & (move >= rate - 0.005)), "down": flag(sealed & (move <= -rate + 0.005)), "broke": flag(touched), "r5": ratio(c("close"), back("close", 5)), "r20": ratio(c("close"), back("close", 20))})
     own = own.withColumns({"illiq": F.try_divide(F.abs("r"), "amount"), "v20": F.stddev_samp("r").over(trailing(20)), "island": F.sum(1 - c("up")).over(all_before())})
     if MARKET & set(names):
         own = own.withColumn("mkt", F.coalesce(F.avg(F.when(c("elig"), c("r"))).over(Window.partitionBy("dt")), F.lit(0.0)))
     return with_ewm(own) if set(EWM) & set(names) else own
 
 
-def factors(panel: DataFrame, names: list[str]) -> DataFrame:
-    """``sym, dt, sess, elig, industry`` and one column per factor; external features come as ``ext_<name>`` or are NULL."""
+def factors(panel: DataFrame, names: list[str], registry: dict[str, Factor] | None = None) -> DataFrame:
+    """``sym, dt, sess, elig, industry`` and one column per factor; external features come as ``ext_<name>`` or are NULL.
+
+    Names are looked up in ``registry``, by default the library's.
+    """
+    registry = REGISTRY if registry is None else registry
     names = [ALIASES.get(n, n) for n in names]
-    if unknown := [n for n in names if n not in REGISTRY]:
+    if unknown := [n for n in names if n not in registry]:
         raise KeyError(f"unknown factors: {unknown}")
-    absent = [f"ext_{n}" for n in names if f"ext_{n}" in REGISTRY[n].needs and f"ext_{n}" not in panel.columns]
+    absent = [f"ext_{n}" for n in names if f"ext_{n}" in registry[n].needs and f"ext_{n}" not in panel.columns]
     panel = panel.withColumns({x: F.lit(None).cast("double") for x in absent}) if absent else panel
-    return prepared(panel, names).select("sym", "dt", "sess", "elig", "industry", *(finite(REGISTRY[n].build()).alias(n) for n in names))
+    return prepared(panel, names).select("sym", "dt", "sess", "elig", "industry", *(finite(registry[n].build()).alias(n) for n in names))

@@ -26,13 +26,17 @@ class Operator:
 OPERATORS: dict[str, Operator] = {}
 
 
-def register_operator(name: str, arity: int, axis: str, build: Callable[..., Column]) -> None:
-    """Add an operator. ``build`` takes ``arity`` column names and gives a column."""
-    if name in OPERATORS:
+def register_operator(name: str, arity: int, axis: str, build: Callable[..., Column], operators: dict[str, Operator] | None = None) -> None:
+    """Add an operator. ``build`` takes ``arity`` column names and gives a column.
+
+    It goes to ``operators``, a table of the caller's own, or to the library's.
+    """
+    operators = OPERATORS if operators is None else operators
+    if name in operators:
         raise ValueError(f"operator {name} exists")
     if axis not in ("row", "ts", "cs"):
         raise ValueError(f"unknown axis {axis}")
-    OPERATORS[name] = Operator(name, arity, axis, build)
+    operators[name] = Operator(name, arity, axis, build)
 
 
 def c(x: str) -> Column:
@@ -125,12 +129,12 @@ def _register_all() -> None:
 _register_all()
 
 
-def depth(tokens: list[str], features: set[str]) -> int | None:
+def depth(tokens: list[str], features: set[str], operators: dict[str, Operator] | None = None) -> int | None:
     """How many values a postfix formula leaves; None if it is malformed."""
-    n = 0
+    n, operators = 0, OPERATORS if operators is None else operators
     for t in tokens:
-        if t in OPERATORS:
-            n -= OPERATORS[t].arity - 1
+        if t in operators:
+            n -= operators[t].arity - 1
             if n < 1:
                 return None
         elif t in features:
@@ -140,25 +144,26 @@ def depth(tokens: list[str], features: set[str]) -> int | None:
     return n
 
 
-def formula_signal(panel: DataFrame, formulas: dict[str, list[str]], features: list[str]) -> DataFrame:
+def formula_signal(panel: DataFrame, formulas: dict[str, list[str]], features: list[str], operators: dict[str, Operator] | None = None) -> DataFrame:
     """``formula_id, sym, dt, sess, elig, signal``: formulas over feature columns, ending in a cross-section z-score.
 
     Steps of all formulas are grouped: those that are ready and share an axis are made together, so the panel is exchanged by
     symbol and by session as seldom as the formulas allow. Equal steps are made once. Malformed formulas give no rows.
     """
+    operators = OPERATORS if operators is None else operators
     steps: dict[tuple, str] = {}
     ends: dict[str, str] = {}
     level: dict[str, int] = {f: 0 for f in features}
     plan: dict[tuple[int, str], dict[str, Column]] = {}
     for name, tokens in formulas.items():
-        if depth(tokens, set(features)) != 1:
+        if depth(tokens, set(features), operators) != 1:
             continue
         stack: list[str] = []
         for t in [*tokens, "CS_ZSCORE"]:
-            if t not in OPERATORS:
+            if t not in operators:
                 stack.append(t)
                 continue
-            op = OPERATORS[t]
+            op = operators[t]
             args = tuple(stack[len(stack) - op.arity :])
             del stack[len(stack) - op.arity :]
             if (t, args) not in steps:
@@ -193,9 +198,12 @@ def formula_remap(stored: DataFrame, vocabulary: DataFrame, aliases: DataFrame,
     return good.select("formula_id", F.transform("t", lambda t: t["token"]).alias("tokens")), lost
 
 
-def random_formulas(spark, n: int, features: list[str], longest: int = 12, seed: int = 1) -> DataFrame:
-    """``tokens``: distinct valid postfix formulas drawn at random, each from a seed of its own row."""
-    arity = {k: o.arity for k, o in OPERATORS.items()}
+def random_formulas(seeds: DataFrame, features: list[str], longest: int = 12, seed: int = 1, operators: dict[str, Operator] | None = None) -> DataFrame:
+    """``tokens``: distinct valid postfix formulas, one drawn for each row of ``seeds`` (``id``) from that id and ``seed``.
+
+    What is drawn depends on the arguments alone, whatever else is registered.
+    """
+    arity = {k: o.arity for k, o in (OPERATORS if operators is None else operators).items()}
 
     def draw(parts):
         import random
@@ -222,4 +230,4 @@ def random_formulas(spark, n: int, features: list[str], longest: int = 12, seed:
                 out.append(tokens)
             yield pd.DataFrame({"tokens": out})
 
-    return spark.range(n).mapInPandas(draw, "tokens array<string>").dropDuplicates(["tokens"])
+    return seeds.select("id").mapInPandas(draw, "tokens array<string>").dropDuplicates(["tokens"])

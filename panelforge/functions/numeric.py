@@ -41,7 +41,7 @@ def pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Co
 
 
 def average_rank(partition: list[str], value: str) -> Column:
-    """Ranks from 1; ties share their mean."""
-    first = F.rank().over(Window.partitionBy(*partition).orderBy(value))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*partition, value))
-    return first + (ties - 1) / 2
+    """Ranks from 1; ties share their mean. Both counts use one order, so one exchange and one sort serve them."""
+    w = Window.partitionBy(*partition).orderBy(value)
+    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.rank().over(w) + (ties - 1) / 2

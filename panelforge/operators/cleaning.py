@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# fixed values: exchange prefixes of stocks, and symbols that look like stocks but are indices
-PREFIXES = {"SH": ["600", "601", "603", "605", "688", "689"], "SZ": ["000", "001", "002", "003", "300", "301"], "BJ": ["430", "830", "831", "832", "833", "834", "835", "836", "837", "838", "839", "870", "871", "872", "873", "920"]}
-INDEX_SYMBOLS = ["000001.SH", "000016.SH", "000300.SH", "000688.SH", "000852.SH", "000905.SH", "399001.SZ", "399005.SZ", "399006.SZ", "399300.SZ", "399905.SZ"]
+# fixed values: exchange prefixes of stocks, and codes that look like stocks but are indices, whatever exchange is named
+PREFIXES = {
+    "SH": ["600", "601", "603", "605", "688", "689"],
+    "SZ": ["000", "001", "002", "003", "300", "301"],
+    "BJ": ["430", "830", "831", "832", "833", "834", "835", "836", "837", "838", "839", "870", "871", "872", "873", "874", "875", "876", "877", "878", "879", "920"],
+}
+INDEX_CODES = ["000016", "000300", "000688", "000852", "000902", "000903", "000904", "000905", "000906", "000907", "000922"]
+
+
+#: Ways to write a date beside eight digits; month before day where both are numbers.
+DATE_PATTERNS = ["yyyy-M-d[ H:m[:s]]", "yyyy-M-d'T'H:m[:s]", "yyyy/M/d[ H:m[:s]]", "yyyy.M.d[ H:m[:s]]", "yyyyMMdd H:m[:s]", "M/d/yyyy[ H:m[:s]]", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy-M"]
 
 
 def numeric(x: Column) -> Column:
@@ -17,23 +25,33 @@ def numeric(x: Column) -> Column:
 
 
 def valid_symbol(symbol: Column) -> Column:
-    prefix, suffix = F.substring(symbol, 1, 3), F.substring_index(symbol, ".", -1)
+    """Whether it is a stock's code with its exchange; blanks around it do not matter."""
+    symbol = F.trim(symbol)
+    prefix, suffix = F.substring(symbol, 1, 3), F.substring(symbol, 8, 10)
     known = F.lit(False)
     for exchange, own in PREFIXES.items():
         known = known | ((suffix == exchange) & prefix.isin(own))
-    return F.coalesce(symbol.rlike(r"^[0-9]{6}\.(SH|SZ|BJ)$") & known & ~symbol.isin(INDEX_SYMBOLS), F.lit(False))
+    return F.coalesce(symbol.rlike(r"^[0-9]{6}\.(SH|SZ|BJ)$") & known & ~F.substring(symbol, 1, 6).isin(INDEX_CODES), F.lit(False))
 
 
 def map_symbol(code: Column) -> Column:
-    """A bare six-digit code with its exchange by the first digit; others stay."""
-    bare, first = code.rlike("^[0-9]{6}$"), F.substring(code, 1, 1)
-    return F.when(~bare, code).when(first.isin("6", "5"), F.concat(code, F.lit(".SH"))).when(first.isin("0", "1", "2", "3"), F.concat(code, F.lit(".SZ"))).when(first.isin("4", "8", "9"), F.concat(code, F.lit(".BJ"))).otherwise(code)
+    """A bare code with the exchange that its first character stands for; a code with a point stays."""
+    code = F.trim(code)
+    first = F.substring(code, 1, 1)
+    exchange = F.when(first.isin("6", "9"), ".SH").when(first.isin("4", "8"), ".BJ").otherwise(".SZ")
+    return F.when(code.contains("."), code).otherwise(F.concat(code, exchange))
 
 
 def clean_date(text: Column) -> Column:
-    """A date from yyyyMMdd or yyyy-MM-dd (a time may follow); NULL, never a guess, for the rest."""
+    """A date from eight digits, with or without dashes or slashes, or from another usual way to write one, a time behind it or not.
+
+    NULL for the rest: nothing is made up.
+    """
     t = F.trim(text)
-    return F.coalesce(F.try_to_date(F.when(t.rlike("^[0-9]{8}$"), t), "yyyyMMdd"), F.try_to_date(F.when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.substring(t, 1, 10)), "yyyy-MM-dd"))
+    compact = F.regexp_replace(t, "[-/]", "")
+    eight = compact.rlike("^[0-9]{8}$")
+    other = [F.try_to_timestamp(t, F.lit(p)).cast("date") for p in DATE_PATTERNS]
+    return F.when(eight, F.try_to_date(F.when(eight, compact), "yyyyMMdd")).otherwise(F.coalesce(*other))
 
 
 def keep_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -44,24 +62,32 @@ def keep_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
 def normalize_bars(raw: DataFrame) -> DataFrame:
     """Bars fit for a panel, from columns of any type plus ``seq`` (ingestion order).
 
-    Prices must be positive; the last duplicate counts. A missing ``pre_close`` is the close before it, or the open;
-    volume and amount default to 0; ``adj_factor`` is carried forward, then back, within its symbol.
+    Prices must be positive; the last duplicate counts. ``pre_close``, if the feed has it, is carried forward from the symbol's
+    last one; a feed without it has the close before. What is still missing is the open. Volume and amount default to 0;
+    ``adj_factor`` is carried forward, then back, within its symbol.
     """
     prices, rest = ["open", "high", "low", "close"], ["pre_close", "volume", "amount", "turnover_rate", "adj_factor"]
+    fed = "pre_close" in raw.columns
+    raw = raw if fed else raw.withColumn("pre_close", F.lit(None).cast("double"))
     own = raw.withColumns({c: numeric(F.col(c)) for c in prices + rest})
     own = own.where(F.col("dt").isNotNull() & (F.col("open") > 0) & (F.col("high") > 0) & (F.col("low") > 0) & (F.col("close") > 0))
     own = keep_last(own, ["sym", "dt"], "seq")
     w = Window.partitionBy("sym").orderBy("dt")
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     zero = F.lit(0.0)
-    return own.withColumns({"pre_close": F.coalesce("pre_close", F.lag("close").over(w), "open"), "volume": F.coalesce("volume", zero), "amount": F.coalesce("amount", zero), "adj_factor": F.coalesce(F.last("adj_factor", True).over(before), F.first("adj_factor", True).over(after))})
+    return own.withColumns({"pre_close": F.coalesce(F.last("pre_close", True).over(before) if fed else F.lag("close").over(w), "open"), "volume": F.coalesce("volume", zero), "amount": F.coalesce("amount", zero), "adj_factor": F.coalesce(F.last("adj_factor", True).over(before), F.first("adj_factor", True).over(after))})
 
 
 def clean_stock_metadata(raw: DataFrame) -> DataFrame:
-    """``sym, name, is_st``: valid symbols, the last duplicate; the flag is read from the name where it is missing."""
+    """``sym, name, industry, list_date, is_st``: valid symbols, the last duplicate; columns that are not there are missing.
+
+    The flag is read from the name where it is missing; listing dates are read by :func:`clean_date`.
+    """
+    absent = [c for c in ("name", "industry", "list_date") if c not in raw.columns]
+    raw = raw.withColumns({c: F.lit(None).cast("string") for c in absent} | ({} if "is_st" in raw.columns else {"is_st": F.lit(None).cast("boolean")}))
     own = keep_last(raw.where(valid_symbol(F.col("sym"))), ["sym"], "seq")
     name = F.coalesce("name", F.lit(""))
-    return own.select("sym", name.alias("name"), F.coalesce("is_st", F.upper(name).contains("ST")).alias("is_st"))
+    return own.select("sym", name.alias("name"), "industry", clean_date(F.col("list_date").cast("string")).alias("list_date"), F.coalesce("is_st", F.upper(name).contains("ST")).alias("is_st"))
 
 
 def merge_stock_details(base: DataFrame, details: DataFrame) -> DataFrame:
@@ -113,6 +139,16 @@ def attach_announce_date(supplement: DataFrame, earnings: DataFrame) -> DataFram
     return supplement.join(earnings.select("sym", "report_date", "announce_date").distinct(), ["sym", "report_date"])
 
 
+def first_at_or_after(rows: DataFrame, axis: DataFrame, date: str) -> DataFrame:
+    """``rows`` with ``idx``, the first session not before ``date``, or the number of sessions; NULL for no date.
+
+    The calendar is one sorted array, sent to every task; a session is found by its place in it.
+    """
+    days = axis.agg(F.sort_array(F.collect_list("dt")).alias("_days"))
+    place = F.size(F.filter("_days", lambda x: x < F.col(date)))
+    return rows.crossJoin(F.broadcast(days)).withColumn("idx", F.when(F.col(date).isNotNull(), place.cast("int"))).drop("_days")
+
+
 def quarter_ends(spans: DataFrame) -> DataFrame:
     """``quarter_end`` for each quarter that ends within (``first``, ``last``)."""
     months = F.explode(F.sequence(F.trunc("first", "quarter"), F.col("last"), F.expr("interval 3 months")))
@@ -121,9 +157,7 @@ def quarter_ends(spans: DataFrame) -> DataFrame:
 
 def date_index(axis: DataFrame, dates: DataFrame) -> DataFrame:
     """``d, idx``: the first session not before each date, at least 1, and the number of sessions past the end."""
-    n = axis.agg(F.count(F.lit(1)).cast("int").alias("n"))
-    found = dates.join(F.broadcast(axis), F.col("dt") >= F.col("d"), "left").groupBy("d").agg(F.min("sess").alias("s"))
-    return found.crossJoin(F.broadcast(n)).select("d", F.greatest(F.coalesce("s", "n"), F.lit(1)).alias("idx"))
+    return first_at_or_after(dates.select("d").distinct(), axis, "d").select("d", F.greatest("idx", F.lit(1)).alias("idx"))
 
 
 def universe_pick(constituents: DataFrame, listed: DataFrame, limit: int | None = None) -> DataFrame:

@@ -5,32 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.functions.numeric import finite
 
 def asof_ffill(cells: DataFrame, events: DataFrame, at: str, values: list[str], tie: str = "report_date") -> DataFrame:
     """``cells`` (``sym, dt, ...``) with the latest ``values`` whose date ``at`` is not after ``dt``.
 
-    Events are laid between the cells of their symbol and carried forward; each value skips its own NULLs. Events of one date
+    Events are laid between the cells of their symbol and carried forward; each value skips its own NULLs and NaN. Events of one date
     are taken in the order of ``tie``, so the later report wins. One exchange on ``sym`` serves all values.
     """
     own = cells.select(*cells.columns, F.lit(1).alias("_cell"), F.lit(None).cast("date").alias("_tie"), *(F.lit(None).cast("double").alias(f"_{v}") for v in values))
-    news = events.where(F.col(at).isNotNull()).select("sym", F.col(at).alias("dt"), F.lit(0).alias("_cell"), F.col(tie).alias("_tie"), *(F.col(v).cast("double").alias(f"_{v}") for v in values))
+    news = events.where(F.col(at).isNotNull()).select("sym", F.col(at).alias("dt"), F.lit(0).alias("_cell"), F.col(tie).alias("_tie"), *(finite(F.col(v).cast("double")).alias(f"_{v}") for v in values))
     w = Window.partitionBy("sym").orderBy("dt", "_cell", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     both = own.unionByName(news, allowMissingColumns=True)
     return both.withColumns({v: F.last(f"_{v}", ignorenulls=True).over(w) for v in values}).where("_cell = 1").drop("_cell", "_tie", *(f"_{v}" for v in values))
 
 
 def ytd_to_single(reports: DataFrame, cum: str, single: str) -> DataFrame:
-    """Adds the period's own amount: the cumulative one less the one before it in the same fiscal year."""
-    w = Window.partitionBy("sym", F.year("report_date")).orderBy("report_date")
-    return reports.where(F.col(cum).isNotNull()).withColumn(single, F.col(cum) - F.coalesce(F.lag(cum).over(w), F.lit(0.0)))
+    """Adds the period's own amount: the cumulative one less the last one known before it in the same fiscal year.
+
+    Reports without the cumulative amount (NULL or NaN) stay and have none.
+    """
+    known = F.when(~F.isnan(F.col(cum).cast("double")), F.col(cum))
+    before = Window.partitionBy("sym", F.year("report_date")).orderBy("report_date").rowsBetween(Window.unboundedPreceding, -1)
+    return reports.withColumn(single, known - F.coalesce(F.last(known, ignorenulls=True).over(before), F.lit(0.0)))
 
 
 def ttm4(reports: DataFrame, single: str, out: str) -> DataFrame:
-    """Adds the sum of four trailing periods, NULL unless they span 265 to 285 days."""
-    order = Window.partitionBy("sym").orderBy("report_date")
-    w = order.rowsBetween(-3, 0)
-    days = F.datediff("report_date", F.lag("report_date", 3).over(order))
-    return reports.withColumn(out, F.when((F.count(single).over(w) == 4) & days.between(265, 285), F.sum(single).over(w)))
+    """Adds the sum of the last four periods that are known, NULL unless they span 265 to 285 days.
+
+    Each series counts its own periods: a report without this amount neither takes a place nor gets a sum.
+    """
+    has = F.col(single).isNotNull()
+    w = Window.partitionBy("sym", has).orderBy("report_date")
+    days = F.datediff("report_date", F.lag("report_date", 3).over(w))
+    return reports.withColumn(out, F.when(has & days.between(265, 285), F.sum(single).over(w.rowsBetween(-3, 0))))
 
 
 def trailing_reports(reports: DataFrame) -> DataFrame:

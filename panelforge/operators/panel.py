@@ -1,20 +1,43 @@
-"""The standard panel of a data set: bars on the session axis with eligibility, industry and margin balance."""
+"""The standard panel of a data set: bars on the session axis with eligibility, industry and price band."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.operators import universe
+from panelforge.operators import returns, universe
 from panelforge.sources import fixtures
 
 MIN_LISTED = 3
 
 
-def standard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``sym, dt, sess``, bar columns, ``industry, list_date, age, reasons, elig``."""
-    bars, stocks = fixtures.bars(spark, sf_dir), fixtures.stocks(spark, sf_dir)
-    axis = universe.session_axis(fixtures.calendar(spark, sf_dir))
+def derive(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFrame:
+    """``sym, dt, sess``, bar columns, ``industry, list_date, age, reasons, elig, rate``, from the tables."""
+    bars, stocks = fixtures.bars(spark, sf_dir, daily), fixtures.stocks(spark, sf_dir, daily)
+    axis = universe.session_axis(fixtures.calendar(spark, sf_dir, daily))
     panel = universe.dense_panel(stocks, bars, axis)
-    own = universe.reasons(panel, stocks, fixtures.constituents(spark, sf_dir), axis, MIN_LISTED)
-    return own.join(stocks.select("sym", "industry"), "sym", "left").withColumn("rate", F.lit(0.1))
+    own = universe.reasons(panel, stocks, fixtures.constituents(spark, sf_dir, daily), axis, MIN_LISTED)
+    return own.join(stocks.select("sym", "industry", returns.limit_rate(F.col("ticker")).cast("double").alias("rate")), "sym", "left")
+
+
+#: Panel tables by application, data set and grain.
+_written: dict[tuple[str, str, bool], str] = {}
+
+
+def standard(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFrame:
+    """:func:`derive`, written once a session under its warehouse, which executors share, and read by all that need a panel.
+
+    The table is that of the first call; :func:`forget` has it derived anew when the inputs have changed.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, daily)
+    if key not in _written:
+        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/panel-{uuid.uuid4().hex}"
+        derive(spark, sf_dir, daily).write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
+def forget() -> None:
+    _written.clear()

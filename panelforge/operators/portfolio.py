@@ -50,7 +50,7 @@ def selectable(signals: DataFrame, panel: DataFrame) -> DataFrame:
     """
     w = by_session()
     flags = panel.select("sym", "dt", "sess", "fwd", F.lead("elig", 1).over(w).alias("_e"), F.lead("blocked_buy", 1).over(w).alias("_b"), F.lead("blocked_sell", 1).over(w).alias("sell_blocked"))
-    own = signals.where("elig and signal is not null").select("formula_id", "sym", "dt", F.round("signal", 9).alias("signal"))
+    own = signals.where("elig and signal is not null").select("formula_id", "sym", "dt", "signal")
     return own.join(flags, ["sym", "dt"]).where("_e and not _b").drop("_e", "_b")
 
 
@@ -134,9 +134,9 @@ def curve(daily: DataFrame) -> DataFrame:
 
 
 def perf_metrics(curves: DataFrame) -> DataFrame:
-    """Per candidate: total, annual, volatility, Sharpe over 2 %, largest drawdown, Calmar, mean turnover."""
+    """Per candidate: total, annual, volatility (the sample's), Sharpe over 2 %, largest drawdown, Calmar, mean turnover."""
     n = F.count(F.lit(1)).cast("double")
-    own = curves.groupBy("formula_id").agg(n.alias("n"), (F.max_by("equity", "sess") - 1).alias("total"), (F.coalesce(F.stddev_pop("net"), F.lit(0.0)) * YEAR**0.5).alias("vol"), F.max("drawdown").alias("max_drawdown"), F.avg("turnover").alias("turnover"))
+    own = curves.groupBy("formula_id").agg(n.alias("n"), (F.max_by("equity", "sess") - 1).alias("total"), (F.coalesce(F.stddev_samp("net"), F.lit(0.0)) * YEAR**0.5).alias("vol"), F.max("drawdown").alias("max_drawdown"), F.avg("turnover").alias("turnover"))
     own = own.withColumn("annual", F.pow(1 + F.col("total"), YEAR / F.col("n")) - 1)
     return own.withColumn("sharpe", F.try_divide(F.col("annual") - 0.02, F.col("vol") + 1e-9)).withColumn("calmar", F.try_divide("annual", F.col("max_drawdown") + 1e-9))
 

@@ -10,8 +10,6 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
 EULER = 0.5772156649015329
 
 
@@ -45,13 +43,19 @@ def fold_issues(folds: DataFrame) -> DataFrame:
 
 
 def validation_windows(ranges: DataFrame, fraction: float = 0.35, splits: int = 4, least: int = 3) -> DataFrame:
-    """``fold, window, lo, hi``: the tail of each training range in disjoint windows, or in one if they get too short."""
-    size = F.greatest(F.lit(least), F.floor((F.col("train_end") - F.col("train_start")) * fraction)).cast("int")
-    own = ranges.withColumn("_n", size).withColumn("_k", F.when((F.col("_n") / splits).cast("int") >= least, splits).otherwise(1))
+    """``fold, window, lo, hi``: the tail of each training range in disjoint windows, or in one if they get too short.
+
+    The tail begins at the rounded share of the range (halves to the even number) and keeps two sessions at least; ranges of two
+    sessions or less are their own tail. All windows are equally long but the last, which has the rest.
+    """
+    n = F.col("train_end") - F.col("train_start")
+    begin = F.when(n <= 2, 0).otherwise(F.greatest(F.lit(1), F.least(F.rint(n * (1.0 - min(max(fraction, 0.0), 0.5))).cast("int"), n - 2)))
+    own = ranges.withColumn("_s", F.col("train_start") + begin).withColumn("_n", F.col("train_end") - F.col("_s"))
+    own = own.withColumn("_k", F.when(F.col("_n") < splits * least, 1).otherwise(splits)).withColumn("_each", F.floor(F.col("_n") / F.col("_k")).cast("int"))
     own = own.withColumn("window", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    start = F.col("train_end") - F.col("_n")
-    edge = lambda k: (start + (F.col("_n") * k / F.col("_k")).cast("int")).cast("int")
-    return own.select("fold", "window", edge(F.col("window")).alias("lo"), edge(F.col("window") + 1).alias("hi"))
+    lo = F.col("_s") + F.col("window") * F.col("_each")
+    hi = F.when(F.col("window") == F.col("_k") - 1, F.col("train_end")).otherwise(lo + F.col("_each"))
+    return own.select("fold", "window", lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
 
 def fold_slice(panel: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -68,12 +72,13 @@ def mirrored(signals: DataFrame) -> DataFrame:
     return own.withColumn("formula_id", F.struct("formula_id", "sign")).drop("sign")
 
 
-def score_candidates(ics: DataFrame, costs: DataFrame, windows: DataFrame, weight: float = 1.0, penalty: dict[str, float] | None = None) -> DataFrame:
-    """``fold, formula_id, sign, val_reward, val_icir``: each candidate in its better direction.
+def score_candidates(ics: DataFrame, costs: DataFrame, windows: DataFrame, weight: float = 1.0, penalty: dict[str, float] | None = None, flat: DataFrame | None = None) -> DataFrame:
+    """``fold, formula_id, sign, val_reward, val_icir, flat``: each candidate in its better direction.
 
     ``ics``: ``formula_id, sess, ic``; ``costs``: ``formula_id, sign, sess, cost`` from the books of both sides (:func:`mirrored`);
     ``windows``: :func:`validation_windows`. The mirrored signal has mirrored coefficients and its own book's cost. Costs without
-    ``sign`` hold for both sides. Better is the higher reward, then ICIR, then the plain sign.
+    ``sign`` hold for both sides. Better is the higher reward, then ICIR, then the plain sign. Candidates of ``flat``
+    (:func:`flat_signals`) have no scores.
     """
     own = ics.join(F.broadcast(windows), (F.col("sess") >= F.col("lo")) & (F.col("sess") < F.col("hi")))
     own = own.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("ic", F.col("ic") * F.col("sign"))
@@ -88,13 +93,29 @@ def score_candidates(ics: DataFrame, costs: DataFrame, windows: DataFrame, weigh
         each = each.withColumn("reward", F.col("reward") - cut)
     both = each.groupBy("fold", "formula_id", "sign").agg(F.median("reward").alias("val_reward"), F.median("icir").alias("val_icir"))
     best = Window.partitionBy("fold", "formula_id").orderBy(F.desc("val_reward"), F.desc("val_icir"), F.desc("sign"))
-    return both.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
+    own = both.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
+    if flat is None:
+        return own.withColumn("flat", F.lit(False))
+    own = own.join(F.broadcast(flat.select("fold", "formula_id").withColumn("flat", F.lit(True))), ["fold", "formula_id"], "left").withColumn("flat", F.coalesce("flat", F.lit(False)))
+    return own.withColumns({"sign": F.when(F.col("flat"), 1).otherwise(F.col("sign"))} | {c: F.when(~F.col("flat"), F.col(c)) for c in ("val_reward", "val_icir")})
+
+
+def flat_signals(signals: DataFrame, axis: DataFrame, ranges: DataFrame, least: float = 1e-4) -> DataFrame:
+    """``fold, formula_id`` of signals that are (nearly) constant over the eligible cells of the fold's training range, or have none.
+
+    One row a candidate and fold: few.
+    """
+    own = signals.where("elig and signal is not null").join(F.broadcast(axis.select("dt", F.col("sess").alias("_sess"))), "dt")
+    r = F.broadcast(ranges.select("fold", "train_start", "train_end"))
+    seen = own.join(r, (F.col("_sess") >= F.col("train_start")) & (F.col("_sess") < F.col("train_end"))).groupBy("fold", "formula_id").agg((F.stddev_pop("signal") >= least).alias("moves"))
+    every = signals.select("formula_id").distinct().crossJoin(F.broadcast(ranges.select("fold")))
+    return every.join(seen.where("moves"), ["fold", "formula_id"], "left_anti")
 
 
 def candidate_gates(scored: DataFrame, min_reward: float = 0.0, min_icir: float = 0.05) -> DataFrame:
     """Adds ``reasons`` against a candidate and ``eligible``."""
     bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    reasons = F.array_compact(F.array(F.when(bad("val_reward"), F.lit("reward undefined")).when(F.col("val_reward") < min_reward, F.lit("reward low")), F.when(bad("val_icir"), F.lit("icir undefined")).when(F.col("val_icir") < min_icir, F.lit("icir low"))))
+    reasons = F.when(F.col("flat"), F.array(F.lit("constant signal"))).otherwise(F.array_compact(F.array(F.when(bad("val_reward"), F.lit("reward undefined")).when(F.col("val_reward") < min_reward, F.lit("reward low")), F.when(bad("val_icir"), F.lit("icir undefined")).when(F.col("val_icir") < min_icir, F.lit("icir low")))))
     return scored.withColumn("reasons", reasons).withColumn("eligible", F.size("reasons") == 0)
 
 
@@ -125,16 +146,48 @@ def trial_moments(series: DataFrame) -> DataFrame:
     return own.select("candidate", "fold", F.when(flat, 0.0).otherwise(F.try_divide("m", "s")).alias("sr"), F.when(flat, 0.0).otherwise(F.col("g") * F.pow(shrink, F.lit(1.5))).alias("skew"), F.when(flat, 3.0).otherwise((F.col("k") + 3) * shrink * shrink).alias("kurt"), "t")
 
 
-@F.pandas_udf(DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))), na_action="ignore").astype(float)
+# fixed values: Hart's rational form of the normal tail, and Acklam's of its inverse
+HART_TOP = [3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
+HART_BOTTOM = [8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
+ACKLAM_A = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+ACKLAM_B = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
+ACKLAM_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+ACKLAM_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
+
+
+def poly(coefficients: list[float], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for k in coefficients[1:]:
+        out = out * x + k
+    return out
+
+
+def normal_tail(a: Column) -> Column:
+    """The chance of more than ``a`` >= 0: a rational form, a continued fraction far out."""
+    fraction = a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))
+    return F.exp(-a * a / 2) * F.when(a < 7.07106781186547, poly(HART_TOP, a) / poly(HART_BOTTOM, a)).otherwise(1 / fraction / 2.506628274631)
+
+
+def normal_cdf(x: Column) -> Column:
+    """The normal distribution, as a column, to about fifteen digits."""
+    tail = normal_tail(F.abs(x))
+    return F.when(x > 0, 1 - tail).otherwise(tail)
+
 
+def normal_ppf(p: Column) -> Column:
+    """The inverse of :func:`normal_cdf`, NULL outside 0 to 1: a rational form and one step towards the true value."""
+    low = F.least(p, 1 - p)
+    q, r = F.sqrt(-2 * F.log(low)), p - 0.5
+    outer = poly(ACKLAM_C, q) / poly(ACKLAM_D, q)
+    x = F.when(low < 0.02425, F.when(p < 0.5, outer).otherwise(-outer)).otherwise(poly(ACKLAM_A, r * r) * r / poly(ACKLAM_B, r * r))
 
-@F.pandas_udf(DoubleType())
-def normal_ppf(p: pd.Series) -> pd.Series:
-    from statistics import NormalDist
+    def refined(x: Column) -> Column:
+        error = F.when(p < 0.5, normal_cdf(x) - p).otherwise((1 - p) - normal_tail(F.abs(x)))
+        u = error * 2.5066282746310002 * F.exp(x * x / 2)
+        return x - u / (1 + x * u / 2)
 
-    return p.map(lambda v: NormalDist().inv_cdf(v) if 0 < v < 1 else None, na_action="ignore").astype(float)
+    # bound once by a transform over one element
+    return F.when((p > 0) & (p < 1), F.transform(F.array(x), refined)[0])
 
 
 def psr(benchmark: Column) -> Column:

@@ -42,15 +42,15 @@ def winsor_robust_z(long: DataFrame, low: float = 0.01, high: float = 0.99, clip
     """``value`` of ``factor_name`` rows standardised on each date over eligible cells.
 
     All cells are cut at the quantiles, then shifted by the median and scaled by the median absolute deviation (0 counts as 1) and
-    cut at ``clip``; missing cells and dates without eligible cells give 0. Three grouped aggregates, joined back.
+    cut at ``clip``; missing cells and dates without eligible cells give 0. Cutting keeps the order, so the median of the cut values
+    is the cut median: one aggregate gives quantiles and median, a second one the deviation; both are joined back.
     """
     key = ["dt", "factor_name"]
     seen = F.when(F.col("elig"), F.col("value"))
-    cuts = long.groupBy(*key).agg(F.percentile(seen, F.lit(low)).alias("_lo"), F.percentile(seen, F.lit(high)).alias("_hi"))
-    cut = long.join(cuts, key).withColumn("_c", F.when(F.col("value").isNotNull() & F.col("_lo").isNotNull(), F.least(F.greatest("value", "_lo"), "_hi")))
-    mid = cut.groupBy(*key).agg(F.median(F.when(F.col("elig"), F.col("_c"))).alias("_m"))
-    moved = cut.join(mid, key).withColumn("_d", F.col("_c") - F.col("_m"))
+    cuts = long.groupBy(*key).agg(F.percentile(seen, F.lit(low)).alias("_lo"), F.percentile(seen, F.lit(high)).alias("_hi"), F.median(seen).alias("_m"))
+    inside = lambda c: F.least(F.greatest(c, "_lo"), "_hi")
+    moved = long.join(cuts, key).withColumn("_d", F.when(F.col("value").isNotNull() & F.col("_lo").isNotNull(), inside("value") - inside("_m")))
     spread = moved.groupBy(*key).agg(F.median(F.when(F.col("elig"), F.abs("_d"))).alias("_s"))
     z = F.col("_d") / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))
     out = F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-clip)), F.lit(clip))).otherwise(0.0)
-    return moved.join(spread, key).withColumn("value", out).drop("_lo", "_hi", "_c", "_m", "_d", "_s")
+    return moved.join(spread, key).withColumn("value", out).drop("_lo", "_hi", "_m", "_d", "_s")

@@ -41,7 +41,11 @@ def members_at(cells: DataFrame, intervals: DataFrame) -> DataFrame:
 
 def listing_age(cells: DataFrame, stocks: DataFrame, axis: DataFrame) -> DataFrame:
     """``cells`` with ``list_date`` and ``age``: sessions since listing, the first counts 1, below 1 before it."""
-    first = stocks.select("sym", "list_date").join(F.broadcast(axis.select(F.col("dt").alias("_d"), F.col("sess").alias("_s"))), F.col("_d") >= F.col("list_date"), "left").groupBy("sym").agg(F.first("list_date").alias("list_date"), F.min("_s").alias("_first"))
+    n = F.size("_days")
+    days = axis.agg(F.sort_array(F.collect_list("dt")).alias("_days"))  # the calendar: small, and sent whole
+    place = F.size(F.filter("_days", lambda d: d < F.col("list_date")))
+    first = stocks.select("sym", "list_date").dropDuplicates(["sym"]).crossJoin(F.broadcast(days))
+    first = first.select("sym", "list_date", F.when(F.col("list_date").isNotNull() & (place < n), place).alias("_first"))
     return cells.join(first, "sym", "left").withColumn("age", F.col("sess") - F.col("_first") + 1).drop("_first")
 
 

@@ -1,4 +1,4 @@
-"""One query per factor, and the factor panel as a whole."""
+"""One query per factor, over the daily panel: its calendar is longer than the longest window."""
 
 from __future__ import annotations
 
@@ -12,9 +12,9 @@ from panelforge.plans.registry import query
 
 
 def _enter(name: str) -> None:
-    @query(f"factor_{name}", b.factor_sql(name) if name in b.FACTORS else None)
+    @query(f"factor_{name}", b.by_day(b.factor_sql(name)) if name in b.FACTORS or name in b.EWM_NAMES else None)
     def run(spark, sf_dir):
-        made = lib.factors(panel.standard(spark, sf_dir), [name])
+        made = lib.factors(panel.standard(spark, sf_dir, daily=True), [name])
         return made.select("sym", "dt", digits(F.col(name).cast("double"), b.PLACES.get(name, 6)).alias("value"))
 
 

@@ -11,7 +11,9 @@ from panelforge.operators import panel
 from panelforge.plans.base_sql import HELPERS, w
 from panelforge.plans.registry import query
 
-FORMULAS = {"plain": ["x"], "spread": ["x", "MA5", "x", "MA20", "SUB"], "ranked": ["x", "CS_RANK", "y", "TS_RANK10", "MUL"], "broken": ["x", "ADD"]}
+FORMULAS = {"plain": ["x"], "spread": ["x", "MA5", "x", "MA20", "SUB"], "ranked": ["x", "CS_RANK", "y", "TS_RANK10", "MUL"], "flat": ["x", "x", "SUB"], "broken": ["x", "ADD"]}
+#: As at import: what callers register later changes no query.
+FEATURES, OPERATORS = list(lib.REGISTRY), dict(formula.OPERATORS)
 
 
 def inputs(spark, sf_dir):
@@ -72,7 +74,7 @@ for _name in formula.OPERATORS:
 SIGNALS = f"""{F_SQL}, s AS (
   SELECT *, avg(x) {w(5)} - avg(x) {w(20)} AS spread, coalesce({SQL['CS_RANK']}, 0) AS rk,
     len(list_filter(list(y) {w(10)}, lambda v: v <= y)) / len(list(y) {w(10)}) AS tr FROM f),
-u AS (SELECT 'plain' AS formula_id, sym, dt, elig, x AS v FROM s UNION ALL SELECT 'spread', sym, dt, elig, spread FROM s UNION ALL SELECT 'ranked', sym, dt, elig, rk * tr FROM s),
+u AS (SELECT 'plain' AS formula_id, sym, dt, elig, x AS v FROM s UNION ALL SELECT 'spread', sym, dt, elig, spread FROM s UNION ALL SELECT 'ranked', sym, dt, elig, rk * tr FROM s UNION ALL SELECT 'flat', sym, dt, elig, x - x FROM s),
 signals AS (SELECT formula_id, sym, dt, elig, CASE WHEN count(CASE WHEN elig THEN v END) OVER q = 0 THEN 0 WHEN elig THEN (v - avg(CASE WHEN elig THEN v END) OVER q) / (stddev_pop(CASE WHEN elig THEN v END) OVER q + 1e-6) END AS signal FROM u WINDOW q AS (PARTITION BY formula_id, dt))"""
 
 
@@ -87,10 +89,11 @@ def formula_signal(spark, sf_dir):
 
 @query("random_formulas")
 def random_formulas(spark, sf_dir):
-    """As many draws as the panel has symbols, scored by their length and depth."""
-    n = panel.fixtures.read(spark, sf_dir, "supplier").count()
-    return formula.random_formulas(spark, n, list(lib.REGISTRY)).select(F.array_join("tokens", " ").alias("formula"), F.size("tokens").alias("length"))
-
+    """A draw for each order's key: distinct formulas, their length and how many features and operators they hold."""
+    seeds = panel.fixtures.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    made = formula.random_formulas(seeds, FEATURES, operators=OPERATORS)
+    n_features = F.size(F.filter("tokens", lambda t: t.isin(FEATURES)))
+    return made.select(F.array_join("tokens", " ").alias("formula"), F.size("tokens").alias("length"), n_features.alias("features"), (F.size("tokens") - n_features).alias("operators"))
 
 
 

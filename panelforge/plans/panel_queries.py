@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import factors as lib
 from panelforge.functions.numeric import digits
 from panelforge.operators import fundamentals, panel, quality, returns, universe
-from panelforge.plans.base_sql import BARS, HELPERS, PANEL
+from panelforge.plans.base_sql import BARS, HELPERS, PANEL, by_day
 from panelforge.plans.formula_queries import SIGNALS, signals
 from panelforge.plans.registry import query
 from panelforge.sources import fixtures
@@ -46,25 +46,26 @@ def inclusive_end(spark, sf_dir):
     return fixtures.constituents(spark, sf_dir).withColumn("out_date", universe.inclusive_end(F.col("out_date")))
 
 
-@query("listing_age_sessions", f"WITH {PANEL} SELECT sym, {D}, age::INT AS age FROM panel")
+@query("listing_age_sessions", by_day(f"WITH {PANEL} SELECT sym, {D}, age::INT AS age FROM panel"))
 def listing_age_sessions(spark, sf_dir):
-    cells = universe.dense_panel(fixtures.stocks(spark, sf_dir), fixtures.bars(spark, sf_dir), axis(spark, sf_dir))
-    return universe.listing_age(cells, fixtures.stocks(spark, sf_dir), axis(spark, sf_dir)).select("sym", "dt", F.col("age").cast("int").alias("age"))
+    stocks, days = fixtures.stocks(spark, sf_dir, daily=True), universe.session_axis(fixtures.calendar(spark, sf_dir, daily=True))
+    cells = universe.dense_panel(stocks, fixtures.bars(spark, sf_dir, daily=True), days)
+    return universe.listing_age(cells, stocks, days).select("sym", "dt", F.col("age").cast("int").alias("age"))
 
 
 def _reason(name: str, bit: int) -> None:
-    @query(name, f"WITH {PANEL} SELECT sym, {D} FROM panel WHERE reasons & {bit} <> 0")
+    @query(name, by_day(f"WITH {PANEL} SELECT sym, {D} FROM panel WHERE reasons & {bit} <> 0"))
     def run(spark, sf_dir):
-        return panel.standard(spark, sf_dir).where(F.col("reasons").bitwiseAND(bit) != 0).select("sym", "dt")
+        return panel.standard(spark, sf_dir, daily=True).where(F.col("reasons").bitwiseAND(bit) != 0).select("sym", "dt")
 
 
 _reason("not_yet_listed", universe.NOT_YET_LISTED)
 _reason("missing_bar", universe.MISSING_BAR)
 
 
-@query("reason_bits", f"WITH {PANEL} SELECT sym, {D}, reasons FROM panel")
+@query("reason_bits", by_day(f"WITH {PANEL} SELECT sym, {D}, reasons FROM panel"))
 def reason_bits(spark, sf_dir):
-    return panel.standard(spark, sf_dir).select("sym", "dt", "reasons")
+    return panel.standard(spark, sf_dir, daily=True).select("sym", "dt", "reasons")
 
 
 @query("eligible", f"WITH {PANEL} SELECT sym, {D}, elig FROM panel")
@@ -226,17 +227,19 @@ REPORTS = f"""{PANEL}, q AS (SELECT l_suppkey AS sym, year(l_shipdate) AS y, qua
 ytd AS (SELECT *, round(sum(revenue) OVER c, 4) AS revenue_cum, round(sum(profit) OVER c, 4) AS profit_cum FROM q WINDOW c AS (PARTITION BY sym, y ORDER BY qq)),
 reports AS (SELECT ytd.sym, last_day(make_date(y, qq * 3, 1)) AS report_date,
   CASE qq WHEN 1 THEN make_date(y, 4, 30) WHEN 2 THEN make_date(y, 8, 31) WHEN 3 THEN make_date(y, 10, 31) ELSE make_date(y + 1, 4, 30) END AS announce_date,
-  revenue_cum, profit_cum, profit_cum / 1e5 AS eps_cum, s_acctbal / 100 AS bvps, profit_cum / revenue_cum * 100 AS net_margin
+  CASE WHEN (ytd.sym * 4 + y * 3 + qq) % 23 <> 5 THEN revenue_cum END AS revenue_cum, CASE WHEN (ytd.sym * 4 + y * 3 + qq) % 29 = 7 THEN 'nan'::DOUBLE ELSE profit_cum END AS profit_cum,
+  CASE WHEN (ytd.sym * 4 + y * 3 + qq) % 19 <> 3 THEN profit_cum / 1e5 END AS eps_cum, s_acctbal / 100 AS bvps, profit_cum / revenue_cum * 100 AS net_margin
   FROM ytd JOIN supplier ON s_suppkey = ytd.sym WHERE (ytd.sym + qq) % 11 <> 0),
-single AS (SELECT *, eps_cum - coalesce(lag(eps_cum) OVER k, 0) AS eps_q, revenue_cum - coalesce(lag(revenue_cum) OVER k, 0) AS revenue_q, profit_cum - coalesce(lag(profit_cum) OVER k, 0) AS profit_q
-  FROM reports WINDOW k AS (PARTITION BY sym, year(report_date) ORDER BY report_date)),
-ttm0 AS (SELECT *, datediff('day', lag(report_date, 3) OVER o, report_date) AS days, sum(eps_q) OVER p AS e, sum(revenue_q) OVER p AS r4, sum(profit_q) OVER p AS p4 FROM single
-  WINDOW o AS (PARTITION BY sym ORDER BY report_date), p AS (PARTITION BY sym ORDER BY report_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
-ttm AS (SELECT *, CASE WHEN days BETWEEN 265 AND 285 THEN e END AS eps_ttm, CASE WHEN days BETWEEN 265 AND 285 THEN r4 END AS revenue_ttm, CASE WHEN days BETWEEN 265 AND 285 THEN p4 END AS profit_ttm FROM ttm0)"""
+known AS (SELECT 'eps' AS k, sym, report_date, eps_cum AS v FROM reports WHERE eps_cum IS NOT NULL UNION ALL SELECT 'revenue', sym, report_date, revenue_cum FROM reports WHERE revenue_cum IS NOT NULL
+  UNION ALL SELECT 'profit', sym, report_date, profit_cum FROM reports WHERE NOT isnan(profit_cum)),
+part AS (SELECT *, v - coalesce(lag(v) OVER (PARTITION BY k, sym, year(report_date) ORDER BY report_date), 0) AS q FROM known),
+four AS (SELECT *, CASE WHEN datediff('day', lag(report_date, 3) OVER o, report_date) BETWEEN 265 AND 285 THEN sum(q) OVER (PARTITION BY k, sym ORDER BY report_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END AS t FROM part WINDOW o AS (PARTITION BY k, sym ORDER BY report_date)),
+ttm AS (SELECT r.*, e.t AS eps_ttm, v.t AS revenue_ttm, p.t AS profit_ttm, v.q AS revenue_q FROM reports r LEFT JOIN four e ON e.k = 'eps' AND e.sym = r.sym AND e.report_date = r.report_date
+  LEFT JOIN four v ON v.k = 'revenue' AND v.sym = r.sym AND v.report_date = r.report_date LEFT JOIN four p ON p.k = 'profit' AND p.sym = r.sym AND p.report_date = r.report_date)"""
 
 
 def asof(value: str) -> str:
-    return f"(SELECT {value} FROM ttm t WHERE t.sym = p.sym AND t.announce_date <= p.dt AND {value} IS NOT NULL ORDER BY announce_date DESC, report_date DESC LIMIT 1)"
+    return f"(SELECT {value} FROM ttm t WHERE t.sym = p.sym AND t.announce_date <= p.dt AND isfinite({value}) ORDER BY announce_date DESC, report_date DESC LIMIT 1)"
 
 
 VALUED = f"""{REPORTS}, seen AS (SELECT p.sym, p.dt, p.close, {asof('eps_ttm')} AS eps, {asof('bvps')} AS bv, {asof('CASE WHEN profit_ttm > 0 AND revenue_ttm > 0 THEN profit_ttm / revenue_ttm END')} AS part, {asof('net_margin')} AS nm FROM panel p),
@@ -266,10 +269,10 @@ def asof_ffill(spark, sf_dir):
     return own.select("sym", "dt", digits(F.col("net_margin"), 4).alias("net_margin"), digits(F.col("bvps"), 4).alias("bvps"))
 
 
-@query("ytd_to_single", f"WITH {REPORTS} SELECT sym, report_date::VARCHAR AS report_date, round(revenue_q, 2) + 0.0 AS revenue FROM single")
+@query("ytd_to_single", f"WITH {REPORTS} SELECT sym, report_date::VARCHAR AS report_date, round(revenue_q, 2) + 0.0 AS revenue FROM ttm WHERE revenue_q IS NOT NULL")
 def ytd_to_single(spark, sf_dir):
     own = fundamentals.ytd_to_single(fixtures.fundamentals(spark, sf_dir), "revenue_cum", "revenue")
-    return own.select("sym", "report_date", digits(F.col("revenue"), 2).alias("revenue"))
+    return own.where("revenue is not null").select("sym", "report_date", digits(F.col("revenue"), 2).alias("revenue"))
 
 
 @query("ttm4", f"WITH {REPORTS} SELECT sym, report_date::VARCHAR AS report_date, round(eps_ttm, 6) + 0.0 AS eps_ttm FROM ttm")
@@ -328,7 +331,7 @@ def icir(spark, sf_dir):
     return quality.ic_stats(quality.rank_ic(scored(spark, sf_dir), MIN_STOCKS)).select("formula_id", digits(F.col("icir")).alias("icir"))
 
 
-@query("signal_direction", f"{SCORED} SELECT formula_id, coalesce(CASE WHEN avg(ic) >= 0 THEN 1 ELSE -1 END, 1) AS direction FROM ic GROUP BY 1")
+@query("signal_direction", f"{SCORED} SELECT formula_id, CASE WHEN avg(ic) < 0 THEN -1 ELSE 1 END AS direction FROM ic GROUP BY 1")
 def signal_direction(spark, sf_dir):
     return quality.ic_stats(quality.rank_ic(scored(spark, sf_dir), MIN_STOCKS)).select("formula_id", "direction")
 

@@ -34,8 +34,13 @@ def tradable(spark, sf_dir):
     return returns.with_tradability(panel.standard(spark, sf_dir)).withColumn("fwd", returns.open_to_open())
 
 
+def even(own):
+    """Signals to nine places: sums in another order leave ties ties."""
+    return own.withColumn("signal", F.round("signal", 9))
+
+
 def picks(spark, sf_dir):
-    return pf.top_n(pf.selectable(signals(spark, sf_dir), tradable(spark, sf_dir)), N)
+    return pf.top_n(pf.selectable(even(signals(spark, sf_dir)), tradable(spark, sf_dir)), N)
 
 
 def weights(spark, sf_dir):
@@ -52,7 +57,7 @@ def daily(spark, sf_dir):
 
 def two_books(spark, sf_dir, own=None):
     """``formula_id, sign`` and :func:`daily` of each candidate and of its mirror image, each with the names and costs of its own book."""
-    both = protocol.mirrored(signals(spark, sf_dir) if own is None else own)
+    both = protocol.mirrored(even(signals(spark, sf_dir) if own is None else own))
     book = pf.target_weights(pf.top_n(pf.selectable(both, tradable(spark, sf_dir)), N), N)
     return pf.topn_returns(book, last_session(spark, sf_dir)).select("formula_id.*", "sess", "gross", "cost", "net", "turnover")
 
@@ -114,7 +119,7 @@ def drawdown(spark, sf_dir):
     return rounded(curves(spark, sf_dir).select("formula_id", "sess", "drawdown"), "drawdown")
 
 
-PERF = "SELECT formula_id, count(*) AS n, arg_max(equity, sess) - 1 AS total, coalesce(stddev_pop(net), 0) * sqrt(252) AS vol, max(drawdown) AS max_drawdown, avg(turnover) AS turnover FROM curve GROUP BY 1"
+PERF = "SELECT formula_id, count(*) AS n, arg_max(equity, sess) - 1 AS total, coalesce(stddev_samp(net), 0) * sqrt(252) AS vol, max(drawdown) AS max_drawdown, avg(turnover) AS turnover FROM curve GROUP BY 1"
 
 
 @query("perf_metrics", f"{BOOK}, p AS ({PERF}), q AS (SELECT *, pow(1 + total, 252.0 / n) - 1 AS annual FROM p), m AS (SELECT *, (annual - 0.02) / (vol + 1e-9) AS sharpe, annual / (max_drawdown + 1e-9) AS calmar FROM q) SELECT formula_id, {r('total', 'vol', 'max_drawdown', 'turnover', 'annual', 'sharpe', 'calmar', places=5)} FROM m")
@@ -176,30 +181,24 @@ def rebalance_cost(spark, sf_dir):
     return rounded(net.select("formula_id", "sess", fees.alias("f")).groupBy("formula_id", "sess").agg((F.sum("f.total") / 100_000).alias("cost")), "cost")
 
 
-WINDOWS = "wi AS (SELECT * FROM (VALUES (0, 40, 50), (1, 50, 60), (2, 60, 70), (3, 70, 81)) w(win, lo, hi))"
+DERIVED = """tw AS (SELECT count(*)::INT - 2 AS train_end FROM axis), wn AS (SELECT train_end, CASE WHEN train_end <= 2 THEN 0 ELSE greatest(1, least(round_even(train_end * (1 - 0.35::DOUBLE), 0)::INT, train_end - 2)) END AS s FROM tw),
+wk AS (SELECT *, CASE WHEN train_end - s < 12 THEN 1 ELSE 4 END AS k FROM wn),
+wi AS (SELECT w::INT AS win, (s + w * ((train_end - s) // k))::INT AS lo, (CASE WHEN w = k - 1 THEN train_end ELSE s + (w + 1) * ((train_end - s) // k) END)::INT AS hi FROM wk, unnest(generate_series(0, k - 1)) t(w))"""
 
 
-@query("reward_val_median", f"{BOOK}, {WINDOWS}, i AS (SELECT formula_id, win, CASE WHEN count(ic) >= 2 THEN avg(ic) / (stddev_samp(ic) + 1e-9) ELSE 0 END AS icir FROM ic JOIN axis USING (dt) JOIN wi ON sess >= lo AND sess < hi GROUP BY 1, 2), c AS (SELECT formula_id, win, avg(cost) * 252 AS cost FROM daily JOIN wi ON sess >= lo AND sess < hi GROUP BY 1, 2) SELECT formula_id, round(median(least(greatest(icir - cost, -1), 1)), 6) + 0.0 AS val_reward, round(median(icir), 6) + 0.0 AS val_icir FROM i JOIN c USING (formula_id, win) GROUP BY 1")
+@query("reward_val_median", f"{BOOK}, {DERIVED}, i AS (SELECT formula_id, win, CASE WHEN count(ic) >= 2 THEN avg(ic) / (stddev_samp(ic) + 1e-9) ELSE 0 END AS icir FROM ic JOIN axis USING (dt) JOIN wi ON sess >= lo AND sess < hi GROUP BY 1, 2), c AS (SELECT formula_id, win, avg(cost) * 252 AS cost FROM daily JOIN wi ON sess >= lo AND sess < hi GROUP BY 1, 2) SELECT formula_id, round(median(least(greatest(icir - cost, -1), 1)), 6) + 0.0 AS val_reward, round(median(icir), 6) + 0.0 AS val_icir FROM i JOIN c USING (formula_id, win) GROUP BY 1")
 def reward_val_median(spark, sf_dir):
-    """Median over disjoint validation windows of the reward and of the ICIR."""
-    return rounded(validation(spark, sf_dir), "val_reward", "val_icir")
-
-
-DERIVED = """tw AS (SELECT count(*)::INT - 2 AS train_end FROM axis), wn AS (SELECT train_end, greatest(3, floor(train_end * 0.35))::INT AS n FROM tw), wk AS (SELECT *, CASE WHEN n // 4 >= 3 THEN 4 ELSE 1 END AS k FROM wn),
-wi AS (SELECT w::INT AS win, (train_end - n + (n * w // k))::INT AS lo, (train_end - n + (n * (w + 1) // k))::INT AS hi FROM wk, unnest(generate_series(0, k - 1)) t(w))"""
-
-
-@query("reward_val_median_derived", SQL["reward_val_median"].replace(WINDOWS, DERIVED))
-def reward_val_median_derived(spark, sf_dir):
-    """:func:`reward_val_median` over windows derived from the calendar, however long it is."""
+    """Median over the validation windows, derived from the calendar however long it is, of the reward and of the ICIR."""
     own = axis(spark, sf_dir)
     training = protocol.training_window(own, F.lit("9999-12-31").cast("date")).withColumn("fold", F.lit(0))
     wins = protocol.validation_windows(training).select(F.col("window").alias("win"), "lo", "hi")
     return rounded(validation(spark, sf_dir, F.broadcast(wins)), "val_reward", "val_icir")
 
 
-def validation(spark, sf_dir, wins=None):
-    wins = wins or F.broadcast(spark.createDataFrame([(0, 40, 50), (1, 50, 60), (2, 60, 70), (3, 70, 81)], "win int, lo int, hi int"))
+query("reward_val_median_derived", SQL["reward_val_median"])(reward_val_median)
+
+
+def validation(spark, sf_dir, wins):
     inside = (F.col("sess") >= F.col("lo")) & (F.col("sess") < F.col("hi"))
     ics = quality.rank_ic(scored(spark, sf_dir), MIN_STOCKS).join(F.broadcast(axis(spark, sf_dir)), "dt").join(wins, inside)
     icir = ics.groupBy("formula_id", "win").agg(F.when(F.count("ic") >= 2, F.avg("ic") / (F.stddev_samp("ic") + 1e-9)).otherwise(0.0).alias("icir"))

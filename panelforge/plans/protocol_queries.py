@@ -11,11 +11,11 @@ from panelforge.functions import formula
 from panelforge.functions.numeric import digits
 from panelforge.operators import panel, protocol, quality, returns
 from panelforge.operators import portfolio as pf
-from panelforge.plans.formula_queries import FORMULAS, inputs
-from panelforge.plans.panel_queries import EVERY, MIN_STOCKS, all_standard, axis, scored, standard_factors
+from panelforge.plans.formula_queries import F_SQL, FORMULAS, inputs, signals
+from panelforge.plans.panel_queries import EVERY, LONG, MIN_STOCKS, SCORED, all_standard, axis, scored, standard_factors
 from panelforge.plans.portfolio_queries import BOOK, daily, rounded, tradable, two_books
-from panelforge.plans.base_sql import BARS
-from panelforge.plans.registry import query
+from panelforge.plans.base_sql import BARS, EWM, EWM_NAMES, HELPERS, by_day
+from panelforge.plans.registry import SQL, query
 
 ANCHORS = [(1, "1997-12-31", "1998-12-31"), (2, "1998-12-31", "1999-12-31"), (3, "1999-12-31", "2000-12-31"), (4, "2030-01-01", "2031-01-01")]
 FOLDS = "folds AS (SELECT fold, ta::DATE AS train_anchor, te::DATE AS test_anchor FROM (VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, a, b in ANCHORS) + ") f(fold, ta, te))"
@@ -59,7 +59,9 @@ def fold_issues(spark, sf_dir):
     return protocol.fold_issues(own.select("fold", "train_anchor", F.when(F.col("fold") % 3 == 0, F.col("train_anchor")).otherwise(F.date_add("last", 60)).alias("test_anchor")))
 
 
-WINS = "wn AS (SELECT fold, train_end, greatest(3, floor((train_end - train_start) * 0.35))::INT AS n FROM ranges WHERE NOT broken), wk AS (SELECT *, CASE WHEN n // 4 >= 3 THEN 4 ELSE 1 END AS k FROM wn), wins AS (SELECT fold, w::INT AS \"window\", (train_end - n + (n * w // k))::INT AS lo, (train_end - n + (n * (w + 1) // k))::INT AS hi FROM wk, unnest(generate_series(0, k - 1)) t(w))"
+WINS = """wn AS (SELECT fold, train_end, CASE WHEN train_end <= 2 THEN 0 ELSE greatest(1, least(round_even(train_end * (1 - 0.35::DOUBLE), 0)::INT, train_end - 2)) END AS s FROM ranges WHERE NOT broken),
+wk AS (SELECT *, CASE WHEN train_end - s < 12 THEN 1 ELSE 4 END AS k FROM wn),
+wins AS (SELECT fold, w::INT AS "window", (s + w * ((train_end - s) // k))::INT AS lo, (CASE WHEN w = k - 1 THEN train_end ELSE s + (w + 1) * ((train_end - s) // k) END)::INT AS hi FROM wk, unnest(generate_series(0, k - 1)) t(w))"""
 
 
 @query("validation_windows", f"WITH {BARS}, {RANGES}, {WINS} SELECT * FROM wins")
@@ -73,27 +75,36 @@ def fold_slice(spark, sf_dir):
     return own.select("fold", "sym", "dt", digits(F.col("fwd")).alias("fwd"))
 
 
-def scores(spark, sf_dir, costs=None):
-    """With the plain book's cost for both sides, as the SQL of these queries has it, or with ``costs`` of each side."""
+def scores(spark, sf_dir):
+    """Each side of a candidate with the names and costs of its own book; constant signals have no scores."""
     ics = quality.rank_ic(scored(spark, sf_dir), MIN_STOCKS).join(F.broadcast(axis(spark, sf_dir)), "dt").select("formula_id", "sess", "ic")
-    costs = daily(spark, sf_dir).select("formula_id", "sess", "cost") if costs is None else costs
+    costs = two_books(spark, sf_dir).select("formula_id", "sign", "sess", "cost")
     bare = {k: 0.02 for k, tokens in FORMULAS.items() if len(tokens) == 1}
-    return protocol.score_candidates(ics, costs, protocol.validation_windows(sound(spark, sf_dir)), penalty=bare)
+    flat = protocol.flat_signals(signals(spark, sf_dir), axis(spark, sf_dir), sound(spark, sf_dir))
+    return protocol.score_candidates(ics, costs, protocol.validation_windows(sound(spark, sf_dir)), penalty=bare, flat=flat)
 
 
+#: The books of both sides, from the text of :data:`BOOK`, keyed ``formula_id|sign``.
+BOOK_TABLES = "cand|picks|weights|net|moved|gross|daily"
+SIDES = "(VALUES (1), (-1)) s(sign)"
+BOOK2 = re.sub(rf"(^|FROM |JOIN )({BOOK_TABLES}|signals)\b", r"\g<1>\g<2>2", BOOK[BOOK.index("\ncand AS") + 1 : BOOK.index(",\neq AS")], flags=re.M)
 SCORES = f"""{BOOK}, {RANGES}, {WINS},
+signals2 AS (SELECT formula_id || '|' || sign AS formula_id, sym, dt, elig, signal * sign AS signal FROM signals CROSS JOIN {SIDES}),
+{BOOK2},
 each AS (SELECT fold, formula_id, "window", sign, CASE WHEN count(ic) >= 2 THEN avg(ic * sign) / (stddev_samp(ic) + 1e-9) ELSE 0 END AS icir, coalesce(avg(cost), 0) * 252 AS cost
-  FROM (SELECT ic.formula_id, a.sess, ic.ic, d.cost FROM ic JOIN axis a USING (dt) LEFT JOIN daily d ON d.formula_id = ic.formula_id AND d.sess = a.sess) i JOIN wins ON sess >= lo AND sess < hi CROSS JOIN (VALUES (1), (-1)) s(sign) GROUP BY 1, 2, 3, 4),
+  FROM (SELECT ic.formula_id, s.sign, a.sess, ic.ic, d.cost FROM ic JOIN axis a USING (dt) CROSS JOIN {SIDES} LEFT JOIN daily2 d ON d.formula_id = ic.formula_id || '|' || s.sign AND d.sess = a.sess) i JOIN wins ON sess >= lo AND sess < hi GROUP BY 1, 2, 3, 4),
 med AS (SELECT fold, formula_id, sign, median(least(greatest(icir - cost, -1), 1) - CASE formula_id WHEN 'plain' THEN 0.02 ELSE 0 END) AS val_reward, median(icir) AS val_icir FROM each GROUP BY 1, 2, 3),
-sc AS (SELECT * FROM med QUALIFY row_number() OVER (PARTITION BY fold, formula_id ORDER BY val_reward DESC, val_icir DESC, sign DESC) = 1),
-gated AS (SELECT *, val_reward >= 0 AND val_icir >= 0.05 AS eligible, CASE WHEN val_reward < 0 THEN 'reward low' ELSE '' END || CASE WHEN val_reward < 0 AND val_icir < 0.05 THEN ',' ELSE '' END || CASE WHEN val_icir < 0.05 THEN 'icir low' ELSE '' END AS reasons FROM sc),
+moves AS (SELECT fold, formula_id FROM signals JOIN axis USING (dt) JOIN ranges ON NOT broken AND sess < train_end WHERE elig AND signal IS NOT NULL GROUP BY 1, 2 HAVING stddev_pop(signal) >= 1e-4),
+better AS (SELECT * FROM med QUALIFY row_number() OVER (PARTITION BY fold, formula_id ORDER BY val_reward DESC, val_icir DESC, sign DESC) = 1),
+sc AS (SELECT fold, formula_id, CASE WHEN m.fold IS NULL THEN 1 ELSE sign END AS sign, CASE WHEN m.fold IS NOT NULL THEN val_reward END AS val_reward, CASE WHEN m.fold IS NOT NULL THEN val_icir END AS val_icir, m.fold IS NULL AS flat FROM better LEFT JOIN moves m USING (fold, formula_id)),
+gated AS (SELECT * EXCLUDE (flat), NOT flat AND val_reward >= 0 AND val_icir >= 0.05 AS eligible, CASE WHEN flat THEN 'constant signal' ELSE CASE WHEN val_reward < 0 THEN 'reward low' ELSE '' END || CASE WHEN val_reward < 0 AND val_icir < 0.05 THEN ',' ELSE '' END || CASE WHEN val_icir < 0.05 THEN 'icir low' ELSE '' END END AS reasons FROM sc),
 chosen AS (SELECT * FROM gated QUALIFY row_number() OVER (PARTITION BY fold, eligible ORDER BY val_reward DESC NULLS LAST, val_icir DESC NULLS LAST, formula_id) = 1)"""
 V = "round(val_reward, 6) + 0.0 AS val_reward, round(val_icir, 6) + 0.0 AS val_icir"
 
 
 @query("score_candidates", f"{SCORES} SELECT fold, formula_id, sign, {V} FROM sc")
 def score_candidates(spark, sf_dir):
-    return rounded(scores(spark, sf_dir), "val_reward", "val_icir")
+    return rounded(scores(spark, sf_dir).drop("flat"), "val_reward", "val_icir")
 
 
 @query("candidate_gates", f"{SCORES} SELECT fold, formula_id, reasons, eligible FROM gated")
@@ -123,42 +134,6 @@ def trial_rows(spark, sf_dir):
     return trials(spark, sf_dir).groupBy("candidate", "fold").agg(F.avg("net").alias("net"), F.avg("turnover").alias("turnover"), F.try_divide(F.avg("excess"), F.stddev_samp("excess")).alias("sharpe"))
 
 
-@query("search_rows", f"{TRIALS}{SCORES[len(BOOK) + len(RANGES) + 2:]} SELECT c.fold, c.formula_id, round(net, 6) + 0.0 AS net, round(sharpe, 6) + 0.0 AS sharpe FROM chosen c JOIN rows_ r ON r.fold = c.fold AND r.candidate = c.formula_id")
-def search_rows(spark, sf_dir):
-    """The selected candidates of each fold, out of sample, in the plain book whatever the sign (see ``search_rows_two_books``)."""
-    best = protocol.select_candidate(protocol.candidate_gates(scores(spark, sf_dir))).select("fold", "formula_id")
-    out = best.join(trial_rows(spark, sf_dir).withColumnRenamed("candidate", "formula_id"), ["fold", "formula_id"])
-    return rounded(out.select("fold", "formula_id", "net", "sharpe"), "net", "sharpe")
-
-
-#: The books of both sides, from the text of :data:`BOOK`, keyed ``formula_id|sign``.
-BOOK_TABLES = "cand|picks|weights|net|moved|gross|daily"
-SIDES = "(VALUES (1), (-1)) s(sign)"
-BOOK2 = re.sub(rf"(^|FROM |JOIN )({BOOK_TABLES}|signals)\b", r"\g<1>\g<2>2", BOOK[BOOK.index("\ncand AS") + 1 : BOOK.index(",\neq AS")], flags=re.M)
-EACH = SCORES[SCORES.index("each AS") : SCORES.index(",\nmed AS")]
-EACH2 = f"""signals2 AS (SELECT formula_id || '|' || sign AS formula_id, sym, dt, elig, signal * sign AS signal FROM signals CROSS JOIN {SIDES}),
-{BOOK2},
-each AS (SELECT fold, formula_id, "window", sign, CASE WHEN count(ic) >= 2 THEN avg(ic * sign) / (stddev_samp(ic) + 1e-9) ELSE 0 END AS icir, coalesce(avg(cost), 0) * 252 AS cost
-  FROM (SELECT ic.formula_id, s.sign, a.sess, ic.ic, d.cost FROM ic JOIN axis a USING (dt) CROSS JOIN {SIDES} LEFT JOIN daily2 d ON d.formula_id = ic.formula_id || '|' || s.sign AND d.sess = a.sess) i JOIN wins ON sess >= lo AND sess < hi GROUP BY 1, 2, 3, 4)"""
-SCORES2 = SCORES.replace(EACH, EACH2)
-
-
-def two_sided(spark, sf_dir):
-    return scores(spark, sf_dir, two_books(spark, sf_dir).select("formula_id", "sign", "sess", "cost"))
-
-
-@query("score_candidates_two_books", f"{SCORES2} SELECT fold, formula_id, sign, {V} FROM sc")
-def score_candidates_two_books(spark, sf_dir):
-    """:func:`score_candidates` with each side's own names and costs."""
-    return rounded(two_sided(spark, sf_dir), "val_reward", "val_icir")
-
-
-@query("select_candidate_two_books", f"{SCORES2} SELECT fold, formula_id, sign, eligible, {V} FROM chosen")
-def select_candidate_two_books(spark, sf_dir):
-    own = protocol.select_candidate(protocol.candidate_gates(two_sided(spark, sf_dir)))
-    return rounded(own.select("fold", "formula_id", "sign", "eligible", "val_reward", "val_icir"), "val_reward", "val_icir")
-
-
 def side_rows(spark, sf_dir, books):
     """:func:`trial_rows` of the books of both sides."""
     own = pf.excess(books, pf.equal_weight_benchmark(tradable(spark, sf_dir)))
@@ -167,14 +142,18 @@ def side_rows(spark, sf_dir, books):
     return own.groupBy("fold", "formula_id", "sign").agg(*((F.avg(c) / 100).alias(c) for c in ("gross", "cost", "net")), F.avg("turnover").alias("turnover"), F.try_divide(F.avg("excess"), F.stddev_samp("excess")).alias("sharpe"))
 
 
-@query("search_rows_two_books", f"{SCORES2}, rows2 AS (SELECT formula_id, fold, avg(net) / 100 AS net, avg(net - bench) / stddev_samp(net - bench) AS sharpe FROM daily2 JOIN bench USING (sess) JOIN ranges ON NOT broken AND sess >= test_start AND sess < test_end GROUP BY 1, 2) SELECT c.fold, c.formula_id, c.sign, round(net, 6) + 0.0 AS net, round(sharpe, 6) + 0.0 AS sharpe FROM chosen c JOIN rows2 r ON r.fold = c.fold AND r.formula_id = c.formula_id || '|' || c.sign")
-def search_rows_two_books(spark, sf_dir):
+@query("search_rows", f"{SCORES}, rows2 AS (SELECT formula_id, fold, avg(net) / 100 AS net, avg(net - bench) / stddev_samp(net - bench) AS sharpe FROM daily2 JOIN bench USING (sess) JOIN ranges ON NOT broken AND sess >= test_start AND sess < test_end GROUP BY 1, 2) SELECT c.fold, c.formula_id, c.sign, round(net, 6) + 0.0 AS net, round(sharpe, 6) + 0.0 AS sharpe FROM chosen c JOIN rows2 r ON r.fold = c.fold AND r.formula_id = c.formula_id || '|' || c.sign")
+def search_rows(spark, sf_dir):
     """The selected candidates of each fold, traded out of sample on their chosen side."""
-    best = protocol.select_candidate(protocol.candidate_gates(two_sided(spark, sf_dir))).select("fold", "formula_id", "sign")
+    best = protocol.select_candidate(protocol.candidate_gates(scores(spark, sf_dir))).select("fold", "formula_id", "sign")
     out = best.join(side_rows(spark, sf_dir, two_books(spark, sf_dir)), ["fold", "formula_id", "sign"])
     return rounded(out.select("fold", "formula_id", "sign", "net", "sharpe"), "net", "sharpe")
 
 
+for _name, _run in (("score_candidates", score_candidates), ("select_candidate", select_candidate), ("search_rows", search_rows)):  # names of an earlier round
+    query(f"{_name}_two_books", SQL[_name])(_run)
+
+
 @query("benchmark_rows", f"{BOOK}, {RANGES} SELECT fold, count(*) AS n, round(avg(bench), 6) + 0.0 AS mean, round(stddev_samp(bench), 6) + 0.0 AS sd FROM bench JOIN ranges ON NOT broken AND sess >= test_start AND sess < test_end GROUP BY 1")
 def benchmark_rows(spark, sf_dir):
     r = F.broadcast(sound(spark, sf_dir).select("fold", "test_start", "test_end"))
@@ -185,7 +164,7 @@ def benchmark_rows(spark, sf_dir):
 def scored_signals(spark, sf_dir, own, penalty=None):
     """Gated scores of any candidates' signals (``formula_id, sym, dt, elig, signal``) and the books of both their sides.
 
-    A signal without spread in the training range is rejected.
+    A signal without spread in the training range has no score and is rejected.
     """
     from panelforge.plans.table_queries import scratch
 
@@ -196,12 +175,9 @@ def scored_signals(spark, sf_dir, own, penalty=None):
     path = scratch(spark, "books")
     two_books(spark, sf_dir, own).write.parquet(path)
     books = spark.read.parquet(path)
-    made = protocol.score_candidates(ics, books.select("formula_id", "sign", "sess", "cost"), protocol.validation_windows(sound(spark, sf_dir)), penalty=penalty)
-    train = own.where("elig").join(when, "dt").join(F.broadcast(sound(spark, sf_dir)), F.col("sess") < F.col("train_end"))
-    flat = train.groupBy("fold", "formula_id").agg(F.coalesce(F.stddev_pop("signal") < 1e-4, F.lit(True)).alias("flat"))
-    gated = protocol.candidate_gates(made).join(flat, ["fold", "formula_id"], "left")
-    gated = gated.withColumn("reasons", F.when(F.col("flat"), F.array_append("reasons", F.lit("constant signal"))).otherwise(F.col("reasons")))
-    return gated.withColumn("eligible", F.size("reasons") == 0).drop("flat"), books, ics
+    flat = protocol.flat_signals(own, axis(spark, sf_dir), sound(spark, sf_dir))
+    made = protocol.score_candidates(ics, books.select("formula_id", "sign", "sess", "cost"), protocol.validation_windows(sound(spark, sf_dir)), penalty=penalty, flat=flat)
+    return protocol.candidate_gates(made).drop("flat"), books, ics
 
 
 @query("baseline_rows")
@@ -237,7 +213,13 @@ def trial_moments(spark, sf_dir):
     return rounded(protocol.trial_moments(trials(spark, sf_dir)), "sr", "skew", "kurt")
 
 
-@query("psr")
+def cdf_sql(x: str) -> str:
+    """The normal distribution by its power series, whose terms are x^(2k+1) / (1 3 5 ... (2k+1))."""
+    terms = f"list_sum(list_transform(range(0, 90), lambda k: exp((2 * k + 1) * ln(greatest(abs({x}), 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"
+    return f"(0.5 + sign({x}) * exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {terms})"
+
+
+@query("psr", f"{MOMENTS}, x AS (SELECT candidate, fold, sr * sqrt(t - 1) / sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12)) AS x FROM mo) SELECT candidate, fold, round(CASE WHEN abs(x) > 8 THEN (x > 0)::INT ELSE {cdf_sql('x')} END, 6) + 0.0 AS psr FROM x")
 def psr(spark, sf_dir):
     own = protocol.trial_moments(trials(spark, sf_dir))
     return own.select("candidate", "fold", digits(protocol.psr(F.lit(0.0))).alias("psr"))
@@ -310,44 +292,44 @@ def family_ablation(spark, sf_dir):
     return rounded(out.select("fold", "family", "candidate", "val_reward", "val_icir", "was", "eligible", "loss"), "val_reward", "val_icir", "loss")
 
 
-@query("custom_score")
+@query("custom_score", f"{SCORED} SELECT formula_id, round(avg((round(ic, 9) > 0)::INT), 6) + 0.0 AS score FROM ic GROUP BY 1")
 def custom_score(spark, sf_dir):
     """A score of the caller's own over the same coefficients: here the share of positive ones."""
     ics = quality.rank_ic(scored(spark, sf_dir), MIN_STOCKS)
-    return ics.groupBy("formula_id").agg(digits(F.avg((F.col("ic") > 0).cast("double"))).alias("score"))
+    return ics.groupBy("formula_id").agg(digits(F.avg((F.round("ic", 9) > 0).cast("double"))).alias("score"))
 
 
-@query("register_factor")
+@query("register_factor", f"WITH {HELPERS} SELECT sym, dt::VARCHAR AS dt, round(1 - low / high, 6) + 0.0 AS value FROM h")
 def register_factor(spark, sf_dir):
-    """A factor of the caller's own, registered once and used by name."""
-    if "RANGE_SHARE" not in lib.REGISTRY:
-        lib.register_factor("RANGE_SHARE", "volume", "high low", lambda: F.try_divide(F.col("high") - F.col("low"), F.col("high")))
-    return lib.factors(panel.standard(spark, sf_dir), ["RANGE_SHARE"]).select("sym", "dt", digits(F.col("RANGE_SHARE")).alias("value"))
+    """A factor of the caller's own, in a table of its own, used by name."""
+    own = dict(lib.REGISTRY)
+    lib.register_factor("RANGE_SHARE", "volume", "high low", lambda: F.try_divide(F.col("high") - F.col("low"), F.col("high")), own)
+    return lib.factors(panel.standard(spark, sf_dir), ["RANGE_SHARE"], own).select("sym", "dt", digits(F.col("RANGE_SHARE")).alias("value"))
 
 
-@query("register_operator")
+@query("register_operator", f"{F_SQL} SELECT sym, dt::VARCHAR AS dt, round(CASE WHEN count(CASE WHEN elig THEN x END) OVER q = 0 THEN 0 WHEN elig THEN (x / 2 - avg(CASE WHEN elig THEN x / 2 END) OVER q) / (stddev_pop(CASE WHEN elig THEN x / 2 END) OVER q + 1e-6) END, 6) + 0.0 AS signal FROM f WINDOW q AS (PARTITION BY dt)")
 def register_operator(spark, sf_dir):
     """An operator of the caller's own, used in a formula."""
-    if "HALF" not in formula.OPERATORS:
-        formula.register_operator("HALF", 1, "row", lambda x: F.col(x) / 2)
-    own = formula.formula_signal(inputs(spark, sf_dir), {"half": ["x", "HALF"]}, ["x", "y", "z"])
-    return own.select("sym", "dt", digits(F.col("signal")).alias("signal"))
+    own = dict(formula.OPERATORS)
+    formula.register_operator("HALF", 1, "row", lambda x: F.col(x) / 2, own)
+    made = formula.formula_signal(inputs(spark, sf_dir), {"half": ["x", "HALF"]}, ["x", "y", "z"], own)
+    return made.select("sym", "dt", digits(F.col("signal")).alias("signal"))
 
 
-@query("ewm")
+@query("ewm", by_day(f"{EWM} SELECT sym, dt::VARCHAR AS dt, {', '.join(f'round({n}, 6) + 0.0 AS {n}' for n in EWM_NAMES)} FROM ew"))
 def ewm(spark, sf_dir):
-    own = lib.factors(panel.standard(spark, sf_dir), list(lib.EWM))
+    own = lib.factors(panel.standard(spark, sf_dir, daily=True), list(lib.EWM))
     return own.select("sym", "dt", *(digits(F.col(n)).alias(n) for n in lib.EWM))
 
 
-@query("normal_cdf")
+@query("normal_cdf", f"WITH {LONG} SELECT sym, dt::VARCHAR AS dt, factor_name, round({cdf_sql('value')}, 6) + 0.0 AS p FROM z")
 def normal_cdf(spark, sf_dir):
     """The normal distribution at standardised factor values."""
     own = standard_factors(spark, sf_dir)
     return own.select("sym", "dt", "factor_name", digits(protocol.normal_cdf(F.col("value"))).alias("p"))
 
 
-@query("normal_ppf")
+@query("normal_ppf", f"WITH {LONG} SELECT sym, dt::VARCHAR AS dt, factor_name, round(value, 5) + 0.0 AS z FROM z")
 def normal_ppf(spark, sf_dir):
     """Normal scores: the quantile of each value's share of the distribution gives the value back."""
     own = standard_factors(spark, sf_dir).withColumn("p", protocol.normal_cdf(F.col("value")))

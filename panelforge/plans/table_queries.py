@@ -15,8 +15,9 @@ from panelforge.plans.registry import query
 from panelforge.sources import files, fixtures
 
 # symbols made of keys: six digits and an exchange by remainder, some of them wrong
-CODE = "lpad(CAST((CASE {k} % 5 WHEN 0 THEN 600000 WHEN 1 THEN 300000 WHEN 2 THEN 1 WHEN 3 THEN 830000 ELSE 399001 END + {k} % 1000) AS VARCHAR), 6, '0')"
-SYMBOL = CODE + " || CASE {k} % 4 WHEN 0 THEN '.SH' WHEN 1 THEN '.SZ' WHEN 2 THEN '.BJ' ELSE '.SZ' END"
+CODE = "lpad(CAST((CASE {k} % 9 WHEN 0 THEN 600000 WHEN 1 THEN 300000 WHEN 2 THEN 1 WHEN 3 THEN 830000 WHEN 4 THEN 873900 WHEN 5 THEN 900001 WHEN 6 THEN 510000 WHEN 7 THEN 16 ELSE 399001 END + {k} % 1000) AS VARCHAR), 6, '0')"
+EXCHANGE = "CASE {k} % 4 WHEN 0 THEN '.SH' WHEN 1 THEN '.SZ' WHEN 2 THEN '.BJ' ELSE '.SZ' END || CASE WHEN {k} % 13 = 0 THEN ' ' ELSE '' END"
+SYMBOL = CODE + " || " + EXCHANGE
 
 
 def code(k: str):
@@ -24,14 +25,11 @@ def code(k: str):
 
 
 def symbol(k: str):
-    return F.concat(code(k), F.expr(f"CASE {k} % 4 WHEN 0 THEN '.SH' WHEN 1 THEN '.SZ' WHEN 2 THEN '.BJ' ELSE '.SZ' END"))
+    return F.concat(code(k), F.expr(EXCHANGE.format(k=k)))
 
 
-def quoted(xs) -> str:
-    return ", ".join(f"'{x}'" for x in xs)
-
-
-VALID = "regexp_full_match(s, '[0-9]{6}\\.(SH|SZ|BJ)') AND (" + " OR ".join(f"(s LIKE '%.{e}' AND substr(s, 1, 3) IN ({quoted(p)}))" for e, p in cl.PREFIXES.items()) + f") AND s NOT IN ({quoted(cl.INDEX_SYMBOLS)})"
+VALID = r"""(regexp_full_match(trim(s), '(60[0135]|68[89])[0-9]{3}\.SH|(00[0-3]|30[01])[0-9]{3}\.SZ|(430|83[0-9]|87[0-9]|920)[0-9]{3}\.BJ')
+  AND NOT regexp_matches(trim(s), '^000(016|300|688|852|902|903|904|905|906|907|922)'))"""
 CUST = f"k AS (SELECT c_custkey, {CODE.format(k='c_custkey')} AS code, {SYMBOL.format(k='c_custkey')} AS s FROM customer)"
 
 
@@ -41,19 +39,22 @@ def valid_symbol(spark, sf_dir):
     return own.withColumn("valid", cl.valid_symbol(F.col("sym")))
 
 
-@query("map_symbol", f"WITH {CUST} SELECT c_custkey, code || CASE WHEN code[1] IN ('6', '5') THEN '.SH' WHEN code[1] IN ('0', '1', '2', '3') THEN '.SZ' ELSE '.BJ' END AS sym FROM k")
+@query("map_symbol", f"WITH {CUST} SELECT c_custkey, code || CASE WHEN code[1] IN ('6', '9') THEN '.SH' WHEN code[1] IN ('4', '8') THEN '.BJ' ELSE '.SZ' END AS sym FROM k")
 def map_symbol(spark, sf_dir):
     return fixtures.read(spark, sf_dir, "customer").select("c_custkey", cl.map_symbol(code("c_custkey")).alias("sym"))
 
 
 @query(
     "clean_listing_date",
-    "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS list_date FROM orders",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 9 NOT IN (2, 8) THEN strftime(o_orderdate, '%Y-%m-%d') END AS list_date FROM orders",
 )
 def clean_listing_date(spark, sf_dir):
-    """Order dates written in four ways: compact, with dashes, broken, with a time."""
-    d = F.col("o_orderdate")
-    text = F.when(F.col("o_orderkey") % 4 == 0, F.date_format(d, "yyyyMMdd")).when(F.col("o_orderkey") % 4 == 1, F.date_format(d, "yyyy-MM-dd")).when(F.col("o_orderkey") % 4 == 2, F.concat(F.date_format(d, "yyyy"), F.lit("1345"))).otherwise(F.date_format(d, "yyyy-MM-dd HH:mm:ss"))
+    """Order dates written in many ways: compact, with dashes, slashes and without leading zeros, with a time, with the month's name, and broken."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 9
+    text = F.concat(F.date_format(d, "yyyy"), F.lit("1345"))
+    for n, pattern in enumerate(["yyyyMMdd", "yyyy-MM-dd", None, "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "yyyy-M-d", "yyyy/M/d", "MMM d, yyyy"]):
+        text = text if pattern is None else F.when(k == n, F.date_format(d, pattern)).otherwise(text)
+    text = F.when(k == 8, " ").otherwise(text)
     return fixtures.read(spark, sf_dir, "orders").select("o_orderkey", cl.clean_date(text).alias("list_date"))
 
 
@@ -74,19 +75,19 @@ def raw_bars(spark, sf_dir):
 @query(
     "normalize_bars",
     f"""WITH {RAW}, good AS (SELECT * FROM raw WHERE open > 0 AND high > 0 AND low > 0 AND close > 0 QUALIFY row_number() OVER (PARTITION BY sym, dt ORDER BY seq DESC) = 1)
-    SELECT sym, dt::VARCHAR AS dt, round(coalesce(pre_close, lag(close) OVER w, open), 8) + 0.0 AS pre_close, coalesce(volume, 0) + 0.0 AS volume,
+    SELECT sym, dt::VARCHAR AS dt, round(coalesce(last_value(pre_close IGNORE NULLS) OVER (PARTITION BY sym ORDER BY dt ROWS UNBOUNDED PRECEDING), open), 8) + 0.0 AS pre_close, coalesce(volume, 0) + 0.0 AS volume,
     round(coalesce(last_value(adj_factor IGNORE NULLS) OVER (PARTITION BY sym ORDER BY dt ROWS UNBOUNDED PRECEDING), first_value(adj_factor IGNORE NULLS) OVER (PARTITION BY sym ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) + 0.0 AS adj_factor
-    FROM good WINDOW w AS (PARTITION BY sym ORDER BY dt)""",
+    FROM good""",
 )
 def normalize_bars(spark, sf_dir):
     own = cl.normalize_bars(raw_bars(spark, sf_dir))
     return own.select("sym", "dt", digits(F.col("pre_close"), 8).alias("pre_close"), (F.col("volume") + 0.0).alias("volume"), digits(F.col("adj_factor")).alias("adj_factor"))
 
 
-@query("clean_stock_metadata", f"WITH {CUST}, m AS (SELECT *, c_custkey % 1000 AS r FROM k WHERE {VALID} QUALIFY row_number() OVER (PARTITION BY s ORDER BY c_custkey DESC) = 1) SELECT s AS sym, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 2 = 0 ELSE contains(upper(CASE WHEN c_custkey % 6 = 0 THEN '' ELSE c_name END), 'ST') END AS is_st FROM m JOIN customer USING (c_custkey)")
+@query("clean_stock_metadata", f"WITH {CUST}, m AS (SELECT *, c_custkey % 1000 AS r FROM k WHERE {VALID} QUALIFY row_number() OVER (PARTITION BY s ORDER BY c_custkey DESC) = 1) SELECT s AS sym, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE c_name END AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS industry, CASE WHEN c_custkey % 5 <> 0 THEN (DATE '1990-01-01' + (c_custkey % 9000)::INT)::VARCHAR END AS list_date, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 2 = 0 ELSE contains(upper(CASE WHEN c_custkey % 6 = 0 THEN '' ELSE c_name END), 'ST') END AS is_st FROM m JOIN customer USING (c_custkey)")
 def clean_stock_metadata(spark, sf_dir):
     k = F.col("c_custkey")
-    raw = fixtures.read(spark, sf_dir, "customer").select(symbol("c_custkey").alias("sym"), F.when(k % 6 != 0, F.col("c_name")).alias("name"), F.when(k % 3 == 0, k % 2 == 0).alias("is_st"), k.alias("seq"))
+    raw = fixtures.read(spark, sf_dir, "customer").select(symbol("c_custkey").alias("sym"), F.when(k % 6 != 0, F.col("c_name")).alias("name"), F.when(k % 4 != 0, F.col("c_mktsegment")).alias("industry"), F.when(k % 5 != 0, F.date_format(F.expr("date_add(date'1990-01-01', cast(c_custkey % 9000 as int))"), "yyyy/M/d")).alias("list_date"), F.when(k % 3 == 0, k % 2 == 0).alias("is_st"), k.alias("seq"))
     return cl.clean_stock_metadata(raw)
 
 
@@ -106,9 +107,9 @@ def clean_provider_bars(spark, sf_dir):
     return both.select("sym", "dt", digits(F.col("close"), 8).alias("close"), digits(F.col("turnover_rate"), 9).alias("turnover_rate"))
 
 
-@query("clean_earnings", f"WITH {REPORTS} SELECT sym, report_date::VARCHAR AS report_date, announce_date::VARCHAR AS announce_date, round(net_margin, 6) + 0.0 AS net_margin FROM reports")
+@query("clean_earnings", f"WITH {REPORTS} SELECT sym, report_date::VARCHAR AS report_date, announce_date::VARCHAR AS announce_date, round(CASE WHEN NOT isnan(profit_cum) THEN profit_cum / revenue_cum * 100 END, 6) + 0.0 AS net_margin FROM reports")
 def clean_earnings(spark, sf_dir):
-    raw = fixtures.fundamentals(spark, sf_dir).select("sym", "report_date", F.col("profit_cum").alias("profit"), F.col("revenue_cum").alias("revenue"))
+    raw = fixtures.fundamentals(spark, sf_dir).select("sym", "report_date", F.when(~F.isnan("profit_cum"), F.col("profit_cum")).alias("profit"), F.col("revenue_cum").alias("revenue"))
     return cl.clean_earnings(raw).select("sym", "report_date", "announce_date", digits(F.col("net_margin")).alias("net_margin"))
 
 

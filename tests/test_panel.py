@@ -110,7 +110,7 @@ def test_noise_is_not_significant(spark, sf_dir):
 
 def test_random_formulas_are_valid_and_repeatable(spark):
     names = ["a", "b"]
-    one, two = (sorted(tuple(r.tokens) for r in formula.random_formulas(spark, 200, names, seed=4).collect()) for _ in range(2))
+    one, two = (sorted(tuple(r.tokens) for r in formula.random_formulas(spark.range(200), names, seed=4).collect()) for _ in range(2))
     assert one == two and len(one) > 50
     assert all(formula.depth(list(t), set(names)) == 1 for t in one) and max(map(len, one)) > 3
 
@@ -125,3 +125,57 @@ def test_upserts(spark):
     new = spark.createDataFrame([(1, None, 3.0), (3, 9.0, None)], "k int, a double, b double")
     assert {tuple(r) for r in upserts.coalescing(old, new, ["k"]).collect()} == {(1, 1.0, 3.0), (2, 2.0, 5.0), (3, 9.0, None)}
     assert {tuple(r) for r in upserts.last_wins(old, new, ["k"]).collect()} == {(1, None, 3.0), (2, 2.0, 5.0), (3, 9.0, None)}
+
+
+def test_symbols_and_dates_as_the_exchanges_write_them(spark):
+    t = spark.createDataFrame([("000300.SZ",), ("000905.SH",), ("874001.BJ",), (" 600000.SH ",), ("900901.SH",), ("600000",), (None,)], "s string")
+    assert [r[0] for r in t.select(cleaning.valid_symbol(F.col("s"))).collect()] == [False, False, True, True, False, False, False]
+    t = spark.createDataFrame([("900901",), ("510300",), (" 600000",), ("300001",), ("430001",), ("200002",)], "s string")
+    assert [r[0] for r in t.select(cleaning.map_symbol(F.col("s"))).collect()] == ["900901.SH", "510300.SZ", "600000.SH", "300001.SZ", "430001.BJ", "200002.SZ"]
+    written = ["20200131", "2020-01-31", "2020/01/31", "2020-1-31", "2020/1/31 10:20", "Jan 31, 2020", "31 Jan 2020", "1/31/2020", "20201345", "soon", " ", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in written], "s string").select(cleaning.clean_date(F.col("s")).cast("string")).collect()]
+    assert got == ["2020-01-31"] * 8 + [None] * 4
+
+
+def test_each_report_series_stands_alone(spark):
+    """A report without earnings keeps its revenue, and NaN counts as missing."""
+    dates = ["2019-03-31", "2019-06-30", "2019-09-30", "2019-12-31", "2020-03-31"]
+    rows = [(1, d, d, 10.0 * k, 1.0 * k, None if k == 2 else float("nan") if k == 3 else 0.1 * k) for d, k in zip(dates, (1, 2, 3, 4, 1), strict=True)]
+    t = spark.createDataFrame(rows, "sym long, report_date string, announce_date string, revenue_cum double, profit_cum double, eps_cum double")
+    t = t.withColumn("report_date", F.to_date("report_date")).withColumn("announce_date", F.to_date("announce_date"))
+    got = {str(r.report_date): r for r in fundamentals.trailing_reports(t).collect()}
+    assert [got[d].revenue_ttm for d in dates] == [None, None, None, 40.0, 40.0] and [got[d].eps_ttm for d in dates] == [None] * 5
+
+
+def test_validation_windows_edges(spark):
+    ends = [2, 3, 10, 14, 40, 41]
+    t = spark.createDataFrame([(n, 0, n) for n in ends], "fold int, train_start int, train_end int")
+    got = {}
+    for r in protocol.validation_windows(t).orderBy("fold", "window").collect():
+        got.setdefault(r.fold, []).append((r.lo, r.hi))
+    assert got[2] == [(0, 2)] and got[3] == [(1, 3)] and got[10] == [(6, 10)]
+    assert got[14] == [(9, 14)] and got[40] == [(26, 29), (29, 32), (32, 35), (35, 40)] and got[41] == [(27, 30), (30, 33), (33, 36), (36, 41)]
+
+
+def test_normal_distribution_and_its_inverse(spark):
+    from statistics import NormalDist
+
+    xs = [-9.0, -6.0, -3.3, -1.0, -1e-9, 0.0, 0.5, 2.0, 4.9, 7.5]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(protocol.normal_cdf(F.col("x"))).collect()]
+    assert all(math.isclose(g, 0.5 * math.erfc(-x / math.sqrt(2)), rel_tol=1e-6, abs_tol=1e-13) for g, x in zip(got, xs, strict=True))
+    ps = [1e-12, 0.001, 0.02425, 0.3, 0.5, 0.9, 0.999999, 0.0, 1.0, None]
+    back = [r[0] for r in spark.createDataFrame([(p,) for p in ps], "p double").select(protocol.normal_ppf(F.col("p"))).collect()]
+    assert all(b is None if not p or p == 1 else math.isclose(b, NormalDist().inv_cdf(p), rel_tol=1e-8, abs_tol=1e-9) for b, p in zip(back, ps, strict=True))
+
+
+def test_constant_signals_have_no_score(spark):
+    days = spark.range(20).select(F.expr("date_add(date'2020-01-01', cast(id as int))").alias("dt"), F.col("id").cast("int").alias("sess"))
+    cells = days.crossJoin(spark.range(4).withColumnRenamed("id", "sym")).select("dt", "sym", F.lit(True).alias("elig"))
+    signals = cells.select(F.lit("flat").alias("formula_id"), "*", F.lit(1.0).alias("signal")).unionByName(cells.select(F.lit("moving").alias("formula_id"), "*", F.col("sym").cast("double").alias("signal")))
+    ranges = spark.createDataFrame([(1, 0, 15)], "fold int, train_start int, train_end int")
+    flat = protocol.flat_signals(signals, days, ranges)
+    assert [tuple(r) for r in flat.select("fold", "formula_id").collect()] == [(1, "flat")]
+    ics = days.select("sess", F.lit(0.1).alias("ic"), F.explode(F.array(F.lit("flat"), F.lit("moving"))).alias("formula_id"))
+    costs = ics.select("formula_id", "sess", F.lit(0.0).alias("cost"))
+    got = {r.formula_id: r for r in protocol.candidate_gates(protocol.score_candidates(ics, costs, protocol.validation_windows(ranges), flat=flat)).collect()}
+    assert got["flat"].reasons == ["constant signal"] and got["flat"].val_reward is None and not got["flat"].eligible and got["moving"].val_reward == 1.0

@@ -9,9 +9,9 @@ from panelforge.plans import panel_queries as pq
 def test_baselines_are_scored_and_traded(spark, sf_dir):
     got = entry.queries()["baseline_rows"](spark, sf_dir).collect()
     assert {r.formula_id for r in got} == set(pq.EVERY) and len(got) == len(pq.EVERY) * len({r.fold for r in got})
-    assert all(r.val_reward is not None and r.direction in (1, -1) for r in got)
+    assert all((r.val_reward is None) == (r.reasons == "constant signal") and r.direction in (1, -1) for r in got)
     assert all(abs(r.gross - r.cost - r.net) < 3e-6 for r in got if r.net is not None) and any(r.cost > 0 for r in got)
-    assert all(not r.eligible and "constant signal" in r.reasons for r in got if r.formula_id == "NORTHBOUND_CHG")
+    assert all(not r.eligible and r.reasons == "constant signal" for r in got if r.formula_id == "NORTHBOUND_CHG")
 
 
 def test_ablation_leaves_other_candidates_alone(spark, sf_dir):
