@@ -1,44 +1,74 @@
 """Personal data replaced by surrogates, with DataFrame functions alone.
 
-Found entities (mail and network addresses, telephone, card, bank and identity numbers, names behind a title) become keyed
-surrogates of the same type and shape: digits become digits and letters letters of the same case, in the places where the
-original has them; card numbers keep their network digit and a right check digit stays right; names come from lists by gender
-and script. All spellings of an entity share one canonical form and so one surrogate, across all documents. Surrogates are
-checked over the whole corpus: if two entities get the same one, or a surrogate is itself an entity of the corpus, the later
-entity draws again, until all are distinct. Mails that clash several times get a longer local part.
+Found entities (mail and network addresses, telephone, card, bank and identity numbers, dates of birth behind words that say so,
+names behind a title) become keyed surrogates of the same type and shape: digits become digits and letters letters of the same
+case, in the places where the original has them; card numbers keep their network digit and a right check digit stays right;
+names come from lists by gender and script (Latin, Cyrillic, Greek, Armenian; names in scripts without capitals are not found).
+Names without a title are not found. All spellings of an entity share one canonical form and so one surrogate, across all
+documents: a telephone number with and without its country's code, a date in any order. Digests are keyed (HMAC-SHA256).
+Surrogates are checked over the whole corpus: if two entities get the same one, or a surrogate is itself an entity of the
+corpus, the later entity draws again, until all are distinct. Mails and short network addresses that clash several times get longer.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import docs_text, stage
+from panelforge.llm.common import discard, docs_text, free_name, joined, spread, stage
 from panelforge.llm.spans import between, matched
 
 MAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{4}(?![\w-])"
+WORLD = r"(?<![\w+])(?=\+(?:[ ./()-]{0,2}\d){8,15}(?!\d))\+\d{1,3}(?:[ ./-]?\(?\d{2,8}\)?){2,5}(?![\w-])"
+NATIONAL = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{4}(?![\w-])"
+TRUNK = r"(?<![\w+./-])0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,5}(?![\w./-]\w)"
+PHONE = f"(?:{WORLD})|(?:{NATIONAL})|(?:{TRUNK})"
+ADDRESS6 = r"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"
+DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})"
+BORN = rf"(?<![\p{{L}}\p{{N}}])(?i:born(?: on)?|date of birth|DOB|geboren am|née? le|nacid[oa] el|родил(?:ся|ась))[: ]{{1,3}}{DATE}(?!\d)"
 ADDRESS = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
 IDENTITY = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 BANK = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
-MALE = r"Mr|Herr|Monsieur|Señor|Sr|г-н"
-FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|г-жа"
-NAME = rf"(?<!\w)(?:{MALE}|{FEMALE}|Dr|Prof)\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?"
+MALE = r"Mr|Herr|Monsieur|Señor|Sr|г-н|Κύριος|κ"
+FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|г-жа|Κυρία|κα"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|Dr|Prof)\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?"
 #: In the order in which a place in a text is tried.
-TYPES = {"mail": MAIL, "address": ADDRESS, "identity": IDENTITY, "phone": PHONE, "bank": BANK, "card": CARD, "name": NAME}
+TYPES = {"mail": MAIL, "address": ADDRESS, "address6": ADDRESS6, "born": BORN, "identity": IDENTITY, "phone": PHONE, "bank": BANK, "card": CARD, "name": NAME}
 ANY = "|".join(f"(?:{p})" for p in TYPES.values())
 #: Without one of these a text holds no entity.
-HINT = rf"[0-9@]|(?<!\w)(?:{MALE}|{FEMALE}|Dr|Prof)\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|Dr|Prof)\.? \p{{Lu}}"
 #: Surrogate names by script, gender and place; (any) stands for titles that do not tell.
 FIRST = {
     "latin": {"m": "Adam Bruno Carl David Erik Felix Georg Henry Ivan Jonas Karl Leon Marco Nils Oscar Paul Robin Simon Tom Victor", "f": "Anna Berta Clara Diana Elena Flora Greta Helen Irene Julia Karla Laura Maria Nina Olga Petra Rosa Sofia Tina Vera"},
     "cyrillic": {"m": "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим", "f": "Анна Вера Галина Дарья Елена Жанна Ирина Кира Лидия Мария"},
+    "greek": {"m": "Ανδρέας Γιώργος Δημήτρης Ηλίας Κώστας Νίκος Πέτρος Σπύρος", "f": "Άννα Ελένη Ιωάννα Κατερίνα Μαρία Σοφία Χριστίνα"},
+    "armenian": {"m": "Արամ Արմեն Գագիկ Դավիթ Հայկ Տիգրան", "f": "Անահիտ Գոհար Լիլիթ Մարիամ Նարե Սոնա"},
 }
 LAST = {
     "latin": "Abbot Berger Castell Dumont Ericson Falk Garner Holm Ibarra Jansen Keller Lindt Moreau Novak Olsen Perrin Quint Roth Salas Thorne Ullman Vidal Weber Yates Zeller",
     "cyrillic": "Волков Громов Дронов Ершов Жилин Зимин Котов Лавров Мохов Носов",
+    "greek": "Βασιλείου Γεωργίου Δήμου Ιωάννου Κωνσταντίνου Μάρκου Νικολάου Πέτρου",
+    "armenian": "Աբրահամյան Գրիգորյան Հակոբյան Մկրտչյան Պետրոսյան Սարգսյան",
 }
+#: Letters of each script for names that need a second part, in place of a to z.
+LETTERS = {"cyrillic": "абвгдежзиклмнопрстуфхцчшэю", "greek": "αβγδεζηθικλμνξοπρστυφχψωάέ", "armenian": "աբգդեզէըթժիլխծկհձղճմյնշոչպ"}
+SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "armenian": r"\p{IsArmenian}"}
+
+
+def keyed(key: str, message: Column) -> Column:
+    """HMAC-SHA256 in hexadecimal digits."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in raw)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key that ``spark.panelforge.surrogateKey`` names; where none is set, one that is no secret, for tests."""
+    return spark.conf.get("spark.panelforge.surrogateKey", None) or "no secret"
 
 
 def kind_of(found: Column) -> Column:
@@ -48,7 +78,21 @@ def kind_of(found: Column) -> Column:
 def canonical(kind: Column, found: Column) -> Column:
     """One form for all spellings: small letters for mail, digits for numbers, the name without its title."""
     name = F.concat_ws(":", F.when(found.rlike(rf"^(?:{FEMALE})\b"), "f").when(found.rlike(rf"^(?:{MALE})\b"), "m").otherwise("any"), F.regexp_replace(found, r"^\S+ ", ""))
-    return F.when(kind == "mail", F.lower(found)).when(kind == "address", found).when(kind == "name", name).when(kind == "bank", F.regexp_replace(found, " ", "")).otherwise(F.regexp_replace(found, "[^0-9]", ""))
+    return F.when(kind.isin("mail", "address6"), F.lower(found)).when(kind == "address", found).when(kind == "name", name).when(kind == "phone", national(found)).when(kind == "born", born(found)).when(kind == "bank", F.regexp_replace(found, " ", "")).otherwise(F.regexp_replace(found, "[^0-9]", ""))
+
+
+def national(found: Column) -> Column:
+    """A telephone number's digits without the country's code and leading zeros; ten digits of one without separators."""
+    digits = F.regexp_replace(F.regexp_replace(found, r"^\+\d{1,3}(?=[ ./(-])", ""), "[^0-9]", "")
+    digits = F.when(found.rlike(r"^\+\d{4}"), F.right(digits, F.lit(10))).otherwise(digits)
+    return F.regexp_replace(digits, "^0+(?=.)", "")
+
+
+def born(found: Column) -> Column:
+    """yyyy-MM-dd, or the digits of what is no date."""
+    d = F.regexp_extract(found, f"{DATE}$", 0)
+    made = F.coalesce(F.try_to_date(F.when(d.contains("-"), d), "yyyy-MM-dd"), F.try_to_date(F.when(~d.contains("-"), F.replace(d, F.lit("/"), F.lit("."))), "d.M.yyyy"))
+    return F.coalesce(F.date_format(made, "yyyy-MM-dd"), F.regexp_replace(d, "[^0-9]", ""))
 
 
 def letter(digest: Column, at: Column, letters: str) -> Column:
@@ -84,7 +128,7 @@ def pick(words: str, digest: Column, at: int) -> Column:
 
 def surrogate(kind: Column, form: Column, key: str, attempt: Column) -> Column:
     """The surrogate's canonical form."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, form, attempt.cast("string")).cast("binary"), 256)
+    digest = keyed(key, F.concat_ws("|", kind, form, attempt.cast("string")))
     # short mails have few surrogates of their shape: draws from the fourth on append letters, more of them from time to time
     wider = F.when(attempt > 3, like(F.repeat(F.lit("a"), F.least(F.lit(24), 4 + (attempt / 8).cast("int"))), F.sha2(digest.cast("binary"), 256))).otherwise("")
     mail = F.concat(like(F.substring_index(form, "@", 1), digest), wider, F.lit("@"), like(F.regexp_extract(form, r"@(.+)\.[a-z]+$", 1), F.reverse(digest)), F.lit(".example"))
@@ -95,39 +139,60 @@ def surrogate(kind: Column, form: Column, key: str, attempt: Column) -> Column:
     checked = F.concat(stem, F.substr(F.lit("0987654321"), luhn(F.concat(stem, F.lit("0"))) + 1, F.lit(1)))
     card = F.when(luhn(form) == 0, checked).otherwise(card)
     gender, rest = F.substring_index(form, ":", 1), F.regexp_replace(form, "^[a-z]+:", "")
-    script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    script = F.lit("latin")
+    for name, sign in SCRIPTS.items():
+        script = F.when(rest.rlike(sign), name).otherwise(script)
+
+    def of_script(pick_one) -> Column:
+        out = pick_one("latin")
+        for name in SCRIPTS:
+            out = F.when(script == name, pick_one(name)).otherwise(out)
+        return out
+
     male = (gender == "m") | ((gender == "any") & (F.substring(digest, 60, 1) < "8"))
-    named = lambda g: F.when(script == "cyrillic", pick(FIRST["cyrillic"][g], digest, 1)).otherwise(pick(FIRST["latin"][g], digest, 1))
-    first = F.when(male, named("m")).otherwise(named("f"))
-    last = F.when(script == "cyrillic", pick(LAST["cyrillic"], digest, 9)).otherwise(pick(LAST["latin"], digest, 9))
+    first = F.when(male, of_script(lambda s: pick(FIRST[s]["m"], digest, 1))).otherwise(of_script(lambda s: pick(FIRST[s]["f"], digest, 1)))
+    last = of_script(lambda s: pick(LAST[s], digest, 9))
     # names are few in the lists: a later draw adds a second part, so there are enough for any corpus
-    more = F.when(attempt > 0, F.concat(F.lit("-"), F.initcap(like(F.lit("abcdefgh"), F.reverse(digest))))).otherwise("")
-    more = F.when(script == "cyrillic", F.translate(more, "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэю")).otherwise(more)
+    word = like(F.lit("abcdefgh"), F.reverse(digest))
+    word = of_script(lambda s: F.translate(word, "abcdefghijklmnopqrstuvwxyz", LETTERS[s]) if s in LETTERS else word)
+    more = F.when(attempt > 0, F.concat(F.lit("-"), F.initcap(word))).otherwise("")
     parts = F.when(rest.rlike("[ -]"), F.concat(first, F.lit(" "), last, more)).otherwise(F.concat(last, more))
     name = F.concat_ws(":", gender, parts)
     bank = F.concat(F.substring(form, 1, 2), F.substr(like(form, digest), F.lit(3), F.length(form)))
-    phone = like(form, digest, F.greatest(F.length(form) - 10, F.lit(0)))  # the country's code stays
-    return F.when(kind == "mail", mail).when(kind == "address", address).when(kind == "phone", phone).when(kind == "card", card).when(kind == "name", name).when(kind == "bank", bank).otherwise(like(form, digest))
+    phone = F.concat(letter(digest, F.lit(1), "123456789"), F.substr(like(form, digest), F.lit(2), F.length(form)))
+    hexadecimal = F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), lambda i: F.when(F.substr(form, i, F.lit(1)) == ":", ":").otherwise(letter(digest, i * 3, "0123456789abcdef"))), "")
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substr(digest, i * 4 + 1, F.lit(4))), ":")
+    address6 = F.when(attempt > 3, whole).otherwise(hexadecimal)
+    date = F.date_format(F.expr("date'1900-01-01'") + (F.conv(F.substring(digest, 1, 7), 16, 10).cast("int") % 73_000), "yyyy-MM-dd")
+    date = F.when(form.contains("-"), date).otherwise(like(form, digest))
+    return F.when(kind == "mail", mail).when(kind == "address6", address6).when(kind == "born", date).when(kind == "address", address).when(kind == "phone", phone).when(kind == "card", card).when(kind == "name", name).when(kind == "bank", bank).otherwise(like(form, digest))
 
 
 def dressed(kind: Column, found: Column, made: Column) -> Column:
-    """The surrogate in the shape of the place: its separators, its title."""
+    """The surrogate in the shape of the place: its separators, its title, the digits before a telephone number's own."""
+    n_own = F.length(F.regexp_replace(found, "[^0-9A-Z]", ""))
+    before = F.greatest(n_own - F.length(made), F.lit(0))
     place = F.sequence(F.lit(1), F.length(found))
     signs = F.transform(place, lambda i: F.substr(found, i, F.lit(1)))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
         own = c.rlike("[0-9A-Z]")
-        return F.struct(F.when(own, acc["at"] + 1).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.when(own, F.substr(made, acc["at"] + 1, F.lit(1))).otherwise(c)).alias("out"))
+        return F.struct(F.when(own, acc["at"] + 1).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.when(own & (acc["at"] >= before), F.substr(made, acc["at"] - before + 1, F.lit(1))).otherwise(c)).alias("out"))
 
     filled = F.aggregate(signs, zero, step, lambda acc: acc["out"])
     title = F.regexp_extract(found, r"^\S+ ", 0)
-    return F.when(kind.isin("mail", "address"), made).when(kind == "name", F.concat(title, F.regexp_replace(made, "^[a-z]+:", ""))).otherwise(filled)
+    day = F.try_to_date(made, "yyyy-MM-dd")
+    written = F.when(found.rlike(r"\d-\d"), made).when(found.contains("/"), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
+    birth = F.concat(F.regexp_replace(found, f"{DATE}$", ""), F.coalesce(written, made))
+    return F.when(kind.isin("mail", "address", "address6"), made).when(kind == "born", birth).when(kind == "name", F.concat(title, F.regexp_replace(made, "^[a-z]+:", ""))).otherwise(filled)
 
 
 def distinct_surrogates(entities: DataFrame, key: str, most: int = 64) -> DataFrame:
     """``kind, form, made`` for distinct ``kind, form``: no two entities share a surrogate and none is an entity."""
-    fresh = lambda df, n: df.select("kind", "form", surrogate(F.col("kind"), F.col("form"), key, F.lit(n)).alias("made"))
+    tasks = spread(entities.sparkSession)
+    # digests are dear and rows few: they are dealt to all tasks
+    fresh = lambda df, n: df.repartition(tasks, "kind", "form").select("kind", "form", surrogate(F.col("kind"), F.col("form"), key, F.lit(n)).alias("made"))
     now = stage(fresh(entities, 0), "surrogates")
     for attempt in range(1, most):
         real = entities.select("kind", F.col("form").alias("made"), F.lit(True).alias("real"))
@@ -136,34 +201,40 @@ def distinct_surrogates(entities: DataFrame, key: str, most: int = 64) -> DataFr
         clash = stage(clash, "clashes")
         if clash.isEmpty():
             return now
-        now = stage(now.join(clash, ["kind", "form"], "left_anti").unionByName(fresh(clash, attempt)), "surrogates")
+        after = stage(now.join(clash, ["kind", "form"], "left_anti").unionByName(fresh(clash, attempt)), "surrogates")
+        discard(now, clash)
+        now = after
     raise ValueError("surrogates do not become distinct")
 
 
-def replaced(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
+def replaced(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with entities in ``text`` replaced, and the column ``n_entities``: how many were.
 
+    Who has ``key`` can tell surrogates from chance, so it is the caller's secret. If ``docs`` has a column ``n_entities`` that
+    one stays and the count's name gets an underscore.
+
     Texts without entities stay as they are; null and empty texts stay and have 0. Rows that repeat are treated alike, with equal
     surrogates; all columns stay and other columns of any name do not matter; a null ``doc_id`` stays null. An empty table
     gives no rows.
     """
-    columns = docs.columns
+    columns, count = docs.columns, free_name("n_entities", docs.columns)
     hit = F.coalesce(F.col("text").rlike(HINT), F.lit(False)) & F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    clean = docs.where(~hit).select(*columns, F.lit(0).cast("long").alias("n_entities"))
+    clean = docs.where(~hit).select(*columns, F.lit(0).cast("long").alias(count))
     own = docs.where(hit).select(F.struct(*columns).alias("row"), between(F.col("text"), ANY).alias("between"), matched(F.col("text"), ANY).alias("found"))
     own = stage(own.withColumn("n", F.monotonically_increasing_id()), "entities")
     each = own.select("n", F.posexplode("found").alias("at", "found")).withColumn("kind", kind_of(F.col("found"))).withColumn("form", canonical(F.col("kind"), F.col("found")))
     each = stage(each, "found")
-    made = distinct_surrogates(each.select("kind", "form").distinct(), key)
-    new = each.join(made, ["kind", "form"]).select("n", F.struct("at", dressed(F.col("kind"), F.col("found"), F.col("made")).alias("new")).alias("r"))
+    entities = stage(each.groupBy("kind", "form").agg(F.count(F.lit(1)).alias("times")), "distinct")
+    made = distinct_surrogates(entities.select("kind", "form"), key).join(entities, ["kind", "form"])
+    new = joined(each, made, ["kind", "form"], "times").select("n", F.struct("at", dressed(F.col("kind"), F.col("found"), F.col("made")).alias("new")).alias("r"))
     per_text = new.groupBy("n").agg(F.array_sort(F.collect_list("r")).alias("new"))  # as many as the text has
     done = own.drop("found").join(per_text, "n")
     text = F.concat(F.element_at("between", 1), F.array_join(F.zip_with(F.col("new"), F.slice("between", 2, F.size("new")), lambda r, b: F.concat(r["new"], b)), ""))
-    done = done.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns], F.size("new").cast("long").alias("n_entities"))
+    done = done.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns], F.size("new").cast("long").alias(count))
     if "n_chars" in columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(done)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replaced(docs_text(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return replaced(docs_text(spark.read.parquet(f"{sf_dir}/documents.parquet")), key_of(spark))

@@ -1,7 +1,10 @@
 """Corpus operators against plain versions, with nulls, empty and long texts, repeated rows, empty tables and clashing names."""
 
+import datetime
 import hashlib
+import hmac
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -291,7 +294,7 @@ def test_substring_decides_on_words(spark, copies, monkeypatch):
 def test_pii(spark):
     rows = [(1, "Call +1 (988) 555-2485 or +1-988-555-2485, A.b@Mail.com, a.b@mail.com. Mrs Anna Smith and Mr. Jones, г-н Петров."), (2, "card 4111 1111 1111 1111 / 4111111111111111 ip 10.0.0.1!! ssn 123-45-6789"), (3, None), (4, ""), (5, "nothing here, 2024-01-02 12:30 v1.2.3.4.5"), (None, "x@y.com"), (1, "Mr. Jones")]
     rows += [(100 + k, f"Herr Name{chr(97 + k % 26)}{chr(97 + k // 26)}x u{k}@a.org") for k in range(400)]
-    got = pii.replaced(table(spark, rows))
+    got = pii.replaced(table(spark, rows), "k")
     assert got.columns == [*table(spark, rows).columns, "n_entities"]
     out = {(r.doc_id, r.n_entities): r.text for r in got.collect()}
     one = out[1, 7]
@@ -306,7 +309,70 @@ def test_pii(spark):
     assert out[3, 0] is None and out[4, 0] == "" and out[5, 0] == rows[4][1]
     names = [re.search(r"Herr (\S+) (\S+)", out[100 + k, 2]).groups() for k in range(400)]
     assert len(set(names)) == 400 and len({n for n, _ in names}) == 400  # more entities than list entries: still distinct
-    assert pii.replaced(table(spark, rows).limit(0)).count() == 0
+    assert pii.replaced(table(spark, rows).limit(0), "k").count() == 0
+
+
+def plain_surrogate(kind, form, key="k", attempt=0):
+    """The definition in plain Python: HMAC digest, then a keyed character for each place."""
+    digest = hmac.new(key.encode(), f"{kind}|{form}|{attempt}".encode(), "sha256").hexdigest()
+    letter = lambda d, at, letters: letters[int(d[at % 62 : at % 62 + 2], 16) % len(letters)]
+
+    def like(text, d, begin=0):
+        out = ""
+        for i, c in enumerate(text, 1):
+            own = next((x for x in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in x), None)
+            out += c if own is None or i <= begin else letter(d, i * 3, own)
+        return out
+
+    if kind == "mail":
+        local, domain = form.split("@")
+        return like(local, digest) + "@" + like(domain.rpartition(".")[0], digest[::-1]) + ".example"
+    if kind == "phone":
+        return letter(digest, 1, "123456789") + like(form, digest)[1:]
+    if kind == "address":
+        return ".".join(str(int(digest[4 * k : 4 * k + 4], 16) % 254 + 1) for k in range(4))
+    if kind == "born":
+        return str(datetime.date(1900, 1, 1) + datetime.timedelta(int(digest[:7], 16) % 73_000))
+    if kind == "bank":
+        return form[:2] + like(form, digest)[2:]
+    if kind == "card":
+        made = like(form, digest, 1)
+        total = lambda n: sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(n))) % 10
+        return made if total(form) else made[:-1] + str(-total(made[:-1] + "0") % 10)
+    return like(form, digest)
+
+
+def test_surrogates_against_plain_python(spark):
+    found = {
+        "+1 988 555 2485": ("phone", "9885552485"), "988 555 2485": ("phone", "9885552485"), "+44 20 7946 0958": ("phone", "2079460958"), "020 7946 0958": ("phone", "2079460958"), "0171 2345678": ("phone", "1712345678"), "+49 171 2345678": ("phone", "1712345678"),
+        "Jo.Doe@Mail.org": ("mail", "jo.doe@mail.org"), "10.20.30.40": ("address", "10.20.30.40"), "DE89 3704 0044 0532 0130 00": ("bank", "DE89370400440532013000"), "4111 1111 1111 1111": ("card", "4111111111111111"), "123-45-6789": ("identity", "123456789"),
+        "born on 12.03.1985": ("born", "1985-03-12"), "DOB: 1985-03-12": ("born", "1985-03-12"), "born 12/03/1985": ("born", "1985-03-12"),
+    }
+    names = ["Dr Παπαδόπουλος", "Κυρία Ελένη Μάρκου", "Mrs Smith", "г-жа Орлова", "Dr Սարգսյան"]
+    six = ["2001:db8:0:1:1:1:1:1", "fe80::1ff:fe23:4567:890a"]
+    texts = [*found, *names, *six]
+    docs = spark.createDataFrame([(k, f"{t}", "mine", 9) for k, t in enumerate(texts)], "doc_id long, text string, N_Entities string, times int")
+    got = pii.replaced(docs, "k")
+    assert got.columns == ["doc_id", "text", "N_Entities", "times", "n_entities_"]
+    rows = {texts[r.doc_id]: r for r in got.collect()}
+    assert all(r.n_entities_ == 1 and r.N_Entities == "mine" and r.text != t for t, r in rows.items())
+    for t, (kind, form) in found.items():
+        made, new = plain_surrogate(kind, form), rows[t].text
+        if kind == "born":
+            y, m, d = made.split("-")
+            assert new == re.sub(r"\d.*", "", t) + (made if "-" in t else f"{d}/{m}/{y}" if "/" in t else f"{d}.{m}.{y}")
+        elif kind == "mail" or kind == "address":
+            assert new == made
+        else:
+            signs = re.sub("[^0-9A-Z]", "", new)
+            assert signs.endswith(made) and signs[: len(signs) - len(made)] == re.sub("[^0-9A-Z]", "", t)[: len(signs) - len(made)] and re.sub("[0-9A-Z]", "x", new) == re.sub("[0-9A-Z]", "x", t)
+    for t, script in zip(names, ("GREEK", "GREEK", "LATIN", "CYRILLIC", "ARMENIAN"), strict=True):
+        assert {unicodedata.name(c).split()[0] for c in rows[t].text.split(" ", 1)[1] if c.isalpha()} == {script} and rows[t].text.split()[0] == t.split()[0]
+    assert all(re.sub("[0-9a-f]", "x", rows[t].text) == re.sub("[0-9a-f]", "x", t) for t in six)
+    same = pii.replaced(docs, "other").collect()
+    assert all(r.text != rows[texts[r.doc_id]].text for r in same)
+    alone = [(1, "std::vector a::b, at 12:30:45, 2024-01-02, 0.123 4567 and version 1.2.3, pages 10-20, γυναίκα Μαρία, +1 and +22")]
+    assert pii.replaced(spark.createDataFrame(alone, "doc_id long, text string"), "k").first().text == alone[0][1]
 
 
 BASE = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
