@@ -32,12 +32,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by surrogates."""
-    return pii.replaced(docs).select(*docs.columns)
+    """Personal data are replaced by surrogates; texts without any stay as they are."""
+    return pii.replaced(docs, pii.key_of(spark)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in sequences of 1024: a row a piece, as ``packing.pack`` returns."""
+    """The documents' tokens in sequences of 1024: a row a piece, as ``packing.pack`` returns. An empty text is its end token."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
