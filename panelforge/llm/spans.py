@@ -19,15 +19,23 @@ def matched(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def sums(lengths: Column) -> Column:
+    """Running sums of an array, in rounds that double the reach: n log n steps, where appending one by one would take n squared."""
+    rounds = F.ceil(F.log2(F.size(lengths))).cast("int")
+
+    def add(acc: Column, k: Column) -> Column:
+        reach = F.pow(F.lit(2.0), k - 1).cast("int")
+        return F.transform(acc, lambda v, i: v + F.when(i >= reach, F.get(acc, i - reach)).otherwise(F.lit(0).cast("long")))
+
+    return F.when(F.size(lengths) < 2, lengths).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), lengths, add))
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, found>>, start inclusive, end exclusive, leftmost matches that do not overlap."""
     none = F.array().cast("array<struct<start:bigint,end:bigint,found:string>>")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["found"])
-        return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["found"].alias("found")))).alias("out"))
-
-    pairs = F.zip_with(F.slice(between(text, pattern), 1, F.greatest(F.size(matched(text, pattern)), F.lit(0))), matched(text, pattern), lambda b, f: F.struct(b.alias("before"), f.alias("found")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, begin, add, lambda acc: acc["out"])).otherwise(none)
+    found = matched(text, pattern)
+    lengths = F.zip_with(F.slice(between(text, pattern), 1, F.greatest(F.size(found), F.lit(0))), found, lambda b, f: (F.length(b) + F.length(f)).cast("long"))
+    # bound once by a transform over one element
+    ends = F.transform(F.array(lengths), sums)[0]
+    spans = F.zip_with(ends, found, lambda end, f: F.struct((end - F.length(f)).cast("long").alias("start"), end.alias("end"), f.alias("found")))
+    return F.when(text.rlike(pattern), spans).otherwise(none)

@@ -398,6 +398,32 @@ def test_secrets(spark, texts):
     assert secret_scan.scan(table(spark, rows).limit(0)).count() == 0
 
 
+def test_battery_is_calibrated(spark):
+    """Uniform strings have uniform p-values or higher ones, words have low ones, and what is reported is mostly not words."""
+    rng = np.random.default_rng(21)
+    drawn = lambda letters, n: "".join(rng.choice(list(letters), n))
+    b62, b64 = secret_scan.ALPHABETS[4][1], secret_scan.BASE64
+    sets = {(k, n): [drawn(letters, n) for _ in range(400)] for k, letters in (("hex", "0123456789abcdef"), ("62", b62), ("64", b64)) for n in (24, 40, 80)}
+    for key, strings in sets.items():
+        p = np.array([r[0] for r in spark.createDataFrame([(s,) for s in strings], "s string").select(secret_scan.p_value(F.col("s"))).collect()])
+        assert (p < 0.05).mean() <= 0.085 and (p < 0.5).mean() >= 0.2, key
+    vowels = ["".join(rng.choice(list("bdklmnrst")) + rng.choice(list("aeiou")) for _ in range(3)) for _ in range(300)]
+    rows = [(k, " ".join(rng.choice(vowels, 60)) + " " + "_".join(rng.choice(vowels, 9)) + (f" {drawn(b62, 48)}" if k % 4 == 0 else "")) for k in range(400)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(table(spark, rows)).collect()}
+    true = sum(got[k] != "" for k, _ in rows if k % 4 == 0)
+    false = sum(s.count("random") for s in got.values()) - true
+    assert true >= 85 and false <= 0.1 * true
+
+
+def test_positions_of_many_matches(spark):
+    text = " ".join(f"{k:x}" * 3 + "é" for k in range(5000))
+    from panelforge.llm import spans
+
+    got = spark.createDataFrame([(text,), ("a b",), ("no",), ("",)], "s string").select(spans.located(F.col("s"), "[a-f]+")).collect()
+    for (found,), s in zip(got, (text, "a b", "no", ""), strict=True):
+        assert [(x.start, x.end, x.found) for x in found] == [(m.start(), m.end(), m[0]) for m in re.finditer("[a-f]+", s)]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     """Documents of made-up words; toxic ones hold stems in changing forms."""
