@@ -16,10 +16,11 @@ def usable(vector: str) -> Column:
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
-    """``vec_id, embedding array<double>, label``; other columns are left out so that names cannot clash."""
+    """``vec_id, embedding, label``; other columns are left out so that names cannot clash. Floats stay floats, all else becomes double."""
+    kind = "array<float>" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     label = F.col("label") if "label" in embeddings.columns else F.lit(None)
-    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), label.cast("string").alias("label"))
+    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), label.cast("string").alias("label"))
 
 
 def matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
+    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))

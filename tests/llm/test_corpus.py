@@ -125,7 +125,9 @@ def test_nearest_and_links(spark):
         near = sorted((float(np.sqrt(((good[q][0] - v) ** 2).sum())), i) for i, (v, _) in good.items() if i != q and len(v) == len(good[q][0]))[:10]
         have = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
         assert [h[1] for h in have] == [i for _, i in near] and np.allclose([h[2] for h in have], [d for d, _ in near])
-    out = embed_dedup.near_duplicates(vector_table(spark, rows), 0.98, leaf_rows=64, block=100).collect()
+    rows += [(3000 + k, rows[400][1], 1, "d", 1, "l") for k in range(30)]  # equal vectors
+    good |= {3000 + k: (np.array(rows[400][1], float), 1) for k in range(30)}
+    out = embed_dedup.near_duplicates(vector_table(spark, rows), 0.98, leaf_rows=64, sample_rows=300, block=100).collect()
     links = {i: {j for j, (w, m) in good.items() if j != i and lab == m and lab is not None and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98} for i, (v, lab) in good.items()}
     found = {r.vec_id: r for r in out if r.vec_id is not None}
     assert len(found) == len({r[0] for r in rows}) - 1 and sum(r.vec_id is None for r in out) == 1
@@ -140,6 +142,27 @@ def test_nearest_and_links(spark):
     assert embed_dedup.near_duplicates(vector_table(spark, [])).count() == 0
 
 
+def test_deep_forest_finds_planted_links(spark):
+    """Ten levels and more, most of them fitted on new samples of their leaves: near copies in 64 dimensions are found."""
+    rng = np.random.default_rng(17)
+    base = rng.standard_normal((12_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    planted = {}
+    for k, cosine in enumerate([0.9801, 0.985, 0.99] * 400):
+        noise = rng.standard_normal(64)
+        noise -= noise @ base[k] * base[k]
+        planted[20_000 + k] = cosine * base[k] + np.sqrt(1 - cosine**2) * noise / np.linalg.norm(noise)
+    rows = [(k, [float(x) for x in v], 0, "d", 1, "l") for k, v in enumerate(base)] + [(k, [float(x) for x in v], 0, "d", 1, "l") for k, v in planted.items()]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, dim string, rank int, leaf string")
+    at = embed_dedup.placed(embed_dedup.vectors(t).withColumn("dim", F.size("embedding")).withColumn("times", F.lit(1).cast("long")), 0.98, 5, 16, 600, 4096, 11)
+    depth = at.select(F.explode("leaves").alias("l")).select(F.floor(F.log2(F.col("l").bitwiseAND((1 << embed_dedup.PATH_BITS) - 1))).alias("d")).agg(F.min("d"), F.max("d")).first()
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(t, 0.98, leaf_rows=16, sample_rows=600).collect()}
+    found = sum(got[k].n_links == 1 and got[k].component_id == k - 20_000 for k in planted)
+    print(f"depth {depth[0]} to {depth[1]}, found {found} of {len(planted)}")
+    assert depth[0] >= 6 and found >= 0.995 * len(planted)
+    assert sum(r.n_links for r in got.values()) <= 2 * len(planted)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 4000)] + [(5000, 5000)] + [(6000 + 2 * k, 6001 + 2 * k) for k in range(600)]
     got = {r.id: r.component_id for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
