@@ -1,14 +1,14 @@
 """Byte-level BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the UTF-8 bytes cuts each text where its content says so, so that passages which documents share fall
-into the same chunks. A chunk's inner part is encoded once and kept; at every join of two chunks the text from the last safe
-point of the left chunk to the first safe point of the right one is encoded again, so the ids agree with those of the
-whole text.
+into the same chunks. A chunk is encoded once and kept. At every join of two chunks the text around it is encoded again, from a
+word inside the left chunk to a word inside the right one, and the new ids have to agree with the chunks' own on these two words;
+only then what is beyond them is taken from the chunks. Where they do not agree, the whole text is encoded again.
 
-A safe point is a blank between two visible ASCII characters. The pre-tokenizer (`` ?\\p{L}+`` and its siblings) takes a
+Why they agree: both words begin and end at safe points. A safe point is a blank between two visible ASCII characters. The pre-tokenizer (`` ?\\p{L}+`` and its siblings) takes a
 blank only as the first character of a piece when a visible character follows, and no piece that ends before it looks
-beyond it, so a piece always begins there: ids left and right of it are independent. If a chunk has no safe point it is
-joined with its neighbours until there is one.
+beyond it, so a piece always begins there: ids left and right of it are independent. A chunk without two such words is
+joined with its neighbours until there are.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from panelforge.llm.common import batches, docs_text
+from panelforge.llm.common import batches, claim, docs_text
 
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose class is the same in every Unicode version and regular-expression engine; texts with others are
@@ -58,11 +58,13 @@ class Codec:
         self.tokenizer.no_padding()
         self.units: dict[str, bytes] = {}
         self.gear = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
-        self.chunks: dict[bytes, tuple[str, bytes, str] | None] = {}
-        self.chunk_bytes = 0
+        self.chunks: dict[bytes, tuple | None] = {}
+        self.chunk_bytes = self.met = self.reused = 0
         self.pieces = self._piece_bytes()
         #: The same merges by rank. A pair that joins to a vocabulary string of rank r can only stand side by side, once all
         #: merges below r are done, as the pair that the file lists, because each string encodes alone to its own id.
+        #: Where a string does not, the library encodes all texts.
+        self.exact = all([x.id for x in self.tokenizer.model.tokenize(s)] == [k] for s, k in self.tokenizer.get_vocab(with_added_tokens=False).items())
         own = self.tokenizer.get_vocab_size(with_added_tokens=False)
         self.merges = tiktoken.Encoding("pieces", pat_str=PIECES, mergeable_ranks={x: k for k, x in enumerate(self.pieces[:own])}, special_tokens={})
 
@@ -87,7 +89,7 @@ class Codec:
 
     def plain(self, text: str) -> bool:
         """Whether all white space is single blanks and line breaks between visible, common characters."""
-        return not (
+        return self.exact and not (
             SPECIAL in text or "  " in text or "\n\n" in text or "\n " in text or " \n" in text or "\t" in text or "\r" in text or text[-1:] in ("", " ", "\n") or FIRST in text or UNCOMMON.search(text)
         )
 
@@ -149,20 +151,27 @@ class Codec:
                 out.append(p)
         return out
 
-    def _inner(self, chunk: bytes) -> tuple[str, str, str] | None:
-        """The text before the first safe point, from there to the last one, and the rest; None without a safe point."""
-        if (first := SAFE.search(chunk)) is None:
+    def _parts(self, chunk: bytes) -> tuple[str, str, str, str, str] | None:
+        """The text before the first safe point, the word behind it, all from the first safe point to the last one, the word before the last one, and the rest."""
+        if (first := SAFE.search(chunk)) is None or (second := SAFE.search(chunk, first.end())) is None:
+            return None
+        p, q = first.start(), self._safe_before(chunk, len(chunk))
+        q1 = self._safe_before(chunk, q)
+        if q1 < second.start():
             return None
-        p, q = first.start(), chunk.rfind(b" ")
-        while not (0 < q < len(chunk) - 1 and 0x20 < chunk[q - 1] < 0x7F and 0x20 < chunk[q + 1] < 0x7F):
+        return chunk[:p].decode(), chunk[p : second.start()].decode(), chunk[p:q].decode(), chunk[q1:q].decode(), chunk[q:].decode()
+
+    @staticmethod
+    def _safe_before(chunk: bytes, end: int) -> int:
+        q = chunk.rfind(b" ", 0, end)
+        while q > 0 and not (q < len(chunk) - 1 and 0x20 < chunk[q - 1] < 0x7F and 0x20 < chunk[q + 1] < 0x7F):
             q = chunk.rfind(b" ", 0, q)
-        return chunk[:p].decode(), chunk[p:q].decode(), chunk[q:].decode()
+        return q
 
     def encode_chunked(self, texts: list[str]) -> list[bytes]:
-        """As :meth:`encode_batch`, by chunks that are encoded once and joins that are encoded again."""
+        """As :meth:`encode_batch`, by chunks that are encoded once and joins that are encoded again until they agree with the chunks."""
         if self.chunk_bytes > CHUNK_BYTES_KEPT:
-            self.chunks.clear()
-            self.chunk_bytes = 0
+            self.forget_chunks()
         cut: list[list[bytes] | None] = []
         for text in texts:
             if SPECIAL in text:  # special strings end pieces in their own way: the library takes the whole text
@@ -171,7 +180,10 @@ class Codec:
             data = text.encode()
             ends = [*self.cuts(data), len(data)]
             cut.append([data[a:b] for a, b in zip([0, *ends], ends)])
-        new = {c: self._inner(c) for c in set().union(*(c for c in cut if c)) - self.chunks.keys()}
+        new = {c: self._parts(c) for c in set().union(*(c for c in cut if c)) - self.chunks.keys()}
+        met = sum(len(c) for c in cut if c)
+        self.met, self.reused = self.met + met, self.reused + met - len(new)
+        inner = [x for x in new.items() if x[1] is not None]
         joins: list[str] = []
         for chunks in cut:
             if chunks is None:
@@ -179,30 +191,45 @@ class Codec:
             join = ""
             for chunk in chunks:
                 kept = new[chunk] if chunk in new else self.chunks[chunk]
-                if kept is None:  # no safe point yet: the join grows until both sides agree at one
+                if kept is None:
                     join += chunk.decode()
                 else:
-                    joins.append(join + kept[0])
-                    join = kept[2]
+                    joins.append(join + kept[0] + kept[1])
+                    join = kept[3] + kept[4]
             joins.append(join)
-        inner = [x for x in new.items() if x[1] is not None]
-        ids = self.encode_batch([*(x[1] for _, x in inner), *joins])
-        for (chunk, (head, _, tail)), one in zip(inner, ids):
-            self.chunks[chunk] = head, one, tail
-            self.chunk_bytes += len(chunk) + len(one) + 400
+        n = len(inner)
+        ids = self.encode_batch([*(x[2] for _, x in inner), *(x[1] for _, x in inner), *(x[3] for _, x in inner), *joins])
+        for k, (chunk, (head, first, _, last, tail)) in enumerate(inner):
+            self.chunks[chunk] = head, first, ids[k], last, tail, ids[n + k], ids[2 * n + k]
+            self.chunk_bytes += len(chunk) + len(ids[k]) + 600
         self.chunks.update((c, None) for c, x in new.items() if x is None)
-        join, out = iter(ids[len(inner) :]), []
+        join, out = iter(ids[3 * n :]), []
         for text, chunks in zip(texts, cut, strict=True):
             if chunks is None:
                 out.append(self.encode(text))
                 continue
-            made = []
+            made, left, agreed = [], b"", True
             for chunk in chunks:
-                if (kept := self.chunks[chunk]) is not None:
-                    made += [next(join), kept[1]]
-            out.append(b"".join([*made, next(join)]))
+                if (kept := self.chunks[chunk]) is None:
+                    continue
+                again, (_, _, own, _, _, first, last) = next(join), kept
+                # the join's ids, without the two words on which they agree with the chunks
+                agreed = agreed and again.startswith(left) and again.endswith(first) and own.startswith(first) and own.endswith(last) and len(again) >= len(left) + len(first)
+                made += [again[len(left) : len(again) - len(first)], own]
+                left = last
+            again = next(join)
+            agreed = agreed and again.startswith(left)
+            out.append(b"".join([*made, again[len(left) :]]) if agreed else self.encode(text))
         return out
 
+    def forget_chunks(self) -> None:
+        self.chunks.clear()
+        self.chunk_bytes = 0
+
+    def forget(self) -> None:
+        self.forget_chunks()
+        self.units.clear()
+
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
@@ -210,6 +237,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def forget() -> None:
+    """Without its vocabulary a worker holds nothing of this module."""
+    codec.cache_clear()
+
+
 def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Each document's ids (little-endian 32-bit) and the bytes of their decoding.
 
@@ -219,6 +251,7 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", forget)
         c = codec(vocabulary)
         for part in batches(parts, BATCH):
             ids, back = [], []
@@ -234,6 +267,7 @@ def encode_decode_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of :func:`encode_decode`, hashed where the bytes are made."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", forget)
         c = codec(vocabulary)
         for part in batches(parts, BATCH):
             n, ids, back = [], [], []

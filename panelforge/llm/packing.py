@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.bpe import BATCH, codec
-from panelforge.llm.common import batches, docs_text, stage
+from panelforge.llm.bpe import BATCH, codec, forget
+from panelforge.llm.common import batches, claim, discard, docs_text, stage
 
 #: (size class of the gap, first rank in it, size class of the piece, first rank in it, how many gaps, pieces for each)
 Match = tuple[int, int, int, int, int, int]
@@ -32,6 +32,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", forget)
         c, last = codec(vocabulary), np.array([end_id], "<u4").tobytes()
         for part in batches(parts, BATCH):
             rows: list[tuple] = []

@@ -2,11 +2,13 @@
 
 Before any text is read, every vocabulary string that ends a word is encoded alone; those that come back as exactly their
 own id are proven to be one token wherever they stand as a piece. Texts are cut into pieces, pieces on that list count one
-each, and only the rest goes through the merges.
+each, and only the rest goes through the merges. Nothing that the library does looks beyond white space, so words with characters of
+which normalizers and regular-expression engines may think differently are sent to it one by one, and their texts are not.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -19,15 +21,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import batches
+from panelforge.llm.common import batches, claim
 
 #: The word splitter of the vocabulary file.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Outside these characters the library's own normalizer and splitter are used: inside them NFC changes nothing, lower case
+#: For words with other characters the library's own normalizer and splitter are used: inside them NFC changes nothing, lower case
 #: is letter by letter, and all regular-expression engines agree on classes.
 UNCOMMON = re.compile("[^\t\n\r\x20-\x7e¡-įı-ɏ‐-‧€]")
 WORD_END = "</w>"
 KEPT = 400_000
+#: Longer words are counted and not remembered.
+LONGEST_KEPT = 64
 #: Rows counted together.
 BATCH = 1000
 
@@ -40,6 +44,8 @@ class Counter:
         self.tokenizer = t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
+        if f'"Regex":{json.dumps(PIECES)}' not in re.sub(r'"Regex": ?', '"Regex":', t.to_str()):
+            raise ValueError(f"{path} splits words in another way")
         self.split = regex.compile(PIECES).findall
         self.special = {x.content: k for k, x in t.get_added_tokens_decoder().items()}
         self.whole = dict.fromkeys(self.whole_tokens(), 1)
@@ -64,7 +70,9 @@ class Counter:
             self.words.clear()
         if len(self.pieces) > KEPT:
             self.pieces = dict(self.whole)
-        new = {w: self.split(w.lower()) for w in words if w not in self.words}
+        odd = [w for w in words if w not in self.words and UNCOMMON.search(w)]
+        own = dict(zip(odd, (len(e.ids) for e in self.tokenizer.encode_batch(odd, add_special_tokens=False)), strict=True)) if odd else {}
+        new = {w: self.split(w.lower()) for w in words if w not in self.words and w not in own}
         rest = [*(set().union(*new.values()) - self.pieces.keys())]
         for at in range(0, len(rest), 5000):
             part = rest[at : at + 5000]  # blanks keep the pieces apart and are dropped
@@ -72,11 +80,12 @@ class Counter:
             self.pieces.update(zip(part, np.bincount(made.word_ids, minlength=len(part)).tolist(), strict=True))
         get = self.pieces.__getitem__
         for w, pieces in new.items():
-            self.words[w] = sum(map(get, pieces))
-        return [self.words[w] for w in words]
+            own[w] = sum(map(get, pieces))
+        self.words.update((w, k) for w, k in own.items() if len(w) <= LONGEST_KEPT)
+        return [self.words[w] if w in self.words else own[w] for w in words]
 
     def count_batch(self, texts: list[str]) -> list[int]:
-        plain = [not (UNCOMMON.search(t) or any(x in t for x in self.special)) for t in texts]
+        plain = [not any(x in t for x in self.special) for t in texts]
         lists = pc.ascii_split_whitespace(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
         words = lists.flatten().dictionary_encode()
         each = np.array(self.learn(words.dictionary.to_pylist()), np.int64)[words.indices.to_numpy()]
@@ -91,6 +100,10 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+def forget() -> None:
+    counter.cache_clear()
+
+
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs``, over whole texts.
 
@@ -99,6 +112,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_count", forget)
         c = counter(vocabulary)
         for part in batches(parts, BATCH):
             n = c.count_batch(part.column("text").to_pylist())
