@@ -208,7 +208,7 @@ def deeper(now: DataFrame, schema: str, threshold: float, leaf_rows: int, sample
     return now
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, trees: int = 5, leaf_rows: int = 2048, sample_rows: int = 20_000, block: int = 4096, seed: int = 11) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, trees: int = 5, leaf_rows: int = 2048, sample_rows: int = 10_000, block: int = 4096, seed: int = 11) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each vector; links join equal labels with a cosine of ``threshold`` or more.
 
     Vectors that are null, empty or zero, hold a null or non-finite component, or have no label link with nothing. Rows

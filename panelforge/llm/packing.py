@@ -151,9 +151,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024
     no rows, other columns are left out.
     """
     cut = stage(pieces(docs, vocabulary, end_id, capacity), "packing-pieces")
-    salts = int(min(4096, max(16, cut.count() // 100_000)))
+    largest = cut.groupBy("length").count().agg(F.max("count")).first()[0] or 0
+    salts = int(max(16, largest // 100_000))
     key = ("doc_id", "piece", "ids_crc32")
     items = stage(ranked(cut, "length", salts, *key), "packing-items")
+    discard(cut)
     at = best_fit(items.select("length", "rank"), capacity, salts)
     return items.join(at, ["length", "rank"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -200,10 +200,11 @@ class Network:
 
 
 def train(texts: list[str], toxic: np.ndarray, epochs: int = 4, lanes: int = 256, windows_per_epoch: int = 10_000, seed: int = 3) -> Network:
-    """Fit a network to texts and their labels (0 or 1)."""
+    """Fit a network to texts and their labels (0 or 1). Where only one of the labels, or none, is seen, all scores are (nearly) 0."""
     rng = np.random.default_rng(seed)
     net = Network.fresh(rng)
     if not len(texts) or toxic.min() == toxic.max():
+        net.p["b"] = net.p["b"] - np.float32(30)
         return net
     words, codes, ends = split_words(texts)
     row, grams, begins = word_features(words)
@@ -317,7 +318,8 @@ def scores(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> DataFra
 
     The network is trained from :func:`sample` (its bound is a parameter, that of each text ``FIT_WORDS``); nothing but texts is an input. Null and
     empty texts are scored as a window without words. A null ``doc_id`` stays null and is not held out; rows that repeat get the
-    same score; other columns are left out. With labels of one class only, or none, the network stays untrained.
+    same score; other columns are left out. With labels of one class only, or none,
+    nothing is known: all scores are (nearly) 0.
     """
     net = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, per_class))  # of fixed size
 

@@ -498,15 +498,46 @@ def test_gradients():
             assert abs((up - down) / (2 * step) - grads[name].reshape(-1)[at]) < 5e-3 * max(1, abs(grads[name].reshape(-1)[at])), name
 
 
-def test_pipeline(spark, sf_dir):
+def words(text):
+    return b" ".join((text or "").encode().split())
+
+
+def test_pipeline_stages_do_what_their_operators_decide(spark, sf_dir):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash near-dedup", "substring dedup", "pii surrogates", "best-fit packing"]
-    out = corpus_pipeline.run(spark, sf_dir)
-    pieces = out.toPandas()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, step in corpus_pipeline.STAGES[1:4]:
-        made = step(spark, docs, sf_dir)
-        assert made.columns == docs.columns
-        docs = made
-    kept = {r.doc_id for r in docs.select("doc_id").collect()}
-    assert set(pieces.doc_id) <= kept and len(set(pieces.doc_id)) > 0.7 * len(kept)
-    assert pieces.groupby("sequence_id").length.sum().max() <= 1024
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = lambda df: {r.doc_id: r for r in df.collect()}
+    steps = dict(corpus_pipeline.STAGES)
+    bad = {r.doc_id for r in toxicity.scores(docs, labels).where("predicted = 1").collect()}
+    one = steps["toxicity"](spark, docs, sf_dir)
+    assert one.columns == docs.columns and rows(one) == {k: r for k, r in rows(docs).items() if k not in bad or not words(r.text)}
+    kept = {r.doc_id for r in minhash.near_duplicates(one, 80).where("kept").collect()}
+    two = steps["minhash near-dedup"](spark, one, sf_dir)
+    assert two.columns == docs.columns and rows(two) == {k: r for k, r in rows(one).items() if k in kept} and len(kept) < one.count()
+    want = {r.doc_id: r.kept_sha256 for r in substring.kept_digests(two).collect()}
+    three = steps["substring dedup"](spark, two, sf_dir)
+    assert three.columns == docs.columns and {k: hashlib.sha256(words(r.text)).hexdigest() for k, r in rows(three).items()} == want
+    four = steps["pii surrogates"](spark, three, sf_dir)
+    assert four.columns == docs.columns and {k: r.text for k, r in rows(four).items()} == {r.doc_id: r.text for r in pii.replaced(three, pii.key_of(spark)).collect()}
+    t, sizes = Tokenizer.from_file(BYTE), defaultdict(int)
+    for r in steps["best-fit packing"](spark, four, sf_dir).collect():
+        sizes[r.doc_id] += r.length
+    assert sizes == {k: len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for k, r in rows(four).items()}
+    got = corpus_pipeline.run(spark, sf_dir).toPandas()
+    assert got.groupby("doc_id").length.sum().to_dict() == dict(sizes) and got.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_pipeline_takes_odd_tables(spark, tmp_path, copies):
+    """Nulls in all columns, empty and long texts, repeated rows, columns with clashing names, no labels; and an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, plan string, n_entities int, rank int, head long, label string"
+    for name, own in (("odd", copies), ("empty", [])):
+        spark.createDataFrame([(i, t, None, None, len(t) if t else None, "p", 4, 5, 6, None) for i, t in own], schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(0, None, None), (None, 1, 1)] if own else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, step in corpus_pipeline.STAGES[:4]:
+            made = step(spark, docs, f"{tmp_path}/{name}")
+            assert made.columns == docs.columns
+            docs = common.stage(made, "odd")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        assert sorted({r.doc_id for r in out.collect()}, key=str) == sorted({r.doc_id for r in docs.collect()}, key=str)
+        assert {r.n_entities for r in docs.collect()} <= {4} and docs.count() == (50 if own else 0)
