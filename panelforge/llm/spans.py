@@ -30,12 +30,17 @@ def sums(lengths: Column) -> Column:
     return F.when(F.size(lengths) < 2, lengths).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), lengths, add))
 
 
+def bind(x: Column, f) -> Column:
+    """``f`` of ``x``, which is computed once however often ``f`` names it: a transform over one element."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, found>>, start inclusive, end exclusive, leftmost matches that do not overlap."""
     none = F.array().cast("array<struct<start:bigint,end:bigint,found:string>>")
-    found = matched(text, pattern)
-    lengths = F.zip_with(F.slice(between(text, pattern), 1, F.greatest(F.size(found), F.lit(0))), found, lambda b, f: (F.length(b) + F.length(f)).cast("long"))
-    # bound once by a transform over one element
-    ends = F.transform(F.array(lengths), sums)[0]
-    spans = F.zip_with(ends, found, lambda end, f: F.struct((end - F.length(f)).cast("long").alias("start"), end.alias("end"), f.alias("found")))
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+
+    def placed(x: Column) -> Column:
+        lengths = F.zip_with(F.slice(x["before"], 1, F.size(x["found"])), x["found"], lambda b, f: (F.length(b) + F.length(f)).cast("long"))
+        return F.zip_with(bind(lengths, sums), x["found"], lambda end, f: F.struct((end - F.length(f)).cast("long").alias("start"), end.alias("end"), f.alias("found")))
+
+    return F.when(text.rlike(pattern), bind(F.struct(matched(text, pattern).alias("found"), between(text, pattern).alias("before")), placed)).otherwise(none)
