@@ -336,14 +336,13 @@ def not_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> Data
     """The rows of ``docs``, all columns, whose text scores below 0.5, and those without words; other cases as in :func:`scores`."""
     net = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, per_class))
 
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
-
-        texts = [t or "" for t in text]
-        return pd.Series(np.concatenate([net.value.score(texts[k : k + BATCH]) for k in range(0, len(texts), BATCH)]) if texts else [], dtype="float64")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches(parts, BATCH):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            keep = [bool(s < 0.5) or not t.encode().split() for s, t in zip(net.value.score(texts), texts, strict=True)]
+            yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.where((score("text") < 0.5) | ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

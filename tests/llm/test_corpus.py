@@ -540,4 +540,5 @@ def test_pipeline_takes_odd_tables(spark, tmp_path, copies):
         out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
         assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
         assert sorted({r.doc_id for r in out.collect()}, key=str) == sorted({r.doc_id for r in docs.collect()}, key=str)
-        assert {r.n_entities for r in docs.collect()} <= {4} and docs.count() == (50 if own else 0)
+        assert {r.n_entities for r in docs.collect()} <= {4}
+        assert {r.doc_id for r in docs.collect()} >= ({*range(200, 240), 302, 304, 305, 306, 307, 309, None} if own else set())
