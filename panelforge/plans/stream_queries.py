@@ -22,9 +22,8 @@ def events(spark, sf_dir):
 def streamed_bars(spark, source):
     """Bars of all windows, open ones too, and the number of late rows."""
     out, schema = scratch(spark, "bars-stream"), "sym long, start timestamp, open double, high double, low double, close double, n long"
-    q = st.run_available(st.bars_from_events(source.withColumn("ts", F.col("ts").cast("timestamp"))), scratch(spark, "ck"), sink=st.upsert_into(out, ["sym", "start"], schema), mode="update")
-    last = max(p["batchId"] for p in q.recentProgress) if q.recentProgress else 0
-    return spark.read.schema(schema).parquet(f"{out}/v{last}"), st.late_rows(q)
+    q = st.run_available(st.bars_from_events(source.withColumn("ts", F.col("ts").cast("timestamp"))), scratch(spark, "ck"), sink=st.upsert_into(out), mode="update")
+    return st.upserted(spark, out, ["sym", "start"], schema), st.late_rows(q)
 
 
 @query("stream_bar_agg", "SELECT user_id AS sym, strftime(ts, '%Y-%m-%d') AS start, round(arg_min(value, (ts, event_id)), 6) + 0.0 AS open, round(max(value), 6) + 0.0 AS high, round(min(value), 6) + 0.0 AS low, round(arg_max(value, (ts, event_id)), 6) + 0.0 AS close, count(*) AS n FROM events GROUP BY 1, 2")
@@ -43,11 +42,10 @@ def stream_bars_upsert(spark, sf_dir):
 
     def merge(batch, number):
         latest = batch.groupBy("sym", "hour").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
-        st.upsert_into(out, ["sym", "hour"], schema)(latest, number)
+        st.upsert_into(out)(latest, number)
 
-    q = st.run_available(keyed, scratch(spark, "ck"), sink=merge)
-    last = max(p["batchId"] for p in q.recentProgress) if q.recentProgress else 0
-    return spark.read.schema(schema).parquet(f"{out}/v{last}").select("sym", "hour", digits(F.col("value"), 8).alias("value"))
+    st.run_available(keyed, scratch(spark, "ck"), sink=merge)
+    return st.upserted(spark, out, ["sym", "hour"], schema, "seq").select("sym", "hour", digits(F.col("value"), 8).alias("value"))
 
 
 @query("stream_quality_gate", "SELECT CASE WHEN user_id % 5 = 0 THEN 'no symbol' WHEN NOT value > 10 THEN 'bad value' ELSE 'good' END AS outcome, count(*) AS n FROM events GROUP BY 1")

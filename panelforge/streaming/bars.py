@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from panelforge.operators.upserts import last_wins
-
 
 def read_files(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
@@ -37,20 +35,32 @@ def quality_split(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
-def upsert_into(path: str, keys: list[str], schema: StructType | str):
-    """A ``foreachBatch`` function: merge a batch into the table at ``path``.
+def upsert_into(path: str):
+    """A ``foreachBatch`` function: add a batch's rows to the keyed table at ``path`` (:func:`upserted` reads it).
 
-    Each batch writes a version of its own, named after its number, so a batch that runs again writes the same version again.
+    A batch writes its own rows alone, under its number, so work is that of the batch, not of the table, and a batch that runs again
+    replaces its own files.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.schema(schema).parquet(f"{path}/v{number - 1}") if number else spark.createDataFrame([], schema)
-        last_wins(old, batch.select(*old.columns), keys).write.mode("overwrite").parquet(f"{path}/v{number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return run
 
 
+def upserted(spark: SparkSession, path: str, keys: list[str], schema: str, seq: str | None = None) -> DataFrame:
+    """The table that batches were added to: for each key the row with the highest ``seq``, of equal ones that of the latest batch."""
+    own = spark.read.schema(f"{schema}, batch long").parquet(path)
+    rest = [c for c in own.columns if c not in (*keys, "batch")]
+    order = F.struct(*([seq] if seq else []), "batch")
+    return own.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+
+
+def compact(spark: SparkSession, path: str, to: str, keys: list[str], schema: str, seq: str | None = None) -> None:
+    """Write the table at ``path`` anew at ``to``, one row a key, as batch -1 of a table that later batches can be added to."""
+    upserted(spark, path, keys, schema, seq).write.mode("overwrite").parquet(f"{to}/batch=-1")
+
+
 def gate_into(good_path: str, rejected_path: str):
     """A ``foreachBatch`` function with two sinks; a batch that runs again replaces its own files."""
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from panelforge.plans import stream_queries
+from panelforge.streaming import bars
 from test_whole_job import duck, equal  # noqa: F401
 
 
@@ -21,3 +22,16 @@ def test_late_rows_are_counted(spark, tmp_path):
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     own, late = stream_queries.streamed_bars(spark, source)
     assert late == 1 and own.count() == 2
+
+
+def test_batches_write_their_own_rows_alone(spark, tmp_path):
+    """Later batches win, a batch that runs again changes nothing, and compaction keeps the table."""
+    path, schema = str(tmp_path / "t"), "sym long, value double, at long"
+    sink = bars.upsert_into(path)
+    for number, rows in enumerate([[(1, 1.0, 5), (2, 2.0, 5)], [(1, 3.0, 4)], [(3, 9.0, 1)]]):
+        for _ in range(2):
+            sink(spark.createDataFrame(rows, schema), number)
+    table = lambda p, seq=None: sorted((r.sym, r.value) for r in bars.upserted(spark, p, ["sym"], schema, seq).collect())
+    assert table(path) == [(1, 3.0), (2, 2.0), (3, 9.0)] and table(path, "at") == [(1, 1.0), (2, 2.0), (3, 9.0)]
+    bars.compact(spark, path, str(tmp_path / "u"), ["sym"], schema)
+    assert table(str(tmp_path / "u")) == table(path) and spark.read.parquet(str(tmp_path / "u")).count() == 3
