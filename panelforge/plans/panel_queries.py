@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import factors as lib
 from panelforge.functions.numeric import digits
 from panelforge.operators import fundamentals, panel, quality, returns, universe
-from panelforge.plans.base_sql import BARS, HELPERS, PANEL, by_day
+from panelforge.plans.base_sql import BARS, EWM, EWM_NAMES, FACTORS, HELPERS, PANEL, by_day
 from panelforge.plans.formula_queries import SIGNALS, signals
 from panelforge.plans.registry import query
 from panelforge.sources import fixtures
@@ -445,12 +445,37 @@ for _name in ("MARGIN_BALANCE_CHG", "INDUSTRY_MOMENTUM"):
     _outside(_name, 6)
 
 
-# -- the same over all features of the registry; the queries above answer to SQL over CHOSEN
+# -- the same over all features of the registry
 
 #: Registered here, not what callers add later.
 EVERY = list(lib.REGISTRY)
 
 
+def feature_sql(name: str) -> str:
+    """``sym, dt, factor_name, value`` of one feature, from the tables of :data:`LONG_ALL`."""
+    head = f"SELECT sym, dt, '{name}' AS factor_name, "
+    if name in FACTORS:
+        x = FACTORS[name]
+        return f"{head}v AS value FROM ({x})" if x.lstrip().startswith("SELECT") else f"{head}CAST({x} AS DOUBLE) AS value FROM h"
+    if name in EWM_NAMES:
+        return f"{head}{name} AS value FROM ew"
+    if name in LEVEL:
+        return f"{head}{asof(name).replace('ttm t', 'lv t')} AS value FROM panel p"
+    return f"{head}{name} AS value FROM {({'MARGIN_BALANCE_CHG': 'mbc', 'INDUSTRY_MOMENTUM': 'imo'}).get(name, 'valued')}"
+
+
+LONG_ALL = f"""{EWM.replace("panel AS (", "panel AS MATERIALIZED (").replace(chr(10) + "h AS (", chr(10) + "h AS MATERIALIZED (")}{VALUED[len(PANEL):]}{LEVELS[len(REPORTS):]},
+mbc AS (SELECT sym, dt, rzye / lag(rzye, 20) OVER (PARTITION BY sym ORDER BY sess) - 1 AS MARGIN_BALANCE_CHG FROM (SELECT sym, dt, sess, CASE WHEN sym % 7 <> month(dt) % 7 THEN amount * (1 + sym % 3) END AS rzye FROM panel)),
+idx AS (SELECT industry, sess, c / lag(c, 20) OVER (PARTITION BY industry ORDER BY sess) - 1 AS v FROM (SELECT industry, sess, avg(close) AS c FROM panel GROUP BY 1, 2)),
+imo AS (SELECT p.sym, p.dt, idx.v AS INDUSTRY_MOMENTUM FROM panel p LEFT JOIN idx USING (industry, sess)),
+features AS ({' UNION ALL '.join(map(feature_sql, EVERY))}),
+long AS MATERIALIZED (SELECT sym, dt, sess, elig, factor_name, CASE WHEN isfinite(value) THEN value END AS value FROM features JOIN panel USING (sym, dt)),
+{LONG[LONG.index("z1 AS ("):]}"""
+FAMILIES = ", ".join(f"('{n}', '{lib.REGISTRY[n].family}')" for n in EVERY)
+ZSCORED_ALL = ZSCORED.replace(f"WITH {LONG}", LONG_ALL)
+CORR_ALL = CORR[: CORR.index("fam AS (")].replace(f"WITH {LONG}", LONG_ALL) + f"fam AS (SELECT * FROM (VALUES {FAMILIES}) f(factor_name, family))"
+
+
 def with_all_outside(spark, sf_dir):
     """The standard panel with every ``ext_<name>``."""
     own, reports = panel.standard(spark, sf_dir), fixtures.fundamentals(spark, sf_dir)
@@ -486,23 +511,23 @@ def all_families(spark):
     return spark.createDataFrame([(n, lib.REGISTRY[n].family) for n in EVERY], "factor_name string, family string")
 
 
-@query("factor_long_all")
+@query("factor_long_all", f"{LONG_ALL} SELECT sym, {D}, factor_name, round(value, CASE factor_name WHEN 'MARKET_CAP' THEN 0 ELSE 6 END) + 0.0 AS value FROM long")
 def factor_long_all(spark, sf_dir):
-    return all_long(spark, sf_dir).select("sym", "dt", "factor_name", digits(F.col("value")).alias("value"))
+    return all_long(spark, sf_dir).select("sym", "dt", "factor_name", F.when(F.col("factor_name") == "MARKET_CAP", digits(F.col("value"), 0)).otherwise(digits(F.col("value"))).alias("value"))
 
 
-@query("winsor_robust_z_all")
+@query("winsor_robust_z_all", f"{LONG_ALL} SELECT sym, {D}, factor_name, round(value, 6) + 0.0 AS value FROM z")
 def winsor_robust_z_all(spark, sf_dir):
     return all_standard(spark, sf_dir).select("sym", "dt", "factor_name", digits(F.col("value")).alias("value"))
 
 
-@query("factor_panel_all")
+@query("factor_panel_all", f"{LONG_ALL} SELECT sym, {D}, {', '.join(f'round(max(CASE WHEN factor_name = {chr(39)}{n}{chr(39)} THEN value END), 6) + 0.0 AS {n}' for n in EVERY)} FROM z GROUP BY sym, z.dt")
 def factor_panel_all(spark, sf_dir):
     own = all_standard(spark, sf_dir).groupBy("sym", "dt").pivot("factor_name", EVERY).agg(F.first("value"))
     return own.select("sym", "dt", *(digits(F.col(n)).alias(n) for n in EVERY))
 
 
-@query("ablate_family_all")
+@query("ablate_family_all", f"{LONG_ALL}, fam AS (SELECT * FROM (VALUES {FAMILIES}) f(factor_name, family)), t AS (SELECT factor_name, sum(abs(value)) AS total FROM z GROUP BY 1) SELECT r.removed, factor_name, round(CASE WHEN family = r.removed THEN 0 ELSE total END, 3) + 0.0 AS total FROM t JOIN fam USING (factor_name) CROSS JOIN (SELECT DISTINCT family AS removed FROM fam) r")
 def ablate_family_all(spark, sf_dir):
     """Each family neutral in turn."""
     own = all_standard(spark, sf_dir).join(F.broadcast(all_families(spark)), "factor_name").groupBy("factor_name", "family").agg(F.sum(F.abs("value")).alias("total"))
@@ -516,37 +541,37 @@ def all_stats(spark, sf_dir, own):
     return quality.ic_stats(quality.rank_ic(own, MIN_STOCKS)).select("formula_id", digits(F.col("ic_mean")).alias("ic_mean"), digits(F.col("ic_abs_mean")).alias("ic_abs_mean"), digits(F.col("icir"), 5).alias("icir"), "n_dates")
 
 
-@query("ic_stats_all")
+@query("ic_stats_all", f"{ZSCORED_ALL} SELECT * FROM stats")
 def ic_stats_all(spark, sf_dir):
     return all_stats(spark, sf_dir, all_standard(spark, sf_dir)).withColumnRenamed("formula_id", "factor_name")
 
 
-@query("coverage_all")
+@query("coverage_all", f"{ZSCORED_ALL} SELECT * FROM cover")
 def coverage_all(spark, sf_dir):
     return quality.coverage(all_standard(spark, sf_dir)).withColumn("coverage", digits(F.col("coverage")))
 
 
-@query("factor_corr_matrix_all")
+@query("factor_corr_matrix_all", f"{CORR_ALL} SELECT a, b, round(corr, 6) + 0.0 AS corr FROM cm")
 def factor_corr_matrix_all(spark, sf_dir):
     return quality.factor_corr(all_standard(spark, sf_dir), EVERY).withColumn("corr", digits(F.col("corr")))
 
 
-@query("corr_within_family_all")
+@query("corr_within_family_all", f"{CORR_ALL} SELECT x.family, round(avg(corr), 6) + 0.0 AS corr, count(*) AS pairs FROM cm JOIN fam x ON x.factor_name = a JOIN fam y ON y.factor_name = b WHERE x.family = y.family GROUP BY 1")
 def corr_within_family_all(spark, sf_dir):
     return quality.corr_within_family(quality.factor_corr(all_standard(spark, sf_dir), EVERY), all_families(spark)).withColumn("corr", digits(F.col("corr")))
 
 
-@query("corr_top_pairs_all")
+@query("corr_top_pairs_all", f"{CORR_ALL} SELECT a, b, round(corr, 6) + 0.0 AS corr FROM cm ORDER BY cm.corr DESC, a, b LIMIT 15")
 def corr_top_pairs_all(spark, sf_dir):
     return quality.top_pairs(quality.factor_corr(all_standard(spark, sf_dir), EVERY)).withColumn("corr", digits(F.col("corr")))
 
 
-@query("feature_family_all")
+@query("feature_family_all", f"{CORR_ALL} SELECT DISTINCT factor_name, family FROM e JOIN fam USING (factor_name)")
 def feature_family_all(spark, sf_dir):
-    return all_families(spark)
+    return all_long(spark, sf_dir).where("elig").select("factor_name").distinct().join(F.broadcast(all_families(spark)), "factor_name")
 
 
-@query("factor_report_all")
+@query("factor_report_all", f"{ZSCORED_ALL}, fam AS (SELECT * FROM (VALUES {FAMILIES}) f(factor_name, family)) SELECT * FROM cover LEFT JOIN stats USING (factor_name) LEFT JOIN fam USING (factor_name)")
 def factor_report_all(spark, sf_dir):
     own = all_standard(spark, sf_dir)
     return quality.factor_report(quality.coverage(own).withColumn("coverage", digits(F.col("coverage"))), all_stats(spark, sf_dir, own), all_families(spark))

@@ -225,14 +225,22 @@ def psr(spark, sf_dir):
     return own.select("candidate", "fold", digits(protocol.psr(F.lit(0.0))).alias("psr"))
 
 
-@query("expected_max_sr")
+#: The best of n trials without skill, with the inverse of the normal distribution by bisection.
+BEST = f"""{MOMENTS.replace("WITH ", "WITH RECURSIVE ", 1)}, nn AS (SELECT count(*)::DOUBLE AS n FROM mo),
+inv AS (SELECT which, p, -9.0::DOUBLE AS lo, 9.0::DOUBLE AS hi, 0 AS k FROM (SELECT 1 AS which, 1 - 1 / n AS p FROM nn UNION ALL SELECT 2, 1 - 1 / (n * exp(1)) FROM nn)
+  UNION ALL SELECT which, p, CASE WHEN {cdf_sql('mid')} < p THEN mid ELSE lo END, CASE WHEN {cdf_sql('mid')} < p THEN hi ELSE mid END, k + 1 FROM (SELECT *, (lo + hi) / 2 AS mid FROM inv WHERE k < 60)),
+zz AS (SELECT sum(CASE which WHEN 1 THEN 1 - 0.5772156649015329 ELSE 0.5772156649015329 END * (lo + hi) / 2) AS z FROM inv WHERE k = 60),
+em AS (SELECT mo.*, n, CASE WHEN n > 1 THEN sqrt(1 / (t - 1)) * z ELSE 0 END AS benchmark FROM mo, nn, zz)"""
+
+
+@query("expected_max_sr", f"{BEST} SELECT candidate, fold, round(benchmark, 6) + 0.0 AS benchmark FROM em")
 def expected_max_sr(spark, sf_dir):
     own = protocol.trial_moments(trials(spark, sf_dir))
     n = F.broadcast(own.agg(F.count(F.lit(1)).cast("double").alias("n")))
     return own.crossJoin(n).select("candidate", "fold", digits(protocol.expected_max_sr(F.col("n"))).alias("benchmark"))
 
 
-@query("deflated_sharpe")
+@query("deflated_sharpe", f"{BEST}, top AS (SELECT *, (sr - benchmark) * sqrt(t - 1) / sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12)) AS x FROM em ORDER BY sr DESC, candidate, fold LIMIT 1) SELECT candidate, fold, n AS n_trials, round(sr, 6) + 0.0 AS sr, round({cdf_sql('x')}, 6) + 0.0 AS dsr FROM top")
 def deflated_sharpe(spark, sf_dir):
     own = protocol.deflated_sharpe(protocol.trial_moments(trials(spark, sf_dir)))
     return rounded(own.select("candidate", "fold", "n_trials", "sr", "dsr"), "sr", "dsr")
