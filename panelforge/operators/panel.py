@@ -32,12 +32,17 @@ def standard(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFrame
     The table is that of the first call; :func:`forget` has it derived anew when the inputs have changed.
     """
     key = (spark.sparkContext.applicationId, sf_dir, daily)
-    if key not in _written:
+    if key not in _written or not exists(spark, _written[key]):
         path = f"{spark.conf.get('spark.sql.warehouse.dir')}/panel-{uuid.uuid4().hex}"
         derive(spark, sf_dir, daily).write.parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def forget() -> None:
     _written.clear()
