@@ -123,7 +123,8 @@ def best_fit(items: DataFrame, capacity: int, salts: int) -> DataFrame:
         else:
             plan = matches(spark, opened(left, used, capacity)) if left.any() else matches(spark, [])
             new = items.join(F.broadcast(plan), (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("size_from")) & (F.col("rank") < F.col("size_from") + F.col("n")))
-            new = new.select("length", "rank", name.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+            # written, so that the plan at the end reads what rounds have placed and does not place it again
+            new = stage(new.select("length", "rank", name.alias("sequence_id"), F.lit(0).cast("long").alias("offset")), "packing-opened")
             placed.append(new)
             fresh = new.select("sequence_id", (F.lit(capacity) - F.col("length")).alias("gap")).where("gap > 0")
             gaps = fresh if gaps is None else gaps.unionByName(fresh)
