@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import batches, discard, stage, table
+from panelforge.llm.common import batches, discard, numbered, stage, table
 from panelforge.llm.words import DIGITS, LETTERS, slices, translation
 
 TABLE = translation(DIGITS + LETTERS)
@@ -183,18 +183,6 @@ def gumbel(seed: int) -> Column:
     return F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``rows`` with ``position`` (from 0) in a total order: a range sort, written with each row's place in its part, then the parts' offsets."""
-    spark = rows.sparkSession
-    sorted_rows = stage(rows.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), name)
-    part = F.shiftright("place", 33)
-    sizes = sorted_rows.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row a sorted part
-    ends = np.cumsum([0, *(r["count"] for r in sizes)]).tolist()
-    offsets = spark.createDataFrame([(r.part, at) for r, at in zip(sizes, ends)], "part long, before long")
-    here = sorted_rows.withColumn("part", part)
-    return here.join(F.broadcast(offsets), "part").withColumn("position", F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "place", "before")
-
-
 def resample(docs: DataFrame, target: DataFrame, percent: int = 10, n: int = 1, buckets: int = 10_000, seed: int = 2024, least_words: int = 20, most: int = HEAD) -> DataFrame:
     """``doc_id, n_words, n_features, weight, score, rank`` of each row of ``docs``.
 

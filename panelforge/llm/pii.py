@@ -5,9 +5,16 @@ names behind a title) become keyed surrogates of the same type and shape: digits
 case, in the places where the original has them; card numbers keep their network digit and a right check digit stays right;
 names come from lists by gender and script (Latin, Cyrillic, Greek, Armenian; names in scripts without capitals are not found).
 Names without a title are not found. All spellings of an entity share one canonical form and so one surrogate, across all
-documents: a telephone number with and without its country's code, a date in any order. Digests are keyed (HMAC-SHA256).
+documents: a telephone number with and without its country's code, a date in any order. First and last names are entities of their own, so
+`Mrs Anna Smith`, `Mrs Smith` and `Dr Smith` keep sharing a last name; a first name's gender is what its titles in the corpus agree on.
+Digests are keyed (HMAC-SHA256).
+
 Surrogates are checked over the whole corpus: if two entities get the same one, or a surrogate is itself an entity of the
-corpus, the later entity draws again, until all are distinct. Mails and short network addresses that clash several times get longer.
+corpus, the later entity draws again. From the fourth time on it draws from a wider range (longer mails, more digits, more years), and
+what clashes even then is numbered: a number is used once, so each round uses up what is in its way, and rounds come to an end.
+
+No pattern repeats a group without bound (such a group takes stack for each repetition), so texts of any length are safe. A mail's domain
+has at most 126 labels, as many as a domain can have, and a name's parts at most 40 letters.
 """
 
 from __future__ import annotations
@@ -17,10 +24,10 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import discard, docs_text, free_name, joined, spread, stage
+from panelforge.llm.common import discard, docs_text, free_name, joined, numbered, spread, stage
 from panelforge.llm.spans import between, matched
 
-MAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"
+MAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,24}"
 WORLD = r"(?<![\w+])(?=\+(?:[ ./()-]{0,2}\d){8,15}(?!\d))\+\d{1,3}(?:[ ./-]?\(?\d{2,8}\)?){2,5}(?![\w-])"
 NATIONAL = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{4}(?![\w-])"
 TRUNK = r"(?<![\w+./-])0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,5}(?![\w./-]\w)"
@@ -34,7 +41,7 @@ BANK = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
 MALE = r"Mr|Herr|Monsieur|Señor|Sr|г-н|Κύριος|κ"
 FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|г-жа|Κυρία|κα"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|Dr|Prof)\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|Dr|Prof)\.? \p{{Lu}}\p{{Ll}}{{1,40}}(?:[ -]\p{{Lu}}\p{{Ll}}{{1,40}})?(?!\p{{Ll}})"
 #: In the order in which a place in a text is tried.
 TYPES = {"mail": MAIL, "address": ADDRESS, "address6": ADDRESS6, "born": BORN, "identity": IDENTITY, "phone": PHONE, "bank": BANK, "card": CARD, "name": NAME}
 ANY = "|".join(f"(?:{p})" for p in TYPES.values())
@@ -76,9 +83,8 @@ def kind_of(found: Column) -> Column:
 
 
 def canonical(kind: Column, found: Column) -> Column:
-    """One form for all spellings: small letters for mail, digits for numbers, the name without its title."""
-    name = F.concat_ws(":", F.when(found.rlike(rf"^(?:{FEMALE})\b"), "f").when(found.rlike(rf"^(?:{MALE})\b"), "m").otherwise("any"), F.regexp_replace(found, r"^\S+ ", ""))
-    return F.when(kind.isin("mail", "address6"), F.lower(found)).when(kind == "address", found).when(kind == "name", name).when(kind == "phone", national(found)).when(kind == "born", born(found)).when(kind == "bank", F.regexp_replace(found, " ", "")).otherwise(F.regexp_replace(found, "[^0-9]", ""))
+    """One form for all spellings: small letters for mail, digits for numbers, a name as it is."""
+    return F.when(kind.isin("mail", "address6"), F.lower(found)).when(kind == "address", found).when(kind.isin("first", "last"), found).when(kind == "phone", national(found)).when(kind == "born", born(found)).when(kind == "bank", F.regexp_replace(found, " ", "")).otherwise(F.regexp_replace(found, "[^0-9]", ""))
 
 
 def national(found: Column) -> Column:
@@ -126,7 +132,45 @@ def pick(words: str, digest: Column, at: int) -> Column:
     return F.element_at(F.array(*map(F.lit, own)), F.conv(F.substring(digest, at, 6), 16, 10).cast("int") % len(own) + 1)
 
 
-def surrogate(kind: Column, form: Column, key: str, attempt: Column) -> Column:
+def parts(found: Column) -> Column:
+    """What of a found place is one entity: array<struct<part, before, kind, found, sex, ends>>, a name's parts or the whole."""
+    title, kind = F.regexp_extract(found, r"^\S+ ", 0), kind_of(found)
+    names = F.split(F.substr(found, F.length(title) + 1, F.length(found)), " ")
+    sex = F.when(found.rlike(rf"^(?:{FEMALE})\b"), "f").when(found.rlike(rf"^(?:{MALE})\b"), "m")
+
+    def part(k: int, before: Column, kind: Column, own: Column, ends: bool) -> Column:
+        return F.struct(F.lit(k).alias("part"), before.alias("before"), kind.alias("kind"), own.alias("found"), F.when(kind == "first", sex).alias("sex"), F.lit(ends).alias("ends"))
+
+    first, last = F.lit("first"), F.lit("last")
+    both = F.array(part(0, title, first, F.get(names, 0), False), part(1, F.lit(" "), last, F.get(names, 1), True))
+    one = F.array(part(0, title, last, F.get(names, 0), True))
+    return F.when(kind != "name", F.array(part(0, F.lit(""), kind, found, True))).when(F.size(names) > 1, both).otherwise(one)
+
+
+def script_of(form: Column, each) -> Column:
+    """``each`` of the script that a name is in."""
+    out = each("latin")
+    for name, sign in SCRIPTS.items():
+        out = F.when(form.rlike(sign), each(name)).otherwise(out)
+    return out
+
+
+def spelled(form: Column, word: Column) -> Column:
+    """``word`` in letters of the script that ``form`` is in."""
+    return script_of(form, lambda s: F.translate(word, "abcdefghijklmnopqrstuvwxyz", LETTERS[s]) if s in LETTERS else word)
+
+
+def numbered_surrogate(kind: Column, form: Column, number: Column) -> Column:
+    """A surrogate that has ``number`` in it, so that different numbers give different ones; there is no last number."""
+    digits = F.lpad(number.cast("string"), 18, "0")
+    groups = F.regexp_replace(F.lpad(F.lower(F.hex(number)), 16, "0"), "(.{4})(?=.)", "$1:")
+    date = F.concat_ws("-", (number.cast("long") / 336).cast("long") + 10_000, F.lpad(((number % 336) / 28).cast("int") + 1, 2, "0"), F.lpad(number % 28 + 1, 2, "0"))
+    name = F.initcap(spelled(form, F.translate(number.cast("string"), "0123456789", "abcdefghij")))
+    made = F.when(kind == "mail", F.concat(F.lit("u"), number.cast("string"), F.lit("@mail.example"))).when(kind == "address", F.concat(F.lit("fd00:0:0:0:"), groups)).when(kind == "address6", F.concat(F.lit("fd01:0:0:0:"), groups))
+    return made.when(kind == "born", date).when(kind.isin("first", "last"), name).otherwise(F.concat(F.lit("1"), digits))
+
+
+def surrogate(kind: Column, form: Column, sex: Column, key: str, attempt: Column) -> Column:
     """The surrogate's canonical form."""
     digest = keyed(key, F.concat_ws("|", kind, form, attempt.cast("string")))
     # short mails have few surrogates of their shape: draws from the fourth on append letters, more of them from time to time
@@ -138,38 +182,27 @@ def surrogate(kind: Column, form: Column, key: str, attempt: Column) -> Column:
     stem = F.substr(card, F.lit(1), F.length(card) - 1)
     checked = F.concat(stem, F.substr(F.lit("0987654321"), luhn(F.concat(stem, F.lit("0"))) + 1, F.lit(1)))
     card = F.when(luhn(form) == 0, checked).otherwise(card)
-    gender, rest = F.substring_index(form, ":", 1), F.regexp_replace(form, "^[a-z]+:", "")
-    script = F.lit("latin")
-    for name, sign in SCRIPTS.items():
-        script = F.when(rest.rlike(sign), name).otherwise(script)
-
-    def of_script(pick_one) -> Column:
-        out = pick_one("latin")
-        for name in SCRIPTS:
-            out = F.when(script == name, pick_one(name)).otherwise(out)
-        return out
-
-    male = (gender == "m") | ((gender == "any") & (F.substring(digest, 60, 1) < "8"))
-    first = F.when(male, of_script(lambda s: pick(FIRST[s]["m"], digest, 1))).otherwise(of_script(lambda s: pick(FIRST[s]["f"], digest, 1)))
-    last = of_script(lambda s: pick(LAST[s], digest, 9))
+    male = (sex == "m") | ((sex == "any") & (F.substring(digest, 60, 1) < "8"))
+    first = F.when(male, script_of(form, lambda s: pick(FIRST[s]["m"], digest, 1))).otherwise(script_of(form, lambda s: pick(FIRST[s]["f"], digest, 1)))
+    last = script_of(form, lambda s: pick(LAST[s], digest, 9))
     # names are few in the lists: a later draw adds a second part, so there are enough for any corpus
-    word = like(F.lit("abcdefgh"), F.reverse(digest))
-    word = of_script(lambda s: F.translate(word, "abcdefghijklmnopqrstuvwxyz", LETTERS[s]) if s in LETTERS else word)
-    more = F.when(attempt > 0, F.concat(F.lit("-"), F.initcap(word))).otherwise("")
-    parts = F.when(rest.rlike("[ -]"), F.concat(first, F.lit(" "), last, more)).otherwise(F.concat(last, more))
-    name = F.concat_ws(":", gender, parts)
+    more = F.when(attempt > 0, F.concat(F.lit("-"), F.initcap(spelled(form, like(F.lit("abcdefgh"), F.reverse(digest)))))).otherwise("")
+    name = F.concat(F.when(kind == "first", first).otherwise(last), more)
+    longer = F.when(attempt > 3, like(F.repeat(F.lit("0"), F.least(F.lit(8), (attempt / 4).cast("int"))), F.sha2(digest.cast("binary"), 256))).otherwise("")
     bank = F.concat(F.substring(form, 1, 2), F.substr(like(form, digest), F.lit(3), F.length(form)))
-    phone = F.concat(letter(digest, F.lit(1), "123456789"), F.substr(like(form, digest), F.lit(2), F.length(form)))
+    phone = F.concat(letter(digest, F.lit(1), "123456789"), F.substr(like(form, digest), F.lit(2), F.length(form)), longer)
     hexadecimal = F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), lambda i: F.when(F.substr(form, i, F.lit(1)) == ":", ":").otherwise(letter(digest, i * 3, "0123456789abcdef"))), "")
     whole = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substr(digest, i * 4 + 1, F.lit(4))), ":")
     address6 = F.when(attempt > 3, whole).otherwise(hexadecimal)
-    date = F.date_format(F.expr("date'1900-01-01'") + (F.conv(F.substring(digest, 1, 7), 16, 10).cast("int") % 73_000), "yyyy-MM-dd")
-    date = F.when(form.contains("-"), date).otherwise(like(form, digest))
-    return F.when(kind == "mail", mail).when(kind == "address6", address6).when(kind == "born", date).when(kind == "address", address).when(kind == "phone", phone).when(kind == "card", card).when(kind == "name", name).when(kind == "bank", bank).otherwise(like(form, digest))
+    drawn = F.conv(F.substring(digest, 1, 7), 16, 10).cast("int")
+    # from 1900 to 2099, and in wider draws from 1000 to 9999
+    day = F.when(attempt > 3, F.date_add(F.lit("1000-01-01").cast("date"), drawn % 3_287_182)).otherwise(F.date_add(F.lit("1900-01-01").cast("date"), drawn % 73_000))
+    date = F.when(form.contains("-"), F.date_format(day, "yyyy-MM-dd")).otherwise(F.concat(like(form, digest), longer))
+    return F.when(kind == "mail", mail).when(kind == "address6", address6).when(kind == "born", date).when(kind == "address", address).when(kind == "phone", phone).when(kind == "card", card).when(kind.isin("first", "last"), name).when(kind == "bank", bank).otherwise(F.concat(like(form, digest), longer))
 
 
 def dressed(kind: Column, found: Column, made: Column) -> Column:
-    """The surrogate in the shape of the place: its separators, its title, the digits before a telephone number's own."""
+    """The surrogate in the shape of the place: its separators, the digits before a telephone number's own; what is longer goes behind."""
     n_own = F.length(F.regexp_replace(found, "[^0-9A-Z]", ""))
     before = F.greatest(n_own - F.length(made), F.lit(0))
     place = F.sequence(F.lit(1), F.length(found))
@@ -180,31 +213,38 @@ def dressed(kind: Column, found: Column, made: Column) -> Column:
         own = c.rlike("[0-9A-Z]")
         return F.struct(F.when(own, acc["at"] + 1).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.when(own & (acc["at"] >= before), F.substr(made, acc["at"] - before + 1, F.lit(1))).otherwise(c)).alias("out"))
 
-    filled = F.aggregate(signs, zero, step, lambda acc: acc["out"])
-    title = F.regexp_extract(found, r"^\S+ ", 0)
+    filled = F.concat(F.aggregate(signs, zero, step, lambda acc: acc["out"]), F.substr(made, n_own - before + 1, F.length(made)))
     day = F.try_to_date(made, "yyyy-MM-dd")
     written = F.when(found.rlike(r"\d-\d"), made).when(found.contains("/"), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
     birth = F.concat(F.regexp_replace(found, f"{DATE}$", ""), F.coalesce(written, made))
-    return F.when(kind.isin("mail", "address", "address6"), made).when(kind == "born", birth).when(kind == "name", F.concat(title, F.regexp_replace(made, "^[a-z]+:", ""))).otherwise(filled)
+    return F.when(kind.isin("mail", "address", "address6", "first", "last"), made).when(kind == "born", birth).otherwise(filled)
 
 
-def distinct_surrogates(entities: DataFrame, key: str, most: int = 64) -> DataFrame:
-    """``kind, form, made`` for distinct ``kind, form``: no two entities share a surrogate and none is an entity."""
+def distinct_surrogates(entities: DataFrame, key: str, draws: int = 16) -> DataFrame:
+    """``kind, form, made`` for distinct ``kind, form`` (with ``sex``, of first names): no two entities share a surrogate and none is an entity.
+
+    After ``draws`` keyed draws the entities that still clash are numbered, each round with numbers that no round before has used.
+    """
     tasks = spread(entities.sparkSession)
     # digests are dear and rows few: they are dealt to all tasks
-    fresh = lambda df, n: df.repartition(tasks, "kind", "form").select("kind", "form", surrogate(F.col("kind"), F.col("form"), key, F.lit(n)).alias("made"))
-    now = stage(fresh(entities, 0), "surrogates")
-    for attempt in range(1, most):
+    fresh = lambda df, n: df.repartition(tasks, "kind", "form").select("kind", "form", surrogate(F.col("kind"), F.col("form"), F.col("sex"), key, F.lit(n)).alias("made"))
+    now, attempt, used = stage(fresh(entities, 0), "surrogates"), 0, 0
+    while True:
         real = entities.select("kind", F.col("form").alias("made"), F.lit(True).alias("real"))
         owners = now.groupBy("kind", "made").agg(F.min("form").alias("owner"), F.count(F.lit(1)).alias("n"))
         clash = now.join(owners, ["kind", "made"]).join(real, ["kind", "made"], "left").where("real or (n > 1 and form <> owner)").select("kind", "form")
         clash = stage(clash, "clashes")
         if clash.isEmpty():
             return now
-        after = stage(now.join(clash, ["kind", "form"], "left_anti").unionByName(fresh(clash, attempt)), "surrogates")
+        attempt += 1
+        if attempt < draws:
+            again = fresh(clash.join(entities, ["kind", "form"]), attempt)
+        else:
+            again = numbered(clash, [F.col("kind"), F.col("form")], "numbered").select("kind", "form", numbered_surrogate(F.col("kind"), F.col("form"), F.col("position") + used).alias("made"))
+            used += clash.count()
+        after = stage(now.join(clash, ["kind", "form"], "left_anti").unionByName(again), "surrogates")
         discard(now, clash)
         now = after
-    raise ValueError("surrogates do not become distinct")
 
 
 def replaced(docs: DataFrame, key: str) -> DataFrame:
@@ -222,15 +262,17 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     clean = docs.where(~hit).select(*columns, F.lit(0).cast("long").alias(count))
     own = docs.where(hit).select(F.struct(*columns).alias("row"), between(F.col("text"), ANY).alias("between"), matched(F.col("text"), ANY).alias("found"))
     own = stage(own.withColumn("n", F.monotonically_increasing_id()), "entities")
-    each = own.select("n", F.posexplode("found").alias("at", "found")).withColumn("kind", kind_of(F.col("found"))).withColumn("form", canonical(F.col("kind"), F.col("found")))
+    each = own.select("n", F.posexplode("found").alias("at", "found")).select("n", "at", F.explode(parts(F.col("found"))).alias("p")).select("n", "at", "p.*").withColumn("form", canonical(F.col("kind"), F.col("found")))
     each = stage(each, "found")
-    entities = stage(each.groupBy("kind", "form").agg(F.count(F.lit(1)).alias("times")), "distinct")
-    made = distinct_surrogates(entities.select("kind", "form"), key).join(entities, ["kind", "form"])
-    new = joined(each, made, ["kind", "form"], "times").select("n", F.struct("at", dressed(F.col("kind"), F.col("found"), F.col("made")).alias("new")).alias("r"))
+    sex = F.when(F.min("sex") == F.max("sex"), F.min("sex")).otherwise("any").alias("sex")
+    entities = stage(each.groupBy("kind", "form").agg(F.count(F.lit(1)).alias("times"), sex), "distinct")
+    made = distinct_surrogates(entities.select("kind", "form", "sex"), key).join(entities.drop("sex"), ["kind", "form"])
+    placed = F.struct("at", "part", F.concat("before", dressed(F.col("kind"), F.col("found"), F.col("made"))).alias("new"), "ends").alias("r")
+    new = joined(each.drop("sex"), made, ["kind", "form"], "times").select("n", placed)
     per_text = new.groupBy("n").agg(F.array_sort(F.collect_list("r")).alias("new"))  # as many as the text has
-    done = own.drop("found").join(per_text, "n")
-    text = F.concat(F.element_at("between", 1), F.array_join(F.zip_with(F.col("new"), F.slice("between", 2, F.size("new")), lambda r, b: F.concat(r["new"], b)), ""))
-    done = done.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns], F.size("new").cast("long").alias(count))
+    done = own.join(per_text, "n")
+    text = F.concat(F.element_at("between", 1), F.array_join(F.transform("new", lambda r: F.concat(r["new"], F.when(r["ends"], F.get(F.col("between"), r["at"] + 1)).otherwise(""))), ""))
+    done = done.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns], F.size("found").cast("long").alias(count))
     if "n_chars" in columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(done)

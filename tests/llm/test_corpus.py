@@ -365,6 +365,45 @@ def plain_surrogate(kind, form, key="k", attempt=0):
     return like(form, digest)
 
 
+def test_texts_of_any_length_are_safe(spark):
+    many = 100_000
+    hard = ["x@" + "a." * many, "x@" + "a." * many + "com", "1" * many, "(12) " * many, "+" + "1 " * many, "1:" * many, "ab:" * many, "1." * many, "Mr A" + "a" * many, "Mr Aa" + "-Aa" * many, "DE89" + " 0000" * many, "born " * many, "@" * many, "a@b." * many, "1-" * many, "Mrs " * many]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(hard)] + [(99, "Mr. Jones")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replaced(docs, "k").collect()}
+    assert len(got) == len(hard) + 1 and got[99].n_entities == 1 and got[8].text == hard[8]
+
+
+def test_surrogates_of_every_kind_end(spark):
+    days = [str(datetime.date(1900, 1, 1) + datetime.timedelta(k)) for k in range(45_000)]
+    mails = [f"{a}@{b}.{c}" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop" for c in ("org", "net")]
+    cases = {
+        16: {"born": days, "identity": "0123456789", "mail": mails},
+        2: {"identity": "0123456789", "phone": [str(k) for k in range(1, 100)]},
+        1: {"born": [*days[:300], *"0123456789"], "mail": mails, "last": [f"Name{chr(97 + k)}" for k in range(26)], "first": ["Анна", "Вера", "Άννα"], "address": ["10.0.0.1"], "address6": ["::1", "::2"]},
+    }
+    for draws, forms in cases.items():
+        want = [(kind, f) for kind, own in forms.items() for f in own]
+        got = pii.distinct_surrogates(spark.createDataFrame([(*w, "any") for w in want], "kind string, form string, sex string"), "k", draws).collect()
+        made = {(r.kind, r.made) for r in got}
+        assert {(r.kind, r.form) for r in got} == set(want) and len(made) == len(got) == len(want) and not made & set(want), draws
+
+
+def test_numbered_surrogates_differ(spark):
+    for kind, form in (("born", "1985-03-12"), ("mail", "a@b.org"), ("address", "1.1.1.1"), ("address6", "::1"), ("phone", "12"), ("last", "Петров"), ("first", "Anna"), ("card", "1"), ("bank", "DE")):
+        rows = spark.range(2000).select(pii.numbered_surrogate(F.lit(kind), F.lit(form), F.col("id") * 7).alias("made")).collect()
+        assert len({r.made for r in rows}) == 2000 and all(rows), kind
+
+
+def test_one_person_stays_one_person(spark):
+    docs = [(1, "Mrs Anna Smith met Dr Smith. Then Mrs Smith, Mr Smith and Dr Anna Jones; Prof. Smith-Jones left."), (2, "Herr Kim Lee, Frau Kim Lee"), (3, "Mr Adam Smith")]
+    got = {r.doc_id: r.text for r in pii.replaced(spark.createDataFrame(docs, "doc_id long, text string"), "k").collect()}
+    anna, smith, again, mrs, mr, anna2, jones, double = re.fullmatch(r"Mrs (\S+) (\S+) met Dr (\S+)\. Then Mrs (\S+), Mr (\S+) and Dr (\S+) (\S+); Prof\. (\S+) left\.", got[1]).groups()
+    assert smith == again == mrs == mr and anna == anna2 and len({anna, smith, jones, double}) == 4
+    assert anna.split("-")[0] in pii.FIRST["latin"]["f"].split() and re.fullmatch(rf"Mr (\S+) {smith}", got[3])[1].split("-")[0] in pii.FIRST["latin"]["m"].split()
+    a, b = re.fullmatch(r"Herr (\S+ \S+), Frau (\S+ \S+)", got[2]).groups()
+    assert a == b
+
+
 def test_surrogates_against_plain_python(spark):
     found = {
         "+1 988 555 2485": ("phone", "9885552485"), "988 555 2485": ("phone", "9885552485"), "+44 20 7946 0958": ("phone", "2079460958"), "020 7946 0958": ("phone", "2079460958"), "0171 2345678": ("phone", "1712345678"), "+49 171 2345678": ("phone", "1712345678"),
