@@ -161,7 +161,18 @@ def date_index(axis: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def universe_pick(constituents: DataFrame, listed: DataFrame, limit: int | None = None) -> DataFrame:
-    """Listed constituents, or all that are listed if there are none; ``limit`` by symbol if given."""
-    own = listed.select("sym").intersect(constituents.select("sym"))
-    own = own if not own.isEmpty() else listed.select("sym").distinct()
+    """Valid constituents that are listed; ``limit`` by symbol if given.
+
+    Only where no constituent is valid, the valid listed symbols stand in. An intersection may be empty; without any list, constituents stay.
+    """
+    valid = lambda df: df.where(valid_symbol(F.col("sym"))).select("sym").distinct()
+    own = valid(constituents)
+    own = valid(listed) if own.isEmpty() else own
+    own = own if listed.isEmpty() else own.join(listed.select("sym").distinct(), "sym", "left_semi")
     return own.orderBy("sym").limit(limit) if limit else own
+
+
+def encode_groups(df: DataFrame, label: str, code: str = "code") -> DataFrame:
+    """``df`` with ``code``: labels numbered from 0 in their order. NULL has no code and shifts none of the others."""
+    labels = df.where(F.col(label).isNotNull()).select(label).distinct()
+    return df.join(labels.withColumn(code, F.row_number().over(Window.orderBy(label)) - 1), label, "left")

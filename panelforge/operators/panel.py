@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators import returns, universe
-from panelforge.sources import fixtures
+from panelforge.sources import fixtures, shared
 
 MIN_LISTED = 3
 
@@ -22,27 +20,28 @@ def derive(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFrame:
     return own.join(stocks.select("sym", "industry", returns.limit_rate(F.col("ticker")).cast("double").alias("rate")), "sym", "left")
 
 
-#: Panel tables by application, data set and grain.
-_written: dict[tuple[str, str, bool], str] = {}
+#: Panel tables by application, data set, grain and the state of the input files.
+_written: dict[tuple[str, str, bool], tuple[str, str]] = {}
+INPUTS = ("lineitem", "supplier", "nation", "region")
 
 
 def standard(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFrame:
-    """:func:`derive`, written once a session under its warehouse, which executors share, and read by all that need a panel.
+    """:func:`derive`, written once under the shared folder and read by all that need a panel.
 
-    The table is that of the first call; :func:`forget` has it derived anew when the inputs have changed.
+    Once an input file has another size or time the panel is derived anew, and the old table is deleted.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, daily)
-    if key not in _written or not exists(spark, _written[key]):
-        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/panel-{uuid.uuid4().hex}"
+    key, state = (spark.sparkContext.applicationId, sf_dir, daily), ";".join(shared.stamp(spark, f"{sf_dir}/{t}.parquet") for t in INPUTS)
+    path, then = _written.get(key, ("", ""))
+    if then != state or not shared.exists(spark, path):
+        if path:
+            shared.remove(spark, path)
+        path = shared.scratch(spark, "panel")
         derive(spark, sf_dir, daily).write.parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        _written[key] = (path, state)
+    return spark.read.parquet(path)
 
 
-def forget() -> None:
-    _written.clear()
+def forget(spark: SparkSession) -> None:
+    """Delete the panels of this application."""
+    for key in [k for k in _written if k[0] == spark.sparkContext.applicationId]:
+        shared.remove(spark, _written.pop(key)[0])

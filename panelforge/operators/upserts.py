@@ -1,4 +1,4 @@
-"""Keyed upserts as plain set operations; the result replaces the table (or the partitions it touches)."""
+"""Keyed upserts as plain set operations: functions of the old rows and the new, for ``Table.update``, which writes their result as a version."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators.cleaning import keep_last
 from panelforge.operators.universe import interval_issues
+from panelforge.sources.versioned import Table
 
 
 def last_wins(existing: DataFrame, new: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
@@ -42,8 +43,23 @@ def intervals_validated(existing: DataFrame, new: DataFrame) -> DataFrame:
     return merged
 
 
-def purge_not_in(table: DataFrame, keep: DataFrame) -> DataFrame:
-    return table.join(keep.select("sym").distinct(), "sym", "left_semi")
+def purge_not_in(table: DataFrame, keep: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Rows of symbols in ``keep``, or in ``failed`` (those that could not be fetched). An empty ``keep`` deletes nothing."""
+    if keep.where("sym IS NOT NULL").isEmpty():
+        return table
+    own = keep.select("sym") if failed is None else keep.select("sym").unionByName(failed.select("sym"))
+    return table.join(own.distinct(), "sym", "left_semi")
+
+
+def purge_table(table: Table, keep: DataFrame, failed: DataFrame | None = None) -> tuple[int, int]:
+    """:func:`purge_not_in` as the table's next version; returns the rows before and after. Nothing is written where nothing goes."""
+    at = table.latest()
+    old = table.read(at)
+    left = purge_not_in(old, keep, failed)
+    before, after = old.count(), left.count()
+    if after < before:
+        table.replace(left, at)
+    return before, after
 
 
 def data_status(table: DataFrame) -> DataFrame:

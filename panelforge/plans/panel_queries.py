@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import factors as lib
 from panelforge.functions.numeric import digits
-from panelforge.operators import fundamentals, panel, quality, returns, universe
+from panelforge.operators import cleaning, fundamentals, panel, quality, returns, universe
 from panelforge.plans.base_sql import BARS, EWM, EWM_NAMES, FACTORS, HELPERS, PANEL, by_day
 from panelforge.plans.formula_queries import SIGNALS, signals
 from panelforge.plans.registry import query
 from panelforge.sources import fixtures
+from panelforge.sources.shared import scratch
 
 D = "dt::VARCHAR AS dt"
 MIN_STOCKS = 5
@@ -169,13 +170,10 @@ def as_of_st_band(spark, sf_dir):
     return own.select("sym", "dt", returns.limit_rate(F.col("sym").cast("string"), F.col("is_st")).cast("double").alias("band"))
 
 
-@query("encode_groups", f"WITH {BARS} SELECT sym, (dense_rank() OVER (ORDER BY industry) - 1)::INT AS code FROM stocks")
+@query("encode_groups", f"WITH {BARS}, own AS (SELECT sym, CASE WHEN sym % 7 <> 0 THEN industry END AS industry FROM stocks) SELECT sym, CASE WHEN industry IS NOT NULL THEN (dense_rank() OVER (ORDER BY industry NULLS LAST) - 1)::INT END AS code FROM own")
 def encode_groups(spark, sf_dir):
-    own = fixtures.stocks(spark, sf_dir)
-    from pyspark.sql import Window
-
-    codes = own.select("industry").distinct().withColumn("code", F.row_number().over(Window.orderBy("industry")) - 1)
-    return own.join(F.broadcast(codes), "industry", "left").select("sym", "code")
+    own = fixtures.stocks(spark, sf_dir).select("sym", F.when(F.col("sym") % 7 != 0, F.col("industry")).alias("industry"))
+    return cleaning.encode_groups(own, "industry").select("sym", "code")
 
 
 LONG = f"""{HELPERS}, wide AS (SELECT sym, dt, sess, elig, r5 AS RET_5, r20 AS MOMENTUM_20, v20 AS VOL_20, (close - low) / (high - low + 1e-9) AS CLOSE_POSITION,
@@ -490,7 +488,6 @@ def with_all_outside(spark, sf_dir):
 
 def all_long(spark, sf_dir):
     """All features, laid down once in the session's own folder: standardisation reads them four times."""
-    from panelforge.plans.table_queries import scratch
 
     path = scratch(spark, "features")
     lib.factors(with_all_outside(spark, sf_dir), EVERY).write.parquet(path)
@@ -500,7 +497,6 @@ def all_long(spark, sf_dir):
 
 
 def all_standard(spark, sf_dir):
-    from panelforge.plans.table_queries import scratch
 
     path = scratch(spark, "standard")
     returns.winsor_robust_z(all_long(spark, sf_dir)).write.parquet(path)

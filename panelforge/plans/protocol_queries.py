@@ -166,7 +166,6 @@ def scored_signals(spark, sf_dir, own, penalty=None):
 
     A signal without spread in the training range has no score and is rejected.
     """
-    from panelforge.plans.table_queries import scratch
 
     own = own.withColumn("signal", F.round("signal", 9))
     fwd = panel.standard(spark, sf_dir).select("sym", "dt", returns.open_to_open().alias("fwd"))
@@ -284,7 +283,6 @@ def family_ablation(spark, sf_dir):
 
     The table of candidates holds the sum of each two neighbouring families' first features.
     """
-    from panelforge.plans.table_queries import scratch
 
     families = sorted({lib.REGISTRY[n].family for n in EVERY})
     first = [next(n for n in EVERY if lib.REGISTRY[n].family == f) for f in families]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from panelforge.functions.numeric import digits
@@ -13,6 +11,8 @@ from panelforge.plans.base_sql import BARS
 from panelforge.plans.panel_queries import REPORTS, TRADE, axis
 from panelforge.plans.registry import query
 from panelforge.sources import files, fixtures
+from panelforge.sources.shared import scratch
+from panelforge.sources.versioned import Table
 
 # symbols made of keys: six digits and an exchange by remainder, some of them wrong
 CODE = "lpad(CAST((CASE {k} % 9 WHEN 0 THEN 600000 WHEN 1 THEN 300000 WHEN 2 THEN 1 WHEN 3 THEN 830000 WHEN 4 THEN 873900 WHEN 5 THEN 900001 WHEN 6 THEN 510000 WHEN 7 THEN 16 ELSE 399001 END + {k} % 1000) AS VARCHAR), 6, '0')"
@@ -163,9 +163,25 @@ def date_index(spark, sf_dir):
     return cl.date_index(axis(spark, sf_dir), dates)
 
 
-@query("universe_pick", f"WITH {BARS} SELECT DISTINCT sym FROM constituents WHERE sym % 3 = 0 AND sym IN (SELECT sym FROM stocks) ORDER BY sym LIMIT 20")
+#: Choices of symbols: some listed, all valid ones unlisted, none valid (all listed ones stand in), the first five.
+PICKS = {"some": "c_custkey % 3 = 0", "unlisted": "c_custkey % 10 = 7", "invalid": "c_custkey % 9 = 5", "first five": "c_custkey % 2 = 0"}
+GIVEN = " UNION ALL ".join(f"SELECT '{pick}' AS pick, s FROM k WHERE {how}" for pick, how in PICKS.items())
+
+
+@query("universe_pick", f"""WITH {CUST}, given AS ({GIVEN}), listed AS (SELECT DISTINCT s FROM k WHERE c_custkey % 10 <> 7 AND s NOT IN (SELECT s FROM k WHERE c_custkey % 10 = 7)),
+valid AS (SELECT DISTINCT pick, s FROM given WHERE {VALID}), picks AS (SELECT DISTINCT pick FROM given),
+candidates AS (SELECT * FROM valid UNION ALL SELECT pick, s FROM picks, listed WHERE {VALID} AND pick NOT IN (SELECT pick FROM valid)),
+numbered AS (SELECT pick, s AS sym, row_number() OVER (PARTITION BY pick ORDER BY s) AS r FROM candidates WHERE s IN (SELECT s FROM listed))
+SELECT pick, sym FROM numbered WHERE pick <> 'first five' OR r <= 5""")
 def universe_pick(spark, sf_dir):
-    return cl.universe_pick(fixtures.constituents(spark, sf_dir).where("sym % 3 = 0"), fixtures.stocks(spark, sf_dir), 20)
+    codes = fixtures.read(spark, sf_dir, "customer").select("c_custkey", symbol("c_custkey").alias("sym"))
+    gone = codes.where("c_custkey % 10 = 7").select("sym")
+    listed = codes.where("c_custkey % 10 <> 7").select("sym").join(gone, "sym", "left_anti").distinct()
+    out = None
+    for pick, how in PICKS.items():
+        own = cl.universe_pick(codes.where(how), listed, 5 if pick == "first five" else None).select(F.lit(pick).alias("pick"), "sym")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 # -- sources and sinks
@@ -191,26 +207,31 @@ def scan_table_or_empty(spark, sf_dir):
     return fixtures.bars(spark, sf_dir).select("sym", "dt").join(absent, ["sym", "dt"], "left")
 
 
-def scratch(spark, name: str) -> str:
-    """A folder of this session's own under its warehouse, which executors share."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
-
-
-@query("source_parquet_cache", f"WITH {BARS} SELECT year(dt)::INT AS year, count(*) AS n, round(sum(amount), 2) AS amount FROM bars GROUP BY 1")
+@query("source_parquet_cache", f"WITH {BARS} SELECT year(dt)::INT AS year, count(*) AS n, round(sum(CASE WHEN year(dt) = 1997 THEN 2 * amount ELSE amount END), 2) AS amount, 0 AS read_again, 1 AS read_changed FROM bars GROUP BY 1")
 def source_parquet_cache(spark, sf_dir):
-    """One dataset partitioned by year, written and read back."""
-    path = scratch(spark, "bars")
-    files.write_partitions(fixtures.bars(spark, sf_dir).withColumn("year", F.year("dt")), path, "year")
-    return spark.read.parquet(path).groupBy("year").agg(F.count(F.lit(1)).alias("n"), digits(F.sum("amount"), 2).alias("amount"))
-
-
-@query("sink_parquet_atomic", f"WITH {BARS} SELECT year(dt)::INT AS year, count(*) AS n, round(sum(CASE WHEN year(dt) = 1997 THEN 0 ELSE volume END), 1) + 0.0 AS volume FROM bars GROUP BY 1")
+    """Files of bars by year behind a cache: a second look reads nothing, after a change of one year one file is read again."""
+    source, cache = scratch(spark, "bars"), scratch(spark, "cache")
+    own = fixtures.bars(spark, sf_dir).withColumn("year", F.year("dt")).select("sym", "year", "amount")
+    write = lambda df: df.repartition("year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(source)
+    read = lambda paths: spark.read.schema("sym long, amount double, year int").option("basePath", source).parquet(*paths)
+    look = lambda: files.refreshed(spark, f"{source}/*/*.parquet", cache, read)
+    write(own)
+    look()
+    _, again = look()
+    write(own.where("year = 1997").withColumn("amount", F.col("amount") * 2))
+    bars, changed = look()
+    return bars.groupBy("year").agg(F.count(F.lit(1)).alias("n"), digits(F.sum("amount"), 2).alias("amount")).withColumns({"read_again": F.lit(again), "read_changed": F.lit(changed)})
+
+
+@query("sink_parquet_atomic", f"WITH {BARS} SELECT year(dt)::INT AS year, count(*) AS n, round(sum(CASE WHEN year(dt) = 1997 THEN 0 ELSE volume END), 1) + 0.0 AS volume, round(sum(volume), 1) + 0.0 AS volume_before FROM bars GROUP BY 1")
 def sink_parquet_atomic(spark, sf_dir):
-    """Rewriting one year leaves the others."""
-    path, own = scratch(spark, "years"), fixtures.bars(spark, sf_dir).withColumn("year", F.year("dt"))
-    files.write_partitions(own, path, "year")
-    files.write_partitions(own.where("year = 1997").withColumn("volume", F.lit(0.0)), path, "year")
-    return spark.read.parquet(path).groupBy("year").agg(F.count(F.lit(1)).alias("n"), digits(F.sum("volume"), 1).alias("volume"))
+    """Rewriting one year leaves the others, and a reader that began before sees the version of then."""
+    table, own = Table(spark, scratch(spark, "years"), "year"), fixtures.bars(spark, sf_dir).withColumn("year", F.year("dt"))
+    table.replace(own)
+    before = table.read()
+    table.replace_parts(own.where("year = 1997").withColumn("volume", F.lit(0.0)))
+    sums = lambda rows: rows.groupBy("year").agg(F.count(F.lit(1)).alias("n"), digits(F.sum("volume"), 1).alias("volume"))
+    return sums(table.read()).join(sums(before).select("year", F.col("volume").alias("volume_before")), "year")
 
 
 @query("sink_json_result", f"WITH {BARS} SELECT sym, dt::VARCHAR AS dt, CASE WHEN sym % 3 = 0 THEN NULL ELSE round(close, 8) END AS close FROM bars")
@@ -234,7 +255,10 @@ def upsert_last_wins(spark, sf_dir):
     own = fixtures.bars(spark, sf_dir).select("sym", "dt", "close")
     even = own.where("sym % 2 = 0")
     new = even.withColumn("close", F.col("close") * 2).withColumn("seq", F.lit(1)).unionByName(even.withColumn("close", F.col("close") * 3).withColumn("seq", F.lit(2)))
-    return upserts.last_wins(own.where("year(dt) <> 1999"), new, ["sym", "dt"], "seq").withColumn("close", digits(F.col("close"), 8))
+    table = Table(spark, scratch(spark, "last-wins"))
+    table.replace(own.where("year(dt) <> 1999"))
+    table.update(new, lambda old, rows: upserts.last_wins(old, rows, ["sym", "dt"], "seq").select("sym", "dt", "close"))
+    return table.read().withColumn("close", digits(F.col("close"), 8))
 
 
 @query("upsert_coalesce", f"WITH {BARS} SELECT sym, dt::VARCHAR AS dt, round(CASE WHEN sym % 3 = 0 THEN close * 2 ELSE close END, 8) AS close, volume + 0.0 AS volume FROM bars")
@@ -242,32 +266,56 @@ def upsert_coalesce(spark, sf_dir):
     own = fixtures.bars(spark, sf_dir).select("sym", "dt", "close", "volume")
     old = own.withColumn("volume", F.lit(None).cast("double"))
     new = own.withColumn("close", F.when(F.col("sym") % 3 == 0, F.col("close") * 2))
-    return upserts.coalescing(old, new, ["sym", "dt"]).select("sym", "dt", digits(F.col("close"), 8).alias("close"), (F.col("volume") + 0.0).alias("volume"))
+    table = Table(spark, scratch(spark, "coalesced"))
+    table.replace(old)
+    table.update(new, lambda old, rows: upserts.coalescing(old, rows, ["sym", "dt"]))
+    return table.read().select("sym", "dt", digits(F.col("close"), 8).alias("close"), (F.col("volume") + 0.0).alias("volume"))
 
 
 @query("replace_snapshot", f"WITH {BARS} SELECT sym, name, list_date::VARCHAR AS list_date FROM stocks WHERE sym % 5 <> 0")
 def replace_snapshot(spark, sf_dir):
     own = fixtures.stocks(spark, sf_dir).select("sym", "name", F.col("list_date").cast("string").alias("list_date"))
     new = own.where("sym % 5 <> 0").withColumn("list_date", F.when(F.col("sym") % 2 == 0, " ").otherwise(F.col("list_date")))
-    return upserts.replace_snapshot(own, new)
+    table = Table(spark, scratch(spark, "snapshot"))
+    table.replace(own)
+    table.update(new, upserts.replace_snapshot)
+    return table.read().select("sym", "name", "list_date")
 
 
 @query("replace_group", f"WITH {BARS}, g AS (SELECT min(industry) AS g FROM stocks) SELECT sym, industry FROM stocks WHERE industry <> (SELECT g FROM g) UNION ALL SELECT sym + 100000, industry FROM stocks WHERE industry = (SELECT g FROM g)")
 def replace_group(spark, sf_dir):
     own = fixtures.stocks(spark, sf_dir).select("sym", "industry")
     least = own.agg(F.min("industry").alias("industry"))
-    return upserts.replace_group(own, own.join(F.broadcast(least), "industry").select(F.col("sym") + 100_000, "industry").toDF("sym", "industry"), "industry")
+    table = Table(spark, scratch(spark, "groups"), "industry")
+    table.replace(own)
+    table.replace_parts(own.join(F.broadcast(least), "industry").select(F.col("sym") + 100_000, "industry").toDF("sym", "industry"))
+    return table.read()
 
 
 @query("upsert_intervals_validated", f"WITH {BARS} SELECT index_code, sym, in_date::VARCHAR AS in_date, out_date::VARCHAR AS out_date FROM constituents")
 def upsert_intervals_validated(spark, sf_dir):
     own = fixtures.constituents(spark, sf_dir)
-    return upserts.intervals_validated(own.where("sym % 2 = 0"), own.where("sym % 3 = 0 or sym % 2 = 1"))
+    table = Table(spark, scratch(spark, "intervals"))
+    table.replace(own.where("sym % 2 = 0"))
+    table.update(own.where("sym % 3 = 0 or sym % 2 = 1"), upserts.intervals_validated)
+    return table.read()
 
 
-@query("purge_not_in", f"WITH {BARS} SELECT sym, count(*) AS n FROM bars WHERE sym IN (SELECT sym FROM constituents WHERE sym % 3 = 0) GROUP BY 1")
+@query("purge_not_in", f"""WITH {BARS}, k AS (SELECT 'universe' AS kept, sym FROM constituents WHERE sym % 3 = 0 UNION SELECT 'universe', sym FROM stocks WHERE sym % 5 = 1 UNION SELECT 'nothing given', sym FROM stocks),
+own AS (SELECT kept, bars.sym, count(*) AS n FROM bars JOIN (SELECT DISTINCT * FROM k) k ON k.sym = bars.sym GROUP BY 1, 2)
+SELECT kept, sym, n, (SELECT count(*) FROM bars) AS n_before, sum(n) OVER (PARTITION BY kept)::BIGINT AS n_after FROM own""")
 def purge_not_in(spark, sf_dir):
-    return upserts.purge_not_in(fixtures.bars(spark, sf_dir), fixtures.constituents(spark, sf_dir).where("sym % 3 = 0")).groupBy("sym").agg(F.count(F.lit(1)).alias("n"))
+    """Bars outside a universe go, but for symbols that could not be fetched; an empty universe deletes nothing."""
+    bars, universe = fixtures.bars(spark, sf_dir), fixtures.constituents(spark, sf_dir).where("sym % 3 = 0").select("sym")
+    failed = fixtures.stocks(spark, sf_dir).where("sym % 5 = 1").select("sym")
+    out = None
+    for kept, keep in (("universe", universe), ("nothing given", universe.limit(0))):
+        table = Table(spark, scratch(spark, "purged"))
+        table.replace(bars.select("sym", "dt", "close"))
+        before, after = upserts.purge_table(table, keep, failed)
+        own = table.read().groupBy("sym").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kept).alias("kept"), "sym", "n", F.lit(before).cast("long").alias("n_before"), F.lit(after).cast("long").alias("n_after"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 @query("data_status", f"WITH {BARS} SELECT count(*) AS n_rows, min(dt)::VARCHAR AS first, max(dt)::VARCHAR AS last, count(DISTINCT sym) AS n_symbols FROM bars")

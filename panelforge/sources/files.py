@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from panelforge.functions.numeric import finite
+from panelforge.sources.versioned import Table
 
 
 def scan_table_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -44,3 +48,25 @@ def without_non_finite(df: DataFrame) -> DataFrame:
 def write_json_result(df: DataFrame, path: str) -> None:
     """JSON documents, with numbers that JSON cannot hold as null."""
     without_non_finite(df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def refreshed(spark: SparkSession, source: str, cache: str, read: Callable[[list[str]], DataFrame]) -> tuple[DataFrame, int]:
+    """What ``read`` makes of the files in folder ``source``, kept under ``cache``; and how many files were read this time.
+
+    Of each file the cache knows size and time: only files that are new or differ are read again, those that are gone go, and others stay as
+    they were written. ``read`` gets paths and returns rows; the listing is a Spark job on the files' metadata alone.
+    """
+    rows, known = Table(spark, f"{cache}/rows", "_file"), Table(spark, f"{cache}/files")
+    kind = "_file string, length long, at timestamp"
+    now = spark.read.format("binaryFile").load(source).select(F.col("path").alias("_file"), "length", F.col("modificationTime").alias("at"))
+    before = known.read(schema=spark.createDataFrame([], kind).schema)
+    changed = [r[0] for r in now.exceptAll(before).select("_file").collect()]  # names of files to be read, as the reader needs them
+    gone = {r[0] for r in before.join(now, "_file", "left_anti").select("_file").collect()}
+    if changed or gone:
+        at = rows.latest()
+        old = [p for p in rows.manifest(at)["parts"] if p["key"] not in gone and p["key"] not in changed]
+        new = read(changed).withColumn("_file", F.col("_metadata.file_path")) if changed else None
+        kept = json.loads(new.schema.json()) if new is not None else rows.manifest(at)["schema"]
+        rows.commit(at, old + (rows.written(new) if new is not None else []), kept, "refresh")
+        known.replace(now)
+    return rows.read().drop("_file"), len(changed)

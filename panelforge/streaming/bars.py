@@ -1,31 +1,102 @@
-"""Structured Streaming: keyed upserts of arriving bars, bars from events, a quality gate and safe resumption."""
+"""Structured Streaming: bars from events, keyed upserts of arriving bars, a quality gate and safe resumption.
+
+Sinks are versioned tables (:mod:`panelforge.sources.versioned`): a batch's rows and the stream's progress become visible in one step, a
+batch that runs again is recognised, and readers pin a version.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from panelforge.sources.versioned import Conflict, Table
+
+DAY = 86_400_000_000
+BARS = "kind string, sym long, start timestamp, open double, high double, low double, close double, n long, event_id long, ts timestamp, value double"
+
+
+class Refused(ValueError):
+    """Rows that would repeat what is committed or leave out what lies between."""
+
+
+def read_files(spark: SparkSession, path: str, schema: StructType | str, files: int | None = None) -> DataFrame:
+    """Files of a folder as a stream, all that are there at once or ``files`` a batch (oldest first)."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+
+
+class _Bars(StatefulProcessor):
+    """A bar for each key (sym, start): kept until the watermark passes its window's end, then written, once."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bar = handle.getValueState("bar", "open double, open_us long, open_id long, high double, low double, close double, close_us long, close_id long, n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        sym, start = key
+        end = (start + self.width) // 1000
+        late = end <= timerValues.getCurrentWatermarkInMs()
+        found = None
+        for part in rows:
+            if late:
+                yield pd.DataFrame({"kind": "late", "sym": sym, "start": start, "open": None, "high": None, "low": None, "close": None, "n": None, "event_id": part["event_id"], "us": part["us"], "value": part["value"]})
+                continue
+            own = part.sort_values(["us", "event_id"])
+            first, last, good = own.iloc[0], own.iloc[-1], own["value"].dropna()
+            bar = (first["value"], first["us"], first["event_id"], good.max(), good.min(), last["value"], last["us"], last["event_id"], len(own))
+            found = merged(found, bar)
+        if found is not None:
+            if self.bar.exists():
+                found = merged(tuple(self.bar.get()), found)
+            else:
+                self.handle.registerTimer(end)
+            self.bar.update(tuple(None if v is None or v != v else int(v) if k in (1, 2, 6, 7, 8) else float(v) for k, v in enumerate(found)))
 
-def read_files(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        o, _, _, high, low, close, _, _, n = self.bar.get()
+        self.bar.clear()
+        yield pd.DataFrame({"kind": ["bar"], "sym": [key[0]], "start": [key[1]], "open": [o], "high": [high], "low": [low], "close": [close], "n": [n], "event_id": [None], "us": [None], "value": [None]})
 
+    def close(self) -> None:
+        pass
 
-def bars_from_events(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
-    """``sym, start, open, high, low, close, n`` per tumbling window; windows end when the watermark passes, late rows go.
 
-    In append mode only ended windows are written; update mode with an upsert on ``sym, start`` gives the open ones too.
-    :func:`late_rows` counts what came too late.
+def merged(a: tuple | None, b: tuple) -> tuple:
+    if a is None:
+        return b
+    known = lambda f, x, y: y if x is None or x != x else x if y is None or y != y else f(x, y)
+    return (*min(a[:3], b[:3], key=lambda x: x[1:]), known(max, a[3], b[3]), known(min, a[4], b[4]), *max(a[5:8], b[5:8], key=lambda x: x[1:]), a[8] + b[8])
+
+
+def bars_from_events(events: DataFrame, width: int = DAY, late: str = "1 day") -> DataFrame:
+    """Rows of ``BARS`` from events (``ts, user_id, event_id, value``): of kind `bar` when a window closes, once each, and of kind `late`.
+
+    A window of ``width`` microseconds closes when the watermark (the latest ``ts`` of earlier batches less ``late``) reaches its end; an event
+    of a closed window is a row of kind `late` with all that it holds. So bars and late events add up to all events, but for windows
+    that are open at the end. Open and close are by (``ts``, ``event_id``); a null value counts in ``n`` alone; events without ``ts`` or ``user_id``
+    are left out. State is one bar for each open window.
     """
-    at = F.struct("ts", "event_id")
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width), F.col("user_id").alias("sym"))
-    return w.agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count(F.lit(1)).alias("n")).select("sym", F.col("window.start").alias("start"), "open", "high", "low", "close", "n")
+    own = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("long").alias("sym"), F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("value"))
+    # Behind the watermark the time goes on as a number, so late rows are not dropped before they reach the operator.
+    timed = own.where("ts IS NOT NULL AND sym IS NOT NULL").withWatermark("ts", late).select("sym", F.unix_micros("ts").alias("us"), "event_id", "value")
+    placed = timed.withColumn("start", F.floor(F.col("us") / width) * width)
+    raw = "kind string, sym long, start long, open double, high double, low double, close double, n long, event_id long, us long, value double"
+    out = placed.groupBy("sym", "start").transformWithStateInPandas(_Bars(width), raw, "append", "eventtime")
+    return out.withColumn("start", F.timestamp_micros("start")).withColumn("ts", F.timestamp_micros("us")).select(*(c.split()[0] for c in BARS.split(", ")))
 
 
-def fresh(bars: DataFrame, late: str = "7 days") -> DataFrame:
-    """Bars without repetitions of ``sym, ts`` within the watermark."""
-    return bars.withWatermark("ts", late).dropDuplicatesWithinWatermark(["sym", "ts"])
+def fresh(rows: DataFrame, keys: list[str], late: str = "7 days") -> DataFrame:
+    """Rows without repetitions of ``keys`` within the watermark on ``ts``; rows later than it go."""
+    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
 def quality_split(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,30 +106,49 @@ def quality_split(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
-def upsert_into(path: str):
-    """A ``foreachBatch`` function: add a batch's rows to the keyed table at ``path`` (:func:`upserted` reads it).
+def commit_into(table: Table, name: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, order: str | None = None, next_of: Callable[[object], object] | None = None):
+    """A ``foreachBatch`` function: append each batch to ``table`` and note, in the same manifest, how far stream ``name`` has come.
 
-    A batch writes its own rows alone, under its number, so work is that of the batch, not of the table, and a batch that runs again
-    replaces its own files.
+    A batch that the same query has committed before (it failed between the commit and its own checkpoint) is passed over. With ``order``, a
+    column whose values only grow, a batch with rows at or before the last committed value is refused, as it is after a restart without
+    the old checkpoint; with ``next_of``, which gives the value that has to follow, a batch that begins beyond it is refused. Refusals raise
+    :class:`Refused` and commit nothing.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        query = table.spark.sparkContext.getLocalProperty("sql.streaming.queryId") or name
+        own, part, parts = prepare(batch), None, None
+        while True:
+            m = table.manifest()
+            done = m["streams"].get(name)
+            if done and done["query"] == query and number <= done["batch"]:
+                return
+            last = done["last"] if done else None
+            if part is None:
+                if parts is None:
+                    parts = table.written(own)
+                span = [] if order is None else [F.min(order).cast("string").alias("first"), F.max(order).cast("string").alias("last")]
+                part = table.spark.read.schema(own.schema).parquet(*[f"{table.path}/{p['folder']}" for p in parts]).agg(F.count(F.lit(1)).alias("n"), *span).first() if parts else None
+            n = part.n if part else 0
+            if n and order:
+                if last is not None and part.first <= last:
+                    raise Refused(f"stream {name}: rows of {part.first}, but all up to {last} is committed")
+                if last is not None and next_of and (due := next_of(last)) is not None and part.first > str(due):
+                    raise Refused(f"stream {name}: rows begin at {part.first}, but {due} has to follow {last}")
+            streams = m["streams"] | {name: {"query": query, "batch": number, "last": part.last if n and order else last, "rows": n + (done["rows"] if done else 0)}}
+            try:
+                table.commit(m["version"], m["parts"] + (parts if n else []), own.schema, f"{name} {number}", streams)
+                return
+            except Conflict:
+                continue  # another stream or a compaction was quicker; the written rows are still right
 
     return run
 
 
-def upserted(spark: SparkSession, path: str, keys: list[str], schema: str, seq: str | None = None) -> DataFrame:
-    """The table that batches were added to: for each key the row with the highest ``seq``, of equal ones that of the latest batch."""
-    own = spark.read.schema(f"{schema}, batch long").parquet(path)
-    rest = [c for c in own.columns if c not in (*keys, "batch")]
-    order = F.struct(*([seq] if seq else []), "batch")
-    return own.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
-
-
-def compact(spark: SparkSession, path: str, to: str, keys: list[str], schema: str, seq: str | None = None) -> None:
-    """Write the table at ``path`` anew at ``to``, one row a key, as batch -1 of a table that later batches can be added to."""
-    upserted(spark, path, keys, schema, seq).write.mode("overwrite").parquet(f"{to}/batch=-1")
+def folded(rows: DataFrame, keys: list[str], latest: list[str], seq: str, added: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key: of ``latest`` the values at the highest ``seq``, of ``added`` the sums. Folding again changes nothing, so it also compacts."""
+    own = rows.groupBy(*keys).agg(F.max_by(F.struct(*latest, seq), F.col(seq)).alias("_r"), *(F.sum(c).alias(c) for c in added))
+    return own.select(*keys, *(F.col(f"_r.{c}") for c in (*latest, seq)), *added)
 
 
 def gate_into(good_path: str, rejected_path: str):
@@ -72,23 +162,30 @@ def gate_into(good_path: str, rejected_path: str):
     return run
 
 
+def state_rows(query: StreamingQuery) -> int:
+    """Rows that the run's stateful steps hold after its last batch."""
+    done = [p for p in query.recentProgress if p["stateOperators"]]
+    return sum(s["numRowsTotal"] for s in done[-1]["stateOperators"]) if done else 0
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows that the run's stateful steps dropped as later than the watermark (after partial aggregation, a row per group and task)."""
     return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 
 def run_available(df: DataFrame, checkpoint: str, sink=None, path: str | None = None, mode: str = "append") -> StreamingQuery:
-    """Process what is there and stop; the next run resumes from the checkpoint. ``mode`` is for a ``sink``; files are appended."""
+    """Process what is there and stop; the next run resumes from the checkpoint. ``mode`` is for a ``sink``; files are appended.
+
+    State is kept in RocksDB, so it may outgrow an executor's memory.
+    """
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark, before = df.sparkSession, df.sparkSession.conf.get(provider)
     writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     writer = writer.outputMode(mode) if sink else writer
-    query = writer.foreachBatch(sink).start() if sink else writer.format("parquet").option("path", path).outputMode("append").start()
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = writer.foreachBatch(sink).start() if sink else writer.format("parquet").option("path", path).outputMode("append").start()
+    finally:
+        spark.conf.set(provider, before)
     query.awaitTermination()
     return query
-
-
-def refuse_overlap(new: DataFrame, committed: DataFrame) -> DataFrame:
-    """``new`` rows after the last committed time; raises if any is not."""
-    last = committed.agg(F.max("ts")).first()[0]
-    if last is not None and not new.where(F.col("ts") <= F.lit(last)).isEmpty():
-        raise ValueError(f"rows at or before {last} are already committed")
-    return new
