@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from panelforge.functions.numeric import by_session, finite, is_close, ratio, trailing
+from panelforge.functions.scan import exponential_means
 
 
 def all_before() -> WindowSpec:
@@ -147,31 +146,32 @@ TWO_LAYER = {"IND_REL_RET_5", "IND_REL_RET_20", "IND_REL_VOL_20"}
 MARKET = {"BETA_60", "IVOL_60", "RSQ_60"}
 
 
-def ewm(x: pd.Series, alpha: float, least: int = 1) -> pd.Series:
-    """Exponential mean, not adjusted; NULL until ``least`` values are there."""
-    return x.ewm(alpha=alpha, adjust=False, min_periods=least).mean()
-
-
-def with_ewm(panel: DataFrame) -> DataFrame:
-    """Adds ``_RSI_14, _ATR_14, _MACD_DIF, _MACD_DEA``: recursive means, one pass per symbol.
-
-    A group holds one symbol's sessions, whose number is that of the calendar. It returns its rows whole, so nothing is joined back.
-    """
-    made = StructType([*panel.schema.fields, *(StructField(f"_{n}", DoubleType()) for n in EWM)])
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("sess", ignore_index=True)
-        close = own.close.astype(float)
-        move = close.diff()
-        up, down = ewm(move.clip(lower=0).fillna(0.0), 1 / 14, 14), ewm((-move).clip(lower=0).fillna(0.0), 1 / 14, 14)
-        terms = pd.DataFrame({"a": own.high - own.low, "b": (own.high - own.pre_close).abs(), "c": (own.low - own.pre_close).abs()}).astype(float)
-        reach = terms.max(axis=1).where(terms.notna().all(axis=1), 0.0)
-        filled = close.ffill()
-        dif = ewm(filled, 2 / 13) - ewm(filled, 2 / 27)
-        total = up + down
-        return own.assign(**{"_RSI_14": (100 * up / total).where(total > 0), "_ATR_14": ewm(reach, 1 / 14), "_MACD_DIF": dif, "_MACD_DEA": ewm(dif, 2 / 10)})
-
-    return panel.groupBy("sym").applyInPandas(run, made)
+def with_ewm(panel: DataFrame, names: tuple[str, ...] | list[str] = EWM) -> DataFrame:
+    """Adds those of ``_RSI_14, _ATR_14, _MACD_DIF, _MACD_DEA`` that are named: scans in columns, the last one over a difference of two."""
+    names = [n for n in EWM if n in names]
+    move = c("close") - back("close", 1)
+    part = lambda x: F.when(move.isNotNull(), F.greatest(x, F.lit(0.0))).otherwise(0.0)
+    terms = [c("high") - c("low"), F.abs(c("high") - c("pre_close")), F.abs(c("low") - c("pre_close"))]
+    reach = F.when(terms[0].isNotNull() & terms[1].isNotNull() & terms[2].isNotNull(), F.greatest(*terms)).otherwise(0.0)
+    made: dict[str, Column] = {"_row": F.row_number().over(by_session())}
+    means: dict[str, tuple[str, float]] = {}
+    if "RSI_14" in names:
+        made |= {"_up": part(move), "_down": part(-move)}
+        means |= {"_u": ("_up", 1 / 14), "_v": ("_down", 1 / 14)}
+    if "ATR_14" in names:
+        made["_reach"], means["_ATR_14"] = reach, ("_reach", 1 / 14)
+    if {"MACD_DIF", "MACD_DEA"} & set(names):
+        made["_filled"] = F.last("close", True).over(all_before())
+        means |= {"_fast": ("_filled", 2 / 13), "_slow": ("_filled", 2 / 27)}
+    own = exponential_means(panel.withColumns(made), means)
+    if "_fast" in means:
+        own = own.withColumn("_MACD_DIF", c("_fast") - c("_slow"))
+    if "MACD_DEA" in names:
+        own = exponential_means(own, {"_MACD_DEA": ("_MACD_DIF", 2 / 10)})
+    if "RSI_14" in names:
+        total = c("_u") + c("_v")
+        own = own.withColumn("_RSI_14", F.when((c("_row") >= 14) & (total > 0), 100 * F.try_divide(c("_u"), total)))
+    return own.select(*panel.columns, *(f"_{n}" for n in names))
 
 
 def prepared(panel: DataFrame, names: list[str]) -> DataFrame:
@@ -184,7 +184,7 @@ def prepared(panel: DataFrame, names: list[str]) -> DataFrame:
     own = own.withColumns({"illiq": F.try_divide(F.abs("r"), "amount"), "v20": F.stddev_samp("r").over(trailing(20)), "island": F.sum(1 - c("up")).over(all_before())})
     if MARKET & set(names):
         own = own.withColumn("mkt", F.coalesce(F.avg(F.when(c("elig"), c("r"))).over(Window.partitionBy("dt")), F.lit(0.0)))
-    return with_ewm(own) if set(EWM) & set(names) else own
+    return with_ewm(own, names) if set(EWM) & set(names) else own
 
 
 def factors(panel: DataFrame, names: list[str], registry: dict[str, Factor] | None = None) -> DataFrame:

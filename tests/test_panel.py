@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import factors as lib
-from panelforge.functions import formula
+from panelforge.functions import formula, scan
 from panelforge.operators import cleaning, fundamentals, panel, protocol, returns, trades, universe, upserts
 from panelforge.operators import portfolio as pf
 from panelforge.plans import portfolio_queries as pq
@@ -46,6 +46,29 @@ def test_ewm_equals_pandas(spark, standard):
     assert np.allclose(got.MACD_DIF.to_numpy(), want.to_numpy(), equal_nan=True)
 
 
+def test_exponential_means_by_blocks_equal_the_recursion(spark):
+    """Several tiers of blocks, a long stretch of zeros, gaps, late starts, short symbols and one without values."""
+    rng = np.random.default_rng(0)
+    n = 70_000  # more than 256 blocks of 64, several tiers
+    x = rng.random(n)
+    x[5_000:30_000] = 0
+    long = pd.DataFrame({"sym": 1, "sess": np.arange(n), "x": x, "z": np.where(np.arange(n) < 700, np.nan, x - 0.5)})
+    short = pd.DataFrame({"sym": np.repeat([2, 3, 4], [1, 257, 600]), "sess": np.concatenate([np.arange(1), np.arange(257) * 3, np.arange(600)])})
+    short["x"] = rng.random(len(short))
+    short["z"] = np.where((rng.random(len(short)) < 0.3) | (short.sym == 4), np.nan, short.x)
+    own = pd.concat([long, short])
+    means = {"a": ("x", 1 / 14), "b": ("z", 0.2), "d": ("x", 0.9), "e": ("z", 0.001)}
+    rows = spark.createDataFrame(own).select("sym", "sess", *(F.when(~F.isnan(k), F.col(k)).alias(k) for k in "xz")).repartition(5)
+    made = scan.exponential_means(rows, means)
+    assert "Python" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = made.toPandas().sort_values(["sym", "sess"])
+    for name, (k, alpha) in means.items():
+        want = own.groupby("sym")[k].transform(lambda v, alpha=alpha: v.ewm(alpha=alpha, adjust=False, ignore_na=True).mean())
+        assert np.allclose(got[name].to_numpy(float), want.to_numpy(), rtol=1e-8, atol=1e-12, equal_nan=True), name
+    with pytest.raises(ValueError, match="weights"):
+        scan.exponential_means(rows, {"a": ("x", 1.5)})
+
+
 def test_skew_and_kurtosis_equal_pandas(spark, standard):
     got = lib.factors(standard, ["SKEW_20", "KURT_20"]).where("sym = 3").toPandas().sort_values("sess")
     r = standard.where("sym = 3").toPandas().sort_values("sess").close.pct_change(fill_method=None)
