@@ -144,6 +144,11 @@ def depth(tokens: list[str], features: set[str], operators: dict[str, Operator]
     return n
 
 
+def malformed(formulas: dict[str, list[str]], features: list[str], operators: dict[str, Operator] | None = None) -> list[str]:
+    """Names of formulas that do not come out as one value: unknown tokens, too few arguments or values left over."""
+    return [name for name, tokens in formulas.items() if depth(tokens, set(features), OPERATORS if operators is None else operators) != 1]
+
+
 def formula_signal(panel: DataFrame, formulas: dict[str, list[str]], features: list[str], operators: dict[str, Operator] | None = None) -> DataFrame:
     """``formula_id, sym, dt, sess, elig, signal``: formulas over feature columns, ending in a cross-section z-score.
 

@@ -6,8 +6,10 @@ Folds, candidates, signs and permutations are rows; what would be nested loops a
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 EULER = 0.5772156649015329
@@ -72,32 +74,85 @@ def mirrored(signals: DataFrame) -> DataFrame:
     return own.withColumn("formula_id", F.struct("formula_id", "sign")).drop("sign")
 
 
-def score_candidates(ics: DataFrame, costs: DataFrame, windows: DataFrame, weight: float = 1.0, penalty: dict[str, float] | None = None, flat: DataFrame | None = None) -> DataFrame:
-    """``fold, formula_id, sign, val_reward, val_icir, flat``: each candidate in its better direction.
+KEYS = ["fold", "formula_id", "sign", "window"]
+#: Full-window rewards of candidates that are rejected before they are scored (fixed values).
+FLAT_REWARD, INVALID_REWARD = -2.0, -1.0
+
+
+def basket(weight: float = 1.0) -> dict[str, Column]:
+    """The library's scorer: the ICIR of a window's coefficients, and as reward the ICIR less its book's yearly cost, cut at -1 and 1."""
+    icir = F.when(F.count("ic") >= 2, F.avg("ic") / (F.stddev_samp("ic") + 1e-9)).otherwise(0.0)
+    cost = F.coalesce(F.avg("cost"), F.lit(0.0)) * 252
+    return {"reward": F.least(F.greatest(icir - weight * cost, F.lit(-1.0)), F.lit(1.0)), "icir": icir}
+
+
+def scored_windows(cells: DataFrame, scorer: Callable[[], dict[str, Column]] | Callable[[pa.Table], dict[str, float]], grouped: bool = False) -> DataFrame:
+    """``fold, formula_id, sign, window, reward, icir`` by a scorer over ``sess, ic, cost`` of each window.
+
+    A scorer is either a function that returns aggregate columns named ``reward`` and ``icir``, or (``grouped``) a function from an Arrow table
+    of one window's sessions, in their order, to these two numbers.
+    """
+    if not grouped:
+        made = scorer()
+        return cells.groupBy(*KEYS).agg(*(made[c].cast("double").alias(c) for c in ("reward", "icir")))
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+
+    def run(keys: tuple, rows: pa.Table) -> pa.Table:
+        made = scorer(rows.select(["sess", "ic", "cost"]).sort_by("sess"))
+        named = {k: rows.column(k).slice(0, 1) for k in KEYS}
+        return pa.table(named | {c: pa.array([made[c]], pa.float64()) for c in ("reward", "icir")})
+
+    return cells.groupBy(*KEYS).applyInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", reward double, icir double")
+
+
+def score_candidates(
+    ics: DataFrame, costs: DataFrame, windows: DataFrame, weight: float = 1.0, penalty: DataFrame | None = None, flat: DataFrame | None = None, ranges: DataFrame | None = None,
+    signals: DataFrame | None = None, invalid: DataFrame | None = None, scorer: Callable | None = None, grouped: bool = False,
+) -> DataFrame:
+    """``fold, formula_id, sign, val_reward, val_icir, full_reward, full_icir, flat, invalid``: each candidate in its better direction.
 
     ``ics``: ``formula_id, sess, ic``; ``costs``: ``formula_id, sign, sess, cost`` from the books of both sides (:func:`mirrored`);
     ``windows``: :func:`validation_windows`. The mirrored signal has mirrored coefficients and its own book's cost. Costs without
-    ``sign`` hold for both sides. Better is the higher reward, then ICIR, then the plain sign. Candidates of ``flat``
-    (:func:`flat_signals`) have no scores.
+    ``sign`` hold for both sides. ``val_*`` are medians over the windows, ``full_*`` (with ``ranges``) are of the whole training range; a
+    candidate's ``penalty`` (``formula_id, penalty``) is taken off both rewards. ``scorer``: see :func:`scored_windows`.
+
+    Better is the higher reward, then ICIR. Where both are equal the side is taken on which the first value that is not zero, of the eligible
+    cells of ``signals`` (``formula_id, sess, sym, elig, signal``) in the windows by session and symbol, is positive: a mirrored input then gives
+    the mirrored sign and so the same trades. Candidates of ``flat`` (:func:`flat_signals`) have no scores but a full-window reward of -2;
+    those of ``invalid`` (``formula_id``, malformed formulas, that have no signal) have a row in each fold, with -1.
     """
-    own = ics.join(F.broadcast(windows), (F.col("sess") >= F.col("lo")) & (F.col("sess") < F.col("hi")))
+    spans = windows.select("fold", "window", "lo", "hi")
+    if ranges is not None:
+        spans = spans.unionByName(ranges.select("fold", F.lit(-1).alias("window"), F.col("train_start").alias("lo"), F.col("train_end").alias("hi")))
+    own = ics.join(F.broadcast(spans), (F.col("sess") >= F.col("lo")) & (F.col("sess") < F.col("hi")))
     own = own.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("ic", F.col("ic") * F.col("sign"))
     own = own.join(costs, ["formula_id", "sign", "sess"] if "sign" in costs.columns else ["formula_id", "sess"], "left")
-    icir = F.when(F.count("ic") >= 2, F.avg("ic") / (F.stddev_samp("ic") + 1e-9)).otherwise(0.0)
-    each = own.groupBy("fold", "formula_id", "sign", "window").agg(icir.alias("icir"), (F.coalesce(F.avg("cost"), F.lit(0.0)) * 252).alias("cost"))
-    each = each.withColumn("reward", F.least(F.greatest(F.col("icir") - weight * F.col("cost"), F.lit(-1.0)), F.lit(1.0)))
-    if penalty:
-        cut = F.lit(0.0)
-        for name, value in penalty.items():
-            cut = F.when(F.col("formula_id") == name, value).otherwise(cut)
-        each = each.withColumn("reward", F.col("reward") - cut)
-    both = each.groupBy("fold", "formula_id", "sign").agg(F.median("reward").alias("val_reward"), F.median("icir").alias("val_icir"))
-    best = Window.partitionBy("fold", "formula_id").orderBy(F.desc("val_reward"), F.desc("val_icir"), F.desc("sign"))
-    own = both.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
+    each = scored_windows(own.select(*KEYS, "sess", "ic", "cost"), scorer or (lambda: basket(weight)), grouped)
+    part = lambda f, c, inside: f(F.when(F.col("window") >= 0 if inside else F.col("window") < 0, F.col(c)))
+    both = each.groupBy("fold", "formula_id", "sign").agg(part(F.median, "reward", True).alias("val_reward"), part(F.median, "icir", True).alias("val_icir"), part(F.max, "reward", False).alias("full_reward"), part(F.max, "icir", False).alias("full_icir"))
+    if penalty is not None:
+        cut = F.coalesce("penalty", F.lit(0.0))
+        both = both.join(penalty.select("formula_id", "penalty"), "formula_id", "left").withColumns({c: F.col(c) - cut for c in ("val_reward", "full_reward")}).drop("penalty")
+    if signals is not None:
+        seen = signals.where("elig and signal is not null and not isnan(signal) and signal <> 0").join(F.broadcast(windows.select("fold", "lo", "hi")), (F.col("sess") >= F.col("lo")) & (F.col("sess") < F.col("hi")))
+        first = seen.groupBy("fold", "formula_id").agg(F.signum(F.min_by("signal", F.struct("sess", "sym"))).cast("int").alias("_first"))
+        both = both.join(first, ["fold", "formula_id"], "left")
+    ahead = F.col("sign") == F.coalesce("_first", F.lit(1)) if signals is not None else F.col("sign") == 1
+    best = Window.partitionBy("fold", "formula_id").orderBy(F.desc("val_reward"), F.desc("val_icir"), F.desc(ahead.cast("int")))
+    columns = ["fold", "formula_id", "sign", "val_reward", "val_icir", "full_reward", "full_icir"]
+    own = both.withColumn("_k", F.row_number().over(best)).where("_k = 1").select(*columns)
     if flat is None:
-        return own.withColumn("flat", F.lit(False))
-    own = own.join(F.broadcast(flat.select("fold", "formula_id").withColumn("flat", F.lit(True))), ["fold", "formula_id"], "left").withColumn("flat", F.coalesce("flat", F.lit(False)))
-    return own.withColumns({"sign": F.when(F.col("flat"), 1).otherwise(F.col("sign"))} | {c: F.when(~F.col("flat"), F.col(c)) for c in ("val_reward", "val_icir")})
+        own = own.withColumn("flat", F.lit(False))
+    else:
+        own = own.join(flat.select("fold", "formula_id").withColumn("flat", F.lit(True)), ["fold", "formula_id"], "full").withColumn("flat", F.coalesce("flat", F.lit(False)))
+        gone = {"sign": F.when(F.col("flat"), 1).otherwise(F.col("sign")), "full_reward": F.when(F.col("flat"), FLAT_REWARD).otherwise(F.col("full_reward"))}
+        own = own.withColumns(gone | {c: F.when(~F.col("flat"), F.col(c)) for c in ("val_reward", "val_icir", "full_icir")})
+    own = own.select(*columns, "flat", F.lit(False).alias("invalid"))
+    if invalid is None:
+        return own
+    none = F.lit(None).cast("double")
+    rejected = invalid.select("formula_id").distinct().crossJoin(F.broadcast(windows.select("fold").distinct()))  # a row a fold
+    return own.unionByName(rejected.select("fold", "formula_id", F.lit(1).alias("sign"), none.alias("val_reward"), none.alias("val_icir"), F.lit(INVALID_REWARD).alias("full_reward"), none.alias("full_icir"), F.lit(False).alias("flat"), F.lit(True).alias("invalid")))
 
 
 def flat_signals(signals: DataFrame, axis: DataFrame, ranges: DataFrame, least: float = 1e-4) -> DataFrame:
@@ -115,13 +170,13 @@ def flat_signals(signals: DataFrame, axis: DataFrame, ranges: DataFrame, least:
 def candidate_gates(scored: DataFrame, min_reward: float = 0.0, min_icir: float = 0.05) -> DataFrame:
     """Adds ``reasons`` against a candidate and ``eligible``."""
     bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    reasons = F.when(F.col("flat"), F.array(F.lit("constant signal"))).otherwise(F.array_compact(F.array(F.when(bad("val_reward"), F.lit("reward undefined")).when(F.col("val_reward") < min_reward, F.lit("reward low")), F.when(bad("val_icir"), F.lit("icir undefined")).when(F.col("val_icir") < min_icir, F.lit("icir low")))))
+    reasons = F.when(F.col("invalid"), F.array(F.lit("invalid formula"))).when(F.col("flat"), F.array(F.lit("constant signal"))).otherwise(F.array_compact(F.array(F.when(bad("val_reward"), F.lit("reward undefined")).when(F.col("val_reward") < min_reward, F.lit("reward low")), F.when(bad("val_icir"), F.lit("icir undefined")).when(F.col("val_icir") < min_icir, F.lit("icir low")))))
     return scored.withColumn("reasons", reasons).withColumn("eligible", F.size("reasons") == 0)
 
 
 def select_candidate(gated: DataFrame) -> DataFrame:
-    """The best eligible and the best rejected candidate of each fold."""
-    w = Window.partitionBy("fold", "eligible").orderBy(F.desc_nulls_last("val_reward"), F.desc_nulls_last("val_icir"), "formula_id")
+    """The best eligible and the best rejected candidate of each fold, by validation values, then those of the full window, then name."""
+    w = Window.partitionBy("fold", "eligible").orderBy(*(F.desc_nulls_last(c) for c in ("val_reward", "val_icir", "full_reward", "full_icir")), "formula_id")
     return gated.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 

@@ -75,13 +75,17 @@ def fold_slice(spark, sf_dir):
     return own.select("fold", "sym", "dt", digits(F.col("fwd")).alias("fwd"))
 
 
-def scores(spark, sf_dir):
-    """Each side of a candidate with the names and costs of its own book; constant signals have no scores."""
-    ics = quality.rank_ic(scored(spark, sf_dir), MIN_STOCKS).join(F.broadcast(axis(spark, sf_dir)), "dt").select("formula_id", "sess", "ic")
+def scores(spark, sf_dir, scorer=None, grouped=False):
+    """Each side of a candidate with the names and costs of its own book; constant signals and malformed formulas have no scores."""
+    days, ranges = F.broadcast(axis(spark, sf_dir)), sound(spark, sf_dir)
+    ics = quality.rank_ic(scored(spark, sf_dir), MIN_STOCKS).join(days, "dt").select("formula_id", "sess", "ic")
     costs = two_books(spark, sf_dir).select("formula_id", "sign", "sess", "cost")
-    bare = {k: 0.02 for k, tokens in FORMULAS.items() if len(tokens) == 1}
-    flat = protocol.flat_signals(signals(spark, sf_dir), axis(spark, sf_dir), sound(spark, sf_dir))
-    return protocol.score_candidates(ics, costs, protocol.validation_windows(sound(spark, sf_dir)), penalty=bare, flat=flat)
+    bare = spark.createDataFrame([(k, 0.02) for k, tokens in FORMULAS.items() if len(tokens) == 1], "formula_id string, penalty double")
+    bad = spark.createDataFrame([(k,) for k in formula.malformed(FORMULAS, ["x", "y", "z"])], "formula_id string")
+    own = signals(spark, sf_dir)
+    flat = protocol.flat_signals(own, axis(spark, sf_dir), ranges)
+    seen = own.withColumn("signal", F.round("signal", 9))
+    return protocol.score_candidates(ics, costs, protocol.validation_windows(ranges), penalty=bare, flat=flat, ranges=ranges, signals=seen, invalid=bad, scorer=scorer, grouped=grouped)
 
 
 #: The books of both sides, from the text of :data:`BOOK`, keyed ``formula_id|sign``.
@@ -91,20 +95,36 @@ BOOK2 = re.sub(rf"(^|FROM |JOIN )({BOOK_TABLES}|signals)\b", r"\g<1>\g<2>2", BOO
 SCORES = f"""{BOOK}, {RANGES}, {WINS},
 signals2 AS (SELECT formula_id || '|' || sign AS formula_id, sym, dt, elig, signal * sign AS signal FROM signals CROSS JOIN {SIDES}),
 {BOOK2},
-each AS (SELECT fold, formula_id, "window", sign, CASE WHEN count(ic) >= 2 THEN avg(ic * sign) / (stddev_samp(ic) + 1e-9) ELSE 0 END AS icir, coalesce(avg(cost), 0) * 252 AS cost
-  FROM (SELECT ic.formula_id, s.sign, a.sess, ic.ic, d.cost FROM ic JOIN axis a USING (dt) CROSS JOIN {SIDES} LEFT JOIN daily2 d ON d.formula_id = ic.formula_id || '|' || s.sign AND d.sess = a.sess) i JOIN wins ON sess >= lo AND sess < hi GROUP BY 1, 2, 3, 4),
-med AS (SELECT fold, formula_id, sign, median(least(greatest(icir - cost, -1), 1) - CASE formula_id WHEN 'plain' THEN 0.02 ELSE 0 END) AS val_reward, median(icir) AS val_icir FROM each GROUP BY 1, 2, 3),
+spans AS (SELECT fold, "window", lo, hi FROM wins UNION ALL SELECT fold, -1, 0, train_end FROM ranges WHERE NOT broken),
+sided AS (SELECT ic.formula_id, s.sign, a.sess, ic.ic * s.sign AS ic, d.cost FROM ic JOIN axis a USING (dt) CROSS JOIN {SIDES} LEFT JOIN daily2 d ON d.formula_id = ic.formula_id || '|' || s.sign AND d.sess = a.sess),
+each AS (SELECT fold, formula_id, "window", sign, {{icir}} AS icir, {{reward}} AS reward FROM sided JOIN spans ON sess >= lo AND sess < hi GROUP BY 1, 2, 3, 4),
+med AS (SELECT fold, formula_id, sign, median(reward) FILTER ("window" >= 0) - any_value(cut) AS val_reward, median(icir) FILTER ("window" >= 0) AS val_icir, max(reward) FILTER ("window" < 0) - any_value(cut) AS full_reward, max(icir) FILTER ("window" < 0) AS full_icir
+  FROM (SELECT *, CASE formula_id WHEN 'plain' THEN 0.02 ELSE 0 END AS cut FROM each) GROUP BY 1, 2, 3),
+firsts AS (SELECT fold, formula_id, sign(arg_min(round(signal, 9), (sess, sym)))::INT AS f FROM signals JOIN axis USING (dt) JOIN wins ON sess >= lo AND sess < hi WHERE elig AND round(signal, 9) <> 0 GROUP BY 1, 2),
 moves AS (SELECT fold, formula_id FROM signals JOIN axis USING (dt) JOIN ranges ON NOT broken AND sess < train_end WHERE elig AND signal IS NOT NULL GROUP BY 1, 2 HAVING stddev_pop(signal) >= 1e-4),
-better AS (SELECT * FROM med QUALIFY row_number() OVER (PARTITION BY fold, formula_id ORDER BY val_reward DESC, val_icir DESC, sign DESC) = 1),
-sc AS (SELECT fold, formula_id, CASE WHEN m.fold IS NULL THEN 1 ELSE sign END AS sign, CASE WHEN m.fold IS NOT NULL THEN val_reward END AS val_reward, CASE WHEN m.fold IS NOT NULL THEN val_icir END AS val_icir, m.fold IS NULL AS flat FROM better LEFT JOIN moves m USING (fold, formula_id)),
-gated AS (SELECT * EXCLUDE (flat), NOT flat AND val_reward >= 0 AND val_icir >= 0.05 AS eligible, CASE WHEN flat THEN 'constant signal' ELSE CASE WHEN val_reward < 0 THEN 'reward low' ELSE '' END || CASE WHEN val_reward < 0 AND val_icir < 0.05 THEN ',' ELSE '' END || CASE WHEN val_icir < 0.05 THEN 'icir low' ELSE '' END END AS reasons FROM sc),
-chosen AS (SELECT * FROM gated QUALIFY row_number() OVER (PARTITION BY fold, eligible ORDER BY val_reward DESC NULLS LAST, val_icir DESC NULLS LAST, formula_id) = 1)"""
-V = "round(val_reward, 6) + 0.0 AS val_reward, round(val_icir, 6) + 0.0 AS val_icir"
+better AS (SELECT med.* FROM med LEFT JOIN firsts USING (fold, formula_id) QUALIFY row_number() OVER (PARTITION BY fold, formula_id ORDER BY val_reward DESC, val_icir DESC, sign = coalesce(f, 1) DESC) = 1),
+flats AS (SELECT *, TRUE AS flat FROM (SELECT fold, formula_id FROM (SELECT DISTINCT formula_id FROM signals), (SELECT fold FROM ranges WHERE NOT broken) EXCEPT SELECT fold, formula_id FROM moves)),
+sc AS (SELECT fold, formula_id, CASE WHEN flat THEN 1 ELSE sign END AS sign, CASE WHEN flat IS NULL THEN val_reward END AS val_reward, CASE WHEN flat IS NULL THEN val_icir END AS val_icir,
+  CASE WHEN flat THEN -2 ELSE full_reward END AS full_reward, CASE WHEN flat IS NULL THEN full_icir END AS full_icir, CASE WHEN flat THEN 'constant signal' END AS bad FROM better FULL JOIN flats USING (fold, formula_id)
+  UNION ALL SELECT DISTINCT fold, 'broken', 1, NULL::DOUBLE, NULL::DOUBLE, -1.0, NULL::DOUBLE, 'invalid formula' FROM wins),
+gated AS (SELECT * EXCLUDE (bad), bad IS NULL AND val_reward >= 0 AND val_icir >= 0.05 AS eligible, coalesce(bad, CASE WHEN val_reward < 0 THEN 'reward low' ELSE '' END || CASE WHEN val_reward < 0 AND val_icir < 0.05 THEN ',' ELSE '' END || CASE WHEN val_icir < 0.05 THEN 'icir low' ELSE '' END) AS reasons FROM sc),
+chosen AS (SELECT * FROM gated QUALIFY row_number() OVER (PARTITION BY fold, eligible ORDER BY val_reward DESC NULLS LAST, val_icir DESC NULLS LAST, full_reward DESC NULLS LAST, full_icir DESC NULLS LAST, formula_id) = 1)"""
+ICIR = "CASE WHEN count(ic) >= 2 THEN avg(ic) / (stddev_samp(ic) + 1e-9) ELSE 0 END"
+BY_SCORER = SCORES
+
+
+def by_scorer(icir: str, reward: str) -> str:
+    return BY_SCORER.replace("{icir}", icir).replace("{reward}", reward)
+
+
+SCORES = by_scorer(ICIR, f"least(greatest({ICIR} - coalesce(avg(cost), 0) * 252, -1), 1)")
+VALUES = ("val_reward", "val_icir", "full_reward", "full_icir")
+V = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in VALUES)
 
 
 @query("score_candidates", f"{SCORES} SELECT fold, formula_id, sign, {V} FROM sc")
 def score_candidates(spark, sf_dir):
-    return rounded(scores(spark, sf_dir).drop("flat"), "val_reward", "val_icir")
+    return rounded(scores(spark, sf_dir).drop("flat", "invalid"), *VALUES)
 
 
 @query("candidate_gates", f"{SCORES} SELECT fold, formula_id, reasons, eligible FROM gated")
@@ -116,7 +136,7 @@ def candidate_gates(spark, sf_dir):
 @query("select_candidate", f"{SCORES} SELECT fold, formula_id, sign, eligible, {V} FROM chosen")
 def select_candidate(spark, sf_dir):
     own = protocol.select_candidate(protocol.candidate_gates(scores(spark, sf_dir)))
-    return rounded(own.select("fold", "formula_id", "sign", "eligible", "val_reward", "val_icir"), "val_reward", "val_icir")
+    return rounded(own.select("fold", "formula_id", "sign", "eligible", *VALUES), *VALUES)
 
 
 def trials(spark, sf_dir):
@@ -175,8 +195,10 @@ def scored_signals(spark, sf_dir, own, penalty=None):
     two_books(spark, sf_dir, own).write.parquet(path)
     books = spark.read.parquet(path)
     flat = protocol.flat_signals(own, axis(spark, sf_dir), sound(spark, sf_dir))
-    made = protocol.score_candidates(ics, books.select("formula_id", "sign", "sess", "cost"), protocol.validation_windows(sound(spark, sf_dir)), penalty=penalty, flat=flat)
-    return protocol.candidate_gates(made).drop("flat"), books, ics
+    cut = None if penalty is None else spark.createDataFrame(list(penalty.items()), "formula_id string, penalty double")
+    seen = own if "sess" in own.columns else own.join(when, "dt")
+    made = protocol.score_candidates(ics, books.select("formula_id", "sign", "sess", "cost"), protocol.validation_windows(sound(spark, sf_dir)), penalty=cut, flat=flat, ranges=sound(spark, sf_dir), signals=seen)
+    return protocol.candidate_gates(made).drop("flat", "invalid"), books, ics
 
 
 @query("baseline_rows")
@@ -298,11 +320,38 @@ def family_ablation(spark, sf_dir):
     return rounded(out.select("fold", "family", "candidate", "val_reward", "val_icir", "was", "eligible", "loss"), "val_reward", "val_icir", "loss")
 
 
-@query("custom_score", f"{SCORED} SELECT formula_id, round(avg((round(ic, 9) > 0)::INT), 6) + 0.0 AS score FROM ic GROUP BY 1")
+def hits() -> dict:
+    """A scorer in columns: the share of positive coefficients above a half, the cost taken off."""
+    share = F.avg((F.round("ic", 9) > 0).cast("double")) - 0.5
+    return {"reward": share - F.coalesce(F.avg("cost"), F.lit(0.0)), "icir": share}
+
+
+def middle(rows) -> dict:
+    """A scorer over a window's rows: the median coefficient, and as reward that of the window's later half."""
+    import numpy as np
+
+    ic = rows.column("ic").to_numpy()
+    own, late = (float(np.median(v[~np.isnan(v)])) if (~np.isnan(v)).any() else None for v in (ic, ic[len(ic) // 2 :]))
+    return {"reward": late, "icir": own}
+
+
+HITS = "avg((round(ic, 9) > 0)::INT) - 0.5"
+LATE = "median(ic) FILTER (half)"
+CHOICE = f"fold, formula_id, sign, eligible, {V}"
+BY_HALVES = by_scorer("median(ic)", LATE).replace("FROM sided JOIN spans ON sess >= lo AND sess < hi GROUP BY 1, 2, 3, 4", """FROM (SELECT *, row_number() OVER w > count(*) OVER (PARTITION BY fold, formula_id, sign, "window") // 2 AS half
+  FROM sided JOIN spans ON sess >= lo AND sess < hi WINDOW w AS (PARTITION BY fold, formula_id, sign, "window" ORDER BY sess)) GROUP BY 1, 2, 3, 4""")
+
+
+@query("custom_score", f"""WITH a AS ({by_scorer(HITS, f"{HITS} - coalesce(avg(cost), 0)")} SELECT 'hits' AS scorer, {CHOICE} FROM chosen),
+b AS ({BY_HALVES} SELECT 'middle' AS scorer, {CHOICE} FROM chosen)
+SELECT * FROM a UNION ALL SELECT * FROM b""")
 def custom_score(spark, sf_dir):
-    """A score of the caller's own over the same coefficients: here the share of positive ones."""
-    ics = quality.rank_ic(scored(spark, sf_dir), MIN_STOCKS)
-    return ics.groupBy("formula_id").agg(digits(F.avg((F.round("ic", 9) > 0).cast("double"))).alias("score"))
+    """Scorers of the caller's own, one in columns and one over rows, for both signs and through gates and selection."""
+    out = None
+    for name, scorer, grouped in (("hits", hits, False), ("middle", middle, True)):
+        own = protocol.select_candidate(protocol.candidate_gates(scores(spark, sf_dir, scorer, grouped))).select(F.lit(name).alias("scorer"), "fold", "formula_id", "sign", "eligible", *VALUES)
+        out = own if out is None else out.unionByName(own)
+    return rounded(out, *VALUES)
 
 
 @query("register_factor", f"WITH {HELPERS} SELECT sym, dt::VARCHAR AS dt, round(1 - low / high, 6) + 0.0 AS value FROM h")

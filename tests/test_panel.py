@@ -202,3 +202,30 @@ def test_constant_signals_have_no_score(spark):
     costs = ics.select("formula_id", "sess", F.lit(0.0).alias("cost"))
     got = {r.formula_id: r for r in protocol.candidate_gates(protocol.score_candidates(ics, costs, protocol.validation_windows(ranges), flat=flat)).collect()}
     assert got["flat"].reasons == ["constant signal"] and got["flat"].val_reward is None and not got["flat"].eligible and got["moving"].val_reward == 1.0
+
+
+def test_a_mirrored_input_gives_mirrored_candidates(spark):
+    """Full-window values, the canonical side on ties, four keys, penalties and malformed formulas."""
+    windows = spark.createDataFrame([(0, 0, 4, 6), (0, 1, 6, 8)], "fold int, window int, lo int, hi int")
+    ranges = spark.createDataFrame([(0, 0, 8)], "fold int, train_start int, train_end int")
+    cells = [("tie", k, 1, True, 0.0 if k < 5 else -0.5) for k in range(8)] + [("tie", 5, 0, False, 9.0)] + [("up", k, 1, True, 1.0 + k) for k in range(8)]
+    ics = spark.createDataFrame([("tie", k, 0.0) for k in range(8)] + [("up", k, 0.2 + k / 100) for k in range(8)], "formula_id string, sess int, ic double")
+    costs = spark.createDataFrame([(n, k, 0.0) for n in ("tie", "up") for k in range(8)], "formula_id string, sess int, cost double")
+    penalty = spark.createDataFrame([("up", 0.25)], "formula_id string, penalty double")
+    invalid = spark.createDataFrame([("odd",)], "formula_id string")
+    got = {}
+    for side in (1, -1):
+        signals = spark.createDataFrame([(n, s, y, e, side * v) for n, s, y, e, v in cells], "formula_id string, sess int, sym int, elig boolean, signal double")
+        own = protocol.score_candidates(ics.withColumn("ic", F.col("ic") * side), costs, windows, penalty=penalty, ranges=ranges, signals=signals, invalid=invalid)
+        got[side] = {r.formula_id: r for r in protocol.candidate_gates(own).collect()}
+    for name in ("tie", "up"):
+        assert got[1][name].sign == -got[-1][name].sign and got[1][name].val_reward == got[-1][name].val_reward
+    assert got[1]["tie"].sign == -1 and got[1]["up"].sign == 1  # the cell that is not eligible does not decide
+    ic = np.array([0.2 + k / 100 for k in range(8)])
+    assert np.isclose(got[1]["up"].full_icir, ic.mean() / (ic.std(ddof=1) + 1e-9)) and np.isclose(got[1]["up"].full_reward, 0.75) and np.isclose(got[1]["up"].val_reward, 0.75)
+    odd = got[1]["odd"]
+    assert odd.reasons == ["invalid formula"] and odd.full_reward == -1 and odd.val_reward is None and not odd.eligible
+    rows = [(0, "a", True, 1.0, 1.0, 0.5, 0.1), (0, "b", True, 1.0, 1.0, 0.5, 0.2), (0, "c", True, 1.0, 1.0, 0.4, 9.0), (0, "d", False, None, None, -2.0, None), (0, "e", False, None, None, -1.0, None)]
+    table = spark.createDataFrame(rows, "fold int, formula_id string, eligible boolean, val_reward double, val_icir double, full_reward double, full_icir double")
+    assert sorted(r.formula_id for r in protocol.select_candidate(table).collect()) == ["b", "e"]
+    assert formula.malformed({"good": ["x", "NEG"], "few": ["x", "ADD"], "many": ["x", "x"], "odd": ["?"], "none": []}, ["x"]) == ["few", "many", "odd", "none"]
