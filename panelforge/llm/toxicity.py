@@ -269,19 +269,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-#: Words that a text of the training sample keeps at most, in stretches of 200 spread over the whole text: with the number of
-#: rows this bounds what the fitting task holds. Scores are of whole texts, whatever their length.
-FIT_WORDS = 20_000
-
-
-def spread_out(text: str, most: int = 0) -> str:
-    words, most = text.split(), most or FIT_WORDS
-    if len(words) <= most:
-        return text
-    n = most // 200
-    return " ".join(w for k in range(n) for at in [k * (len(words) - 200) // max(n - 1, 1)] for w in words[at : at + 200])
-
-
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     """``doc_id, text, toxic``: at most ``per_class`` toxic and twice as many other texts with labels that are not held out.
 
@@ -304,11 +291,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int) -> Network:
         net = train([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.p)], pa.binary())], ["parameters"])
 
-    def shorten(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches(parts, BATCH):
-            yield part.set_column(1, "text", pa.array([spread_out(t or "") for t in part.column("text").to_pylist()], pa.string()))
-
-    few = sample(docs, labels, per_class).mapInArrow(shorten, "doc_id long, text string, toxic int")
+    few = sample(docs, labels, per_class)
     made = few.repartition(1).mapInArrow(fit, "parameters binary").first()
     return Network(pickle.loads(made[0])) if made else train([], np.zeros(0, np.int64))
 
@@ -316,7 +299,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int) -> Network:
 def scores(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``, over whole texts.
 
-    The network is trained from :func:`sample` (its bound is a parameter, that of each text ``FIT_WORDS``); nothing but texts is an input. Null and
+    The network is trained from the whole texts of :func:`sample` (its bound, of rows, is a parameter); nothing but texts is an input. Null and
     empty texts are scored as a window without words. A null ``doc_id`` stays null and is not held out; rows that repeat get the
     same score; other columns are left out. With labels of one class only, or none,
     nothing is known: all scores are (nearly) 0.

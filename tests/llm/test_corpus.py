@@ -437,6 +437,27 @@ def test_surrogates_against_plain_python(spark):
     assert pii.replaced(spark.createDataFrame(alone, "doc_id long, text string"), "k").first().text == alone[0][1]
 
 
+def test_limits_are_one_rule_for_all_sizes(spark):
+    """Against a plain version: without decoys, with a few, and with so many that the fixed table does not matter."""
+    top = secret_scan.MOST_DECADES * secret_scan.BINS_PER_DECADE
+
+    def plain(runs, nulls, rate):
+        out = {}
+        for k in range(3):
+            n, m = (sum(v for (c, _), v in t.items() if c == k) for t in (runs, nulls))
+            up_to = lambda t, b, k=k: sum(v for (c, x), v in t.items() if c == k and x <= b)
+            table = lambda b, k=k: 1000 * np.interp(b, secret_scan.NULL_BINS[k], secret_scan.NULL_SHARES)
+            good = [b for b in range(top + 1) if up_to(runs, b) and n * (up_to(nulls, b) + table(b) + 1) / (m + 1001) <= rate * up_to(runs, b)]
+            if good:
+                out[k] = max(good)
+        return out
+
+    runs = {(0, 3): 5, (0, 40): 9, (1, 2): 1, (2, 500): 40, (2, 10): 3}
+    for nulls in ({}, {(0, 2): 3, (2, 30): 1}, {(0, 5): 90_000, (0, 300): 10_000, (2, 600): 10**6}):
+        frames = [spark.createDataFrame([(*k, v) for k, v in t.items()], "class int, bin int, n long") for t in (runs, nulls)]
+        assert secret_scan.limits(*frames, 0.05) == plain(runs, nulls, 0.05)
+
+
 BASE = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
