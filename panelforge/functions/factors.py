@@ -27,6 +27,8 @@ class Factor:
     family: str
     needs: tuple[str, ...]
     build: Callable[[], Column]
+    lookback: int | None = None
+    description: str = ""
 
 
 REGISTRY: dict[str, Factor] = {}
@@ -34,17 +36,20 @@ REGISTRY: dict[str, Factor] = {}
 ALIASES = {"RET_20": "MOMENTUM_20"}
 
 
-def register_factor(name: str, family: str, needs: str, build: Callable[[], Column], registry: dict[str, Factor] | None = None) -> None:
+def register_factor(name: str, family: str, needs: str, build: Callable[[], Column], registry: dict[str, Factor] | None = None, lookback: int | None = None, description: str = "") -> None:
     """Add a factor: its name, family, the panel columns it needs and a function that gives its column.
 
-    It goes to ``registry``, a table of the caller's own, or to the library's.
+    ``lookback`` is how many sessions before its own a value reads; None, the default, is all of them. It goes to ``registry``,
+    a table of the caller's own, or to the library's.
     """
     registry = REGISTRY if registry is None else registry
     if name in registry:
         raise ValueError(f"factor {name} exists")
+    if lookback is not None and lookback < 0:
+        raise ValueError("lookback has to be 0 or more")
     if not callable(build):
         raise TypeError("build has to be callable")
-    registry[name] = Factor(name, family, tuple(needs.split()), build)
+    registry[name] = Factor(name, family, tuple(needs.split()), build, lookback, description)
 
 
 def c(name: str) -> Column:
@@ -93,51 +98,55 @@ def industry_relative(x: str) -> Column:
 
 
 def _register_all() -> None:
-    add = register_factor
+    """Windows over returns read one session more than their length less one, as a return reads the close before it."""
+
+    def add(name: str, family: str, needs: str, lookback: int | None, description: str, build: Callable[[], Column]) -> None:
+        register_factor(name, family, needs, build, lookback=lookback, description=description)
+
     for n in (1, 5, 10):
-        add(f"RET_{n}", "momentum", "close", lambda n=n: ratio(c("close"), back("close", n)))
+        add(f"RET_{n}", "momentum", "close", n, f"return of {n} sessions", lambda n=n: ratio(c("close"), back("close", n)))
     for n in (20, 60):
-        add(f"VOL_{n}", "volatility", "close", lambda n=n: F.stddev_samp("r").over(trailing(n)))
-    add("TURNOVER", "volume", "turnover_rate", lambda: finite(c("turnover_rate")))
-    add("TURNOVER_CHG", "volume", "turnover_rate", lambda: ratio(c("turnover_rate"), back("turnover_rate", 1)))
-    add("TURNOVER_MA5", "volume", "turnover_rate", lambda: smooth_turnover(F.avg, 5))
-    add("TURNOVER_MA20", "volume", "turnover_rate", lambda: smooth_turnover(F.avg, 20))
-    add("TURNOVER_STD20", "volume", "turnover_rate", lambda: smooth_turnover(F.stddev_samp, 20))
-    add("VOLUME_RATIO", "volume", "volume", lambda: c("volume") / (F.avg("volume").over(trailing(20)) + 1e-9) - 1)
-    add("VOLUME_IMPACT", "volume", "volume", lambda: c("lv") - F.avg("lv").over(trailing(20)))
-    add("AMPLITUDE", "volume", "high low close", lambda: (c("high") - c("low")) / (back("close", 1) + 1e-9))
-    add("CLOSE_POSITION", "volume", "high low close", lambda: (c("close") - c("low")) / (c("high") - c("low") + 1e-9))
+        add(f"VOL_{n}", "volatility", "close", n, f"deviation of {n} returns", lambda n=n: F.stddev_samp("r").over(trailing(n)))
+    add("TURNOVER", "volume", "turnover_rate", 0, "turnover rate", lambda: finite(c("turnover_rate")))
+    add("TURNOVER_CHG", "volume", "turnover_rate", 1, "change of the turnover rate", lambda: ratio(c("turnover_rate"), back("turnover_rate", 1)))
+    add("TURNOVER_MA5", "volume", "turnover_rate", 4, "mean turnover rate of 5 sessions", lambda: smooth_turnover(F.avg, 5))
+    add("TURNOVER_MA20", "volume", "turnover_rate", 19, "mean turnover rate of 20 sessions", lambda: smooth_turnover(F.avg, 20))
+    add("TURNOVER_STD20", "volume", "turnover_rate", 19, "deviation of 20 turnover rates", lambda: smooth_turnover(F.stddev_samp, 20))
+    add("VOLUME_RATIO", "volume", "volume", 19, "volume against its mean of 20 sessions", lambda: c("volume") / (F.avg("volume").over(trailing(20)) + 1e-9) - 1)
+    add("VOLUME_IMPACT", "volume", "volume", 19, "log volume less its mean of 20 sessions", lambda: c("lv") - F.avg("lv").over(trailing(20)))
+    add("AMPLITUDE", "volume", "high low close", 1, "range against the close before", lambda: (c("high") - c("low")) / (back("close", 1) + 1e-9))
+    add("CLOSE_POSITION", "volume", "high low close", 0, "place of the close in the range", lambda: (c("close") - c("low")) / (c("high") - c("low") + 1e-9))
     for n in (20, 60):
-        add(f"MOMENTUM_{n}", "momentum", "close", lambda n=n: ratio(c("close"), back("close", n)))
-    add("RET_120", "momentum", "close", lambda: ratio(c("close"), back("close", 120)))
+        add(f"MOMENTUM_{n}", "momentum", "close", n, f"return of {n} sessions", lambda n=n: ratio(c("close"), back("close", n)))
+    add("RET_120", "momentum", "close", 120, "return of 120 sessions", lambda: ratio(c("close"), back("close", 120)))
     for n in (5, 60, 120):
-        add(f"REVERSAL_{n}", "momentum", "close", lambda n=n: -ratio(c("close"), back("close", n)))
-    add("SKEW_20", "distribution", "close", lambda: skew(20))
-    add("KURT_20", "distribution", "close", lambda: kurt(20))
-    add("LIMIT_UP_EVENT", "event", "close high low pre_close", lambda: c("up"))
-    add("LIMIT_DOWN_EVENT", "event", "close high low pre_close", lambda: c("down"))
-    add("LIMIT_STREAK", "event", "close high low pre_close", lambda: F.sum("up").over(by_session("sym", "island").rowsBetween(Window.unboundedPreceding, 0)))
-    add("LIMIT_UP_CNT_20", "event", "close high low pre_close", lambda: F.sum("up").over(trailing(20)))
-    add("LIMIT_BREAK", "event", "close high pre_close", lambda: c("broke"))
-    add("OVERNIGHT_RET", "intraday", "open pre_close", lambda: ratio(c("open"), c("pre_close")))
-    add("INTRADAY_RET", "intraday", "open close", lambda: ratio(c("close"), c("open")))
-    add("ILLIQ_20", "liquidity", "close amount", lambda: F.avg("illiq").over(trailing(20)))
-    add("AMOUNT_SHARE", "liquidity", "amount", lambda: F.try_divide(c("amount"), F.sum(F.when(c("elig"), c("amount"))).over(Window.partitionBy("dt"))))
-    add("MAX_20", "lottery", "close", lambda: F.max("r").over(trailing(20)))
-    add("HIGH_52W", "momentum", "close", lambda: ratio(c("close"), F.max("close").over(trailing(250))))
-    for name, part in (("BETA_60", "beta"), ("IVOL_60", "ivol"), ("RSQ_60", "rsq")):
-        add(name, "risk", "close", lambda part=part: capm(part))
-    add("BIAS_20", "technical", "close", lambda: ratio(c("close"), F.avg("close").over(trailing(20))))
-    for name in ("RSI_14", "ATR_14", "MACD_DIF", "MACD_DEA"):
-        add(name, "technical", "close high low pre_close", lambda name=name: c(f"_{name}"))
-    add("SUSPEND_DAYS_60", "microstructure", "close", lambda: F.sum(c("close").isNull().cast("double")).over(trailing(60)))
-    add("LIST_AGE", "microstructure", "close", lambda: F.count("close").over(all_before()).cast("double"))
-    add("MARKET_CAP", "fundamental", "amount turnover_rate", lambda: F.try_divide(c("amount"), c("turnover_rate")))
-    for name, x in (("RET_5", "r5"), ("RET_20", "r20"), ("VOL_20", "v20"), ("TURNOVER", "turnover_rate")):
-        add(f"IND_REL_{name}", "industry", "close turnover_rate industry", lambda x=x: industry_relative(x))
+        add(f"REVERSAL_{n}", "momentum", "close", n, f"return of {n} sessions, turned", lambda n=n: -ratio(c("close"), back("close", n)))
+    add("SKEW_20", "distribution", "close", 20, "skewness of 20 returns", lambda: skew(20))
+    add("KURT_20", "distribution", "close", 20, "excess kurtosis of 20 returns", lambda: kurt(20))
+    add("LIMIT_UP_EVENT", "event", "close high low pre_close", 0, "closed at the upper band", lambda: c("up"))
+    add("LIMIT_DOWN_EVENT", "event", "close high low pre_close", 0, "closed at the lower band", lambda: c("down"))
+    add("LIMIT_STREAK", "event", "close high low pre_close", None, "sessions in a row at the upper band", lambda: F.sum("up").over(by_session("sym", "island").rowsBetween(Window.unboundedPreceding, 0)))
+    add("LIMIT_UP_CNT_20", "event", "close high low pre_close", 19, "closes at the upper band in 20 sessions", lambda: F.sum("up").over(trailing(20)))
+    add("LIMIT_BREAK", "event", "close high pre_close", 0, "touched the upper band and left it", lambda: c("broke"))
+    add("OVERNIGHT_RET", "intraday", "open pre_close", 0, "open against the close before", lambda: ratio(c("open"), c("pre_close")))
+    add("INTRADAY_RET", "intraday", "open close", 0, "close against the open", lambda: ratio(c("close"), c("open")))
+    add("ILLIQ_20", "liquidity", "close amount", 20, "absolute return by amount, mean of 20 sessions", lambda: F.avg("illiq").over(trailing(20)))
+    add("AMOUNT_SHARE", "liquidity", "amount", 0, "share of the session's amount", lambda: F.try_divide(c("amount"), F.sum(F.when(c("elig"), c("amount"))).over(Window.partitionBy("dt"))))
+    add("MAX_20", "lottery", "close", 20, "largest of 20 returns", lambda: F.max("r").over(trailing(20)))
+    add("HIGH_52W", "momentum", "close", 249, "close against its highest of 250 sessions", lambda: ratio(c("close"), F.max("close").over(trailing(250))))
+    for name, part, what in (("BETA_60", "beta", "slope"), ("IVOL_60", "ivol", "residual deviation"), ("RSQ_60", "rsq", "explained share")):
+        add(name, "risk", "close", 60, f"regression on the market over 60 sessions: {what}", lambda part=part: capm(part))
+    add("BIAS_20", "technical", "close", 19, "close against its mean of 20 sessions", lambda: ratio(c("close"), F.avg("close").over(trailing(20))))
+    for name, what in (("RSI_14", "relative strength"), ("ATR_14", "true range"), ("MACD_DIF", "fast less slow mean"), ("MACD_DEA", "mean of the difference")):
+        add(name, "technical", "close high low pre_close", None, f"{what}, exponential means", lambda name=name: c(f"_{name}"))
+    add("SUSPEND_DAYS_60", "microstructure", "close", 59, "sessions without a bar in 60", lambda: F.sum(c("close").isNull().cast("double")).over(trailing(60)))
+    add("LIST_AGE", "microstructure", "close", None, "bars so far", lambda: F.count("close").over(all_before()).cast("double"))
+    add("MARKET_CAP", "fundamental", "amount turnover_rate", 0, "amount by turnover rate", lambda: F.try_divide(c("amount"), c("turnover_rate")))
+    for name, x, n in (("RET_5", "r5", 5), ("RET_20", "r20", 20), ("VOL_20", "v20", 20), ("TURNOVER", "turnover_rate", 0)):
+        add(f"IND_REL_{name}", "industry", "close turnover_rate industry", n, f"{name} less its mean in the industry", lambda x=x: industry_relative(x))
     for name in ("PE_TTM", "PB", "PS_TTM", "ROE", "ROA", "GROSS_MARGIN", "NET_MARGIN", "REVENUE_YOY", "PROFIT_YOY", "DEBT_RATIO", "DIVIDEND_YIELD", "MARGIN_BALANCE_CHG", "INDUSTRY_MOMENTUM"):
-        add(name, "fundamental" if name[0] not in "MI" else "flow", f"ext_{name}", lambda name=name: c(f"ext_{name}"))
-    add("NORTHBOUND_CHG", "flow", "", lambda: F.lit(0.0))
+        add(name, "fundamental" if name[0] not in "MI" else "flow", f"ext_{name}", 0, f"column ext_{name} of the panel", lambda name=name: c(f"ext_{name}"))
+    add("NORTHBOUND_CHG", "flow", "", 0, "no data: 0", lambda: F.lit(0.0))
 
 
 _register_all()
@@ -199,3 +208,33 @@ def factors(panel: DataFrame, names: list[str], registry: dict[str, Factor] | No
     absent = [f"ext_{n}" for n in names if f"ext_{n}" in registry[n].needs and f"ext_{n}" not in panel.columns]
     panel = panel.withColumns({x: F.lit(None).cast("double") for x in absent}) if absent else panel
     return prepared(panel, names).select("sym", "dt", "sess", "elig", "industry", *(finite(registry[n].build()).alias(n) for n in names))
+
+
+def lookback(names: list[str], registry: dict[str, Factor] | None = None) -> int | None:
+    """Sessions before its own that a row of the named factors reads; None if one of them reads all."""
+    registry = REGISTRY if registry is None else registry
+    reach = [registry[ALIASES.get(n, n)].lookback for n in names]
+    return None if None in reach else max(reach, default=0)
+
+
+def appended(panel: DataFrame, names: list[str], since: int, registry: dict[str, Factor] | None = None) -> DataFrame:
+    """Rows of :func:`factors` from session ``since`` on, equal to those of a whole run.
+
+    Factors with a bounded lookback read that many sessions before ``since`` and no more: the bound is a literal on ``sess``, so a
+    scan skips files and row groups without it. The others read the whole panel, if any is named. ``since`` at or before the
+    first session gives everything, one past the last nothing.
+    """
+    registry = REGISTRY if registry is None else registry
+    names = [ALIASES.get(n, n) for n in names]
+    if unknown := [n for n in names if n not in registry]:
+        raise KeyError(f"unknown factors: {unknown}")
+    far = [n for n in names if registry[n].lookback is None]
+    near = [n for n in names if n not in far]
+    new = lambda rows, some: factors(rows, some, registry).where(c("sess") >= since)
+    if not far:
+        return new(panel.where(c("sess") >= since - lookback(near, registry)), near)
+    whole = new(panel, far)
+    if not near:
+        return whole
+    part = new(panel.where(c("sess") >= since - lookback(near, registry)), near)
+    return part.join(whole.select("sym", "sess", *far), ["sym", "sess"]).select("sym", "dt", "sess", "elig", "industry", *names)

@@ -21,14 +21,16 @@ class Operator:
     arity: int
     axis: str
     build: Callable[..., Column]
+    lookback: int | None = 0
 
 
 OPERATORS: dict[str, Operator] = {}
 
 
-def register_operator(name: str, arity: int, axis: str, build: Callable[..., Column], operators: dict[str, Operator] | None = None) -> None:
+def register_operator(name: str, arity: int, axis: str, build: Callable[..., Column], operators: dict[str, Operator] | None = None, lookback: int | None = None) -> None:
     """Add an operator. ``build`` takes ``arity`` column names and gives a column.
 
+    ``lookback``, of operators along a symbol: how many sessions before its own a value reads, None for all; others read none.
     It goes to ``operators``, a table of the caller's own, or to the library's.
     """
     operators = OPERATORS if operators is None else operators
@@ -36,7 +38,7 @@ def register_operator(name: str, arity: int, axis: str, build: Callable[..., Col
         raise ValueError(f"operator {name} exists")
     if axis not in ("row", "ts", "cs"):
         raise ValueError(f"unknown axis {axis}")
-    operators[name] = Operator(name, arity, axis, build)
+    operators[name] = Operator(name, arity, axis, build, lookback if axis == "ts" else 0)
 
 
 def c(x: str) -> Column:
@@ -109,17 +111,17 @@ def _register_all() -> None:
     add("GATE", 3, "row", lambda cond, x, y: F.when(c(cond) > 0, c(x)).otherwise(c(y)))
     add("JUMP", 1, "ts", jump)
     add("JUMP_EXPANDING", 1, "ts", lambda x: jump(x, expanding=True))
-    add("DECAY", 1, "ts", lambda x: c(x) + 0.8 * delayed(x, 1) + 0.6 * delayed(x, 2))
-    add("DELAY1", 1, "ts", lambda x: delayed(x, 1))
-    add("MAX3", 1, "ts", lambda x: F.max(x).over(trailing(3)))
+    add("DECAY", 1, "ts", lambda x: c(x) + 0.8 * delayed(x, 1) + 0.6 * delayed(x, 2), lookback=2)
+    add("DELAY1", 1, "ts", lambda x: delayed(x, 1), lookback=1)
+    add("MAX3", 1, "ts", lambda x: F.max(x).over(trailing(3)), lookback=2)
     for n in (5, 10, 20):
-        add(f"DELTA{n}", 1, "ts", lambda x, n=n: c(x) - delayed(x, n))
+        add(f"DELTA{n}", 1, "ts", lambda x, n=n: c(x) - delayed(x, n), lookback=n)
     for n in (5, 10, 20, 60):
-        add(f"MA{n}", 1, "ts", lambda x, n=n: F.avg(x).over(trailing(n)))
-        add(f"STD{n}", 1, "ts", lambda x, n=n: F.stddev_pop(x).over(trailing(n)))
-        add(f"TS_RANK{n}", 1, "ts", lambda x, n=n: rank_share(x, n))
-        add(f"CORR{n}", 2, "ts", lambda x, y, n=n: windowed_correlation(x, y, n))
-        add(f"DOWNVOL{n}", 1, "ts", lambda x, n=n: F.sqrt(F.avg(F.pow(F.least(c(x), F.lit(0.0)), F.lit(2.0))).over(trailing(n))))
+        add(f"MA{n}", 1, "ts", lambda x, n=n: F.avg(x).over(trailing(n)), lookback=n - 1)
+        add(f"STD{n}", 1, "ts", lambda x, n=n: F.stddev_pop(x).over(trailing(n)), lookback=n - 1)
+        add(f"TS_RANK{n}", 1, "ts", lambda x, n=n: rank_share(x, n), lookback=n - 1)
+        add(f"CORR{n}", 2, "ts", lambda x, y, n=n: windowed_correlation(x, y, n), lookback=n - 1)
+        add(f"DOWNVOL{n}", 1, "ts", lambda x, n=n: F.sqrt(F.avg(F.pow(F.least(c(x), F.lit(0.0)), F.lit(2.0))).over(trailing(n))), lookback=n - 1)
     add("CS_ZSCORE", 1, "cs", cs_zscore)
     add("CS_DEMEAN", 1, "cs", cs_demean)
     add("CS_RANK", 1, "cs", cs_rank)
@@ -188,6 +190,38 @@ def formula_signal(panel: DataFrame, formulas: dict[str, list[str]], features: l
     return wide.unpivot(["sym", "dt", "sess", "elig"], list(ends), "formula_id", "signal")
 
 
+def reach(tokens: list[str], features: dict[str, int | None], operators: dict[str, Operator] | None = None) -> int | None:
+    """Sessions before its own that a well-formed formula reads: its operators' lookbacks added up along each argument, the longest
+    counting, from those of its features. None if a part reads all sessions."""
+    stack: list[float] = []
+    operators = OPERATORS if operators is None else operators
+    known = lambda n: float("inf") if n is None else n
+    for t in tokens:
+        if t not in operators:
+            stack.append(known(features[t]))
+            continue
+        op = operators[t]
+        args = stack[len(stack) - op.arity :]
+        del stack[len(stack) - op.arity :]
+        stack.append(max(args) + known(op.lookback))
+    return None if stack[0] == float("inf") else int(stack[0])
+
+
+def appended_signal(panel: DataFrame, formulas: dict[str, list[str]], features: list[str], since: int, operators: dict[str, Operator] | None = None) -> DataFrame:
+    """Rows of :func:`formula_signal` from session ``since`` on, equal to those of a whole run.
+
+    Formulas that read a bounded number of sessions read only those of the panel; the others read all of it.
+    """
+    bad = malformed(formulas, features, operators)
+    reaches = {k: reach(t, dict.fromkeys(features, 0), operators) for k, t in formulas.items() if k not in bad}
+    near = {k: formulas[k] for k, n in reaches.items() if n is not None}
+    far = {k: formulas[k] for k, n in reaches.items() if n is None}
+    first = since - max((n for n in reaches.values() if n is not None), default=0)
+    own = formula_signal(panel.where(c("sess") >= first), near, features, operators)
+    own = own.unionByName(formula_signal(panel, far, features, operators)) if far else own
+    return own.where(c("sess") >= since)
+
+
 def formula_remap(stored: DataFrame, vocabulary: DataFrame, aliases: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Formulas (``formula_id, generation, tokens``) resolved by name against the current vocabulary.
 

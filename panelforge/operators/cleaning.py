@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.universe import first_at_or_after
+
 # fixed values: exchange prefixes of stocks, and codes that look like stocks but are indices, whatever exchange is named
 PREFIXES = {
     "SH": ["600", "601", "603", "605", "688", "689"],
@@ -134,21 +136,18 @@ def clean_industry(raw: DataFrame) -> DataFrame:
     return raw.withColumn("index_code", F.regexp_replace("index_code", r"\.SI$", "")).dropDuplicates()
 
 
+def clean_index_closes(raw: DataFrame) -> DataFrame:
+    """``index_code, dt, close`` of index histories: codes without their suffix, dates and closes read from text; rows without either
+    go, and the last of a code and date (``seq``) counts."""
+    own = clean_industry(raw).withColumns({"dt": clean_date(F.col("dt").cast("string")), "close": numeric(F.col("close"))}).where("dt is not null and close is not null")
+    return keep_last(own, ["index_code", "dt"], "seq").select("index_code", "dt", "close")
+
+
 def attach_announce_date(supplement: DataFrame, earnings: DataFrame) -> DataFrame:
     """Supplement rows with the announce date of the earnings row of their report; others go."""
     return supplement.join(earnings.select("sym", "report_date", "announce_date").distinct(), ["sym", "report_date"])
 
 
-def first_at_or_after(rows: DataFrame, axis: DataFrame, date: str) -> DataFrame:
-    """``rows`` with ``idx``, the first session not before ``date``, or the number of sessions; NULL for no date.
-
-    The calendar is one sorted array, sent to every task; a session is found by its place in it.
-    """
-    days = axis.agg(F.sort_array(F.collect_list("dt")).alias("_days"))
-    place = F.size(F.filter("_days", lambda x: x < F.col(date)))
-    return rows.crossJoin(F.broadcast(days)).withColumn("idx", F.when(F.col(date).isNotNull(), place.cast("int"))).drop("_days")
-
-
 def quarter_ends(spans: DataFrame) -> DataFrame:
     """``quarter_end`` for each quarter that ends within (``first``, ``last``)."""
     months = F.explode(F.sequence(F.trunc("first", "quarter"), F.col("last"), F.expr("interval 3 months")))

@@ -97,5 +97,32 @@ def factor_report(cover: DataFrame, stats: DataFrame, family: DataFrame) -> Data
     return cover.join(stats.withColumnRenamed("formula_id", "factor_name"), "factor_name", "left").join(F.broadcast(family), "factor_name", "left")
 
 
-def numbered(key: str, order: str) -> Column:
-    return F.dense_rank().over(Window.partitionBy(key).orderBy(order)) - 1
+def report_window(panel: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
+    """One row on sessions ``first`` to ``last`` (None: the end): ``stock_count, date_count, mean_eligible_stocks, first_date, last_date``.
+
+    Stocks are those of the whole panel; dates without an eligible stock count 0. No session in the window: counts 0, the rest NULL.
+    """
+    stocks = panel.agg(F.count_distinct("sym").alias("stock_count"))
+    inside = panel.where(F.col("sess") >= first) if last is None else panel.where(F.col("sess").between(first, last))
+    days = inside.groupBy("dt").agg(F.count(F.when(F.col("elig"), 1)).alias("n"))
+    own = days.agg(F.count("dt").alias("date_count"), F.avg("n").alias("mean_eligible_stocks"), F.min("dt").alias("first_date"), F.max("dt").alias("last_date"))
+    return stocks.crossJoin(own)
+
+
+def whole_report(panel: DataFrame, cover: DataFrame, stats: DataFrame, family: DataFrame, corr: DataFrame, pairs: int = 15) -> DataFrame:
+    """The report as rows ``section, name, item, value``: the window (dates as yyyymmdd), each feature's figures, mean correlation within
+    families and the closest pairs (``item`` is the partner)."""
+    def tall(df: DataFrame, section: str, name, item, value: str) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), name.alias("name"), item.alias("item"), F.col(value).cast("double").alias("value"))
+
+    number = lambda c: F.date_format(c, "yyyyMMdd").cast("double")
+    window = report_window(panel).withColumns({"first_date": number("first_date"), "last_date": number("last_date"), "stock_count": F.col("stock_count").cast("double"), "date_count": F.col("date_count").cast("double")})
+    figures = factor_report(cover, stats, family).drop("family")
+    figures = figures.select("factor_name", *(F.col(c).cast("double").alias(c) for c in figures.columns if c != "factor_name"))
+    none = F.lit(None).cast("string")
+    return (
+        tall(window.unpivot([], window.columns, "name", "v"), "window", F.col("name"), none, "v")
+        .unionByName(tall(figures.unpivot(["factor_name"], figures.columns[1:], "item", "v"), "feature", F.col("factor_name"), F.col("item"), "v"))
+        .unionByName(tall(corr_within_family(corr, family), "family", F.col("family"), none, "corr"))
+        .unionByName(tall(top_pairs(corr, pairs), "pair", F.col("a"), F.col("b"), "corr"))
+    )

@@ -16,8 +16,9 @@ FORMULAS = {"plain": ["x"], "spread": ["x", "MA5", "x", "MA20", "SUB"], "ranked"
 FEATURES, OPERATORS = list(lib.REGISTRY), dict(formula.OPERATORS)
 
 
-def inputs(spark, sf_dir):
-    own = lib.prepared(panel.standard(spark, sf_dir), [])
+def inputs(spark, sf_dir, since=0):
+    """From session ``since`` on; returns read one session before it."""
+    own = lib.prepared(panel.standard(spark, sf_dir).where(F.col("sess") >= since - 1), []).where(F.col("sess") >= since)
     zero = F.lit(0.0)
     return own.select("sym", "dt", "sess", "elig", "industry", F.coalesce("r", zero).alias("x"), F.coalesce(F.try_divide("close", "pre_close") - 1, zero).alias("y"), F.coalesce("lv", zero).alias("z"))
 
@@ -87,6 +88,15 @@ def formula_signal(spark, sf_dir):
     return signals(spark, sf_dir).select("formula_id", "sym", "dt", digits(F.col("signal")).alias("signal"))
 
 
+@query("formula_increment", f"{SIGNALS} SELECT formula_id, sym, dt::VARCHAR AS dt, round(signal, 6) + 0.0 AS signal FROM signals WHERE dt > (SELECT dt FROM axis ORDER BY dt DESC LIMIT 1 OFFSET 20)")
+def formula_increment(spark, sf_dir):
+    """The last 20 sessions' signals from those sessions and what the formulas look back."""
+    since = (panel.standard(spark, sf_dir).agg(F.max("sess")).first()[0] or 0) - 19
+    reach = max(formula.reach(t, {"x": 0, "y": 0, "z": 0}) for k, t in FORMULAS.items() if k != "broken")
+    made = formula.appended_signal(inputs(spark, sf_dir, since - reach), FORMULAS, ["x", "y", "z"], since)
+    return made.select("formula_id", "sym", "dt", digits(F.col("signal")).alias("signal"))
+
+
 @query("random_formulas")
 def random_formulas(spark, sf_dir):
     """A draw for each order's key: distinct formulas, their length and how many features and operators they hold."""

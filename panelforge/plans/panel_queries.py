@@ -105,6 +105,32 @@ def interval_issues(spark, sf_dir):
     return universe.interval_issues(bad_intervals(spark, sf_dir))
 
 
+#: The same as untyped text with more errors: blank starts, ends that are no date.
+RAW_BAD = f"""{BAD}, raw AS (SELECT index_code, sym::VARCHAR AS sym, CASE WHEN sym % 11 = 0 THEN '' ELSE strftime(in_date, '%Y%m%d') END AS in_date, CASE WHEN sym % 13 = 0 THEN 'soon' ELSE strftime(out_date, '%Y-%m-%d') END AS out_date FROM bad),
+typed AS (SELECT *, max(out_date) OVER (PARTITION BY index_code, sym ORDER BY in_date, out_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM (
+  SELECT index_code, sym::VARCHAR AS sym, in_date, out_date FROM bad WHERE sym % 11 <> 0 AND sym % 13 <> 0))"""
+
+
+@query(
+    "interval_report",
+    f"""WITH {RAW_BAD} SELECT 'blank' AS issue, 'in_date' AS field, * FROM raw WHERE in_date = '' UNION ALL SELECT 'invalid date', 'out_date', * FROM raw WHERE out_date = 'soon'
+    UNION ALL SELECT CASE WHEN out_date <= in_date THEN 'empty' ELSE 'overlap' END, 'in_date', index_code, sym, in_date::VARCHAR, out_date::VARCHAR FROM typed WHERE out_date <= in_date OR in_date < last""",
+)
+def interval_report(spark, sf_dir):
+    own, text = bad_intervals(spark, sf_dir), lambda c, form: F.date_format(c, form)
+    raw = own.select("index_code", F.col("sym").cast("string").alias("sym"), F.when(F.col("sym") % 11 == 0, "  ").otherwise(text("in_date", "yyyyMMdd")).alias("in_date"), F.when(F.col("sym") % 13 == 0, "soon").otherwise(text("out_date", "yyyy-MM-dd")).alias("out_date"))
+    return universe.interval_report(raw)
+
+
+@query("calendar_report", f"WITH {BARS} SELECT 'invalid date' AS issue, 'dt' AS field, strftime(dt, '%m/%Y') AS dt FROM calendar WHERE month(dt) = 7 AND year(dt) % 2 = 0")
+def calendar_report(spark, sf_dir):
+    """A calendar as text: the Julys are no dates, and those of odd years are closed."""
+    own = fixtures.calendar(spark, sf_dir)
+    july = F.month("dt") == 7
+    raw = own.select(F.when(july, F.date_format("dt", "MM/yyyy")).otherwise(F.date_format("dt", "yyyyMMdd")).alias("dt"), (~july | (F.year("dt") % 2 == 0)).cast("string").alias("is_open"))
+    return universe.calendar_report(raw)
+
+
 @query("snapshot_shaped", f"WITH {BARS} SELECT count(DISTINCT in_date) = 1 AND count(DISTINCT out_date) = 1 AND min(out_date) = DATE '9999-12-31' AND min(in_date) <= (SELECT min(dt) FROM axis) AS snapshot_shaped FROM constituents")
 def snapshot_shaped(spark, sf_dir):
     return universe.snapshot_shaped(fixtures.constituents(spark, sf_dir), axis(spark, sf_dir))
@@ -395,6 +421,14 @@ def factor_report(spark, sf_dir):
     return quality.factor_report(cover, factor_stats(spark, sf_dir), family(spark))
 
 
+REPORT_WINDOW = "SELECT (SELECT count(DISTINCT sym) FROM panel) AS stock_count, count(*) AS date_count, round(avg(n), 6) + 0.0 AS mean_eligible_stocks, min(dt) AS first_date, max(dt) AS last_date FROM (SELECT dt, count(*) FILTER (elig) AS n FROM panel GROUP BY dt)"
+
+
+@query("report_window", f"WITH {PANEL}, w AS ({REPORT_WINDOW}) SELECT * REPLACE (first_date::VARCHAR AS first_date, last_date::VARCHAR AS last_date) FROM w")
+def report_window(spark, sf_dir):
+    return quality.report_window(panel.standard(spark, sf_dir)).withColumn("mean_eligible_stocks", digits(F.col("mean_eligible_stocks")))
+
+
 def flagship(spark, sf_dir):
     """Bars to dense panel, eligibility, all factors, standardisation, rank-IC and its summary."""
     return all_stats(spark, sf_dir, all_standard(spark, sf_dir))
@@ -571,3 +605,19 @@ def feature_family_all(spark, sf_dir):
 def factor_report_all(spark, sf_dir):
     own = all_standard(spark, sf_dir)
     return quality.factor_report(quality.coverage(own).withColumn("coverage", digits(F.col("coverage"))), all_stats(spark, sf_dir, own), all_families(spark))
+
+
+@query(
+    "whole_report",
+    f"""{CORR_ALL}, {ZSCORED[len("WITH " + LONG + ", "):]}, win AS ({REPORT_WINDOW})
+    SELECT 'window' AS section, name, NULL AS item, round(value, 5) + 0.0 AS value FROM (SELECT stock_count::DOUBLE AS stock_count, date_count::DOUBLE AS date_count, mean_eligible_stocks, strftime(first_date, '%Y%m%d')::DOUBLE AS first_date, strftime(last_date, '%Y%m%d')::DOUBLE AS last_date FROM win) UNPIVOT INCLUDE NULLS (value FOR name IN (stock_count, date_count, mean_eligible_stocks, first_date, last_date))
+    UNION ALL SELECT 'feature', factor_name, item, round(value, 5) + 0.0 FROM (SELECT factor_name, coverage::DOUBLE AS coverage, ic_mean::DOUBLE AS ic_mean, ic_abs_mean::DOUBLE AS ic_abs_mean, icir::DOUBLE AS icir, n_dates::DOUBLE AS n_dates FROM cover LEFT JOIN stats USING (factor_name)) UNPIVOT INCLUDE NULLS (value FOR item IN (coverage, ic_mean, ic_abs_mean, icir, n_dates))
+    UNION ALL SELECT 'family', x.family, NULL, round(avg(corr), 5) + 0.0 FROM cm JOIN fam x ON x.factor_name = a JOIN fam y ON y.factor_name = b WHERE x.family = y.family GROUP BY x.family
+    UNION ALL (SELECT 'pair', a, b, round(corr, 5) + 0.0 FROM cm ORDER BY cm.corr DESC, a, b LIMIT 15)""",
+)
+def whole_report(spark, sf_dir):
+    """Window, features, families and closest pairs over all features."""
+    own, cells = all_standard(spark, sf_dir), panel.standard(spark, sf_dir)
+    cover = quality.coverage(own).withColumn("coverage", digits(F.col("coverage")))
+    made = quality.whole_report(cells, cover, all_stats(spark, sf_dir, own), all_families(spark), quality.factor_corr(own, EVERY))
+    return made.withColumn("value", digits(F.col("value"), 5))

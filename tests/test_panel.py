@@ -95,6 +95,49 @@ def test_interval_issues(spark):
         upserts.intervals_validated(t.limit(0), t)
 
 
+def test_interval_report_names_every_error_and_never_fails(spark):
+    rows = [("A", " x ", "20200101", "2020-02-01"), ("A", "x", "20200115", "20200301"), ("A", "y", "20200230", "20200301"), ("A", "z", None, " "), ("B", "x", "20200101", "20200101"), ("A", "v", "1", "soon"), ("C", "x", "20200101", "99991231")]
+    t = spark.createDataFrame(rows, "index_code string, sym string, in_date string, out_date string").withColumn("issue", F.lit("other"))
+    got = {(r.issue, r.field, r.index_code, r.sym) for r in universe.interval_report(t).collect()}
+    assert got == {("overlap", "in_date", "A", "x"), ("invalid date", "in_date", "A", "y"), ("blank", "in_date", "A", "z"), ("blank", "out_date", "A", "z"), ("empty", "in_date", "B", "x"), ("invalid date", "in_date", "A", "v"), ("invalid date", "out_date", "A", "v")}
+    assert [(r.issue, r.field) for r in universe.interval_report(t.drop("sym")).collect()] == [("missing column", "sym")]
+    assert [r.issue for r in universe.interval_report(t.limit(0)).collect()] == ["no rows"]
+    typed = t.select("index_code", "sym", F.to_date(F.lit("2020-01-01")).alias("in_date"), F.to_timestamp(F.lit("2020-02-01")).alias("out_date")).limit(1)
+    assert universe.interval_report(typed).count() == 0
+
+
+def test_calendar_report_and_axis_of_untyped_dates(spark):
+    rows = [("20200102", "true"), ("2020-01-01", "1"), ("20200103", "false"), ("20200102", "true"), ("none", "true"), ("never", None), (None, "true")]
+    t = spark.createDataFrame(rows, "dt string, is_open string")
+    assert sorted((r.issue, r.dt or "") for r in universe.calendar_report(t).collect()) == [("invalid date", ""), ("invalid date", "none")]
+    assert [(str(r.dt), r.sess) for r in universe.session_axis_from(t).orderBy("sess").collect()] == [("2020-01-01", 0), ("2020-01-02", 1)]
+    assert [r.issue for r in universe.calendar_report(t.where("dt = '20200103'")).collect()] == ["no open session"]
+    assert [r.field for r in universe.calendar_report(t.drop("is_open")).collect()] == ["is_open"]
+    assert universe.session_axis_from(t.limit(0)).count() == 0
+
+
+def test_coalesced_intervals_cover_the_same_dates(spark):
+    rows = [("a", 1, 3), ("a", 3, 5), ("a", 2, 4), ("a", 7, 9), ("a", 8, 8), ("a", 6, 5), ("b", 1, 2), ("b", 1, 2), ("c", None, 4), ("c", 2, None), ("d", 1, 20), ("d", 2, 3), ("d", 19, 21)]
+    at = lambda c: F.expr(f"date_add(date'2020-01-01', {c})")
+    t = spark.createDataFrame(rows, "sym string, a int, b int").select("sym", at("a").alias("in_date"), at("b").alias("out_date"))
+    got = sorted((r.sym, r.in_date.day - 1, r.out_date.day - 1) for r in universe.coalesced(t).collect())
+    assert got == [("a", 1, 5), ("a", 7, 9), ("b", 1, 2), ("d", 1, 21)]
+    cells = spark.createDataFrame([(s, d) for s in "abcde" for d in range(25)], "sym string, d int").select("sym", at("d").alias("dt"))
+    want = {(s, d) for s in "abcde" for d in range(25) if any(s == x and a is not None and b is not None and a <= d < b for x, a, b in rows)}
+    assert {(r.sym, r.dt.day - 1) for r in universe.members_at(cells, t).collect()} == want
+    assert universe.members_at(cells, t).count() == len(want)
+
+
+def test_first_sessions_equal_a_search(spark):
+    days = [0, 1, 4, 9, 10]
+    at = lambda c: F.expr(f"date_add(date'2020-01-01', {c})")
+    axis = spark.createDataFrame([(d, k) for k, d in enumerate(days)], "d int, sess int").select(at("d").alias("dt"), "sess")
+    rows = spark.createDataFrame([(d,) for d in [-3, 0, 2, 4, 5, 9, 10, 11, 400, None]], "d int").withColumn("x", at("d"))
+    got = {r.d: r.idx for r in universe.first_at_or_after(rows, axis, "x").collect()}
+    assert got == {d: None if d is None else sum(x < d for x in days) for d in got}
+    assert {r.idx for r in universe.first_at_or_after(rows, axis.limit(0), "x").where("d is not null").collect()} == {0}
+
+
 def test_symbols_and_dates(spark):
     t = spark.createDataFrame([("600000.SH", "20200131"), ("000001.SH", "2020-01-31"), ("123456.SZ", "20209999"), (None, None), ("300001.SZ", "2020-01-31 00:00:00")], "s string, d string")
     got = t.select(cleaning.valid_symbol(F.col("s")).alias("v"), cleaning.clean_date(F.col("d")).cast("string").alias("d")).collect()
