@@ -134,10 +134,10 @@ def clean_margin(spark, sf_dir):
     return cl.clean_margin(one, two).select("sym", "dt", digits(F.col("rzye"), 2).alias("rzye"))
 
 
-@query("clean_index_closes", f"WITH {BARS} SELECT industry AS index_code, dt::VARCHAR AS dt, round(avg(close), 6) + 0.0 AS close FROM bars JOIN stocks USING (sym) WHERE month(dt) <> 7 GROUP BY ALL")
+@query("clean_index_closes", f"WITH {BARS} SELECT industry AS index_code, dt::VARCHAR AS dt, round(max(close), 6) + 0.0 AS close FROM bars JOIN stocks USING (sym) WHERE month(dt) <> 7 GROUP BY ALL")
 def clean_index_closes(spark, sf_dir):
-    """Mean closes of an industry as an index history in text: old values come first, the Julys have no number."""
-    own = fixtures.bars(spark, sf_dir).join(fixtures.stocks(spark, sf_dir), "sym").groupBy("industry", "dt").agg(F.avg("close").alias("close"))
+    """Highest closes of an industry as an index history in text: old values come first, the Julys have no number."""
+    own = fixtures.bars(spark, sf_dir).join(fixtures.stocks(spark, sf_dir), "sym").groupBy("industry", "dt").agg(F.max("close").alias("close"))
     raw = own.select(F.concat("industry", F.lit(".SI")).alias("index_code"), F.date_format("dt", "yyyyMMdd").alias("dt"), F.when(F.month("dt") == 7, "--").otherwise(F.col("close").cast("string")).alias("close"), F.lit(2).alias("seq"))
     return cl.clean_index_closes(raw.unionByName(raw.withColumns({"seq": F.lit(1), "close": F.when(F.col("close") != "--", "1.5").otherwise("--")}))).withColumn("close", digits(F.col("close")))
 
