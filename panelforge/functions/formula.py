@@ -190,6 +190,18 @@ def formula_signal(panel: DataFrame, formulas: dict[str, list[str]], features: l
     return wide.unpivot(["sym", "dt", "sess", "elig"], list(ends), "formula_id", "signal")
 
 
+def ablated(formulas: dict[str, list[str]], family_of: dict[str, str], neutral: str) -> dict[str, list[str]]:
+    """``family|name``: each formula with the features of one of its families replaced by the column ``neutral``; ``none|name``: as it is.
+
+    Families that a formula does not use would leave it as it is, so they are not made.
+    """
+    out = {}
+    for name, tokens in formulas.items():
+        used = sorted({family_of[t] for t in tokens if t in family_of})
+        out |= {f"{gone}|{name}": [neutral if family_of.get(t) == gone else t for t in tokens] for gone in ["none", *used]}
+    return out
+
+
 def reach(tokens: list[str], features: dict[str, int | None], operators: dict[str, Operator] | None = None) -> int | None:
     """Sessions before its own that a well-formed formula reads: its operators' lookbacks added up along each argument, the longest
     counting, from those of its features. None if a part reads all sessions."""

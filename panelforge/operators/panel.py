@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,28 +22,33 @@ def derive(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFrame:
     return own.join(stocks.select("sym", "industry", returns.limit_rate(F.col("ticker")).cast("double").alias("rate")), "sym", "left")
 
 
-#: Panel tables by application, data set, grain and the state of the input files.
-_written: dict[tuple[str, str, bool], tuple[str, str]] = {}
+#: Derived tables by application, data set and name, with the state of the input files.
+_written: dict[tuple[str, str, str], tuple[str, str]] = {}
 INPUTS = ("lineitem", "supplier", "nation", "region")
 
 
-def standard(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFrame:
-    """:func:`derive`, written once under the shared folder and read by all that need a panel.
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], inputs: tuple[str, ...] = INPUTS) -> DataFrame:
+    """What ``make`` derives from a data set, written once under the shared folder and read by all that need it.
 
-    Once an input file has another size or time the panel is derived anew, and the old table is deleted.
+    Once one of the ``inputs`` has another size or time the table is derived anew, and the old one is deleted.
     """
-    key, state = (spark.sparkContext.applicationId, sf_dir, daily), ";".join(shared.stamp(spark, f"{sf_dir}/{t}.parquet") for t in INPUTS)
+    key, state = (spark.sparkContext.applicationId, sf_dir, name), ";".join(shared.stamp(spark, f"{sf_dir}/{t}.parquet") for t in inputs)
     path, then = _written.get(key, ("", ""))
     if then != state or not shared.exists(spark, path):
         if path:
             shared.remove(spark, path)
-        path = shared.scratch(spark, "panel")
-        derive(spark, sf_dir, daily).write.parquet(path)
+        path = shared.scratch(spark, name)
+        make().write.parquet(path)
         _written[key] = (path, state)
     return spark.read.parquet(path)
 
 
+def standard(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFrame:
+    """:func:`derive`, kept."""
+    return kept(spark, sf_dir, "daily" if daily else "panel", lambda: derive(spark, sf_dir, daily))
+
+
 def forget(spark: SparkSession) -> None:
-    """Delete the panels of this application."""
+    """Delete the derived tables of this application."""
     for key in [k for k in _written if k[0] == spark.sparkContext.applicationId]:
         shared.remove(spark, _written.pop(key)[0])

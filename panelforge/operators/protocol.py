@@ -174,6 +174,18 @@ def candidate_gates(scored: DataFrame, min_reward: float = 0.0, min_icir: float
     return scored.withColumn("reasons", reasons).withColumn("eligible", F.size("reasons") == 0)
 
 
+def family_ablation(scored: DataFrame, families: DataFrame) -> DataFrame:
+    """``fold, family, candidate, val_reward, val_icir, was, eligible, loss``: what each candidate loses without each family.
+
+    ``scored``: :func:`candidate_gates` of ``formula.ablated`` (``family|name``, the whole formula under ``none``). A family that a candidate does
+    not use has the candidate's own scores and a loss of 0; losses are NULL where one side has no score. ``families`` are few and broadcast.
+    """
+    made = scored.select("fold", F.substring_index("formula_id", "|", 1).alias("family"), F.expr("substr(formula_id, instr(formula_id, '|') + 1)").alias("candidate"), F.struct("val_reward", "val_icir", "eligible").alias("_v"))
+    base = made.where("family = 'none'").select("fold", "candidate", F.col("_v").alias("_b")).crossJoin(F.broadcast(families.select("family").distinct()))
+    own = base.join(made, ["fold", "candidate", "family"], "left").withColumn("_v", F.coalesce("_v", "_b"))
+    return own.select("fold", "family", "candidate", "_v.val_reward", "_v.val_icir", F.col("_b.eligible").alias("was"), "_v.eligible", (F.col("_b.val_reward") - F.col("_v.val_reward")).alias("loss"))
+
+
 def select_candidate(gated: DataFrame) -> DataFrame:
     """The best eligible and the best rejected candidate of each fold, by validation values, then those of the full window, then name."""
     w = Window.partitionBy("fold", "eligible").orderBy(*(F.desc_nulls_last(c) for c in ("val_reward", "val_icir", "full_reward", "full_icir")), "formula_id")

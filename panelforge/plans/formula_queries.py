@@ -107,22 +107,6 @@ def random_formulas(spark, sf_dir):
 
 
 
-@query(
-    "formula_remap",
-    """WITH s AS (SELECT l_suppkey AS formula_id, l_linenumber AS token, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos FROM lineitem),
-    k AS (SELECT *, CASE token WHEN 1 THEN 10 WHEN 2 THEN 11 WHEN 3 THEN 12 WHEN 4 THEN 10 WHEN 5 THEN 14 WHEN 6 THEN 15 END AS new FROM s WHERE pos <= 5)
-    SELECT formula_id, array_to_string(list(new ORDER BY pos), ' ') AS tokens FROM k GROUP BY formula_id HAVING count(*) = count(new)""",
-)
-def formula_remap(spark, sf_dir):
-    """Token lists taken from each supplier's first five line numbers, read in an old vocabulary; 4 is an alias of 1, 7 is gone."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    first = panel.fixtures.read(spark, sf_dir, "lineitem").withColumn("at", F.row_number().over(order)).where("at <= 5")
-    stored = first.groupBy(F.col("l_suppkey").alias("formula_id")).agg(F.array_sort(F.collect_list(F.struct("at", F.col("l_linenumber").alias("t")))).alias("t")).select("formula_id", F.lit(1).alias("generation"), F.transform("t", lambda t: t["t"]).alias("tokens"))
-    return remapped(spark, stored)
-
-
 def remapped(spark, stored):
     old = spark.createDataFrame([(1, k, f"F{k}") for k in range(1, 8)], "generation int, token int, name string")
     alias = spark.createDataFrame([("F4", "F1")], "name string, now string")
@@ -132,12 +116,12 @@ def remapped(spark, stored):
 
 
 @query(
-    "formula_remap_by_order",
+    "formula_remap",
     """WITH k AS (SELECT l_orderkey AS formula_id, l_linenumber AS pos, l_partkey, l_extendedprice, CASE l_linenumber WHEN 1 THEN 10 WHEN 2 THEN 11 WHEN 3 THEN 12 WHEN 4 THEN 10 WHEN 5 THEN 14 WHEN 6 THEN 15 END AS new FROM lineitem)
     SELECT formula_id, array_to_string(list(new ORDER BY pos, l_partkey, l_extendedprice), ' ') AS tokens FROM k GROUP BY formula_id HAVING count(*) = count(new)""",
 )
-def formula_remap_by_order(spark, sf_dir):
-    """A token list per order from all its line numbers, read as in :func:`formula_remap`."""
+def formula_remap(spark, sf_dir):
+    """A token list per order from all its line numbers, read in an old vocabulary; 4 is an alias of 1, 7 is gone."""
     line = panel.fixtures.read(spark, sf_dir, "lineitem")
     own = line.groupBy(F.col("l_orderkey").alias("formula_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice"))).alias("t"))
     return remapped(spark, own.select("formula_id", F.lit(1).alias("generation"), F.transform("t", lambda t: t["l_linenumber"]).alias("tokens")))

@@ -11,11 +11,9 @@ from panelforge.plans.base_sql import BARS, EWM, EWM_NAMES, FACTORS, HELPERS, PA
 from panelforge.plans.formula_queries import SIGNALS, signals
 from panelforge.plans.registry import query
 from panelforge.sources import fixtures
-from panelforge.sources.shared import scratch
 
 D = "dt::VARCHAR AS dt"
 MIN_STOCKS = 5
-CHOSEN = ["RET_5", "MOMENTUM_20", "VOL_20", "CLOSE_POSITION", "TURNOVER_CHG"]
 
 
 def axis(spark, sf_dir):
@@ -202,49 +200,14 @@ def encode_groups(spark, sf_dir):
     return cleaning.encode_groups(own, "industry").select("sym", "code")
 
 
-LONG = f"""{HELPERS}, wide AS (SELECT sym, dt, sess, elig, r5 AS RET_5, r20 AS MOMENTUM_20, v20 AS VOL_20, (close - low) / (high - low + 1e-9) AS CLOSE_POSITION,
-  turnover_rate / lag(turnover_rate, 1) OVER (PARTITION BY sym ORDER BY sess) - 1 AS TURNOVER_CHG FROM h),
-long AS ({' UNION ALL '.join(f"SELECT sym, dt, sess, elig, '{n}' AS factor_name, {n} AS value FROM wide" for n in CHOSEN)}),
-z1 AS (SELECT *, least(greatest(value, quantile_cont(CASE WHEN elig THEN value END, 0.01) OVER q), quantile_cont(CASE WHEN elig THEN value END, 0.99) OVER q) AS c0, count(CASE WHEN elig THEN value END) OVER q AS n FROM long WINDOW q AS (PARTITION BY factor_name, dt)),
+#: Standardised values ``z`` of ``long``.
+STANDARD = """z1 AS (SELECT *, least(greatest(value, quantile_cont(CASE WHEN elig THEN value END, 0.01) OVER q), quantile_cont(CASE WHEN elig THEN value END, 0.99) OVER q) AS c0, count(CASE WHEN elig THEN value END) OVER q AS n FROM long WINDOW q AS (PARTITION BY factor_name, dt)),
 z1b AS (SELECT * EXCLUDE (c0), CASE WHEN value IS NOT NULL AND n > 0 THEN c0 END AS c FROM z1),
 z2 AS (SELECT *, c - median(CASE WHEN elig THEN c END) OVER (PARTITION BY factor_name, dt) AS d FROM z1b),
 z3 AS (SELECT *, median(CASE WHEN elig THEN abs(d) END) OVER (PARTITION BY factor_name, dt) AS s FROM z2),
 z AS (SELECT sym, dt, sess, elig, factor_name, CASE WHEN d IS NULL THEN 0 ELSE least(greatest(d / CASE WHEN s = 0 THEN 1 ELSE s END, -5), 5) END AS value FROM z3)"""
 
 
-def long_factors(spark, sf_dir):
-    wide = lib.factors(panel.standard(spark, sf_dir), CHOSEN)
-    return wide.unpivot(["sym", "dt", "sess", "elig"], CHOSEN, "factor_name", "value")
-
-
-def standard_factors(spark, sf_dir):
-    return returns.winsor_robust_z(long_factors(spark, sf_dir))
-
-
-@query("factor_long", f"WITH {LONG} SELECT sym, {D}, factor_name, round(value, 6) + 0.0 AS value FROM long")
-def factor_long(spark, sf_dir):
-    return long_factors(spark, sf_dir).select("sym", "dt", "factor_name", digits(F.col("value")).alias("value"))
-
-
-@query("winsor_robust_z", f"WITH {LONG} SELECT sym, {D}, factor_name, round(value, 6) + 0.0 AS value FROM z")
-def winsor_robust_z(spark, sf_dir):
-    return standard_factors(spark, sf_dir).select("sym", "dt", "factor_name", digits(F.col("value")).alias("value"))
-
-
-@query("factor_panel", f"WITH {LONG} SELECT sym, {D}, {', '.join(f'round(max(CASE WHEN factor_name = {chr(39)}{n}{chr(39)} THEN value END), 6) + 0.0 AS {n}' for n in CHOSEN)} FROM z GROUP BY sym, z.dt")
-def factor_panel(spark, sf_dir):
-    own = standard_factors(spark, sf_dir).groupBy("sym", "dt").pivot("factor_name", CHOSEN).agg(F.first("value"))
-    return own.select("sym", "dt", *(digits(F.col(n)).alias(n) for n in CHOSEN))
-
-
-@query("ablate_family", f"WITH {LONG} SELECT factor_name, round(sum(abs(CASE WHEN factor_name IN ('RET_5', 'MOMENTUM_20') THEN 0 ELSE value END)), 3) + 0.0 AS total FROM z GROUP BY 1")
-def ablate_family(spark, sf_dir):
-    """All features of the momentum family neutral."""
-    gone = [n for n in CHOSEN if lib.REGISTRY[n].family == "momentum"]
-    own = standard_factors(spark, sf_dir).withColumn("value", F.when(F.col("factor_name").isin(gone), 0.0).otherwise(F.col("value")))
-    return own.groupBy("factor_name").agg(digits(F.sum(F.abs("value")), 3).alias("total"))
-
-
 # -- fundamentals
 
 REPORTS = f"""{PANEL}, q AS (SELECT l_suppkey AS sym, year(l_shipdate) AS y, quarter(l_shipdate) AS qq, sum(l_extendedprice * (1 - l_discount)) AS revenue, sum(l_extendedprice * (0.06 - l_discount)) AS profit FROM lineitem GROUP BY 1, 2, 3),
@@ -360,67 +323,19 @@ def signal_direction(spark, sf_dir):
     return quality.ic_stats(quality.rank_ic(scored(spark, sf_dir), MIN_STOCKS)).select("formula_id", "direction")
 
 
-ZSCORED = f"""WITH {LONG}, fw AS (SELECT sym, dt, {FWD} AS fwd FROM panel WINDOW ts AS (PARTITION BY sym ORDER BY sess)),
+#: Coefficients, their summary and the coverage of the values ``z``.
+STATS = f"""fw AS (SELECT sym, dt, {FWD} AS fwd FROM panel WINDOW ts AS (PARTITION BY sym ORDER BY sess)),
 sg AS (SELECT z.factor_name AS formula_id, z.dt, z.value AS signal, f.fwd FROM z JOIN fw f USING (sym, dt) WHERE elig),
 ra AS (SELECT formula_id, dt, rank() OVER (PARTITION BY formula_id, dt ORDER BY round(signal, 9)) + (count(*) OVER (PARTITION BY formula_id, dt, round(signal, 9)) - 1) / 2.0 AS a,
   rank() OVER (PARTITION BY formula_id, dt ORDER BY fwd) + (count(*) OVER (PARTITION BY formula_id, dt, fwd) - 1) / 2.0 AS b FROM sg),
 ic AS (SELECT formula_id, dt, count(*) AS n, CASE WHEN count(*) >= {MIN_STOCKS} AND var_pop(a) * count(*) > 1e-12 AND var_pop(b) * count(*) > 1e-12 THEN corr(a, b) END AS ic FROM ra GROUP BY 1, 2),
 stats AS (SELECT formula_id AS factor_name, round(avg(ic), 6) + 0.0 AS ic_mean, round(avg(abs(ic)), 6) + 0.0 AS ic_abs_mean, round(CASE WHEN count(ic) >= 2 THEN avg(ic) / (stddev_samp(ic) + 1e-9) ELSE 0 END, 5) + 0.0 AS icir, count(ic) AS n_dates FROM ic GROUP BY 1),
 cover AS (SELECT factor_name, round(avg((value <> 0)::INT), 6) + 0.0 AS coverage FROM z WHERE elig GROUP BY 1)"""
-
-
-def factor_stats(spark, sf_dir):
-    fwd = panel.standard(spark, sf_dir).select("sym", "dt", returns.open_to_open().alias("fwd"))
-    own = standard_factors(spark, sf_dir).join(fwd, ["sym", "dt"]).select(F.col("factor_name").alias("formula_id"), "sym", "dt", "elig", F.round("value", 9).alias("signal"), "fwd")
-    return quality.ic_stats(quality.rank_ic(own, MIN_STOCKS)).select("formula_id", digits(F.col("ic_mean")).alias("ic_mean"), digits(F.col("ic_abs_mean")).alias("ic_abs_mean"), digits(F.col("icir"), 5).alias("icir"), "n_dates")
-
-
-@query("ic_stats", f"{ZSCORED} SELECT * FROM stats")
-def ic_stats(spark, sf_dir):
-    return factor_stats(spark, sf_dir).withColumnRenamed("formula_id", "factor_name")
-
-
-@query("coverage", f"{ZSCORED} SELECT * FROM cover")
-def coverage(spark, sf_dir):
-    return quality.coverage(standard_factors(spark, sf_dir)).withColumn("coverage", digits(F.col("coverage")))
-
-
-CORR = f"""WITH {LONG}, e AS (SELECT dt, sym, factor_name, value AS v FROM z WHERE elig), live AS (SELECT dt FROM e GROUP BY dt HAVING count(DISTINCT sym) >= 2 AND max(abs(v)) > 0),
+#: Correlations of the values ``z``.
+PAIRS = """e AS (SELECT dt, sym, factor_name, value AS v FROM z WHERE elig), live AS (SELECT dt FROM e GROUP BY dt HAVING count(DISTINCT sym) >= 2 AND max(abs(v)) > 0),
 d AS (SELECT x.dt, x.factor_name AS a, y.factor_name AS b, coalesce(CASE WHEN var_pop(x.v) * count(*) > 1e-12 AND var_pop(y.v) * count(*) > 1e-12 THEN abs(corr(x.v, y.v)) END, 0) AS c
   FROM e x JOIN e y ON x.dt = y.dt AND x.sym = y.sym AND x.factor_name < y.factor_name WHERE x.dt IN (SELECT dt FROM live) GROUP BY 1, 2, 3),
-cm AS (SELECT a, b, avg(c) AS corr FROM d GROUP BY 1, 2), fam AS (SELECT * FROM (VALUES {', '.join(f"('{n}', '{lib.REGISTRY[n].family}')" for n in CHOSEN)}) f(factor_name, family))"""
-
-
-def family(spark):
-    return spark.createDataFrame([(n, lib.REGISTRY[n].family) for n in CHOSEN], "factor_name string, family string")
-
-
-@query("factor_corr_matrix", f"{CORR} SELECT a, b, round(corr, 6) + 0.0 AS corr FROM cm")
-def factor_corr_matrix(spark, sf_dir):
-    return quality.factor_corr(standard_factors(spark, sf_dir), CHOSEN).withColumn("corr", digits(F.col("corr")))
-
-
-@query("corr_within_family", f"{CORR} SELECT x.family, round(avg(corr), 6) + 0.0 AS corr, count(*) AS pairs FROM cm JOIN fam x ON x.factor_name = a JOIN fam y ON y.factor_name = b WHERE x.family = y.family GROUP BY 1")
-def corr_within_family(spark, sf_dir):
-    return quality.corr_within_family(quality.factor_corr(standard_factors(spark, sf_dir), CHOSEN), family(spark)).withColumn("corr", digits(F.col("corr")))
-
-
-@query("corr_top_pairs", f"{CORR} SELECT a, b, round(corr, 6) + 0.0 AS corr FROM cm ORDER BY cm.corr DESC, a, b LIMIT 3")
-def corr_top_pairs(spark, sf_dir):
-    return quality.top_pairs(quality.factor_corr(standard_factors(spark, sf_dir), CHOSEN), 3).withColumn("corr", digits(F.col("corr")))
-
-
-@query("feature_family", f"{CORR} SELECT DISTINCT factor_name, family FROM e JOIN fam USING (factor_name)")
-def feature_family(spark, sf_dir):
-    return long_factors(spark, sf_dir).where("elig").select("factor_name").distinct().join(F.broadcast(family(spark)), "factor_name")
-
-
-@query("factor_report", f"{ZSCORED}, fam AS (SELECT * FROM (VALUES {', '.join(f"('{n}', '{lib.REGISTRY[n].family}')" for n in CHOSEN)}) f(factor_name, family)) SELECT * FROM cover LEFT JOIN stats USING (factor_name) LEFT JOIN fam USING (factor_name)")
-def factor_report(spark, sf_dir):
-    cover = quality.coverage(standard_factors(spark, sf_dir)).withColumn("coverage", digits(F.col("coverage")))
-    return quality.factor_report(cover, factor_stats(spark, sf_dir), family(spark))
-
-
+cm AS (SELECT a, b, avg(c) AS corr FROM d GROUP BY 1, 2)"""
 REPORT_WINDOW = "SELECT (SELECT count(DISTINCT sym) FROM panel) AS stock_count, count(*) AS date_count, round(avg(n), 6) + 0.0 AS mean_eligible_stocks, min(dt) AS first_date, max(dt) AS last_date FROM (SELECT dt, count(*) FILTER (elig) AS n FROM panel GROUP BY dt)"
 
 
@@ -477,14 +392,14 @@ for _name in ("MARGIN_BALANCE_CHG", "INDUSTRY_MOMENTUM"):
     _outside(_name, 6)
 
 
-# -- the same over all features of the registry
+# -- all features of the registry
 
 #: Registered here, not what callers add later.
 EVERY = list(lib.REGISTRY)
 
 
 def feature_sql(name: str) -> str:
-    """``sym, dt, factor_name, value`` of one feature, from the tables of :data:`LONG_ALL`."""
+    """``sym, dt, factor_name, value`` of one feature, from the tables of :data:`LONG`."""
     head = f"SELECT sym, dt, '{name}' AS factor_name, "
     if name in FACTORS:
         x = FACTORS[name]
@@ -496,16 +411,17 @@ def feature_sql(name: str) -> str:
     return f"{head}{name} AS value FROM {({'MARGIN_BALANCE_CHG': 'mbc', 'INDUSTRY_MOMENTUM': 'imo'}).get(name, 'valued')}"
 
 
-LONG_ALL = f"""{EWM.replace("panel AS (", "panel AS MATERIALIZED (").replace(chr(10) + "h AS (", chr(10) + "h AS MATERIALIZED (")}{VALUED[len(PANEL):]}{LEVELS[len(REPORTS):]},
+LONG = f"""{EWM.replace("panel AS (", "panel AS MATERIALIZED (").replace(chr(10) + "h AS (", chr(10) + "h AS MATERIALIZED (")}{VALUED[len(PANEL):]}{LEVELS[len(REPORTS):]},
 mbc AS (SELECT sym, dt, rzye / lag(rzye, 20) OVER (PARTITION BY sym ORDER BY sess) - 1 AS MARGIN_BALANCE_CHG FROM (SELECT sym, dt, sess, CASE WHEN sym % 7 <> month(dt) % 7 THEN amount * (1 + sym % 3) END AS rzye FROM panel)),
 idx AS (SELECT industry, sess, c / lag(c, 20) OVER (PARTITION BY industry ORDER BY sess) - 1 AS v FROM (SELECT industry, sess, avg(close) AS c FROM panel GROUP BY 1, 2)),
 imo AS (SELECT p.sym, p.dt, idx.v AS INDUSTRY_MOMENTUM FROM panel p LEFT JOIN idx USING (industry, sess)),
 features AS ({' UNION ALL '.join(map(feature_sql, EVERY))}),
 long AS MATERIALIZED (SELECT sym, dt, sess, elig, factor_name, CASE WHEN isfinite(value) THEN value END AS value FROM features JOIN panel USING (sym, dt)),
-{LONG[LONG.index("z1 AS ("):]}"""
+{STANDARD}"""
 FAMILIES = ", ".join(f"('{n}', '{lib.REGISTRY[n].family}')" for n in EVERY)
-ZSCORED_ALL = ZSCORED.replace(f"WITH {LONG}", LONG_ALL)
-CORR_ALL = CORR[: CORR.index("fam AS (")].replace(f"WITH {LONG}", LONG_ALL) + f"fam AS (SELECT * FROM (VALUES {FAMILIES}) f(factor_name, family))"
+FAM = f"fam AS (SELECT * FROM (VALUES {FAMILIES}) f(factor_name, family))"
+ZSCORED = f"{LONG}, {STATS}"
+CORR = f"{LONG}, {PAIRS}, {FAM}"
 
 
 def with_all_outside(spark, sf_dir):
@@ -520,45 +436,43 @@ def with_all_outside(spark, sf_dir):
     return fed.withColumnsRenamed({n: f"ext_{n}" for n in (*OUTSIDE, "MARGIN_BALANCE_CHG", "INDUSTRY_MOMENTUM")})
 
 
-def all_long(spark, sf_dir):
-    """All features, laid down once in the session's own folder: standardisation reads them four times."""
+def all_wide(spark, sf_dir):
+    """All features, made once a data set."""
+    own = panel.kept(spark, sf_dir, "features", lambda: lib.factors(with_all_outside(spark, sf_dir), EVERY))
+    return own.select("sym", "dt", "sess", "elig", *(F.col(n).cast("double").alias(n) for n in EVERY))
+
 
-    path = scratch(spark, "features")
-    lib.factors(with_all_outside(spark, sf_dir), EVERY).write.parquet(path)
-    wide = spark.read.parquet(path)
-    wide = wide.select("sym", "dt", "sess", "elig", *(F.col(n).cast("double").alias(n) for n in EVERY))
-    return wide.unpivot(["sym", "dt", "sess", "elig"], EVERY, "factor_name", "value")
+def all_long(spark, sf_dir):
+    return all_wide(spark, sf_dir).unpivot(["sym", "dt", "sess", "elig"], EVERY, "factor_name", "value")
 
 
 def all_standard(spark, sf_dir):
-
-    path = scratch(spark, "standard")
-    returns.winsor_robust_z(all_long(spark, sf_dir)).write.parquet(path)
-    return spark.read.parquet(path)
+    """All features standardised, made once a data set."""
+    return panel.kept(spark, sf_dir, "standard", lambda: returns.winsor_robust_z(all_long(spark, sf_dir)))
 
 
 def all_families(spark):
     return spark.createDataFrame([(n, lib.REGISTRY[n].family) for n in EVERY], "factor_name string, family string")
 
 
-@query("factor_long_all", f"{LONG_ALL} SELECT sym, {D}, factor_name, round(value, CASE factor_name WHEN 'MARKET_CAP' THEN 0 ELSE 6 END) + 0.0 AS value FROM long")
-def factor_long_all(spark, sf_dir):
+@query("factor_long", f"{LONG} SELECT sym, {D}, factor_name, round(value, CASE factor_name WHEN 'MARKET_CAP' THEN 0 ELSE 6 END) + 0.0 AS value FROM long")
+def factor_long(spark, sf_dir):
     return all_long(spark, sf_dir).select("sym", "dt", "factor_name", F.when(F.col("factor_name") == "MARKET_CAP", digits(F.col("value"), 0)).otherwise(digits(F.col("value"))).alias("value"))
 
 
-@query("winsor_robust_z_all", f"{LONG_ALL} SELECT sym, {D}, factor_name, round(value, 6) + 0.0 AS value FROM z")
-def winsor_robust_z_all(spark, sf_dir):
+@query("winsor_robust_z", f"{LONG} SELECT sym, {D}, factor_name, round(value, 6) + 0.0 AS value FROM z")
+def winsor_robust_z(spark, sf_dir):
     return all_standard(spark, sf_dir).select("sym", "dt", "factor_name", digits(F.col("value")).alias("value"))
 
 
-@query("factor_panel_all", f"{LONG_ALL} SELECT sym, {D}, {', '.join(f'round(max(CASE WHEN factor_name = {chr(39)}{n}{chr(39)} THEN value END), 6) + 0.0 AS {n}' for n in EVERY)} FROM z GROUP BY sym, z.dt")
-def factor_panel_all(spark, sf_dir):
+@query("factor_panel", f"{LONG} SELECT sym, {D}, {', '.join(f'round(max(CASE WHEN factor_name = {chr(39)}{n}{chr(39)} THEN value END), 6) + 0.0 AS {n}' for n in EVERY)} FROM z GROUP BY sym, z.dt")
+def factor_panel(spark, sf_dir):
     own = all_standard(spark, sf_dir).groupBy("sym", "dt").pivot("factor_name", EVERY).agg(F.first("value"))
     return own.select("sym", "dt", *(digits(F.col(n)).alias(n) for n in EVERY))
 
 
-@query("ablate_family_all", f"{LONG_ALL}, fam AS (SELECT * FROM (VALUES {FAMILIES}) f(factor_name, family)), t AS (SELECT factor_name, sum(abs(value)) AS total FROM z GROUP BY 1) SELECT r.removed, factor_name, round(CASE WHEN family = r.removed THEN 0 ELSE total END, 3) + 0.0 AS total FROM t JOIN fam USING (factor_name) CROSS JOIN (SELECT DISTINCT family AS removed FROM fam) r")
-def ablate_family_all(spark, sf_dir):
+@query("ablate_family", f"{LONG}, {FAM}, t AS (SELECT factor_name, sum(abs(value)) AS total FROM z GROUP BY 1) SELECT r.removed, factor_name, round(CASE WHEN family = r.removed THEN 0 ELSE total END, 3) + 0.0 AS total FROM t JOIN fam USING (factor_name) CROSS JOIN (SELECT DISTINCT family AS removed FROM fam) r")
+def ablate_family(spark, sf_dir):
     """Each family neutral in turn."""
     own = all_standard(spark, sf_dir).join(F.broadcast(all_families(spark)), "factor_name").groupBy("factor_name", "family").agg(F.sum(F.abs("value")).alias("total"))
     gone = all_families(spark).select(F.col("family").alias("removed")).distinct()
@@ -571,45 +485,45 @@ def all_stats(spark, sf_dir, own):
     return quality.ic_stats(quality.rank_ic(own, MIN_STOCKS)).select("formula_id", digits(F.col("ic_mean")).alias("ic_mean"), digits(F.col("ic_abs_mean")).alias("ic_abs_mean"), digits(F.col("icir"), 5).alias("icir"), "n_dates")
 
 
-@query("ic_stats_all", f"{ZSCORED_ALL} SELECT * FROM stats")
-def ic_stats_all(spark, sf_dir):
+@query("ic_stats", f"{ZSCORED} SELECT * FROM stats")
+def ic_stats(spark, sf_dir):
     return all_stats(spark, sf_dir, all_standard(spark, sf_dir)).withColumnRenamed("formula_id", "factor_name")
 
 
-@query("coverage_all", f"{ZSCORED_ALL} SELECT * FROM cover")
-def coverage_all(spark, sf_dir):
+@query("coverage", f"{ZSCORED} SELECT * FROM cover")
+def coverage(spark, sf_dir):
     return quality.coverage(all_standard(spark, sf_dir)).withColumn("coverage", digits(F.col("coverage")))
 
 
-@query("factor_corr_matrix_all", f"{CORR_ALL} SELECT a, b, round(corr, 6) + 0.0 AS corr FROM cm")
-def factor_corr_matrix_all(spark, sf_dir):
+@query("factor_corr_matrix", f"{CORR} SELECT a, b, round(corr, 6) + 0.0 AS corr FROM cm")
+def factor_corr_matrix(spark, sf_dir):
     return quality.factor_corr(all_standard(spark, sf_dir), EVERY).withColumn("corr", digits(F.col("corr")))
 
 
-@query("corr_within_family_all", f"{CORR_ALL} SELECT x.family, round(avg(corr), 6) + 0.0 AS corr, count(*) AS pairs FROM cm JOIN fam x ON x.factor_name = a JOIN fam y ON y.factor_name = b WHERE x.family = y.family GROUP BY 1")
-def corr_within_family_all(spark, sf_dir):
+@query("corr_within_family", f"{CORR} SELECT x.family, round(avg(corr), 6) + 0.0 AS corr, count(*) AS pairs FROM cm JOIN fam x ON x.factor_name = a JOIN fam y ON y.factor_name = b WHERE x.family = y.family GROUP BY 1")
+def corr_within_family(spark, sf_dir):
     return quality.corr_within_family(quality.factor_corr(all_standard(spark, sf_dir), EVERY), all_families(spark)).withColumn("corr", digits(F.col("corr")))
 
 
-@query("corr_top_pairs_all", f"{CORR_ALL} SELECT a, b, round(corr, 6) + 0.0 AS corr FROM cm ORDER BY cm.corr DESC, a, b LIMIT 15")
-def corr_top_pairs_all(spark, sf_dir):
+@query("corr_top_pairs", f"{CORR} SELECT a, b, round(corr, 6) + 0.0 AS corr FROM cm ORDER BY cm.corr DESC, a, b LIMIT 15")
+def corr_top_pairs(spark, sf_dir):
     return quality.top_pairs(quality.factor_corr(all_standard(spark, sf_dir), EVERY)).withColumn("corr", digits(F.col("corr")))
 
 
-@query("feature_family_all", f"{CORR_ALL} SELECT DISTINCT factor_name, family FROM e JOIN fam USING (factor_name)")
-def feature_family_all(spark, sf_dir):
+@query("feature_family", f"{CORR} SELECT DISTINCT factor_name, family FROM e JOIN fam USING (factor_name)")
+def feature_family(spark, sf_dir):
     return all_long(spark, sf_dir).where("elig").select("factor_name").distinct().join(F.broadcast(all_families(spark)), "factor_name")
 
 
-@query("factor_report_all", f"{ZSCORED_ALL}, fam AS (SELECT * FROM (VALUES {FAMILIES}) f(factor_name, family)) SELECT * FROM cover LEFT JOIN stats USING (factor_name) LEFT JOIN fam USING (factor_name)")
-def factor_report_all(spark, sf_dir):
+@query("factor_report", f"{ZSCORED}, {FAM} SELECT * FROM cover LEFT JOIN stats USING (factor_name) LEFT JOIN fam USING (factor_name)")
+def factor_report(spark, sf_dir):
     own = all_standard(spark, sf_dir)
     return quality.factor_report(quality.coverage(own).withColumn("coverage", digits(F.col("coverage"))), all_stats(spark, sf_dir, own), all_families(spark))
 
 
 @query(
     "whole_report",
-    f"""{CORR_ALL}, {ZSCORED[len("WITH " + LONG + ", "):]}, win AS ({REPORT_WINDOW})
+    f"""{CORR}, {STATS}, win AS ({REPORT_WINDOW})
     SELECT 'window' AS section, name, NULL AS item, round(value, 5) + 0.0 AS value FROM (SELECT stock_count::DOUBLE AS stock_count, date_count::DOUBLE AS date_count, mean_eligible_stocks, strftime(first_date, '%Y%m%d')::DOUBLE AS first_date, strftime(last_date, '%Y%m%d')::DOUBLE AS last_date FROM win) UNPIVOT INCLUDE NULLS (value FOR name IN (stock_count, date_count, mean_eligible_stocks, first_date, last_date))
     UNION ALL SELECT 'feature', factor_name, item, round(value, 5) + 0.0 FROM (SELECT factor_name, coverage::DOUBLE AS coverage, ic_mean::DOUBLE AS ic_mean, ic_abs_mean::DOUBLE AS ic_abs_mean, icir::DOUBLE AS icir, n_dates::DOUBLE AS n_dates FROM cover LEFT JOIN stats USING (factor_name)) UNPIVOT INCLUDE NULLS (value FOR item IN (coverage, ic_mean, ic_abs_mean, icir, n_dates))
     UNION ALL SELECT 'family', x.family, NULL, round(avg(corr), 5) + 0.0 FROM cm JOIN fam x ON x.factor_name = a JOIN fam y ON y.factor_name = b WHERE x.family = y.family GROUP BY x.family

@@ -11,11 +11,11 @@ from panelforge.functions import formula
 from panelforge.functions.numeric import digits
 from panelforge.operators import panel, protocol, quality, returns
 from panelforge.operators import portfolio as pf
-from panelforge.plans.formula_queries import F_SQL, FORMULAS, inputs, signals
-from panelforge.plans.panel_queries import EVERY, LONG, MIN_STOCKS, SCORED, all_standard, axis, scored, standard_factors
+from panelforge.plans.formula_queries import F_SQL, FORMULAS, SIGNALS, inputs, signals
+from panelforge.plans.panel_queries import EVERY, FAM, LONG, MIN_STOCKS, all_families, all_standard, axis, scored
 from panelforge.plans.portfolio_queries import BOOK, daily, rounded, tradable, two_books
 from panelforge.plans.base_sql import BARS, EWM, EWM_NAMES, HELPERS, by_day
-from panelforge.plans.registry import SQL, query
+from panelforge.plans.registry import query
 from panelforge.sources.shared import scratch
 
 ANCHORS = [(1, "1997-12-31", "1998-12-31"), (2, "1998-12-31", "1999-12-31"), (3, "1999-12-31", "2000-12-31"), (4, "2030-01-01", "2031-01-01")]
@@ -171,10 +171,6 @@ def search_rows(spark, sf_dir):
     return rounded(out.select("fold", "formula_id", "sign", "net", "sharpe"), "net", "sharpe")
 
 
-for _name, _run in (("score_candidates", score_candidates), ("select_candidate", select_candidate), ("search_rows", search_rows)):  # names of an earlier round
-    query(f"{_name}_two_books", SQL[_name])(_run)
-
-
 @query("benchmark_rows", f"{BOOK}, {RANGES} SELECT fold, count(*) AS n, round(avg(bench), 6) + 0.0 AS mean, round(stddev_samp(bench), 6) + 0.0 AS sd FROM bench JOIN ranges ON NOT broken AND sess >= test_start AND sess < test_end GROUP BY 1")
 def benchmark_rows(spark, sf_dir):
     r = F.broadcast(sound(spark, sf_dir).select("fold", "test_start", "test_end"))
@@ -202,7 +198,23 @@ def scored_signals(spark, sf_dir, own, penalty=None):
     return protocol.candidate_gates(made).drop("flat", "invalid"), books, ics
 
 
-@query("baseline_rows")
+BROKEN = SCORES[SCORES.index("\n  UNION ALL SELECT DISTINCT fold, 'broken'") : SCORES.index("),\ngated AS")]
+
+
+def scores_of(signals: str, penalty: float) -> str:
+    """:data:`SCORES` over other ``signals``, each with the same penalty, none malformed."""
+    return SCORES.replace(SIGNALS, signals, 1).replace(BROKEN, "").replace("CASE formula_id WHEN 'plain' THEN 0.02 ELSE 0 END AS cut", f"{penalty} AS cut")
+
+
+BASELINES = scores_of(f"{LONG}, signals AS MATERIALIZED (SELECT factor_name AS formula_id, sym, dt, elig, value AS signal FROM z)", 0.02)
+OUTCOME = ("val_reward", "val_icir", "test_ic", "gross", "cost", "net", "turnover", "sharpe")
+
+
+@query("baseline_rows", f"""{BASELINES},
+rows2 AS (SELECT formula_id AS side, fold, avg(gross) / 100 AS gross, avg(cost) / 100 AS cost, avg(net) / 100 AS net, avg(turnover) AS turnover, avg(net - bench) / nullif(stddev_samp(net - bench), 0) AS sharpe FROM daily2 JOIN bench USING (sess) JOIN ranges ON NOT broken AND sess >= test_start AND sess < test_end GROUP BY 1, 2),
+test AS (SELECT fold, formula_id, avg(ic) AS ic FROM ic JOIN axis USING (dt) JOIN ranges ON NOT broken AND sess >= test_start AND sess < test_end GROUP BY 1, 2),
+whole AS (SELECT g.fold, g.formula_id, sign AS direction, val_reward, val_icir, eligible, reasons, sign * test.ic AS test_ic, gross, cost, net, turnover, sharpe FROM gated g LEFT JOIN rows2 r ON r.fold = g.fold AND r.side = g.formula_id || '|' || sign LEFT JOIN test ON test.fold = g.fold AND test.formula_id = g.formula_id)
+SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in OUTCOME)}) FROM whole""")
 def baseline_rows(spark, sf_dir):
     """Every single factor, scored like any candidate on the validation windows and traded out of sample in its learned direction."""
     own = all_standard(spark, sf_dir).select(F.col("factor_name").alias("formula_id"), "sym", "dt", "elig", F.col("value").alias("signal"))
@@ -211,7 +223,7 @@ def baseline_rows(spark, sf_dir):
     test = ics.join(r, (F.col("sess") >= F.col("test_start")) & (F.col("sess") < F.col("test_end"))).groupBy("fold", "formula_id").agg(F.avg("ic").alias("test_ic"))
     out = made.join(side_rows(spark, sf_dir, books), ["fold", "formula_id", "sign"], "left").join(test, ["fold", "formula_id"], "left")
     out = out.select("fold", "formula_id", F.col("sign").alias("direction"), "val_reward", "val_icir", "eligible", F.array_join("reasons", ",").alias("reasons"), (F.col("sign") * F.col("test_ic")).alias("test_ic"), "gross", "cost", "net", "turnover", "sharpe")
-    return rounded(out, "val_reward", "val_icir", "test_ic", "gross", "cost", "net", "turnover", "sharpe")
+    return rounded(out, *OUTCOME)
 
 
 AGG = "count(*) AS n, median(v) AS median, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75, min(v) AS low, max(v) AS high"
@@ -295,30 +307,34 @@ def merge_prior_trials(spark, sf_dir):
     return both.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), digits(F.sum("net"), 5).alias("net"))
 
 
-def ablated(candidates, families):
-    """The candidate table crossed with the families: ``removed|name`` to tokens in which the family's features are neutral."""
-    return {f"{gone}|{k}": ["NEUTRAL" if t in EVERY and lib.REGISTRY[t].family == gone else t for t in tokens] for gone in ["none", *families] for k, tokens in candidates.items()}
+#: Each feature with the seventh after it: every feature is in two candidates.
+PAIRED = {f"{a}+{b}": [a, b, "ADD"] for a, b in zip(EVERY, EVERY[7:] + EVERY[:7], strict=True)}
+ABLATED = scores_of(
+    f"""{LONG}, {FAM}, cds AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{t[0]}', '{t[1]}')" for k, t in PAIRED.items())}) c(candidate, a, b)),
+less AS (SELECT 'none' AS family, * FROM cds UNION SELECT family, cds.* FROM cds JOIN fam ON factor_name IN (a, b)),
+u AS (SELECT c.family || '|' || candidate AS formula_id, x.sym, x.dt, x.elig, CASE WHEN fx.family = c.family THEN 0 ELSE x.value END + CASE WHEN fy.family = c.family THEN 0 ELSE y.value END AS v
+  FROM less c JOIN fam fx ON fx.factor_name = a JOIN fam fy ON fy.factor_name = b JOIN z x ON x.factor_name = a JOIN z y ON y.factor_name = b AND y.sym = x.sym AND y.dt = x.dt),
+signals AS MATERIALIZED ({SIGNALS[SIGNALS.index("signals AS (") + len("signals AS ("):]}""",
+    0,
+)
 
 
-@query("family_ablation")
+@query("family_ablation", f"""{ABLATED},
+made AS (SELECT fold, split_part(formula_id, '|', 1) AS family, split_part(formula_id, '|', 2) AS candidate, val_reward, val_icir, eligible FROM gated),
+own AS (SELECT b.fold, f.family, b.candidate, b.eligible AS was, b.val_reward AS base, CASE WHEN m.fold IS NULL THEN b ELSE m END AS v FROM made b CROSS JOIN (SELECT DISTINCT family FROM fam) f LEFT JOIN made m ON m.fold = b.fold AND m.candidate = b.candidate AND m.family = f.family WHERE b.family = 'none')
+SELECT fold, family, candidate, round(v.val_reward, 6) + 0.0 AS val_reward, round(v.val_icir, 6) + 0.0 AS val_icir, was, v.eligible AS eligible, round(base - v.val_reward, 6) + 0.0 AS loss FROM own""")
 def family_ablation(spark, sf_dir):
-    """Per fold, family and candidate: the loss of validation reward when the family's features are made neutral.
+    """Per fold, family and candidate: the loss of validation reward when the family's features are made neutral."""
 
-    The table of candidates holds the sum of each two neighbouring families' first features.
-    """
+    def wide():
+        own = all_standard(spark, sf_dir).groupBy("sym", "dt", "sess", "elig").pivot("factor_name", EVERY).agg(F.first("value"))
+        return own.join(panel.standard(spark, sf_dir).select("sym", "dt", "industry"), ["sym", "dt"]).withColumn("NEUTRAL", F.lit(0.0))
 
-    families = sorted({lib.REGISTRY[n].family for n in EVERY})
-    first = [next(n for n in EVERY if lib.REGISTRY[n].family == f) for f in families]
-    candidates = {f"{a}+{b}": [a, b, "ADD"] for a, b in zip(first, first[1:] + first[:1], strict=True)}
-    path = scratch(spark, "wide")
-    all_standard(spark, sf_dir).where(F.col("factor_name").isin(first)).groupBy("sym", "dt", "sess", "elig").pivot("factor_name", first).agg(F.first("value")).write.parquet(path)
-    wide = spark.read.parquet(path).join(panel.standard(spark, sf_dir).select("sym", "dt", "industry"), ["sym", "dt"]).withColumn("NEUTRAL", F.lit(0.0))
-    own = formula.formula_signal(wide, ablated(candidates, families), [*first, "NEUTRAL"]).select("formula_id", "sym", "dt", "elig", "signal")
+    formulas = formula.ablated(PAIRED, {n: lib.REGISTRY[n].family for n in EVERY}, "NEUTRAL")
+    own = formula.formula_signal(panel.kept(spark, sf_dir, "wide", wide), formulas, [*EVERY, "NEUTRAL"]).select("formula_id", "sym", "dt", "elig", "signal")
     made, _, _ = scored_signals(spark, sf_dir, own)
-    made = made.select("fold", F.substring_index("formula_id", "|", 1).alias("family"), F.substring_index("formula_id", "|", -1).alias("candidate"), "val_reward", "val_icir", "eligible")
-    base = made.where("family = 'none'").select("fold", "candidate", F.col("val_reward").alias("base"), F.col("eligible").alias("was"))
-    out = made.where("family <> 'none'").join(base, ["fold", "candidate"]).withColumn("loss", F.col("base") - F.col("val_reward"))
-    return rounded(out.select("fold", "family", "candidate", "val_reward", "val_icir", "was", "eligible", "loss"), "val_reward", "val_icir", "loss")
+    out = protocol.family_ablation(made, all_families(spark).select("family"))
+    return rounded(out, "val_reward", "val_icir", "loss")
 
 
 def hits() -> dict:
@@ -378,15 +394,15 @@ def ewm(spark, sf_dir):
     return own.select("sym", "dt", *(digits(F.col(n)).alias(n) for n in lib.EWM))
 
 
-@query("normal_cdf", f"WITH {LONG} SELECT sym, dt::VARCHAR AS dt, factor_name, round({cdf_sql('value')}, 6) + 0.0 AS p FROM z")
+@query("normal_cdf", f"{LONG} SELECT sym, dt::VARCHAR AS dt, factor_name, round({cdf_sql('value')}, 6) + 0.0 AS p FROM z")
 def normal_cdf(spark, sf_dir):
     """The normal distribution at standardised factor values."""
-    own = standard_factors(spark, sf_dir)
+    own = all_standard(spark, sf_dir)
     return own.select("sym", "dt", "factor_name", digits(protocol.normal_cdf(F.col("value"))).alias("p"))
 
 
-@query("normal_ppf", f"WITH {LONG} SELECT sym, dt::VARCHAR AS dt, factor_name, round(value, 5) + 0.0 AS z FROM z")
+@query("normal_ppf", f"{LONG} SELECT sym, dt::VARCHAR AS dt, factor_name, round(value, 5) + 0.0 AS z FROM z")
 def normal_ppf(spark, sf_dir):
     """Normal scores: the quantile of each value's share of the distribution gives the value back."""
-    own = standard_factors(spark, sf_dir).withColumn("p", protocol.normal_cdf(F.col("value")))
+    own = all_standard(spark, sf_dir).withColumn("p", protocol.normal_cdf(F.col("value")))
     return own.select("sym", "dt", "factor_name", digits(protocol.normal_ppf(F.col("p")), 5).alias("z"))

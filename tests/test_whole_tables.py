@@ -1,12 +1,9 @@
-"""Queries without caps of rows or fixed windows, against SQL."""
+"""No cap of rows and no fixed window in SQL that once had one; the queries run in ``test_queries``."""
 
-import pytest
+import __spark_entry__ as entry
 
-from panelforge.plans import portfolio_queries as pq
-from test_whole_job import duck, equal  # noqa: F401
 
-
-@pytest.mark.parametrize("name", ["formula_remap_by_order", "reward_val_median_derived"])
-def test_whole_tables_equal_sql(spark, sf_dir, duck, name):  # noqa: F811
-    assert "pos <= 5" not in pq.SQL[name] and "70, 81" not in pq.SQL[name]
-    equal(spark, sf_dir, duck, name)
+def test_no_caps():
+    sql = entry.oracle_sql()
+    assert "pos <= 5" not in sql["formula_remap"] and "70, 81" not in sql["reward_val_median"]
+    assert all("BETA_60" in sql[k] for k in ("factor_long", "factor_panel", "winsor_robust_z", "ic_stats", "coverage", "factor_corr_matrix", "normal_cdf", "normal_ppf", "feature_family", "ablate_family"))
