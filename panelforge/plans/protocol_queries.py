@@ -84,7 +84,7 @@ def scores(spark, sf_dir, scorer=None, grouped=False):
     bare = spark.createDataFrame([(k, 0.02) for k, tokens in FORMULAS.items() if len(tokens) == 1], "formula_id string, penalty double")
     bad = spark.createDataFrame([(k,) for k in formula.malformed(FORMULAS, ["x", "y", "z"])], "formula_id string")
     own = signals(spark, sf_dir)
-    flat = protocol.flat_signals(own, axis(spark, sf_dir), ranges)
+    flat = protocol.flat_signals(own.drop("sess"), axis(spark, sf_dir), ranges)
     seen = own.withColumn("signal", F.round("signal", 9))
     return protocol.score_candidates(ics, costs, protocol.validation_windows(ranges), penalty=bare, flat=flat, ranges=ranges, signals=seen, invalid=bad, scorer=scorer, grouped=grouped)
 
@@ -184,17 +184,22 @@ def scored_signals(spark, sf_dir, own, penalty=None):
     A signal without spread in the training range has no score and is rejected.
     """
 
+    when = F.broadcast(axis(spark, sf_dir))
     own = own.withColumn("signal", F.round("signal", 9))
+    path = scratch(spark, "signals")  # coefficients, books, spread and sides read them
+    (own if "sess" in own.columns else own.join(when, "dt")).write.parquet(path)
+    own = spark.read.parquet(path)
     fwd = panel.standard(spark, sf_dir).select("sym", "dt", returns.open_to_open().alias("fwd"))
-    when = F.broadcast(axis(spark, sf_dir))
-    ics = quality.rank_ic(own.join(fwd, ["sym", "dt"]), MIN_STOCKS).join(when, "dt").select("formula_id", "sess", "ic")
+    ics = quality.rank_ic(own.drop("sess").join(fwd, ["sym", "dt"]), MIN_STOCKS).join(when, "dt").select("formula_id", "sess", "ic")
+    path = scratch(spark, "ics")
+    ics.write.parquet(path)
+    ics = spark.read.parquet(path)
     path = scratch(spark, "books")
-    two_books(spark, sf_dir, own).write.parquet(path)
+    two_books(spark, sf_dir, own.drop("sess")).write.parquet(path)
     books = spark.read.parquet(path)
     flat = protocol.flat_signals(own, axis(spark, sf_dir), sound(spark, sf_dir))
     cut = None if penalty is None else spark.createDataFrame(list(penalty.items()), "formula_id string, penalty double")
-    seen = own if "sess" in own.columns else own.join(when, "dt")
-    made = protocol.score_candidates(ics, books.select("formula_id", "sign", "sess", "cost"), protocol.validation_windows(sound(spark, sf_dir)), penalty=cut, flat=flat, ranges=sound(spark, sf_dir), signals=seen)
+    made = protocol.score_candidates(ics, books.select("formula_id", "sign", "sess", "cost"), protocol.validation_windows(sound(spark, sf_dir)), penalty=cut, flat=flat, ranges=sound(spark, sf_dir), signals=own)
     return protocol.candidate_gates(made).drop("flat", "invalid"), books, ics
 
 
