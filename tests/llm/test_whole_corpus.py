@@ -75,3 +75,11 @@ def test_toxicity_of_held_out_documents(spark):
     print(f"held out: {len(y)} documents, {int(y.sum())} toxic, AUC {auc:.4f}, right {np.mean((score >= 0.5) == y):.4f}")
     # some labels are wrong (junk without a toxic word that is marked as toxic scores nearly 0), so 1 is out of reach
     assert auc >= 0.95 and np.mean((score >= 0.5) == y) >= 0.95
+
+
+def test_decoys_come_from_anywhere(spark):
+    """Texts with words at the beginning, in the middle or at the end alone: each kind gives decoys."""
+    words, rest = lambda k: " ".join(f"w{k}ord{j}" for j in range(120)), "。" * 2000
+    rows = [(part, [words(k) + rest + rest, rest + words(k) + rest, rest + rest + words(k)][part]) for k in range(60) for part in range(3)]
+    made = spark.createDataFrame(rows, "part int, text string").withColumn("decoy", secret_scan.decoys(F.col("text"))).where("decoy is not null")
+    assert {r.part for r in made.select("part").distinct().collect()} == {0, 1, 2}
