@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.numeric import average_rank, pearson
+from panelforge.operators.blocks import packed, unpacked
 
 
 def correlation(x: Column, y: Column, floor: float = 1e-12) -> Column:
@@ -35,6 +36,74 @@ def coverage(long: DataFrame) -> DataFrame:
     return long.where("elig").groupBy("factor_name").agg(F.avg((F.coalesce("value", F.lit(0.0)) != 0).cast("double")).alias("coverage"))
 
 
+def wide_coverage(wide: DataFrame, names: list[str]) -> DataFrame:
+    """:func:`coverage` of the columns ``names``: one row of sums."""
+    own = wide.where("elig").agg(*(F.avg((F.coalesce(n, F.lit(0.0)) != 0).cast("double")).alias(n) for n in names))
+    return own.unpivot([], names, "factor_name", "coverage").where("coverage is not null")
+
+
+def wide_rank_ic(wide: DataFrame, names: list[str], fwd: str, min_stocks: int = 10, places: int = 9) -> DataFrame:
+    """:func:`rank_ic` of the columns ``names`` against ``fwd``: ``formula_id, sess, ic, n``. Signals equal to ``places`` digits tie."""
+    import numpy as np
+    import pyarrow as pa
+
+    def ranks(v):
+        _, which, n = np.unique(v, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - (n - 1) / 2)[which]
+
+    def one(keys, rows):
+        group, values = unpacked(keys, rows, groups)
+        out = []
+        for name, v in zip(group[1:], values.T[1:], strict=True):
+            seen = ~np.isnan(v) & ~np.isnan(values[:, 0])
+            if not seen.any():
+                continue
+            a, b = (x - x.mean() for x in (ranks(np.round(v[seen], places)), ranks(values[seen, 0])))
+            va, vb = a @ a, b @ b
+            ic = float(a @ b / np.sqrt(va * vb)) if seen.sum() >= min_stocks and va > 1e-12 and vb > 1e-12 else None
+            out.append({"formula_id": name, "sess": keys[0].as_py(), "ic": ic, "n": int(seen.sum())})
+        return pa.Table.from_pylist(out, pa.schema([("formula_id", pa.string()), ("sess", pa.int32()), ("ic", pa.float64()), ("n", pa.int64())]))
+
+    groups = [[fwd, *names[k : k + 8]] for k in range(0, len(names), 8)]
+    return packed(wide.where("elig"), groups).groupBy("sess", "part").applyInArrow(one, "formula_id string, sess int, ic double, n long")
+
+
+def wide_corr(wide: DataFrame, names: list[str]) -> DataFrame:
+    """:func:`factor_corr` of the columns ``names``, missing values as 0: a task adds up a matrix of products for each session it meets, and
+    a session's matrices are added up, so no task sees a whole session."""
+    import numpy as np
+    import pandas as pd
+
+    size = len(names)
+    upper = np.triu_indices(size, 1)
+
+    def sums(parts):
+        held = {}
+        for p in parts:
+            x = np.nan_to_num(p[names].to_numpy(np.float64))
+            for day, at in p.groupby("sess").indices.items():
+                v = np.column_stack([np.ones(len(at)), x[at]])  # the first row and column are the count and the sums
+                held[day] = held[day] + v.T @ v if day in held else v.T @ v
+        if held:
+            yield pd.DataFrame({"sess": list(held), "m": [m.tobytes() for m in held.values()]})
+
+    def one(rows):
+        m = sum(np.frombuffer(b).reshape(size + 1, size + 1) for b in rows["m"])
+        n, s, both = m[0, 0], m[0, 1:], m[1:, 1:]
+        if n < 2 or not np.diag(both).any():
+            return pd.DataFrame({"a": [], "b": [], "c": []})
+        cov = both - np.outer(s, s) / n
+        good = np.diag(cov) > 1e-12
+        good = np.outer(good, good)
+        spread = np.outer(np.diag(cov), np.diag(cov))
+        c = np.where(good, np.abs(cov / np.sqrt(np.where(good, spread, 1.0))), 0.0)
+        return pd.DataFrame({"a": np.array(names, object)[upper[0]], "b": np.array(names, object)[upper[1]], "c": c[upper]})
+
+    names = sorted(names)
+    own = wide.where("elig").select("sess", *(F.col(n).cast("double").alias(n) for n in names)).mapInPandas(sums, "sess int, m binary")
+    return own.groupBy("sess").applyInPandas(one, "a string, b string, c double").groupBy("a", "b").agg(F.avg("c").alias("corr"))
+
+
 def factor_corr(long: DataFrame, names: list[str] | None = None) -> DataFrame:
     """``a, b, corr`` for a < b: the mean over dates of the absolute correlation across eligible symbols.
 

@@ -12,7 +12,7 @@ from panelforge.functions.numeric import digits
 from panelforge.operators import panel, protocol, quality, returns
 from panelforge.operators import portfolio as pf
 from panelforge.plans.formula_queries import F_SQL, FORMULAS, SIGNALS, inputs, signals
-from panelforge.plans.panel_queries import EVERY, FAM, LONG, MIN_STOCKS, all_families, all_standard, axis, scored
+from panelforge.plans.panel_queries import EVERY, FAM, LONG, MIN_STOCKS, all_families, all_standard, axis, scored, standard_wide
 from panelforge.plans.portfolio_queries import BOOK, daily, rounded, tradable, two_books
 from panelforge.plans.base_sql import BARS, EWM, EWM_NAMES, HELPERS, by_day
 from panelforge.plans.registry import query
@@ -332,8 +332,7 @@ def family_ablation(spark, sf_dir):
     """Per fold, family and candidate: the loss of validation reward when the family's features are made neutral."""
 
     def wide():
-        own = all_standard(spark, sf_dir).groupBy("sym", "dt", "sess", "elig").pivot("factor_name", EVERY).agg(F.first("value"))
-        return own.join(panel.standard(spark, sf_dir).select("sym", "dt", "industry"), ["sym", "dt"]).withColumn("NEUTRAL", F.lit(0.0))
+        return standard_wide(spark, sf_dir).drop("_fwd").join(panel.standard(spark, sf_dir).select("sym", "dt", "industry"), ["sym", "dt"]).withColumn("NEUTRAL", F.lit(0.0))
 
     formulas = formula.ablated(PAIRED, {n: lib.REGISTRY[n].family for n in EVERY}, "NEUTRAL")
     own = formula.formula_signal(panel.kept(spark, sf_dir, "wide", wide), formulas, [*EVERY, "NEUTRAL"]).select("formula_id", "sym", "dt", "elig", "signal")
