@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +18,7 @@ from panelforge.sources.versioned import Conflict, Table
 
 DAY = 86_400_000_000
 BARS = "kind string, sym long, start timestamp, open double, high double, low double, close double, n long, event_id long, ts timestamp, value double"
+OUT = Row("kind", "sym", "start", "open", "high", "low", "close", "n", "event_id", "us", "value")
 
 
 class Refused(ValueError):
@@ -41,30 +41,26 @@ class _Bars(StatefulProcessor):
         self.handle = handle
         self.bar = handle.getValueState("bar", "open double, open_us long, open_id long, high double, low double, close double, close_us long, close_id long, n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         sym, start = key
         end = (start + self.width) // 1000
-        late = end <= timerValues.getCurrentWatermarkInMs()
-        found = None
-        for part in rows:
-            if late:
-                yield pd.DataFrame({"kind": "late", "sym": sym, "start": start, "open": None, "high": None, "low": None, "close": None, "n": None, "event_id": part["event_id"], "us": part["us"], "value": part["value"]})
-                continue
-            own = part.sort_values(["us", "event_id"])
-            first, last, good = own.iloc[0], own.iloc[-1], own["value"].dropna()
-            bar = (first["value"], first["us"], first["event_id"], good.max(), good.min(), last["value"], last["us"], last["event_id"], len(own))
-            found = merged(found, bar)
-        if found is not None:
-            if self.bar.exists():
-                found = merged(tuple(self.bar.get()), found)
-            else:
-                self.handle.registerTimer(end)
-            self.bar.update(tuple(None if v is None or v != v else int(v) if k in (1, 2, 6, 7, 8) else float(v) for k, v in enumerate(found)))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if end <= timerValues.getCurrentWatermarkInMs():
+            for e in rows:
+                yield OUT("late", sym, start, None, None, None, None, None, e.event_id, e.us, e.value)
+            return
+        found = self.bar.get()
+        if found is None:
+            self.handle.registerTimer(end)
+        for e in rows:
+            v = None if e.value != e.value else e.value
+            one = (v, e.us, e.event_id, v, v, v, e.us, e.event_id, 1)
+            found = one if found is None else merged(tuple(found), one)
+        self.bar.update(tuple(found))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         o, _, _, high, low, close, _, _, n = self.bar.get()
         self.bar.clear()
-        yield pd.DataFrame({"kind": ["bar"], "sym": [key[0]], "start": [key[1]], "open": [o], "high": [high], "low": [low], "close": [close], "n": [n], "event_id": [None], "us": [None], "value": [None]})
+        yield OUT("bar", *key, o, high, low, close, n, None, None, None)
 
     def close(self) -> None:
         pass
@@ -90,7 +86,7 @@ def bars_from_events(events: DataFrame, width: int = DAY, late: str = "1 day") -
     timed = own.where("ts IS NOT NULL AND sym IS NOT NULL").withWatermark("ts", late).select("sym", F.unix_micros("ts").alias("us"), "event_id", "value")
     placed = timed.withColumn("start", F.floor(F.col("us") / width) * width)
     raw = "kind string, sym long, start long, open double, high double, low double, close double, n long, event_id long, us long, value double"
-    out = placed.groupBy("sym", "start").transformWithStateInPandas(_Bars(width), raw, "append", "eventtime")
+    out = placed.groupBy("sym", "start").transformWithState(_Bars(width), raw, "append", "eventtime")
     return out.withColumn("start", F.timestamp_micros("start")).withColumn("ts", F.timestamp_micros("us")).select(*(c.split()[0] for c in BARS.split(", ")))
 
 
