@@ -58,3 +58,9 @@ def test_standardised_values_are_not_kept_beside_the_features(spark, sf_dir):
     whole = returns.wide_robust_z(panel_queries.all_wide(spark, sf_dir), some)
     form = lambda df: sorted(map(str, df.select("sym", "sess", *some).collect()))
     assert form(wide) == form(whole)
+
+
+def test_tiers_of_blocks_are_not_joined_back(spark):
+    """What enters a block is found in one pass over a key's blocks; it was made twice, for the tiers and for their join."""
+    plan = scan.exponential_means(cells(spark), {"a": ("x", 0.3)})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
