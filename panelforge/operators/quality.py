@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.numeric import average_rank, pearson
+from panelforge.functions.numeric import average_rank
 from panelforge.operators.blocks import packed, unpacked
 
 
 def correlation(x: Column, y: Column, floor: float = 1e-12) -> Column:
     """An aggregate: Pearson correlation over rows, NULL for (near) constant columns."""
     x, y = x.cast("double"), y.cast("double")
-    n = F.count(F.lit(1)).cast("double")
-    return pearson(n, F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y), floor)
+    n, vx, vy = F.count(F.lit(1)), F.var_pop(x), F.var_pop(y)  # central moments: sums of squares lose a constant column's 0
+    return F.when((vx * n > floor) & (vy * n > floor), F.try_divide(F.covar_pop(x, y), F.sqrt(vx * vy)))
 
 
 def rank_ic(signals: DataFrame, min_stocks: int = 10) -> DataFrame:
