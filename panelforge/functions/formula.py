@@ -157,6 +157,21 @@ def formula_signal(panel: DataFrame, formulas: dict[str, list[str]], features: l
     Steps of all formulas are grouped: those that are ready and share an axis are made together, so the panel is exchanged by
     symbol and by session as seldom as the formulas allow. Equal steps are made once. Malformed formulas give no rows.
     """
+    wide, ends = _made(panel, formulas, features, operators, True)
+    if not ends:
+        return panel.select(F.lit("").alias("formula_id"), "sym", "dt", "sess", "elig", F.lit(0.0).alias("signal")).where("false")
+    wide = wide.select("sym", "dt", "sess", "elig", *(F.col(v).alias(k) for k, v in ends.items()))
+    return wide.unpivot(["sym", "dt", "sess", "elig"], list(ends), "formula_id", "signal")
+
+
+def formula_values(panel: DataFrame, formulas: dict[str, list[str]], features: list[str], others: list[str], operators: dict[str, Operator] | None = None) -> DataFrame:
+    """The columns ``others`` and a column a formula, a row a cell: what :func:`formula_signal` takes the cross-section z-score of."""
+    wide, ends = _made(panel, formulas, features, operators, False)
+    return wide.select(*others, *(F.col(v).alias(k) for k, v in ends.items()))
+
+
+def _made(panel: DataFrame, formulas: dict[str, list[str]], features: list[str], operators: dict[str, Operator] | None, standardised: bool) -> tuple[DataFrame, dict[str, str]]:
+    """``panel`` with the steps of the well-formed formulas, and the column that each of these ends in."""
     operators = OPERATORS if operators is None else operators
     steps: dict[tuple, str] = {}
     ends: dict[str, str] = {}
@@ -166,7 +181,7 @@ def formula_signal(panel: DataFrame, formulas: dict[str, list[str]], features: l
         if depth(tokens, set(features), operators) != 1:
             continue
         stack: list[str] = []
-        for t in [*tokens, "CS_ZSCORE"]:
+        for t in [*tokens, *(["CS_ZSCORE"] if standardised else [])]:
             if t not in operators:
                 stack.append(t)
                 continue
@@ -181,13 +196,25 @@ def formula_signal(panel: DataFrame, formulas: dict[str, list[str]], features: l
                 plan.setdefault((level[own], {"row": "a", "ts": "b", "cs": "c"}[op.axis]), {})[own] = op.build(*args)
             stack.append(steps[t, args])
         ends[name] = stack[0]
-    if not ends:
-        return panel.select(F.lit("").alias("formula_id"), "sym", "dt", "sess", "elig", F.lit(0.0).alias("signal")).where("false")
-    last = set(ends.values())
+    last = set(ends.values()) if standardised else set()
     for _, made in sorted(plan.items(), key=lambda x: x[0]):
         panel = panel.withColumns({k: v if k in last else F.coalesce(F.when(~F.isnan(v), v), F.lit(0.0)) for k, v in made.items()})
-    wide = panel.select("sym", "dt", "sess", "elig", *(F.col(v).alias(k) for k, v in ends.items()))
-    return wide.unpivot(["sym", "dt", "sess", "elig"], list(ends), "formula_id", "signal")
+    return panel, ends
+
+
+def without_zero(tokens: list[str], zero: str, operators: dict[str, Operator] | None = None) -> list[str]:
+    """A well-formed formula without the sums that add the feature ``zero``, which is 0 everywhere: its values stay."""
+    stack: list[list[str]] = []
+    operators = OPERATORS if operators is None else operators
+    for t in tokens:
+        n = operators[t].arity if t in operators else 0
+        args = stack[len(stack) - n :]
+        del stack[len(stack) - n :]
+        if t == "ADD" and [zero] in args:
+            stack.append(args[1] if args[0] == [zero] else args[0])
+        else:
+            stack.append([*(x for a in args for x in a), t])
+    return stack[0]
 
 
 def ablated(formulas: dict[str, list[str]], family_of: dict[str, str], neutral: str) -> dict[str, list[str]]:

@@ -12,6 +12,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from panelforge.operators.blocks import packed, unpacked
+
 EULER = 0.5772156649015329
 
 
@@ -167,6 +170,70 @@ def flat_signals(signals: DataFrame, axis: DataFrame, ranges: DataFrame, least:
     return every.join(seen.where("moves"), ["fold", "formula_id"], "left_anti")
 
 
+FIGURES = "formula_id string, sess int, sign int, sym long, signal double, fwd double, ic double, n long, count long, mean double, m2 double"
+
+
+def session_figures(wide: DataFrame, names: list[str], top: int, min_stocks: int = 10, standardised: bool = True, places: int = 9) -> DataFrame:
+    """What scoring and trading need of the candidates' signals in the columns ``names``, by candidate and session (:data:`FIGURES`).
+
+    ``wide``: ``sess, sym, elig, _fwd, _ok`` and the signals, a row a cell; ``_ok`` is 1 where the symbol can be bought at the next open and
+    symbols are whole numbers below 2^53. Values that are not ``standardised`` get the cross-section z-score first. Signals equal to ``places`` digits tie.
+
+    Rows with ``sign`` 0: the rank coefficient ``ic`` over ``n`` pairs, count, mean and sum of squared deviations of the signal, and its first
+    value that is not 0 with its symbol. Rows with ``sign`` 1 and -1: the ``top`` highest of the signal and of its mirror image among the
+    symbols that can be bought, ties by symbol. Only eligible cells' values are shuffled, in blocks of a session and 24 signals.
+    """
+    import numpy as np
+
+    head, size = ["sym", "_ok", "_fwd"], 24
+    schema = pa.schema([(f.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[f.split()[1]]) for f in FIGURES.split(", ")])
+
+    def ranks(v):
+        _, which, n = np.unique(v, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - (n - 1) / 2)[which]
+
+    def one(keys, rows):
+        group, values = unpacked(keys, rows, groups)
+        values = values[np.argsort(values[:, 0], kind="stable")]
+        sym, ok, fwd, sess = values[:, 0].astype(np.int64), values[:, 1] == 1, values[:, 2], keys[0].as_py()
+        out = []
+        for name, v in zip(group[3:], values.T[3:], strict=True):
+            seen = ~np.isnan(v)
+            if not seen.any():
+                continue
+            if not standardised:
+                v = (v - v[seen].mean()) / (v[seen].std() + 1e-6)
+            v = np.round(v, places)
+            both, some = seen & ~np.isnan(fwd), np.flatnonzero(seen & (v != 0))
+            n, ic = int(both.sum()), None
+            if n and n >= min_stocks:
+                a, b = (x - x.mean() for x in (ranks(v[both]), ranks(fwd[both])))
+                va, vb = a @ a, b @ b
+                ic = float(a @ b / np.sqrt(va * vb)) if va > 1e-12 and vb > 1e-12 else None
+            first = {"sym": int(sym[some[0]]), "signal": float(v[some[0]])} if len(some) else {}
+            own = {"formula_id": name, "sess": sess}
+            out.append(own | first | {"sign": 0, "ic": ic, "n": n, "count": int(seen.sum()), "mean": float(v[seen].mean()), "m2": float(np.square(v[seen] - v[seen].mean()).sum())})
+            free = np.flatnonzero(seen & ok)
+            for sign in (1, -1):
+                for k in free[np.argsort(-sign * v[free], kind="stable")[:top]]:
+                    out.append(own | {"sign": sign, "sym": int(sym[k]), "signal": float(sign * v[k]), "fwd": None if np.isnan(fwd[k]) else float(fwd[k])})
+        return pa.Table.from_pylist(out, schema)
+
+    groups = [[*head, *names[k : k + size]] for k in range(0, len(names), size)]
+    return packed(wide.where("elig"), groups).groupBy("sess", "part").applyInArrow(one, FIGURES)
+
+
+def flat_figures(figures: DataFrame, ranges: DataFrame, least: float = 1e-4) -> DataFrame:
+    """:func:`flat_signals` from the count, mean and squared deviations of :func:`session_figures`."""
+    r = F.broadcast(ranges.select("fold", "train_start", "train_end"))
+    own = figures.where("sign = 0").join(r, (F.col("sess") >= F.col("train_start")) & (F.col("sess") < F.col("train_end")))
+    n, total = F.sum("count"), F.sum(F.col("count") * F.col("mean"))
+    spread = (F.sum(F.col("m2") + F.col("count") * F.col("mean") * F.col("mean")) - total * total / n) / n
+    seen = own.groupBy("fold", "formula_id").agg((F.sqrt(F.greatest(spread, F.lit(0.0))) >= least).alias("moves"))
+    every = figures.select("formula_id").distinct().crossJoin(F.broadcast(ranges.select("fold")))
+    return every.join(seen.where("moves"), ["fold", "formula_id"], "left_anti")
+
+
 def candidate_gates(scored: DataFrame, min_reward: float = 0.0, min_icir: float = 0.05) -> DataFrame:
     """Adds ``reasons`` against a candidate and ``eligible``."""
     bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))

@@ -13,7 +13,7 @@ from panelforge.operators import panel, protocol, quality, returns
 from panelforge.operators import portfolio as pf
 from panelforge.plans.formula_queries import F_SQL, FORMULAS, SIGNALS, inputs, signals
 from panelforge.plans.panel_queries import EVERY, FAM, LONG, MIN_STOCKS, all_families, all_standard, axis, scored, standard_wide
-from panelforge.plans.portfolio_queries import BOOK, daily, rounded, tradable, two_books
+from panelforge.plans.portfolio_queries import BOOK, N, daily, last_session, rounded, tradable, two_books
 from panelforge.plans.base_sql import BARS, EWM, EWM_NAMES, HELPERS, by_day
 from panelforge.plans.registry import query
 from panelforge.sources.shared import scratch
@@ -178,28 +178,24 @@ def benchmark_rows(spark, sf_dir):
     return rounded(own.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("bench").alias("mean"), F.stddev_samp("bench").alias("sd")), "mean", "sd")
 
 
-def scored_signals(spark, sf_dir, own, penalty=None):
-    """Gated scores of any candidates' signals (``formula_id, sym, dt, elig, signal``) and the books of both their sides.
+def scored_wide(spark, sf_dir, wide, names, penalty=None, standardised=True):
+    """Gated scores of the candidates whose signals are the columns ``names`` of ``wide``, the books of both their sides and their coefficients.
 
-    A signal without spread in the training range has no score and is rejected.
+    A signal without spread in the training range has no score and is rejected. What is written are a session's figures and its picks.
     """
-
-    when = F.broadcast(axis(spark, sf_dir))
-    own = own.withColumn("signal", F.round("signal", 9))
-    path = scratch(spark, "signals")  # coefficients, books, spread and sides read them
-    (own if "sess" in own.columns else own.join(when, "dt")).write.parquet(path)
-    own = spark.read.parquet(path)
-    fwd = panel.standard(spark, sf_dir).select("sym", "dt", returns.open_to_open().alias("fwd"))
-    ics = quality.rank_ic(own.drop("sess").join(fwd, ["sym", "dt"]), MIN_STOCKS).join(when, "dt").select("formula_id", "sess", "ic")
-    path = scratch(spark, "ics")
-    ics.write.parquet(path)
-    ics = spark.read.parquet(path)
+    path = scratch(spark, "figures")
+    protocol.session_figures(wide, names, N, MIN_STOCKS, standardised).write.parquet(path)
+    figures = spark.read.parquet(path)
+    whole = figures.where("sign = 0")
+    ics = whole.where("n > 0").select("formula_id", "sess", "ic")
+    picks = figures.where("sign <> 0").select(F.struct("formula_id", "sign").alias("formula_id"), "sym", F.col("sess").alias("dt"), "sess", "fwd")
     path = scratch(spark, "books")
-    two_books(spark, sf_dir, own.drop("sess")).write.parquet(path)
+    pf.topn_returns(pf.target_weights(picks, N), last_session(spark, sf_dir)).select("formula_id.*", "sess", "gross", "cost", "net", "turnover").write.parquet(path)
     books = spark.read.parquet(path)
-    flat = protocol.flat_signals(own, axis(spark, sf_dir), sound(spark, sf_dir))
+    flat = protocol.flat_figures(figures, sound(spark, sf_dir))
     cut = None if penalty is None else spark.createDataFrame(list(penalty.items()), "formula_id string, penalty double")
-    made = protocol.score_candidates(ics, books.select("formula_id", "sign", "sess", "cost"), protocol.validation_windows(sound(spark, sf_dir)), penalty=cut, flat=flat, ranges=sound(spark, sf_dir), signals=own)
+    first = whole.where("sym is not null").select("formula_id", "sess", "sym", F.lit(True).alias("elig"), "signal")
+    made = protocol.score_candidates(ics, books.select("formula_id", "sign", "sess", "cost"), protocol.validation_windows(sound(spark, sf_dir)), penalty=cut, flat=flat, ranges=sound(spark, sf_dir), signals=first)
     return protocol.candidate_gates(made).drop("flat", "invalid"), books, ics
 
 
@@ -222,8 +218,7 @@ whole AS (SELECT g.fold, g.formula_id, sign AS direction, val_reward, val_icir,
 SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in OUTCOME)}) FROM whole""")
 def baseline_rows(spark, sf_dir):
     """Every single factor, scored like any candidate on the validation windows and traded out of sample in its learned direction."""
-    own = all_standard(spark, sf_dir).select(F.col("factor_name").alias("formula_id"), "sym", "dt", "elig", F.col("value").alias("signal"))
-    made, books, ics = scored_signals(spark, sf_dir, own, {n: 0.02 for n in EVERY})
+    made, books, ics = scored_wide(spark, sf_dir, standard_wide(spark, sf_dir), EVERY, {n: 0.02 for n in EVERY})
     r = F.broadcast(sound(spark, sf_dir).select("fold", "test_start", "test_end"))
     test = ics.join(r, (F.col("sess") >= F.col("test_start")) & (F.col("sess") < F.col("test_end"))).groupBy("fold", "formula_id").agg(F.avg("ic").alias("test_ic"))
     out = made.join(side_rows(spark, sf_dir, books), ["fold", "formula_id", "sign"], "left").join(test, ["fold", "formula_id"], "left")
@@ -330,13 +325,15 @@ own AS (SELECT b.fold, f.family, b.candidate, b.eligible AS was, b.val_reward AS
 SELECT fold, family, candidate, round(v.val_reward, 6) + 0.0 AS val_reward, round(v.val_icir, 6) + 0.0 AS val_icir, was, v.eligible AS eligible, round(base - v.val_reward, 6) + 0.0 AS loss FROM own""")
 def family_ablation(spark, sf_dir):
     """Per fold, family and candidate: the loss of validation reward when the family's features are made neutral."""
-
-    def wide():
-        return standard_wide(spark, sf_dir).drop("_fwd").join(panel.standard(spark, sf_dir).select("sym", "dt", "industry"), ["sym", "dt"]).withColumn("NEUTRAL", F.lit(0.0))
-
-    formulas = formula.ablated(PAIRED, {n: lib.REGISTRY[n].family for n in EVERY}, "NEUTRAL")
-    own = formula.formula_signal(panel.kept(spark, sf_dir, "wide", wide), formulas, [*EVERY, "NEUTRAL"]).select("formula_id", "sym", "dt", "elig", "signal")
-    made, _, _ = scored_signals(spark, sf_dir, own)
+    ablated = formula.ablated(PAIRED, {n: lib.REGISTRY[n].family for n in EVERY}, "NEUTRAL")
+    plain = {k: formula.without_zero(t, "NEUTRAL") for k, t in ablated.items()}
+    name_of = {}  # candidates with the same signal are scored once
+    for k, t in plain.items():
+        name_of.setdefault(tuple(t), k)
+    wide = formula.formula_values(standard_wide(spark, sf_dir).withColumn("NEUTRAL", F.lit(0.0)), {k: list(t) for t, k in name_of.items()}, [*EVERY, "NEUTRAL"], ["sym", "sess", "elig", "_fwd", "_ok"])
+    made, _, _ = scored_wide(spark, sf_dir, wide, list(name_of.values()), standardised=False)
+    alias = F.broadcast(spark.createDataFrame([(k, name_of[tuple(t)]) for k, t in plain.items()], "name string, formula_id string"))
+    made = made.join(alias, "formula_id").drop("formula_id").withColumnRenamed("name", "formula_id")
     out = protocol.family_ablation(made, all_families(spark).select("family"))
     return rounded(out, "val_reward", "val_icir", "loss")
 
