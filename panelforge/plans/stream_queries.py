@@ -15,18 +15,34 @@ from panelforge.streaming import bars as st
 DELAYED = 97
 
 
-def arriving(spark, sf_dir, *batches):
-    """A folder of files, one a batch (each a condition on the events), in the order of their times; and the files' schema."""
-    own = fixtures.read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+def arrivals(spark, sf_dir):
+    """The events that arrive."""
+    return fixtures.read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+
+
+def arriving(spark, sf_dir, *batches, files=1):
+    """A folder of files, ``files`` a batch (each a condition on the events), in the order of their times; and the files' schema."""
+    own = arrivals(spark, sf_dir)
     path = scratch(spark, "events")
     for b in batches:
-        (own.where(b) if isinstance(b, str) else b(own)).coalesce(1).write.mode("append").parquet(path)
+        batch = own.where(b) if isinstance(b, str) else b(own)
+        (batch.coalesce(1) if files == 1 else batch.repartition(files)).write.mode("append").parquet(path)
     return path, own.schema
 
 
-def bar_stream(spark, path, schema, table, checkpoint):
-    """The bars of all that has arrived, a file a batch, and the query that made them."""
-    return st.run_available(st.bars_from_events(st.read_files(spark, path, schema, files=1)), checkpoint, sink=st.commit_into(table, "bars"))
+def files_each(own, *batches):
+    """Files that each batch can be written in, none of them empty: as many as tasks read ``own``, or one.
+
+    Rows are dealt out in turn by each of these tasks, so one of them has rows for all files if there are ``files`` squared.
+    """
+    files = own.rdd.getNumPartitions()
+    fewest = min(own.agg(*(F.count_if(F.expr(b)) for b in batches)).first()) if files > 1 else 0
+    return files if fewest >= files**2 else 1
+
+
+def bar_stream(spark, path, schema, table, checkpoint, files=1):
+    """The bars of all that has arrived, ``files`` files a batch, and the query that made them."""
+    return st.run_available(st.bars_from_events(st.read_files(spark, path, schema, files=files)), checkpoint, sink=st.commit_into(table, "bars"))
 
 
 @query("stream_bar_agg", f"""WITH t AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events WHERE event_id % {DELAYED} <> 0),
@@ -34,7 +50,7 @@ e AS (SELECT *, event_id % {DELAYED} = 0 AND date_trunc('day', ts) + INTERVAL 1
 SELECT user_id AS sym, strftime(ts, '%Y-%m-%d') AS start, round(arg_min(value, (ts, event_id)) FILTER (NOT late), 6) + 0.0 AS open, round(max(value) FILTER (NOT late), 6) + 0.0 AS high, round(min(value) FILTER (NOT late), 6) + 0.0 AS low,
   round(arg_max(value, (ts, event_id)) FILTER (NOT late), 6) + 0.0 AS close, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS n_late FROM e GROUP BY 1, 2""")
 def stream_bar_agg(spark, sf_dir):
-    """Three files by time, then events that come at the very end, most of them late; a last event far ahead closes all windows.
+    """Three batches of files by time, then events that come at the very end, most of them late; a last event far ahead closes all windows.
 
     The stream is stopped before that event and goes on from its checkpoint.
     """
@@ -42,12 +58,14 @@ def stream_bar_agg(spark, sf_dir):
     third = (edges.b - edges.a) / 3
     cuts = [f"timestamp'{edges.a + third * k}'" for k in (1, 2)]
     on_time = f"event_id % {DELAYED} <> 0"
-    path, schema = arriving(spark, sf_dir, f"{on_time} and ts < {cuts[0]}", f"{on_time} and ts >= {cuts[0]} and ts < {cuts[1]}", f"{on_time} and ts >= {cuts[1]}", f"event_id % {DELAYED} = 0")
+    batches = f"{on_time} and ts < {cuts[0]}", f"{on_time} and ts >= {cuts[0]} and ts < {cuts[1]}", f"{on_time} and ts >= {cuts[1]}", f"event_id % {DELAYED} = 0"
+    files = files_each(arrivals(spark, sf_dir), *batches)
+    path, schema = arriving(spark, sf_dir, *batches, files=files)
     table, checkpoint = Table(spark, scratch(spark, "bars")), scratch(spark, "ck")
-    bar_stream(spark, path, schema, table, checkpoint)
+    bar_stream(spark, path, schema, table, checkpoint, files)
     end = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), (F.lit(edges.b) + F.expr("interval 9 days")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit(0.0).alias("value"))
     spark.createDataFrame(end.collect(), schema).coalesce(1).write.mode("append").parquet(path)
-    bar_stream(spark, path, schema, table, checkpoint)
+    bar_stream(spark, path, schema, table, checkpoint, files)
     rows = table.read()
     bars = rows.where("kind = 'bar'").select("sym", "start", *(digits(F.col(c)).alias(c) for c in ("open", "high", "low", "close")), "n")
     late = rows.where("kind = 'late'").groupBy("sym", "start").agg(F.count(F.lit(1)).alias("n_late"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,7 +20,16 @@ from panelforge.sources.versioned import Conflict, Table
 
 DAY = 86_400_000_000
 BARS = "kind string, sym long, start timestamp, open double, high double, low double, close double, n long, event_id long, ts timestamp, value double"
-OUT = Row("kind", "sym", "start", "open", "high", "low", "close", "n", "event_id", "us", "value")
+OUT = Row("kind", "start", "sym", "open", "high", "low", "close", "n", "event_id", "us", "value", "unknown")
+
+#: Symbols are in so many groups by a hash; a window's state is a list a group. Checkpoints rely on it.
+GROUPS = 256
+#: Events, or bars, that a task holds at once, and bars in one piece of state or output.
+HELD, PIECE = 1 << 19, 1 << 14
+#: ``unknown``: 1 if the value is null, 2 if the id is null. An event without id comes after all others of its time.
+EVENT = np.dtype([("sym", "<i8"), ("us", "<i8"), ("event_id", "<i8"), ("value", "<f8"), ("unknown", "<i1")])
+BAR = np.dtype([("sym", "<i8"), ("open", "<f8"), ("open_us", "<i8"), ("open_id", "<i8"), ("high", "<f8"), ("low", "<f8"), ("close", "<f8"), ("close_us", "<i8"), ("close_id", "<i8"), ("n", "<i8")])
+LAST_ID = np.iinfo(np.int64).max
 
 
 class Refused(ValueError):
@@ -31,63 +42,137 @@ def read_files(spark: SparkSession, path: str, schema: StructType | str, files:
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events of a window and group as blocks of bytes (``EVENT``), up to ``HELD`` events of a task at a time: state is handled by the block, not by the event."""
+
+    def sent(own: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(own)
+        start, grp = t["start"].to_numpy(), t["grp"].to_numpy()
+        order = np.lexsort((grp, start))
+        start, grp, events = start[order], grp[order], np.empty(len(order), EVENT)
+        for c, unknown in (("sym", 0), ("us", 0), ("event_id", LAST_ID), ("value", np.nan)):
+            events[c] = t[c].fill_null(unknown).to_numpy()[order]
+        events["unknown"] = (t["value"].is_null().to_numpy() + 2 * t["event_id"].is_null().to_numpy())[order]
+        first = np.flatnonzero(np.r_[True, (start[1:] != start[:-1]) | (grp[1:] != grp[:-1])])
+        ends = (np.r_[first, len(order)] * EVENT.itemsize).astype(np.int32)
+        block = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(events)])
+        return pa.RecordBatch.from_arrays([pa.array(start[first]), pa.array(grp[first]), block], ["start", "grp", "block"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= HELD:
+            yield sent(held)
+            held, n = [], 0
+    if n:
+        yield sent(held)
+
+
+def _each(events: np.ndarray) -> np.ndarray:
+    """A bar of each event."""
+    own = np.empty(len(events), BAR)
+    own["sym"], own["n"] = events["sym"], 1
+    for c in ("open", "high", "low", "close"):
+        own[c] = events["value"]
+    for c in ("open", "close"):
+        own[f"{c}_us"], own[f"{c}_id"] = events["us"], events["event_id"]
+    return own
+
+
+def _merged(own: np.ndarray) -> np.ndarray:
+    """One bar a symbol from bars of one window in the order of their arrival; of equal times and ids the first that came counts. NaN is no value."""
+    first = own[np.lexsort((own["open_id"], own["open_us"], own["sym"]))]
+    last = own[np.lexsort((-np.arange(len(own)), own["close_id"], own["close_us"], own["sym"]))]
+    at = np.flatnonzero(np.r_[True, first["sym"][1:] != first["sym"][:-1]])
+    end, out = np.r_[at[1:], len(own)] - 1, first[at]
+    out["high"], out["low"], out["n"] = np.fmax.reduceat(first["high"], at), np.fmin.reduceat(first["low"], at), np.add.reduceat(first["n"], at)
+    for c in ("close", "close_us", "close_id"):
+        out[c] = last[c][end]
+    return out
+
+
+def _pieces(own: np.ndarray) -> Iterator[np.ndarray]:
+    return (own[k : k + PIECE] for k in range(0, len(own), PIECE))
+
+
 class _Bars(StatefulProcessor):
-    """A bar for each key (sym, start): kept until the watermark passes its window's end, then written, once."""
+    """The bars of each key (start, grp): kept until the watermark passes their window's end, then written, once.
+
+    A batch only adds its own bars to the state; they are merged when the window closes, or when they are twice as many as after the last merge.
+    """
 
     def __init__(self, width: int):
         self.width = width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.bar = handle.getValueState("bar", "open double, open_us long, open_id long, high double, low double, close double, close_us long, close_id long, n long")
+        self.bars = handle.getListState("bars", "block binary")
+        self.size = handle.getValueState("size", "n long, merged long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        sym, start = key
+        start, _ = key
         end = (start + self.width) // 1000
         if end <= timerValues.getCurrentWatermarkInMs():
-            for e in rows:
-                yield OUT("late", sym, start, None, None, None, None, None, e.event_id, e.us, e.value)
+            for r in rows:
+                for e in _pieces(np.frombuffer(r.block, EVENT)):
+                    yield OUT("late", start, e["sym"].copy(), [], [], [], [], [], *(e[c].copy() for c in ("event_id", "us", "value", "unknown")))
             return
-        found = self.bar.get()
+        parts, n, most = [], 0, HELD
+        for r in rows:
+            parts.append(_each(np.frombuffer(r.block, EVENT)))
+            n += len(parts[-1])
+            if n >= most:
+                parts = [_merged(np.concatenate(parts))]
+                n, most = len(parts[0]), 2 * len(parts[0]) + HELD
+        own, found = _merged(np.concatenate(parts)), self.size.get()
         if found is None:
             self.handle.registerTimer(end)
-        for e in rows:
-            v = None if e.value != e.value else e.value
-            one = (v, e.us, e.event_id, v, v, v, e.us, e.event_id, 1)
-            found = one if found is None else merged(tuple(found), one)
-        self.bar.update(tuple(found))
+            n = merged = len(own)
+        else:
+            n, merged = found[0] + len(own), found[1]
+        if n > 2 * merged + PIECE:
+            own = _merged(np.concatenate([*self.held(), own]))
+            n = merged = len(own)
+            self.bars.put([(x.tobytes(),) for x in _pieces(own)])
+        else:
+            self.bars.appendList([(x.tobytes(),) for x in _pieces(own)])
+        self.size.update((n, merged))
+
+    def held(self) -> list[np.ndarray]:
+        return [np.frombuffer(x[0], BAR) for x in self.bars.get()]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        o, _, _, high, low, close, _, _, n = self.bar.get()
-        self.bar.clear()
-        yield OUT("bar", *key, o, high, low, close, n, None, None, None)
+        own = _merged(np.concatenate(self.held()))
+        self.bars.clear()
+        self.size.clear()
+        for b in _pieces(own):
+            yield OUT("bar", key[0], *(b[c].copy() for c in ("sym", "open", "high", "low", "close", "n")), [], [], [], [])
 
     def close(self) -> None:
         pass
 
 
-def merged(a: tuple | None, b: tuple) -> tuple:
-    if a is None:
-        return b
-    known = lambda f, x, y: y if x is None or x != x else x if y is None or y != y else f(x, y)
-    return (*min(a[:3], b[:3], key=lambda x: x[1:]), known(max, a[3], b[3]), known(min, a[4], b[4]), *max(a[5:8], b[5:8], key=lambda x: x[1:]), a[8] + b[8])
-
-
 def bars_from_events(events: DataFrame, width: int = DAY, late: str = "1 day") -> DataFrame:
     """Rows of ``BARS`` from events (``ts, user_id, event_id, value``): of kind `bar` when a window closes, once each, and of kind `late`.
 
     A window of ``width`` microseconds closes when the watermark (the latest ``ts`` of earlier batches less ``late``) reaches its end; an event
     of a closed window is a row of kind `late` with all that it holds. So bars and late events add up to all events, but for windows
     that are open at the end. Open and close are by (``ts``, ``event_id``); a null value counts in ``n`` alone; events without ``ts`` or ``user_id``
-    are left out. State is one bar for each open window.
+    are left out. State is the bars of each open window, at most about twice, in ``GROUPS`` lists a window.
     """
     own = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("long").alias("sym"), F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("value"))
     # Behind the watermark the time goes on as a number, so late rows are not dropped before they reach the operator.
     timed = own.where("ts IS NOT NULL AND sym IS NOT NULL").withWatermark("ts", late).select("sym", F.unix_micros("ts").alias("us"), "event_id", "value")
     placed = timed.withColumn("start", F.floor(F.col("us") / width) * width)
-    raw = "kind string, sym long, start long, open double, high double, low double, close double, n long, event_id long, us long, value double"
-    out = placed.groupBy("sym", "start").transformWithState(_Bars(width), raw, "append", "eventtime")
-    return out.withColumn("start", F.timestamp_micros("start")).withColumn("ts", F.timestamp_micros("us")).select(*(c.split()[0] for c in BARS.split(", ")))
+    grouped = placed.select("start", F.pmod(F.xxhash64("sym"), F.lit(GROUPS)).cast("int").alias("grp"), "sym", "us", "event_id", "value")
+    raw = "kind string, start long, sym array<long>, open array<double>, high array<double>, low array<double>, close array<double>, n array<long>, event_id array<long>, us array<long>, value array<double>, unknown array<tinyint>"
+    out = grouped.mapInArrow(_blocks, "start long, grp int, block binary").groupBy("start", "grp").transformWithState(_Bars(width), raw, "append", "eventtime")
+    many = ("sym", "open", "high", "low", "close", "n", "event_id", "us", "value", "unknown")
+    rows = out.select("kind", F.timestamp_micros("start").alias("start"), F.inline(F.arrays_zip(*many)))
+    known = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("open", "high", "low", "close")]
+    whole = [F.when(F.col("unknown").bitwiseAND(bit) == 0, F.col(c)).alias(c) for c, bit in (("event_id", 2), ("value", 1))]
+    return rows.select("kind", "sym", "start", *known, "n", whole[0], F.timestamp_micros("us").alias("ts"), whole[1])
 
 
 def fresh(rows: DataFrame, keys: list[str], late: str = "7 days") -> DataFrame:
