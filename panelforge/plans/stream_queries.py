@@ -13,6 +13,8 @@ from panelforge.streaming import bars as st
 
 #: Of the events one in so many comes only at the very end.
 DELAYED = 97
+#: Partitions of state, if no more tasks read the events.
+FEWEST = 8
 
 
 def arrivals(spark, sf_dir):
@@ -42,7 +44,8 @@ def files_each(own, *batches):
 
 def bar_stream(spark, path, schema, table, checkpoint, files=1):
     """The bars of all that has arrived, ``files`` files a batch, and the query that made them."""
-    return st.run_available(st.bars_from_events(st.read_files(spark, path, schema, files=files)), checkpoint, sink=st.commit_into(table, "bars"))
+    own = st.bars_from_events(st.read_files(spark, path, schema, files=files))
+    return st.run_available(own, checkpoint, sink=st.commit_into(table, "bars"), partitions=max(files, FEWEST))
 
 
 @query("stream_bar_agg", f"""WITH t AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events WHERE event_id % {DELAYED} <> 0),

@@ -254,19 +254,23 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 
-def run_available(df: DataFrame, checkpoint: str, sink=None, path: str | None = None, mode: str = "append") -> StreamingQuery:
+def run_available(df: DataFrame, checkpoint: str, sink=None, path: str | None = None, mode: str = "append", partitions: int | None = None) -> StreamingQuery:
     """Process what is there and stop; the next run resumes from the checkpoint. ``mode`` is for a ``sink``; files are appended.
 
-    State is kept in RocksDB, so it may outgrow an executor's memory.
+    State is kept in RocksDB, so it may outgrow an executor's memory. It has as many partitions as shuffles have, or ``partitions`` if these are
+    fewer: each is opened and committed in every batch, whatever it holds. The first run of a checkpoint settles their number.
     """
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    spark, before = df.sparkSession, df.sparkSession.conf.get(provider)
+    provider, shuffled = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+    spark = df.sparkSession
+    before = {k: spark.conf.get(k) for k in (provider, shuffled)}
     writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     writer = writer.outputMode(mode) if sink else writer
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(shuffled, min(int(before[shuffled]), partitions or int(before[shuffled])))
     try:
         query = writer.foreachBatch(sink).start() if sink else writer.format("parquet").option("path", path).outputMode("append").start()
     finally:
-        spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     query.awaitTermination()
     return query

@@ -47,6 +47,16 @@ def test_state_that_grows_batch_by_batch_is_merged(spark):
     assert set(late) == {(1, 40), (1, 41), (2, None)} and late[1, 40] is None and math.isnan(late[1, 41]) and late[2, None] == 3.0
 
 
+def test_state_has_no_more_partitions_than_asked_for(spark):
+    path, shuffled = shared.scratch(spark, "events"), "spark.sql.shuffle.partitions"
+    spark.sql("SELECT 1L AS event_id, timestamp'2024-01-01 00:00:00' AS ts, 1L AS user_id, 0D AS value").coalesce(1).write.parquet(path)
+    before = spark.conf.get(shuffled)
+    for asked, has in ((2, 2), (9, int(before)), (None, int(before))):
+        made = bars.bars_from_events(bars.read_files(spark, path, SCHEMA))
+        query = bars.run_available(made, shared.scratch(spark, "ck"), path=shared.scratch(spark, "bars"), partitions=asked)
+        assert {o["numShufflePartitions"] for p in query.recentProgress for o in p["stateOperators"]} == {has} and spark.conf.get(shuffled) == before
+
+
 class State:
     """Lists and values as a handle gives them, without a worker."""
 
