@@ -38,8 +38,9 @@ def files_each(own, *batches):
     Rows are dealt out in turn by each of these tasks, so one of them has rows for all files if there are ``files`` squared.
     """
     files = own.rdd.getNumPartitions()
-    fewest = min(own.agg(*(F.count_if(F.expr(b)) for b in batches)).first()) if files > 1 else 0
-    return files if fewest >= files**2 else 1
+    if files > 1 and min(own.agg(*(F.count_if(F.expr(b)) for b in batches)).first()) >= files**2:
+        return files
+    return 1
 
 
 def bar_stream(spark, path, schema, table, checkpoint, files=1):
